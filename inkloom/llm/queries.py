@@ -22,12 +22,35 @@ URL_RULES = (
 )
 
 
+def op6_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import uuid
+
+    from inkloom.llm import warc
+    from inkloom.llm.common import settle, shared_dir
+
+    folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    manifest = settle(warc.write_archives(warc.plan_records(table(spark, sf_dir, "pages")), folder), "manifest")
+    read = warc.read_archives(manifest.repartition(spark.sparkContext.defaultParallelism * 2), payloads=False)
+    number = lambda c: F.expr(f"try_cast(substring({c}, 10) as bigint)")  # noqa: E731  after urn:page:
+    return read.where("gap is null").select(
+        number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to")
+    )
+
+
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from inkloom.llm.mixing import taken
 
     return taken(table(spark, sf_dir, "documents"))
 
 
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from inkloom.llm.bpe import round_trip
+
+    return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op10_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from inkloom.llm.url_templates import judge_urls
 
@@ -40,4 +63,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op6_warc_salvage": """
+            WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+            q AS (SELECT page_id, octet_length(encode(h)) AS payload_bytes, sha256(h) AS payload_digest FROM p),
+            r AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) END AS first FROM q)
+            SELECT page_id, payload_bytes, payload_digest,
+                CASE WHEN first IS NOT NULL AND page_id IS DISTINCT FROM first THEN 'revisit' ELSE 'response' END AS record_type,
+                CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to
+            FROM r""",
+    }
