@@ -22,6 +22,18 @@ URL_RULES = (
 )
 
 
+def op1_pq_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from inkloom.llm.pq_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op3_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from inkloom.llm.hash_search import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op6_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     import uuid
 
