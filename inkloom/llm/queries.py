@@ -34,6 +34,12 @@ def op3_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from inkloom.llm.jaccard_join import similar
+
+    return similar(table(spark, sf_dir, "documents"))
+
+
 def op6_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     import uuid
 
