@@ -189,7 +189,7 @@ def _joined(runs) -> tuple:
 def _frequencies(runs: DataFrame, homes: int) -> DataFrame:
     """Back to the documents: (home, run) with tokens of two or more documents and their frequency class."""
 
-    def count(key, table: pa.Table) -> pa.Table:
+    def count(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         bucket = key[0].as_py()
         keys, sizes, hot, owner, tokens, _ = _joined(table.column("run").to_pylist())
         order = np.lexsort((owner, tokens))
@@ -322,7 +322,7 @@ def similar(
     kept = settle(_prefixes(_frequencies(_runs(x, words, buckets, hot), buckets), percent), "prefixes")
 
     # texts of the documents that are left, one of each key
-    texts = x.select("text", _keys(F.col("text")).alias("key")).join(kept.select("key"), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
+    texts = _keyed(x).join(kept.select("key"), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
     cand = texts.join(kept, "key")
 
     def with_hot(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -377,6 +377,12 @@ def _sum(df: DataFrame, col: str) -> int:
     return df.agg(F.coalesce(F.sum(col), F.lit(0))).first()[0]
 
 
-@F.pandas_udf("string")
-def _keys(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: key_of(word_list(t)).hex())
+def _keyed(docs: DataFrame) -> DataFrame:
+    """text and its key, for every row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [key_of(word_list(t.as_py())).hex() for t in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.string())], names=["text", "key"])
+
+    return docs.select("text").mapInArrow(run, "text string, key string")
