@@ -28,6 +28,12 @@ def op1_pq_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op2_mil_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from inkloom.llm.mil_quality import judged
+
+    return judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from inkloom.llm.hash_search import nearest
 
