@@ -22,6 +22,9 @@ URL_RULES = (
 )
 
 
+PII_KEY = "surrogate key of the contract query"  # production passes a secret
+
+
 def op1_pq_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from inkloom.llm.pq_dedup import near_duplicates
 
@@ -67,6 +70,12 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken(table(spark, sf_dir, "documents"))
 
 
+def op8_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from inkloom.llm.surrogates import anonymise
+
+    return anonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
