@@ -65,7 +65,8 @@ def templates(shapes: DataFrame, *, max_depth: int = 8, fan_out: int = 12, rare_
     sums, joined back. Segments past ``max_depth`` are one wildcard ``**``.
     """
     at = shapes.withColumn("template", F.array().cast("array<string>"))
-    for d in range(max_depth):
+    deepest = shapes.agg(F.coalesce(F.max(F.size("segs")), F.lit(0))).first()[0]
+    for d in range(min(max_depth, deepest)):
         seg = F.get("segs", F.lit(d))
         at = at.withColumn("seg", seg)
         child = at.where("seg is not null").groupBy("host", "template", "seg").agg(F.sum("n").alias("n_child"))
@@ -80,7 +81,7 @@ def templates(shapes: DataFrame, *, max_depth: int = 8, fan_out: int = 12, rare_
             .withColumn("template", F.when(F.col("seg").isNull(), F.col("template")).otherwise(F.concat("template", F.array(F.when(F.col("named"), F.col("seg")).otherwise(F.lit("*"))))))
             .drop("seg", "named")
         )
-        if d % 4 == 3:
+        if d % 2:
             at = settle(at, "templates")
     deep = F.size("segs") > max_depth
     return at.withColumn("template", F.when(deep, F.concat("template", F.array(F.lit("**")))).otherwise(F.col("template")))
