@@ -140,19 +140,19 @@ def _map(docs: DataFrame, keep: list[str], text_col: str, path: str, schema: str
     return x.mapInArrow(run, full)
 
 
-def encode(docs: DataFrame, path: str, *, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``keep`` columns (all but the text) plus ``ids`` and ``n_tokens``.
+def encode(docs: DataFrame, path: str, *, text_col: str = "text", keep: list[str] | None = None, check: bool = False) -> DataFrame:
+    """``keep`` columns (all but the text) plus ``ids`` and ``n_tokens``; with ``check``, the SHA-256 of the decoded text too.
 
     Null and empty texts have no ids; very long texts are encoded whole;
     repeated rows stay. Kept columns named ids or n_tokens are replaced.
     """
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in (text_col, "ids", "n_tokens")]
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in (text_col, "ids", "n_tokens", "decoded_sha256")]
 
     def row(bpe: ByteBPE, text: str | None):
         ids = bpe.encode(text)
-        return ids, len(ids)
+        return (ids, len(ids), hashlib.sha256(bpe.decode(ids).encode()).hexdigest()) if check else (ids, len(ids))
 
-    return _map(docs, keep, text_col, path, "ids array<int>, n_tokens long", row)
+    return _map(docs, keep, text_col, path, "ids array<int>, n_tokens long" + ", decoded_sha256 string" * check, row)
 
 
 def decode(tokens: DataFrame, path: str, *, ids_col: str = "ids", keep: list[str] | None = None) -> DataFrame:

@@ -26,6 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 PASSAGE = 64
 BUCKETS = 256
@@ -236,7 +237,7 @@ def score(docs: DataFrame, model: Model, *, text_col: str = "text", score_col: s
             s = held.value.scores(batch.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s.astype(np.float64))], names=[*own, score_col])
 
-    schema = x.schema.add(score_col, "double")
+    schema = StructType([*x.schema.fields, StructField(score_col, DoubleType())])
     return x.mapInArrow(run, schema)
 
 
