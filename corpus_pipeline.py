@@ -1,17 +1,65 @@
-"""Five stages from raw documents to token ids, each one operator of inkloom.llm."""
+"""Five stages from raw documents to token ids, each one operator of inkloom.llm.
+
+Each stage takes (spark, docs, sf_dir) and works on every row that its
+predecessor kept; all but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from inkloom.llm import bpe, jaccard_join, mil_quality, mixing, surrogates
+from inkloom.llm.common import settle, table
+
+PII_KEY = "surrogate key of the contract query"  # production passes a secret
+ORACLE_SQL = None  # learned weights and keyed draws: the stages are tested against brute force
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects (score below 0.3) go."""
+    model = mil_quality.train(docs, table(spark, sf_dir, "labels"))
+    return mil_quality.score(docs, model, score_col="_score").where("_score >= 0.3").drop("_score")
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents, the one that names it (the smallest doc_id) stays."""
+    groups = jaccard_join.similar(docs.select("doc_id", "text"))
+    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
+    kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "text"])  # repeated rows; partitioned by doc_id already
+
 
-STAGES: list = []
-ORACLE_SQL = None
+def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data get surrogates; n_chars follows the text."""
+    new = surrogates.anonymise(docs, PII_KEY, count_col="_entities")
+    return new.withColumn("n_chars", F.when(F.col("_entities") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)).drop("_entities")
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for every time that the mix takes a document."""
+    return mixing.mix(docs)
+
+
+def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, lang, source, n_tokens, ids and the SHA-256 of the text that they decode to."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return bpe.encode(docs, path, keep=["doc_id", "lang", "source"], check=True)
+
+
+STAGES = [
+    ("quality", keep_quality),
+    ("near_copies", drop_near_copies),
+    ("personal_data", replace_personal_data),
+    ("mix", mix_sources),
+    ("tokens", tokenise),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to documents; each result is written and read again."""
-    from inkloom.llm.common import settle, table
-
     docs = table(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
