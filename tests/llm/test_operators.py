@@ -1,0 +1,358 @@
+import gzip
+import hashlib
+import json
+import random
+import sys
+import zlib
+from pathlib import Path
+
+sys.path.insert(0, str(Path(__file__).parent))
+
+import brute  # noqa: E402
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from inkloom.llm import bpe, common, hash_search, jaccard_join, mil_quality, mixing, pq_dedup, suffix_dedup, surrogates, url_templates, warc
+
+DOC = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def docs(spark, *texts, ids=None):
+    ids = range(len(texts)) if ids is None else ids
+    return spark.createDataFrame([(i, t, "en", f"s{n % 3}", len(t or "")) for n, (i, t) in enumerate(zip(ids, texts))], DOC)
+
+
+def prose(rng, n):
+    return " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8))) for _ in range(n))
+
+
+def rows(df, *cols):
+    return sorted(tuple(r) for r in df.select(*cols).collect())
+
+
+# 1: embedding near-dedup
+
+
+def vectors(seed, n, d=16):
+    rng = np.random.default_rng(seed)
+    base = rng.normal(size=(n // 5, d))
+    out = [(i, (base[i % len(base)] + rng.normal(size=d) * 0.12).tolist(), i % 2) for i in range(n)]
+    return out
+
+
+def test_near_vectors(spark):
+    data = vectors(1, 200) + [(200, None, 1), (201, [0.0] * 16, 1), (202, [float("nan")] * 16, 1), (203, [None] + [1.0] * 15, 1), (204, [1.0] * 16, None), (205, [1.0] * 16, None), (206, [1.0, 2.0], 1), (207, [2.0, 4.0], 1)]
+    data += [(208 + i, data[0][1], 0) for i in range(30)]  # copies
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>, label int").withColumn("id", F.lit("clash")).withColumn("x", F.lit(1))
+    want = brute.near_vectors(data)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in pq_dedup.near_duplicates(df, block_rows=32, lists=8).collect()}
+    assert got == want and sum(n for n, _ in want.values()) > 500
+    assert pq_dedup.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_components(spark):
+    rng = random.Random(3)
+    edges = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(180)] + [(i, i + 1) for i in range(400, 460)] + [(500, i) for i in range(501, 560)]
+    got = dict(rows(common.components(spark.createDataFrame(edges + [(None, 3)], "a long, b long")), "node", "component"))
+    want = brute.components(600, edges)
+    assert got == {n: want[n] for e in edges for n in e if e[0] != e[1]}
+
+
+# 2: quality classifier
+
+
+def test_quality(spark, sf):
+    d, labels = common.table(spark, sf.replace("0.001", "0.01"), "documents"), common.table(spark, sf.replace("0.001", "0.01"), "labels")
+    got = mil_quality.judged(d, labels).join(labels, "doc_id").toPandas()
+    held = got[got.held_out]
+    assert list(got.held_out) == [zlib.crc32(str(i).encode()) % 5 == 0 for i in got.doc_id]
+    assert ((held.predicted == held.quality).mean()) >= 0.95
+    assert (got.predicted == (got.score >= 0.3)).all() and got.score.between(0, 1).all()
+
+
+def test_quality_edges(spark):
+    d = docs(spark, None, "", "word " * 30_000, "a", "a")
+    labels = spark.createDataFrame([(3, 1), (None, 0), (2, None), (1, 0), (1, 1)], "doc_id long, quality int")
+    got = mil_quality.judged(d.withColumn("score", F.lit("x")), labels)
+    assert got.count() == 5 and got.where("score is null").count() == 0
+    assert mil_quality.judged(d.limit(0), labels.limit(0)).count() == 0
+    model = mil_quality.fit([], np.zeros(0))
+    assert len(set(np.round(model.scores([None, ""]), 12))) == 1
+
+
+def test_attention_weighs_passages():
+    good, bad = " ".join(["word and more text."] * 40), " ".join(["$$$ %%% !!!"] * 40)
+    texts = [good] * 40 + [good + " " + bad] * 40
+    y = np.array([1] * 40 + [0] * 40, np.float32)
+    model = mil_quality.fit([mil_quality.encode(t) for t in texts], y, rounds=60)
+    s = model.scores(texts)
+    assert ((s >= 0.5) == (y == 1)).all()
+
+
+# 3: nearest neighbours
+
+
+def test_search(spark):
+    data = [(i, v) for i, v, _ in vectors(2, 400)] + [(400, None), (420, [0.0] * 16), (440, [float("inf")] * 16)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    want = brute.nearest(data)
+    got = {}
+    for r in hash_search.nearest(df, block_rows=100, query_rows=8, shortlist=64).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert got.keys() == want.keys() and all(len(v) == 20 for v in got.values())
+    assert np.mean([len(set(got[q]) & set(want[q])) / 20 for q in want]) >= 0.9
+    exact = hash_search.nearest(df, shortlist=10_000).orderBy("query_id", "rank").collect()
+    assert [r.vec_id for r in exact] == [x for q in sorted(want) for x in want[q]]
+    assert hash_search.nearest(df.limit(0)).count() == 0
+
+
+def test_every_code_in_the_radius_is_found():
+    rng = np.random.default_rng(5)
+    code = rng.integers(0, 256, (500, 16), np.uint8)
+    code[:40] = code[0] ^ (1 << rng.integers(0, 8, (40, 16))).astype(np.uint8) * (rng.random((40, 16)) < 0.4).astype(np.uint8)
+    index = hash_search.Index(code)
+    apart = np.unpackbits(code ^ code[0], axis=1).sum(1)
+    for k in (1, 10, 60, 500):
+        found = index.within(code[0], k)
+        radius = np.sort(apart)[k - 1]
+        assert set(found) == set(np.flatnonzero(apart <= radius))
+
+
+# 4: substring dedup
+
+
+@pytest.mark.parametrize("keep", ["none", "first"])
+@pytest.mark.parametrize("hot", [64, 2])
+def test_substrings(spark, keep, hot):
+    rng = random.Random(7)
+    shared = [prose(rng, 60) for _ in range(4)]
+    texts = [None, "", "short"] + [prose(rng, rng.randint(5, 120)) + " " + " ".join(rng.sample(shared, rng.randint(0, 3))) + " " + prose(rng, 20) for _ in range(40)]
+    texts += [texts[10]] * 3 + ["ab" * 400, "é" * 300, "x" * 5000]
+    df = docs(spark, *texts).withColumn("sigs", F.lit(1)).withColumn("k1", F.lit(2))
+    got = suffix_dedup.dedup(df, keep=keep, hot_texts=hot)
+    assert rows(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute.substrings(list(enumerate(texts)), keep=keep)
+    assert suffix_dedup.dedup(df.limit(0)).count() == 0
+
+
+def test_longest_previous_factors():
+    rng = random.Random(1)
+    data = np.frombuffer("".join(rng.choice("ab") for _ in range(400)).encode() + b"abab" * 30 + b"\0" * 40, np.uint8)
+    at = np.arange(len(data) - 39)
+    order, lcp = suffix_dedup.suffix_order(data, at, 40)
+    raw = data.tobytes()
+    assert [raw[i : i + 40] for i in order] == sorted(raw[i : i + 40] for i in at)
+    lpf = np.zeros(len(at), int)
+    lpf[order] = suffix_dedup.previous_factors(order, lcp, 12)
+
+    def common_prefix(i, j):
+        n = 0
+        while n < 40 and raw[i + n] == raw[j + n]:
+            n += 1
+        return n
+
+    for i in range(0, len(at), 7):
+        want = max((common_prefix(i, j) for j in range(i)), default=0)
+        assert (lpf[i] == want) if want >= 12 else (lpf[i] < 12)
+
+
+# 5: n-gram Jaccard join
+
+
+def test_near_texts(spark):
+    rng = random.Random(11)
+    texts = [None, "", " \t\n", "one two", "ONE two", "one", "one two three four five", "İstanbul a b c d e"]
+    for _ in range(12):
+        base = prose(rng, rng.randint(8, 90)).split()
+        for _ in range(rng.randint(1, 8)):
+            w = list(base)
+            for _ in range(rng.randint(0, 4)):
+                w[rng.randrange(len(w))] = prose(rng, 1)
+            texts.append(" ".join(w))
+    texts += [texts[-1]] * 40 + [prose(rng, 20_000)]
+    df = docs(spark, *texts).withColumn("key", F.lit(1)).withColumn("n", F.lit("clash"))
+    want = brute.near_texts(list(enumerate(texts)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.similar(df, block_rows=8).collect()}
+    assert got == want
+    assert jaccard_join.similar(df.limit(0)).count() == 0
+
+
+# 6: WARC
+
+
+def pages(spark):
+    big = "<html>" + "é" * 200
+    data = [(3, "http://a/ b", big), (1, None, big), (2, "u", "small"), (4, "u", None), (5, "u", ""), (6, "u", "WARC/1.1\r\n\x1f\x8b\x08 " * 9), (7, "u", "small"), (None, "u", big)]
+    return spark.createDataFrame(data, "page_id long, url string, html string")
+
+
+def written(spark, tmp_path, n=1):
+    folder = f"file://{tmp_path}/warc"
+    return common.settle(warc.write_archives(warc.plan_records(pages(spark)).coalesce(n), folder), "m")
+
+
+def test_warc_round_trip(spark, tmp_path):
+    got = {r.record_id: r for r in warc.read_archives(written(spark, tmp_path)).collect()}
+    assert len(got) == 8 and all(r.gap is None for r in got.values())
+    assert got["urn:page:1"].record_type == "response" and got["urn:page:3"].refers_to == "urn:page:1" == got["urn:page:null"].refers_to
+    assert got["urn:page:6"].payload == ("WARC/1.1\r\n\x1f\x8b\x08 " * 9).encode() and got["urn:page:4"].payload_bytes == 0
+    assert got["urn:page:3"].payload_digest == hashlib.sha256(("<html>" + "é" * 200).encode()).hexdigest()
+
+
+def test_warc_salvage(spark, tmp_path):
+    name = written(spark, tmp_path).collect()[0].file.removeprefix("file://")
+    data = open(name, "rb").read()
+    first = gzip.decompress(data[: warc.Salvager(__import__("pyarrow").BufferReader(data), len(data)).record(0)[1]])
+    damaged = data[:40] + b"\xff\xff\xff" + data[43:]
+    plain = first + b"garbage\r\n" + first.replace(b"WARC/1.1", b"WARC/9.9", 1) + first
+    for i, raw in enumerate((damaged, data[:-20], plain, b"nothing here", b"", first[: len(first) // 2])):
+        (tmp_path / f"x{i}.warc").write_bytes(raw)
+    manifest = spark.createDataFrame([(f"file://{tmp_path}/x{i}.warc",) for i in range(6)] + [(None,)], "file string")
+    got = warc.read_archives(manifest).collect()
+    by = lambda i: [r for r in got if r.file.endswith(f"x{i}.warc")]
+    assert len([r for r in by(0) if r.gap is None]) == 7 and len([r for r in by(0) if r.gap]) == 1
+    assert len([r for r in by(1) if r.gap is None]) == 7 and sum(r.length for r in by(1)) == len(data) - 20
+    assert len([r for r in by(2) if r.gap is None]) == 2 and len([r for r in by(2) if r.gap]) == 1
+    assert [r.length for r in by(3)] == [12] and by(4) == [] and len(by(5)) == 1 and by(5)[0].gap
+
+
+# 7: mixing
+
+
+def test_mix(spark):
+    rng = random.Random(2)
+    data = [(i, prose(rng, rng.randint(1, 30)), rng.choice(["a", "b", "b", "b", "c", None])) for i in range(3000)] + [(9000, None, "a"), (9001, "", "z"), (None, "x y", "b"), (5, "p q r", "b")]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string").withColumn("size", F.lit("clash")).withColumn("h", F.lit(0))
+    got = mixing.taken(df).toPandas()
+    assert len(got) == len(data) and (got.taken <= 3 * got["size"]).all()
+    key = got.merge(df.select("doc_id", "source").toPandas().drop_duplicates("doc_id"), on="doc_id")
+    by = key.assign(source=key.source.fillna("~")).groupby("source").agg(target=("target", "first"), taken=("taken", "sum"))
+    assert abs(by.target.sum() - got["size"].sum()) < 1e-6
+    assert ((by.taken - by.target).abs() <= 40).all()
+    again = mixing.taken(df.orderBy(F.rand(1))).toPandas()
+    k = lambda d: sorted(map(tuple, d[["doc_id", "size", "taken"]].fillna(-1).to_numpy().tolist()))
+    assert k(got) == k(again)
+    mixed = mixing.mix(df, n_shards=5)
+    assert mixed.columns == df.columns and mixed.select(F.sum(mixing.words(F.col("text")))).first()[0] == got.taken.sum()
+    assert mixing.taken(df.limit(0)).count() == 0 and mixing.mix(df.limit(0)).count() == 0
+
+
+def test_targets_fill_up(spark):
+    sizes = spark.createDataFrame([("a", 10), ("b", 1000), ("c", 1000)], "source string, source_size long")
+    got = {r.source: r.target for r in mixing.targets(sizes, (1, 2, 3), 3.0).collect()}
+    assert got == {"a": 30.0, "b": pytest.approx(792.0), "c": pytest.approx(1188.0)}
+
+
+def test_split_is_exact(spark):
+    q = spark.createDataFrame([(0, 17), (1, 5), (2, 40)], "sid int, k long")
+    got = mixing.split_quotas(q, 7, 1)
+    assert rows(got.groupBy("sid").agg(F.sum("k").alias("k")), "sid", "k") == [(0, 17), (1, 5), (2, 40)]
+    assert {r.n for r in got.groupBy("shard").agg(F.sum("k").alias("n")).collect()} <= {8, 9}
+
+
+# 8: surrogates
+
+
+def anonymised(spark, *texts):
+    got = surrogates.anonymise(docs(spark, *texts).withColumn("parts", F.lit(1)), "key")
+    return {r.doc_id: r for r in got.collect()}
+
+
+def test_surrogates(spark):
+    import re
+
+    texts = [None, "", "Clean text, Version 2.0. CC BY-NC 4.0 in 1999-2001, pages 100-200; the key is: hidden.", "mail Bob.X7@Mail.org, BOB.X7@MAIL.ORG", "bob.x7@mail.org and eve@mail.org", "+1 (743) 555-3824", "call 743-555-3824 or +1 743 555 3824", "4785380592391139 4532015112830366 4532-0151-1283-0366",
+             "Mrs. Jane Doe met Mr. Doe and Mary Doe", "10.1.2.3 8.8.8.8", 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"', "TOKEN = 04DBEBAB91AB85687D33EEAAF9AC699E1188F962", "Ольга Иванова и Господин Иванова", "x" * 300_000 + " eve@mail.org"]
+    got = anonymised(spark, *texts, texts[4])
+    for i in (0, 1, 2):
+        assert got[i].text == texts[i] and got[i].n_entities == 0
+    emails = re.findall(r"\S+@\S+\w", got[3].text)
+    assert emails[1] == emails[0].upper() and emails[0] in got[4].text and "bob" not in got[3].text.lower() and got[4].text == got[14].text
+    phone = got[5].text
+    assert re.fullmatch(r"\+1 \([2-9]\d\d\) \d{3}-\d{4}", phone) and re.sub(r"\D", "", phone)[1:] == re.sub(r"\D", "", got[6].text.split("or")[1])[1:] and phone != texts[5]
+    cards = got[7].text.split()
+    luhn = lambda s: sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(re.sub(r"\D", "", s)))) % 10 == 0
+    assert luhn(cards[1]) and cards[2].replace("-", "") == cards[1] and [c[0] for c in cards] == ["4"] * 3
+    names = re.match(r"Mrs\. (\w+a) (\w+) met Mr\. (\w+) and (\w+a) (\w+)$", got[8].text)
+    assert names and names[2] == names[3] == names[5] != "Doe" and names[1] != names[4]
+    ips = got[9].text.split()
+    assert ips[0].startswith("10.") and not ips[1].startswith("10.") and all(0 <= int(o) < 256 for ip in ips for o in ip.split("."))
+    a, b = re.findall("[0-9a-fA-F]{40}", got[10].text + got[11].text)
+    assert b == a.upper() and a not in texts[10]
+    assert re.fullmatch(r"[А-Я][а-я]+а ([А-Я][а-я]+) и Господин \1", got[12].text)
+    assert len(got[13].text) > 300_000 and "eve@mail.org" not in got[13].text
+    assert got == anonymised(spark, *texts, texts[4])
+    assert surrogates.anonymise(docs(spark, "a").limit(0), "key").count() == 0
+
+
+def test_surrogates_are_distinct(spark):
+    n = 3000
+    parts = spark.range(n).selectExpr("'ssn' as kind", "'' as cls", "lpad(cast(id as string), 4, '0') as canon")
+    got = surrogates.surrogates(parts, "key").toPandas()
+    assert got["sur"].nunique() == n and not set(got["sur"]) & set(got["canon"])
+
+
+# 9: BPE
+
+
+def test_bpe_matches_the_library(spark, sf):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t = Tokenizer.from_file(path)
+    t.no_truncation()
+    t.no_padding()
+    texts = [r.text for r in common.table(spark, sf, "documents").select("text").collect()]
+    texts += [None, "", " ", "\n\n  \t x", "I'll we've'S", "naïve 日本語 　 ١٢٣ ²", "a" * 5000, "<|endoftext|>a<|endoftext|>", "🙂👩‍👩‍👧​", "x\u0000y\u0085z "]
+    df = docs(spark, *texts).withColumn("ids", F.lit("clash"))
+    for r in bpe.round_trip(df, path).collect():
+        ids = t.encode(texts[r.doc_id] or "", add_special_tokens=False).ids
+        assert r.n_tokens == len(ids)
+        assert r.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256(t.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+    back = bpe.decode(bpe.encode(df, path, keep=["doc_id"]), path)
+    assert {r.doc_id: r.text for r in back.collect()} == {i: x or "" for i, x in enumerate(texts)}
+    assert bpe.round_trip(df.limit(0), path).count() == 0
+
+
+def test_merge_order():
+    spec = json.dumps({"model": {"vocab": {c: i for i, c in enumerate(bpe.byte_alphabet())} | {"ab": 256, "bc": 257, "abc": 258, "aa": 259}, "merges": ["b c", "a b", "a bc", "a a"]}})
+    b = bpe.ByteBPE(spec)
+    at = {c: i for i, c in enumerate(bpe.byte_alphabet())}
+    assert b.merge(b"abc") == [258] and b.merge(b"abab") == [256, 256] and b.merge(b"aaa") == [259, at["a"]]
+
+
+# 10: URL filter
+
+
+def test_urls(spark):
+    rules = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "org", "/es/"))
+    urls = [None, "", "no scheme", "http://A.Example.COM/en/7?x#y", "https://b.example.com/en/8", "http://x.com", "http://x.com?q", "http://x.org/es/1", "http://notcom/en/1", "http://x.fr/a/b#/en/", "http://h.org/es/5"]
+    urls += [f"http://m.org/{'es' if i % 2 else 'fr'}/{i}/page" for i in range(60)] + [f"http://k.com/{w}/x" for w in ("en", "de", "fr")] * 9
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("host", F.lit("clash")).withColumn("segs", F.lit(0))
+    got = {r.page_id: r for r in url_templates.judge_urls(df, rules).collect()}
+    assert len(got) == len(urls)
+    for i, u in enumerate(urls):
+        host, path = "", ""
+        if u and "://" in u:
+            import re
+
+            host, path = re.match(r"([^/?#]*)([^?#]*)", u.split("://", 1)[1]).groups()
+        host = host.lower()
+        fit = max(((len(h + p), h + p, v) for v, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)), default=None)
+        r = got[i]
+        assert (r.host, r.path, r.rule) == (host, path, fit and fit[1])
+        if fit:
+            assert r.verdict == fit[2]
+    assert got[0].verdict == "allow"
+    assert url_templates.judge_urls(df.limit(0), rules).count() == 0
+
+
+def test_templates_generalise_and_reject(spark):
+    rules = (("block", "bad", "/spam/1"),)
+    urls = [f"http://x.bad/spam/{n}" for n in list(range(10, 20)) + list(range(100, 120))] + [f"http://x.bad/news/{i}" for i in range(40)]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = url_templates.judge_urls(df, rules).collect()
+    assert {r.template for r in got} == {"/spam/<n>", "/news/<n>"}
+    assert all(r.verdict == ("block" if "/spam/" in r.url else "allow") for r in got)

@@ -1,0 +1,98 @@
+import sys
+from pathlib import Path
+
+import pytest
+
+sys.path[:0] = [str(Path(__file__).parent), str(Path(__file__).parent.parent)]
+
+import brute  # noqa: E402
+from oracle import same  # noqa: E402
+
+from inkloom.llm import common, queries  # noqa: E402
+
+SQL = queries.oracle_sql()
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
+def test_query_matches_sql(spark, sf, name):
+    same(spark, queries.queries()[name], SQL[name], sf)
+
+
+def ten(n):
+    return next(f for k, f in queries.queries().items() if k.startswith(f"op{n}_"))
+
+
+def test_all_ten_are_registered():
+    assert sorted(int(k[2:].split("_")[0]) for k in queries.queries()) == list(range(1, 11))
+
+
+def test_op1(spark, sf):
+    data = sorted(tuple(r) for r in common.table(spark, sf, "embeddings").select("vec_id", "embedding", "label").collect())
+    got = {r.vec_id: (r.n_links, r.component_id) for r in ten(1)(spark, sf).collect()}
+    assert got == brute.near_vectors(data)
+
+
+def test_op3(spark, sf):
+    data = [tuple(r) for r in common.table(spark, sf, "embeddings").select("vec_id", "embedding").collect()]
+    want, got = brute.nearest(data), {}
+    for r in ten(3)(spark, sf).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert sum(len(set(got[q]) & set(want[q])) for q in want) >= 0.9 * sum(map(len, want.values()))
+
+
+def texts(spark, sf):
+    return sorted(tuple(r) for r in common.table(spark, sf, "documents").select("doc_id", "text").collect())
+
+
+def test_op4(spark, sf):
+    got = sorted(tuple(r) for r in ten(4)(spark, sf).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect())
+    assert got == brute.substrings(texts(spark, sf))
+
+
+def test_op5(spark, sf):
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ten(5)(spark, sf).collect()}
+    assert got == brute.near_texts(texts(spark, sf))
+
+
+def test_op7(spark, sf):
+    got = ten(7)(spark, sf).toPandas()
+    assert (got.taken <= 3 * got["size"]).all() and abs(got.taken.sum() / got["size"].sum() - 1) < 0.15
+
+
+def test_op8(spark, sf):
+    got = {r.doc_id: r for r in ten(8)(spark, sf).collect()}
+    before = dict(texts(spark, sf))
+    assert got.keys() == before.keys() and all((got[i].text == t) == (got[i].n_entities == 0) for i, t in before.items())
+
+
+def test_op10(spark, sf):
+    got = ten(10)(spark, sf).toPandas()
+    assert set(got.verdict) <= {"allow", "block"} and (got.verdict[got.rule == "com/en/"] == "block").all() and (got.verdict[got.rule == "example.com/en/7"] == "allow").all()
+
+
+def test_pipeline(spark, sf):
+    """Every stage against what a plain version keeps of its own input."""
+    import corpus_pipeline as p
+
+    docs = common.table(spark, sf, "documents")
+    seen = {}
+    for name, stage in p.STAGES:
+        before, docs = docs, common.settle(stage(spark, docs, sf), name)
+        seen[name] = (before, docs)
+    for name in list(seen)[:-1]:
+        assert seen[name][1].columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    labels = {r.doc_id: r.quality for r in common.table(spark, sf, "labels").collect()}
+    kept = {r.doc_id for r in seen["quality"][1].collect()}
+    assert all(i in kept for i, q in labels.items() if q == 1 and i in dict(texts(spark, sf)))
+    rows = sorted((r.doc_id, r.text) for r in seen["near_copies"][0].collect())
+    assert {r.doc_id for r in seen["near_copies"][1].collect()} == {c for _, c in brute.near_texts(rows).values()}
+    a, b = ({r.doc_id: r for r in d.collect()} for d in seen["personal_data"])
+    assert a.keys() == b.keys() and all(b[i].n_chars == len(b[i].text) and (a[i].text == b[i].text or "@" in a[i].text or any(c.isdigit() for c in a[i].text)) for i in a)
+    mixed = seen["mix"][1]
+    assert {r.doc_id for r in mixed.collect()} <= set(b)
+    out = seen["tokens"][1]
+    assert out.count() == mixed.count()
+    import hashlib
+
+    want = {r.doc_id: hashlib.sha256(r.text.encode()).hexdigest() for r in mixed.collect()}
+    assert all(r.decoded_sha256 == want[r.doc_id] and r.n_tokens == len(r.ids) for r in out.collect())
