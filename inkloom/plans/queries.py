@@ -171,6 +171,30 @@ def page_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.with_reasons(sentence_blocks(spark, sf_dir)).groupBy("project_id", "page_index").agg(F.max("page_reason").alias("page_reason"), F.count_if(F.col("reason") != "").alias("n_reasons"))
 
 
+def qc_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Warnings of every turn, one row each, in order."""
+    from inkloom.functions.checks import apply_checks
+
+    x = apply_checks(turn_blocks(spark, sf_dir).withColumn("manual_status", F.lit("unchecked")).withColumn("source_lang", F.lit("en")))
+    return x.select("block_id", F.posexplode("quality_warnings").alias("pos", "warning"))
+
+
+def normalised_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from inkloom.operators.normalise import normalise
+
+    return normalise(sentence_blocks(spark, sf_dir), colloquial=True).select("block_id", "normalised")
+
+
+def improved_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences with marks put into them, and the clean sentence among the candidates."""
+    from inkloom.operators.normalise import improve
+
+    x = sentence_blocks(spark, sf_dir)
+    spoilt = x.withColumn("ocr_text", F.when(F.expr("seq % 3 = 0"), F.concat(F.lit("~;|"), "ocr_text")).otherwise(F.col("ocr_text")))
+    found = x.select("block_id", F.col("ocr_text").alias("text"), F.lit(0.9).alias("confidence"), F.lit(1).alias("ord"))
+    return improve(spoilt, found).select("block_id", "ocr_text", "improved", "manual_status")
+
+
 def zone_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = sentence_blocks(spark, sf_dir)
     return x.select(*KEY, F.array_join(detect.zone_categories(F.col("ocr_text")), ",").alias("categories"), detect.incomplete(F.col("ocr_text")).alias("incomplete"))

@@ -245,3 +245,31 @@ def test_streaming_resumes(spark, tmp_path):
     assert sorted(r.twice for r in spark.read.parquet(out).collect()) == [2, 4]
     resume.append_batches(spark, src, "project_id string, page_index int", lambda d: d.groupBy("project_id").count(), str(tmp_path / "o2"), str(tmp_path / "c2")).awaitTermination()
     assert [r["count"] for r in spark.read.parquet(str(tmp_path / "o2")).collect()] == [2]
+
+
+def test_checks(spark):
+    from inkloom.functions.checks import apply_checks, japanese_skip
+
+    b = blocks(
+        spark, {"ocr_text": "What are you doin", "translation_fr": "Que fais-tu"}, {"ocr_text": "", "confidence": 0.3}, {"ocr_text": "x", "manual_status": "validated", "quality_warnings": ["old"]},
+        {"ocr_text": "I know the tiger.", "translation_fr": "Je sais, le tiger."}, {"ocr_text": "Hello my friend.", "translation_fr": "Bonjour mon ami, je suis ici."}, {"ocr_text": "The book", "source_lang": "ja"},
+    )
+    got = [r[0] for r in apply_checks(b).orderBy("seq").select("quality_warnings").collect()]
+    assert "point d'interrogation probablement manquant: relire la ponctuation de la bulle" in got[0] and got[0][-1] == "anglais familier impliqué: doin"
+    assert got[1] == ["OCR confiance basse (0.30)", "OCR vide"] and got[2] == []
+    assert "mots anglais restants: tiger" in got[3] and "termes source recopiés dans la traduction: tiger" in got[3]
+    assert got[4] == [] and got[5] == ["fragment japonais non traduit: OCR trop court/faible", "traduction vide"]
+    df = spark.createDataFrame([("", 0.9), ("！？", 0.9), ("これは日本語です", 0.9), ("これは日本語です", 0.3), ("100円", 0.9)], "t string, c double")
+    assert [r[0] for r in df.select(japanese_skip(F.col("t"), F.col("c"))).collect()] == [True, True, False, True, False]
+
+
+def test_normalise(spark):
+    from inkloom.operators.normalise import improve, normalise
+
+    rows = blocks(spark, {"ocr_text": "Hello ,  world !"}, {"ocr_text": "CIRCUM- STANCES"}, {"ocr_text": "wHaT aRe you doing there BOOM!"}, {"ocr_text": "I am gonna rvn"}, {"ocr_text": "bad key"})
+    m = spark.createDataFrame([("bad key", "Good text")], "key string, value string")
+    got = [r[0] for r in normalise(rows, word_rules=[(r"\brvn\b", "run")], colloquial=True, memory=m).orderBy("seq").select("normalised").collect()]
+    assert got == ["Hello, world!", "CIRCUMSTANCES", "what are you doing there", "I am going to run", "Good text"]
+    c = spark.createDataFrame([("b0", "Hello, world!", 0.9, 1), ("b1", "Some other thing that is much longer than that", 0.9, 1)], "block_id string, text string, confidence double, ord int")
+    out = {r.block_id: r for r in improve(rows, c).collect()}
+    assert out["b0"].ocr_text == "Hello, world!" and out["b0"].manual_status == "edited" and not out["b1"].improved
