@@ -5,8 +5,8 @@ elsewhere (``keep="none"``), or starts earlier in the corpus (``keep="first"``:
 later copies go and the first stays). The steps:
 
 1. Each string of ``length`` bytes has a signature, the least hash of the
-   16-byte strings in it; equal strings have equal signatures, and neighbours
-   mostly share theirs (about one signature for 90 bytes). Signatures are
+   48-byte strings in it; equal strings have equal signatures, and neighbours
+   mostly share theirs (about one signature for 75 bytes). Signatures are
    counted over all distinct texts; a string whose signature occurs once has
    no copy, and texts without a repeated signature leave here.
 2. Runs of strings of one repeated signature travel as segments to the bucket
@@ -19,6 +19,7 @@ later copies go and the first stays). The steps:
    for each string of a batch, dealt by the hash; so no signature, passage or
    group of copies lands in one task.
 4. Marked strings return to their text, which loses the bytes they cover.
+   Texts travel compressed.
 
 Exact copies of a text are one row with a count throughout.
 """
@@ -26,6 +27,7 @@ Exact copies of a text are one row with a count throughout.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +38,7 @@ from pyspark.sql import functions as F
 
 from inkloom.llm.common import settle
 
-GRAM = 16
+GRAM = 48
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 NO_ID = -(1 << 63)
 SEGMENTS = "kind int, bucket int, sid long, k1 long, k2 long, v long, start int, data binary"
@@ -54,11 +56,15 @@ def words_at(data: np.ndarray, order: str = "<u8") -> np.ndarray:
 
 
 def signatures(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(signature of each string of ``length`` bytes, hash of each 16-byte string)."""
+    """(signature of each string of ``length`` bytes, hash of each of GRAM bytes)."""
     if len(data) < length:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     w = words_at(data)
-    h = mixed(w[:-8] * M1 + mixed(w[8:]))
+    n = len(data) - GRAM + 1
+    h = w[:n]
+    for o in range(8, GRAM, 8):
+        h = mixed(h * M1 + w[o : o + n])
+    h = mixed(h * M1)
     span, low, have = length - GRAM + 1, h, 1
     while have * 2 <= span:
         low = np.minimum(low[:-have], low[have:])
@@ -78,8 +84,8 @@ def _bytes(column: pa.Array) -> list[bytes]:
 
 
 def _light(docs: DataFrame, length: int) -> DataFrame:
-    """sid, key, n_bytes, sha of each row, and its signatures (twice where the text itself repeats one)."""
-    names = ["sid", "k1", "k2", "n_bytes", "sha", "sigs"]
+    """sid, key, n_bytes, sha of each row, its signatures, and those that the text itself repeats."""
+    names = ["sid", "k1", "k2", "n_bytes", "sha", "sigs", "again"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -87,24 +93,28 @@ def _light(docs: DataFrame, length: int) -> DataFrame:
             for sid, text in zip(batch.column(0).to_pylist(), _bytes(batch.column(1))):
                 sig, h = signatures(np.frombuffer(text, np.uint8), length)
                 found = np.unique(sig)
-                twice = h[np.isin(h, found)]
-                values, n = np.unique(twice, return_counts=True)
-                row = (sid, *key_of(text), len(text), hashlib.sha256(text).hexdigest(), np.concatenate([found, values[n > 1]]).view(np.int64))
+                values, n = np.unique(h[np.isin(h, found)], return_counts=True)
+                row = (sid, *key_of(text), len(text), hashlib.sha256(text).hexdigest(), found.view(np.int64), values[n > 1].view(np.int64))
                 for name, x in zip(names, row):
                     out[name].append(x)
-            types = [pa.int64()] * 4 + [pa.string(), pa.list_(pa.int64())]
+            types = [pa.int64()] * 4 + [pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([pa.array(out[n], t) for n, t in zip(names, types)], names=names)
 
-    return docs.mapInArrow(run, "sid long, k1 long, k2 long, n_bytes long, sha string, sigs array<long>")
+    return docs.mapInArrow(run, "sid long, k1 long, k2 long, n_bytes long, sha string, sigs array<long>, again array<long>")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
+    """sid, the text compressed, and its key."""
+    names = ["sid", "z", "k1", "k2"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = [key_of(t) for t in _bytes(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array([k[i] for k in keys], pa.int64()) for i in (0, 1))], names=["sid", "text", "k1", "k2"])
+            texts = _bytes(batch.column(1))
+            keys = [key_of(t) for t in texts]
+            z = pa.array([zlib.compress(t, 1) for t in texts], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), z, *(pa.array([k[i] for k in keys], pa.int64()) for i in (0, 1))], names=names)
 
-    return docs.mapInArrow(run, "sid long, text string, k1 long, k2 long")
+    return docs.mapInArrow(run, "sid long, z binary, k1 long, k2 long")
 
 
 def hashes(words: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -127,7 +137,8 @@ def _segments(cand: DataFrame, length: int, buckets: int) -> DataFrame:
             sids, k1s, k2s = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2))
             rows: list[tuple] = []
             hot_h1, hot_h2, hot_at, hot_text = [], [], [], []
-            for i, (text, sigs, hot) in enumerate(zip(_bytes(batch.column(3)), batch.column(4), batch.column(5))):
+            for i, (z, sigs, hot) in enumerate(zip(batch.column(3).to_pylist(), batch.column(4), batch.column(5))):
+                text = zlib.decompress(z)
                 data = np.frombuffer(text, np.uint8)
                 low, _ = signatures(data, length)
                 if not len(low):
@@ -152,7 +163,7 @@ def _segments(cand: DataFrame, length: int, buckets: int) -> DataFrame:
                 part = rows[a : a + 20_000]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part), schema)], schema=schema)
 
-    return cand.select("sid", "k1", "k2", "text", "sigs", "hot").mapInArrow(run, SEGMENTS)
+    return cand.select("sid", "k1", "k2", "z", "sigs", "hot").mapInArrow(run, SEGMENTS)
 
 
 def _hot_rows(h1, h2, at, text, sids, k1s, k2s, buckets: int) -> list[tuple]:
@@ -163,7 +174,7 @@ def _hot_rows(h1, h2, at, text, sids, k1s, k2s, buckets: int) -> list[tuple]:
     many = np.diff(np.r_[first, len(h1)])
     later = np.ones(len(h1), bool)
     later[first] = False
-    rows = [(1, 0, sids[i], k1s[i], k2s[i], 0, 0, at[later & (text == i)].astype(np.int32).tobytes()) for i in np.unique(text[later])]
+    rows = [(1, int(k1s[i]) % buckets, sids[i], k1s[i], k2s[i], 0, 0, at[later & (text == i)].astype(np.int32).tobytes()) for i in np.unique(text[later])]
     h1, h2, at, text, many = h1[first], h2[first], at[first], text[first], np.minimum(many, 2)
     bucket = h1 % np.uint64(buckets)
     for b in np.unique(bucket):
@@ -301,21 +312,21 @@ def dedup(
     by id (null first); rows that share the smallest id of a text all count as
     the first. Other columns aren't read; an empty table gives an empty result.
     """
-    if length < 32 or keep not in ("none", "first"):
-        raise ValueError("length must be 32 or more, keep 'none' or 'first'")
+    if length < GRAM + 16 or keep not in ("none", "first"):
+        raise ValueError("length must be 64 or more, keep 'none' or 'first'")
     x = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("sid"), F.col(text_col).alias("text"))
     light = settle(_light(x, length), "light")
-    texts = light.groupBy("k1", "k2").agg(F.count("*").alias("copies"), F.min("sid").alias("rep"), F.first("sigs").alias("sigs"))
+    texts = light.groupBy("k1", "k2").agg(F.count("*").alias("copies"), F.min("sid").alias("rep"), F.first("sigs").alias("sigs"), F.first("again").alias("again"))
     texts = settle(texts, "texts")
     many = max(1, texts.count())
     sig = texts.select("k1", "k2", F.explode("sigs").alias("v"))
-    counts = sig.groupBy("v").agg(F.count("*").alias("n")).where("n > 1")
+    counts = texts.select(F.explode(F.concat("sigs", "again")).alias("v")).groupBy("v").agg(F.count("*").alias("n")).where("n > 1")
     hot = F.col("n") >= max(hot_texts, many // 5000)  # so a bucket's signature has at most that many segments
-    found = sig.distinct().join(counts, "v").groupBy("k1", "k2").agg(F.collect_list("v").alias("sigs"), F.collect_list(F.when(hot, F.col("v"))).alias("hot"))
+    found = sig.join(counts, "v").groupBy("k1", "k2").agg(F.collect_list("v").alias("sigs"), F.collect_list(F.when(hot, F.col("v"))).alias("hot"))
     cand = texts.select("k1", "k2", F.col("rep").alias("sid")).join(found, ["k1", "k2"])
     cand = settle(_keyed(x.where(F.octet_length("text") >= length)).join(cand, ["sid", "k1", "k2"]), "candidates")
     runs = cand.agg(F.coalesce(F.sum(F.size("sigs")), F.lit(0))).first()[0]
-    segments = settle(_segments(cand, length, max(32, runs * (length + 100) // bucket_bytes)), "segments")
+    segments = _segments(cand, length, max(32, runs * (length + 100) // bucket_bytes))
 
     def cold(table: pa.Table) -> pa.Table:
         table = table.sort_by([("sid", "ascending"), ("k1", "ascending"), ("start", "ascending")])
@@ -335,18 +346,20 @@ def dedup(
         on = (total > 1)[np.cumsum(new) - 1] if keep == "none" else ~new
         return _marks(k1[on], k2[on], start[on])
 
-    marks = (
-        segments.where("kind = 0").groupBy("bucket").applyInArrow(cold, MARKS)
-        .unionByName(segments.where("kind = 2").groupBy("bucket").applyInArrow(hottest, MARKS))
-        .unionByName(segments.where("kind = 1").select("k1", "k2", "data"))
-    )
+    def bucket(table: pa.Table) -> pa.Table:
+        kind = table.column("kind").to_numpy()
+        parts = [table.filter(pa.array(kind == 1)).select(["k1", "k2", "data"])]
+        parts += [f(table.filter(pa.array(kind == k))) for k, f in ((0, cold), (2, hottest)) if (kind == k).any()]
+        return pa.concat_tables(p.cast(parts[0].schema) for p in parts)
+
+    marks = segments.groupBy("bucket").applyInArrow(bucket, MARKS)
     marks = marks.groupBy("k1", "k2").agg(F.collect_list("data").alias("marks"))
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for text, lists in zip(_bytes(batch.column(2)), batch.column(3).to_pylist()):
-                data = np.frombuffer(text, np.uint8)
+            for z, lists in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                data = np.frombuffer(zlib.decompress(z), np.uint8)
                 edge = np.zeros(len(data) + 1, np.int32)
                 start = np.frombuffer(b"".join(lists), np.int32)
                 np.add.at(edge, start, 1)
@@ -357,9 +370,9 @@ def dedup(
             types = (pa.int64(), pa.int64(), pa.string(), pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array(c, t) for c, t in zip(zip(*out), types))], names=["k1", "k2", "n_removed", "n_spans", "new_sha", "kept"])
 
-    cut = cand.select("k1", "k2", "text").join(marks, ["k1", "k2"]).mapInArrow(strip, "k1 long, k2 long, n_removed long, n_spans long, new_sha string, kept binary")
+    cut = cand.select("k1", "k2", "z").join(marks, ["k1", "k2"]).mapInArrow(strip, "k1 long, k2 long, n_removed long, n_spans long, new_sha string, kept binary")
     state = texts.select("k1", "k2", "copies", "rep").join(cut.dropDuplicates(["k1", "k2"]), ["k1", "k2"], "left")
-    y = light.drop("sigs").join(state, ["k1", "k2"])
+    y = light.drop("sigs", "again").join(state, ["k1", "k2"])
     again = (F.col("n_bytes") >= length) & ((F.col("copies") > 1) if keep == "none" else (F.col("sid") != F.col("rep")))
     value = lambda whole, part, own: F.when(again, whole).otherwise(F.coalesce(part, own))
     out = y.select(
