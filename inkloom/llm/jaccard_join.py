@@ -30,6 +30,7 @@ Steps and what bounds them:
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,12 +46,14 @@ from inkloom.llm.pq_dedup import local_components
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 WIDTH = 5  # bytes of a token in the runs
+NO_ID = -(1 << 63)
 _words: dict[bytes, int] = {}
 
 
-def word_list(text: str | None) -> list[bytes]:
+def word_list(text: str | bytes | None) -> list[bytes]:
     """A-Z lower-cased, split at ASCII white space (bytes.split takes just those six bytes)."""
-    return (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
+    data = text if isinstance(text, bytes) else (text or "").encode("utf-8", "surrogatepass")
+    return data.translate(LOWER).split()
 
 
 def mix(x: np.ndarray, m: np.uint64) -> np.ndarray:
@@ -276,7 +279,7 @@ def prefix(s: np.ndarray, percent: int, order: int) -> np.ndarray:
 
 def compare(a: pd.DataFrame, b: pd.DataFrame, k: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Linked pairs (row of a, row of b)."""
-    sa, sb = ([shingles(word_list(t), k) for t in x["text"]] for x in (a, b))
+    sa, sb = ([shingles(word_list(zlib.decompress(z)), k) for z in x["z"]] for x in (a, b))
     na, nb = np.array([len(s) for s in sa]), np.array([len(s) for s in sb])
     ok = shared([np.asarray(t, np.int64) for t in a["tokens"]], [np.asarray(t, np.int64) for t in b["tokens"]], False)
     ok &= (100 * na[:, None] >= percent * nb) & (100 * nb >= percent * na[:, None])
@@ -321,17 +324,19 @@ def similar(
     buckets = 1 << max(3, int(np.ceil(np.log2(max(1, total["words"] / bucket_tokens)))))
     kept = settle(_prefixes(_frequencies(_runs(x, words, buckets, hot), buckets), percent), "prefixes")
 
-    # texts of the documents that are left, one of each key
-    texts = _keyed(x).join(kept.select("key"), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
-    cand = texts.join(kept, "key")
+    # texts of the documents that are left, one of each key: that with the smallest id
+    first = rows.groupBy("key").agg(F.min(F.coalesce("id", F.lit(NO_ID))).alias("id"))
+    cand = _keyed(x).join(kept.join(first, "key"), ["id", "key"]).dropDuplicates(["key"]).drop("id")
 
     def with_hot(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
-            for i in np.flatnonzero(p["rest"].to_numpy() > 0):
-                mine = np.intersect1d(shingles(word_list(p["text"].iloc[i]), words), hot.value, assume_unique=True)
-                extra = mine[: p["rest"].iloc[i]].view(np.int64)  # hot tokens follow each other by hash
-                p["tokens"].iat[i] = np.concatenate([np.asarray(p["tokens"].iloc[i], np.int64), extra])
-            yield p
+            tokens = []
+            for z, own, rest in zip(p["z"], p["tokens"], p["rest"]):
+                if rest > 0:  # hot tokens follow each other by hash
+                    mine = np.intersect1d(shingles(word_list(zlib.decompress(z)), words), hot.value, assume_unique=True)
+                    own = np.concatenate([np.asarray(own, np.int64), mine[:rest].view(np.int64)])
+                tokens.append(list(own))
+            yield p.assign(tokens=pd.Series(tokens, index=p.index, dtype=object))
 
     cand = settle(cand.mapInPandas(with_hot, cand.schema), "candidates")
     token = cand.select("key", F.explode(F.array_distinct("tokens")).alias("token"))
@@ -344,7 +349,7 @@ def similar(
     size = size.withColumn("home", F.when(small, F.concat(F.lit("p"), F.pmod(F.xxhash64("component"), packs))).otherwise(F.col("component")))
     size = size.withColumn("cuts", F.when(small, 1).otherwise(F.ceil(F.col("docs") / block_rows)).cast("long"))
     placed = clusters.withColumnRenamed("node", "key").join(size, "component").select("key", "home", F.pmod(F.xxhash64("key"), "cuts").alias("block"))
-    placed = settle(placed.join(cand, "key").select("key", "home", "block", "text", "tokens"), "placed")
+    placed = settle(placed.join(cand, "key").select("key", "home", "block", "z", "tokens"), "placed")
     at = placed.select("home", "block", F.explode("tokens").alias("token")).distinct()
     other = at.select("home", "token", F.col("block").alias("other"))
     pairs = settle(at.join(other, ["home", "token"]).where("block <= other").select("home", "block", "other").distinct(), "pairs")
@@ -378,11 +383,13 @@ def _sum(df: DataFrame, col: str) -> int:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """text and its key, for every row."""
+    """id, key and the text compressed, for every row."""
+    names = ["id", "key", "z"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = [key_of(word_list(t.as_py())).hex() for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.string())], names=["text", "key"])
+            texts = [(t.as_py() or "").encode("utf-8", "surrogatepass") for t in batch.column(1)]
+            keys = [key_of(word_list(t)).hex() for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.string()), pa.array([zlib.compress(t, 1) for t in texts], pa.binary())], names=names)
 
-    return docs.select("text").mapInArrow(run, "text string, key string")
+    return docs.select(F.coalesce("id", F.lit(NO_ID)).alias("id"), "text").mapInArrow(run, "id long, key string, z binary")

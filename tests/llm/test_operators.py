@@ -177,6 +177,15 @@ def test_near_texts(spark):
     assert jaccard_join.similar(df.limit(0)).count() == 0
 
 
+def test_near_texts_with_a_hot_passage(spark):
+    rng = random.Random(13)
+    shared = prose(rng, 70)
+    texts = [" ".join((prose(rng, n), shared, prose(rng, m))) for n, m in [(rng.randint(0, 9), rng.randint(0, 9)) for _ in range(150)]] + [prose(rng, 40) for _ in range(50)]
+    df = docs(spark, *texts).coalesce(1)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.similar(df, block_rows=32).collect()}
+    assert got == brute.near_texts(list(enumerate(texts)))
+
+
 # 6: WARC
 
 
