@@ -26,8 +26,11 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from inkloom.llm.common import settle
+
 PASSAGE = 64
 BUCKETS = 256
 STYLE = 12
@@ -201,6 +204,10 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     # the smallest hashes of the known ids, so that only those texts are read into the sample
     pick = known.select("id", "y", F.xxhash64(F.lit(seed), "id").alias("h")).orderBy("h", "id").limit(fit_rows)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(pick), "id")
+    rows = settle(rows.dropDuplicates(["id"]), "fit")  # at most fit_rows rows, read from the corpus once
+    size = F.greatest(F.ceil(F.regexp_count("text", F.lit(r"\S+")) / PASSAGE), F.lit(1))
+    fits = F.sum(F.coalesce(size, F.lit(1))).over(W.orderBy("h", "id")) <= fit_passages
+    rows = rows.withColumn("fits", fits).where("fits")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
@@ -210,11 +217,8 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
                 yield pd.DataFrame({"id": [i], "y": [y], "h": [h], "n": [len(style)], "style": [style.tobytes()], "at": [at.astype(np.int32).tobytes()], "bag": [bag.ravel()[at].astype(np.float16).tobytes()]})
 
     got = rows.select("id", "y", "h", "text").mapInPandas(run, "id long, y int, h long, n int, style binary, at binary, bag binary")
-    bags, y, total = [], [], 0
+    bags, y = [], []
     for r in got.toPandas().sort_values(["h", "id"], kind="stable").itertuples():
-        if total + r.n > fit_passages:
-            break
-        total += r.n
         bag = np.zeros(r.n * BUCKETS, np.float32)
         bag[np.frombuffer(r.at, np.int32)] = np.frombuffer(r.bag, np.float16)
         bags.append((np.frombuffer(r.style, np.float32).reshape(-1, STYLE), bag.reshape(-1, BUCKETS)))
