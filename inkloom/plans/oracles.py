@@ -283,6 +283,9 @@ def oracle_sql() -> dict[str, str]:
         "glossary_union": """WITH w AS (SELECT lower(regexp_extract(text, '^[A-Za-z]+')) AS source, min(doc_id) AS pos FROM documents WHERE regexp_extract(text, '^[A-Za-z]+') <> '' GROUP BY 1)
             SELECT CASE WHEN pos % 3 = 0 THEN upper(source) ELSE source END AS source, CASE WHEN pos % 3 = 0 THEN 'x' ELSE source END AS target, 0 AS first_list, pos FROM w""",
         "iou_best_match": f"WITH {_iou()}",
+        "corpus_totals": f"WITH {BLOCKS}, p AS (SELECT project_id, page_index, count(*) AS n, count(*) FILTER (nw > 0) AS w, count(*) FILTER (translation = '' AND manual_status <> 'ignored') AS u FROM b GROUP BY ALL) SELECT count(*) AS pages, count(*) AS processed, 0 AS skipped, CAST(sum(n) AS BIGINT) AS blocks, CAST(sum(w) AS BIGINT) AS blocks_with_warnings, CAST(sum(u) AS BIGINT) AS untranslated FROM p",
+        "fragment_noise": rf"""WITH {SENTENCES}, f AS (SELECT page_index, CAST(split_part(block_id, '_', 3) AS INT) AS raw_order, v, 1.0 - (CAST(split_part(block_id, '_', 3) AS INT) % 100) / 100 AS conf, len(regexp_extract_all(v, '\p{{L}}')) AS letters FROM sv)
+            SELECT page_index, raw_order FROM f WHERE v = '' OR conf < 0.20 OR len(v) <= 1 OR letters = 0 OR (conf < 0.55 AND letters <= 2)""",
         "resumed_pages": f"WITH {BLOCKS} SELECT DISTINCT project_id, page_index FROM b WHERE page_index % 2 <> 0",
     }
 

@@ -405,6 +405,47 @@ def similarity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.similarity_scores(turn_blocks(spark, sf_dir))
 
 
+def _fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences as recognised fragments, in a column of lines on each page."""
+    x = sentence_blocks(spark, sf_dir)
+    y = F.col("reading_order") * 30.0
+    polygon = F.array(*(F.array(F.lit(a), y + b) for a, b in ((10.0, 0.0), (210.0, 0.0), (210.0, 24.0), (10.0, 24.0))))
+    return x.select("project_id", "page_index", F.col("reading_order").alias("raw_order"), polygon.alias("polygon"), F.col("ocr_text").alias("text"), (F.lit(1.0) - F.expr("seq % 100") / 100).alias("confidence"), F.lit("en").alias("source_lang"))
+
+
+def _stand_in(batches):
+    """A translator for tests: words in reverse order."""
+    for p in batches:
+        yield p.assign(translation=p["text"].map(lambda t: " ".join(reversed(t.split()))))
+
+
+def processed_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fragments to checked blocks with a stand-in translator."""
+    from inkloom.plans.pipeline import process
+
+    x = process(_fragments(spark, sf_dir), _stand_in)
+    return x.select(*KEY, "manual_status", F.length("translation_fr").alias("n_fr"), F.size("quality_warnings").alias("n_warnings"))
+
+
+def corpus_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from inkloom.plans.pipeline import corpus_totals as totals
+
+    return totals(doc_blocks(spark, sf_dir))
+
+
+def fragment_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fragments that are no text."""
+    x = _fragments(spark, sf_dir)
+    return x.where(geometry.noise(F.col("text"), F.col("confidence"))).select("page_index", "raw_order")
+
+
+def refreshed_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from inkloom.plans.pipeline import refresh
+
+    x = refresh(sentence_blocks(spark, sf_dir), "en", _stand_in, include_review=True)
+    return x.select(*KEY, "manual_status", F.length("translation_fr").alias("n_fr"))
+
+
 def resumed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages still to be processed after a first run that took the even ones."""
     from inkloom.streaming.resume import pending

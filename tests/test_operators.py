@@ -273,3 +273,22 @@ def test_normalise(spark):
     c = spark.createDataFrame([("b0", "Hello, world!", 0.9, 1), ("b1", "Some other thing that is much longer than that", 0.9, 1)], "block_id string, text string, confidence double, ord int")
     out = {r.block_id: r for r in improve(rows, c).collect()}
     assert out["b0"].ocr_text == "Hello, world!" and out["b0"].manual_status == "edited" and not out["b1"].improved
+
+
+def test_process_and_refresh(spark):
+    from inkloom.plans.pipeline import corpus_totals, process, refresh
+
+    def fake(batches):
+        for p in batches:
+            yield p.assign(translation="fr:" + p["text"])
+
+    box = lambda i: [[100.0, 100.0 + 32 * i], [250.0, 100.0 + 32 * i], [250.0, 127.0 + 32 * i], [100.0, 127.0 + 32 * i]]
+    lines = [("p", 3, i, box(i), t, c, "en") for i, (t, c) in enumerate([("WHY AM I", 0.9), ("IN SO MUCH", 0.9), ("TROUBLE?", 0.9), ("8", 0.9), ("<", 0.9), ("RUSTLE", 0.1)])]
+    raw = spark.createDataFrame(lines, "project_id string, page_index int, raw_order int, polygon array<array<double>>, text string, confidence double, source_lang string")
+    got = process(raw, fake).collect()
+    assert [(r.block_id, r.ocr_text, r.translation_fr, r.bbox) for r in got] == [("p0003_b0000", "WHY AM I IN SO MUCH TROUBLE?", "fr:WHY AM I IN SO MUCH TROUBLE?", [100, 100, 250, 191])]
+    b = blocks(spark, {"ocr_text": "Hello , you."}, {"ocr_text": "Kept.", "manual_status": "validated", "translation_fr": "Gardé."}, {"ocr_text": "Hello there.", "manual_status": "review"})
+    out = {r.block_id: r for r in refresh(b, "en", fake, include_review=True).collect()}
+    assert out["b0"].translation_fr == "fr:Hello, you." and out["b1"].translation_fr == "Gardé." and out["b2"].manual_status == "edited"
+    assert corpus_totals(b).first().asDict() == {"pages": 1, "processed": 1, "skipped": 0, "blocks": 3, "blocks_with_warnings": 0, "untranslated": 2}
+    assert process(raw.limit(0), fake).count() == 0
