@@ -7,8 +7,8 @@ blocks of stated size. A block indexes each 8-bit substring of its codes. By
 the pigeonhole principle every code within Hamming radius r of a query agrees
 with it, in at least one of m substrings, up to floor(r / m) flips; so probing
 the substrings' buckets within that many flips retrieves every such code. The
-radius grows, for each query and block, until it holds ``shortlist`` codes (or
-the block is exhausted), and all codes within it are ranked again by their
+radius grows, for each query and block, until it holds ``shortlist`` codes (once
+the buckets hold half of the block, its other codes are scanned too), and all codes within it are ranked again by their
 exact inner product in double precision. A block has a fixed size, so recall
 doesn't fall as the table grows.
 
@@ -66,30 +66,48 @@ def codes(x: np.ndarray, top: float, mean: np.ndarray, rotation: np.ndarray, que
 
 
 class Index:
-    """Substring tables over the codes of one block."""
+    """Substring tables over the codes of one block: for each substring, rows in order of its value."""
 
-    def __init__(self, code: np.ndarray):
+    def __init__(self, code: np.ndarray, bits: int | None = None):
         self.code = code
-        self.words = code.view(np.uint64)
-        self.order = [np.argsort(code[:, j], kind="stable").astype(np.int32) for j in range(code.shape[1])]
-        self.starts = [np.searchsorted(code[o, j], np.arange(257)) for j, o in enumerate(self.order)]
+        self.m = (bits or 8 * code.shape[1]) // 8  # whole substrings; what is left and the padding only count in distances
+        self.words = np.ascontiguousarray(code.view(np.uint64).T)
+        self.order = np.argsort(code.T[: self.m], axis=1, kind="stable").astype(np.int32)
+        counts = np.stack([np.bincount(column, minlength=256) for column in code.T[: self.m]])
+        self.starts = np.hstack([np.zeros((self.m, 1), np.int64), np.cumsum(counts, axis=1)])
+
+    def probe(self, q: np.ndarray, flips: int) -> np.ndarray:
+        """Rows that agree with ``q`` in a substring up to exactly ``flips`` flips (with repeats)."""
+        n, m = len(self.code), self.m
+        bucket = q[:m, None] ^ NEAR[COUNT[flips] : COUNT[flips + 1]]
+        at = np.arange(m)[:, None]
+        start = self.starts[at, bucket]
+        size = (self.starts[at, bucket.astype(np.int64) + 1] - start).ravel()
+        first = (start + at * n).ravel()
+        skip = np.cumsum(size) - size
+        return self.order.ravel()[np.repeat(first - skip, size) + np.arange(size.sum())]
+
+    def apart(self, q: np.ndarray, rows: np.ndarray | slice) -> np.ndarray:
+        """Hamming distances of rows to ``q``."""
+        return sum(np.bitwise_count(w[rows] ^ x).astype(np.uint16) for w, x in zip(self.words, q.view(np.uint64)))
 
     def within(self, q: np.ndarray, shortlist: int) -> np.ndarray:
         """Rows of every code within the smallest radius that holds ``shortlist`` codes."""
-        n, m = self.code.shape
+        n, m = len(self.code), self.m
         seen = np.zeros(n, bool)
-        qw = q.view(np.uint64)
         for flips in range(9):
-            for j in range(m):
-                buckets = q[j] ^ NEAR[COUNT[flips] : COUNT[flips + 1]]
-                order, starts = self.order[j], self.starts[j]
-                for b in buckets.tolist():
-                    seen[order[starts[b] : starts[b + 1]]] = True
+            seen[self.probe(q, flips)] = True
             rows = np.flatnonzero(seen)
-            apart = np.bitwise_count(self.words[rows] ^ qw).sum(1)
             sure = m * (flips + 1) - 1  # all codes within this radius are among the rows
+            if 2 * len(rows) > n or flips == 8:  # further buckets hold most rows again: the block's codes are scanned instead
+                rows, sure = np.arange(n), 8 * self.code.shape[1]
+                apart = self.apart(q, slice(None))
+            elif len(rows) < shortlist:
+                continue
+            else:
+                apart = self.apart(q, rows)
             near = apart <= sure
-            if near.sum() >= shortlist or flips == 8:
+            if near.sum() >= min(shortlist, n):
                 rows, apart = rows[near], apart[near]
                 if len(rows) > shortlist:
                     radius = np.partition(apart, shortlist - 1)[shortlist - 1]
@@ -145,16 +163,21 @@ def nearest(
         v = v.sort_values("id", kind="stable")  # so that a stable sort by score leaves ties to smaller ids
         qx, vx = np.vstack(q["x"].to_numpy()).astype(float), np.vstack(v["x"].to_numpy()).astype(float)
         qid, vid = q["id"].to_numpy(), v["id"].to_numpy()
-        index = Index(codes(vx, *model.value, query=False))
-        out = []
+        repeated = len(np.unique(vid)) < len(vid)
+        index = Index(codes(vx, *model.value, query=False), model.value[2].shape[1])
+        ids, scores, size = [np.zeros(0, np.int64)], [np.zeros(0)], []
         for i, code in enumerate(codes(qx, *model.value, query=True)):
             rows = np.sort(index.within(code, shortlist + 1))
             rows = rows[vid[rows] != qid[i]]
             score = vx[rows] @ qx[i]
             best = np.argsort(-score, kind="stable")
-            best = best[np.sort(np.unique(vid[rows[best]], return_index=True)[1])][:k]
-            out.append(pd.DataFrame({"query_id": qid[i], "vec_id": vid[rows[best]], "score": score[best]}))
-        return pd.concat([empty, *out]).astype({"query_id": "int64", "vec_id": "int64"})
+            if repeated:
+                best = best[np.sort(np.unique(vid[rows[best]], return_index=True)[1])]
+            best = best[:k]
+            ids.append(vid[rows[best]])
+            scores.append(score[best])
+            size.append(len(best))
+        return pd.DataFrame({"query_id": np.repeat(qid, size), "vec_id": np.concatenate(ids), "score": np.concatenate(scores)})
 
     found = left.groupBy("qb", "xb").cogroup(right.groupBy("qb", "xb")).applyInPandas(block, schema).dropDuplicates(["query_id", "vec_id"])
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
