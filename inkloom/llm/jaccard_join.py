@@ -36,6 +36,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -47,6 +48,8 @@ LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvw
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 WIDTH = 5  # bytes of a token in the runs
 NO_ID = -(1 << 63)
+WORDS = 1 << 17  # words whose hashes a worker keeps
+SLICE = 1 << 23  # bytes of text that a worker takes at once
 _words: dict[bytes, int] = {}
 
 
@@ -65,7 +68,7 @@ def shingles(words: list[bytes], k: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the k-word shingles; shorter texts are one shingle."""
     if not words:
         return np.zeros(0, np.uint64)
-    if len(_words) > 1 << 20:
+    if len(_words) > WORDS:
         _words.clear()
     h = np.fromiter((_words.get(w) or _words.setdefault(w, xxhash.xxh3_64_intdigest(w)) for w in words), np.uint64, len(words))
     k = min(k, len(h))
@@ -76,6 +79,15 @@ def shingles(words: list[bytes], k: int) -> np.ndarray:
     return np.unique(s)
 
 
+def slices(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.RecordBatch]:
+    """The batches, cut where their texts exceed SLICE bytes; a longer text is a slice of its own."""
+    for batch in batches:
+        size = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
+        cut = np.flatnonzero(np.diff(np.cumsum(size) // SLICE)) + 1
+        for a, b in zip([0, *cut], [*cut, batch.num_rows]):
+            yield batch.slice(a, b - a)
+
+
 def key_of(words: list[bytes]) -> bytes:
     return xxhash.xxh3_128_digest(b" ".join(words))
 
@@ -89,7 +101,7 @@ def _light(docs: DataFrame, k: int) -> DataFrame:
     """kind 0: doc_id, key, n, words for each row; kind 1: token, count of tokens common in a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1):
             ids, texts = batch.column(0), batch.column(1)
             keys, sizes, counts, sets = [], [], [], {}
             for t in texts:
@@ -139,7 +151,7 @@ def _runs(docs: DataFrame, k: int, buckets: int, hot) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hottest = np.sort(hot.value)
-        for batch in batches:
+        for batch in slices(batches, 0):
             seen, sets = set(), []
             for t in batch.column(0):
                 w = word_list(t.as_py())

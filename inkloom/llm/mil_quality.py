@@ -40,7 +40,7 @@ GROUP = 4096  # passages scored at once
 class Lexicon:
     """Measures of the words seen by this worker, at most ``MOST`` of them at once."""
 
-    MOST = 1 << 19
+    MOST = 1 << 17
 
     def __init__(self):
         self.at: dict[str, int] = {}
