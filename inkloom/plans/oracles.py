@@ -35,7 +35,7 @@ b0 AS (
     'pages/' || source || '/v' || (doc_id % 3) || '/p' || (doc_id // 10) || '.png' AS image_name,
     CAST(doc_id % 2 * 100 AS INT) AS x1, CAST(doc_id % 10 // 2 * 60 + doc_id // 10 % 3 * 5 AS INT) AS y1, coalesce(lang, 'en') AS source_lang, coalesce(text, '') AS ocr_text,
     CASE WHEN doc_id % 5 = 0 THEN coalesce(replace(text, 'the', 'The'), '') ELSE '' END AS ocr_corrected_text,
-    CASE doc_id % 4 WHEN 0 THEN coalesce(text, '') WHEN 1 THEN regexp_extract(coalesce(text, ''), '^[^.!?]*') WHEN 2 THEN upper(regexp_extract(coalesce(text, ''), '^[^ .]*')) ELSE '' END AS translation_fr,
+    CASE doc_id % 4 WHEN 0 THEN coalesce(text, '') WHEN 1 THEN regexp_extract(coalesce(text, ''), '^[^.!?]*') WHEN 2 THEN translate(regexp_extract(coalesce(text, ''), '^[^ .]*'), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') ELSE '' END AS translation_fr,
     CASE doc_id % 11 WHEN 0 THEN '[sfx] bruit' WHEN 1 THEN '[fusion] bulle' WHEN 2 THEN '[zone] coupé' ELSE '' END AS review_notes,
     CASE WHEN quality IS NOT NULL THEN doc_id % 101 / 100 END AS confidence, CAST(doc_id % 10 AS INT) AS reading_order,
     CASE WHEN toxic = 1 THEN 'ignored' WHEN quality = 1 THEN 'validated' WHEN quality = 0 THEN 'review' ELSE 'unchecked' END AS manual_status,
@@ -166,7 +166,7 @@ def replay_key(t: str) -> str:
 TURNS = """
 c AS (SELECT *, CASE WHEN lead(role) OVER (PARTITION BY conv_id ORDER BY turn) = 'assistant' THEN lead(text) OVER (PARTITION BY conv_id ORDER BY turn) END AS reply FROM conversations),
 tb AS (SELECT 'conversations' AS project_id, 'c' || (conv_id % 5) AS series_label, CAST(conv_id AS INT) AS page_index, conv_id * 1000 + turn AS seq, 't_' || conv_id || '_' || turn AS block_id, coalesce(text, '') AS ocr_text, coalesce(reply, '') AS translation_fr,
-  CASE conv_id % 5 WHEN 0 THEN replace(text, '.', '!') WHEN 1 THEN reverse(text) WHEN 2 THEN upper(text) ELSE '' END AS fixed FROM c WHERE role = 'user')"""
+  CASE conv_id % 5 WHEN 0 THEN replace(text, '.', '!') WHEN 1 THEN reverse(text) WHEN 2 THEN translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') ELSE '' END AS fixed FROM c WHERE role = 'user')"""
 
 REVIEW = r"""
 rv AS (SELECT page_index, CASE WHEN seq % 20 = 18 THEN 'x' || block_id ELSE block_id END AS block_id, ['ignore', 'sfx', 'fused', 'zone', 'ok', 'edit', '', 'maybe', 'a revoir', 'merge'][CAST(seq // 2 % 10 AS INT) + 1] AS d,

@@ -10,6 +10,8 @@ from pyspark.sql import Window as W
 
 from inkloom.schema import as_blocks
 
+SMALL, BIG = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"  # other letters keep their case, which engines fold differently
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -29,7 +31,7 @@ def doc_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     n, t = F.col("doc_id"), F.col("text")
     status = F.when(F.col("toxic") == 1, "ignored").when(F.col("quality") == 1, "validated").when(F.col("quality") == 0, "review").otherwise("unchecked")
     first = lambda stop: F.regexp_extract(t, f"^[^{stop}]*", 0)  # noqa: E731  the first sentence or word
-    fr = F.when(n % 4 == 0, t).when(n % 4 == 1, first(".!?")).when(n % 4 == 2, F.upper(first(" ."))).otherwise("")
+    fr = F.when(n % 4 == 0, t).when(n % 4 == 1, first(".!?")).when(n % 4 == 2, F.translate(first(" ."), SMALL, BIG)).otherwise("")
     notes = F.when(n % 11 == 0, "[sfx] bruit").when(n % 11 == 1, "[fusion] bulle").when(n % 11 == 2, "[zone] coupé").otherwise("")
     x1, y1 = ((n % 2) * 100).cast("int"), (F.floor((n % 10) / 2) * 60 + F.floor(n / 10) % 3 * 5).cast("int")
     return as_blocks(
@@ -63,7 +65,7 @@ def turn_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = W.partitionBy("conv_id").orderBy("turn")
     c = table(spark, sf_dir, "conversations").withColumn("reply", F.when(F.lead("role").over(w) == "assistant", F.lead("text").over(w)))
     n, k, t = F.col("conv_id").cast("long"), F.col("turn").cast("int"), F.col("text")
-    fixed = F.when(n % 5 == 0, F.replace(t, F.lit("."), F.lit("!"))).when(n % 5 == 1, F.reverse(t)).when(n % 5 == 2, F.upper(t)).otherwise("")
+    fixed = F.when(n % 5 == 0, F.replace(t, F.lit("."), F.lit("!"))).when(n % 5 == 1, F.reverse(t)).when(n % 5 == 2, F.translate(t, SMALL, BIG)).otherwise("")
     return as_blocks(
         c.where("role = 'user'").select(
             F.lit("conversations").alias("project_id"), F.concat(F.lit("c"), (n % 5).cast("string")).alias("series_label"), n.cast("int").alias("page_index"), (n * 1000 + F.col("turn")).alias("seq"),
