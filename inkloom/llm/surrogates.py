@@ -59,8 +59,9 @@ SSN = r"(?=[0-9])(?<!\-)[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])"
 PHONE = r"(?=[0-9+(])(?<!\+)(?:\+[0-9]{1,3}(?:[ .\-]?\(?[0-9]{1,4}\)?){2,7}|(?:\([0-9]{2,4}\)[ .\-]?|[0-9]{3}[ .\-])[0-9]{3,4}[ .\-][0-9]{4})(?![0-9])"
 NAME = rf"(?=\p{{Lu}})(?:(?:{_any(TITLES)})\.?[ \t]{CAPITAL}(?:[ \t]{CAPITAL}){{0,2}}|(?:{_any(GIVEN)})[ \t]{CAPITAL})"
 ANY = rf"(?<![{L}\p{{N}}])(?:" + "|".join((EMAIL, SECRET, HEX, IP6, IP4, CARD, SSN, PHONE, NAME)) + ")"
-#: What a text with any mention shows, in tests that cost little on text without one.
-SIGNS = (r"[0-9](?:[ .()\-]{0,2}[0-9]){6}", r"[0-9A-Fa-f]{32}", r"(?:[0-9A-Fa-f]{1,4}:){7}", NAME)
+#: What a text with any mention shows, in tests that cost little on text without one. Each kind has its sign: seven digits close together (cards,
+#: social security numbers, phones without a plus) or four short groups with dots (IPv4), a plus before a digit, a hexadecimal run, IPv6 groups, a name.
+SIGNS = (r"[0-9](?:(?:[ .()\-]{0,2}[0-9]){6}|\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9])", r"\+[0-9]", r"[0-9A-Fa-f]{32}", r"(?:[0-9A-Fa-f]{1,4}:){7}", NAME)
 
 
 def may_mention(text: Column) -> Column:
