@@ -13,6 +13,8 @@ Native: only DataFrame functions. The steps:
    kind, canonical form and attempt. Candidates that another part holds, or
    that occur as an original of that kind, are drawn again until none is left;
    so distinct originals keep distinct surrogates, none of them an original.
+   Every few attempts a candidate grows by a character (an address leaves its
+   network), so a format with few values doesn't run out.
 4. A surrogate is written in the mention's own format: case, separators.
 
 Only documents with such signs are shuffled. Distinct texts carry their parts, so
@@ -49,7 +51,8 @@ SECRET_WORD = r"(?:token|api[_-]?key|secret[_-]?key|access[_-]?key|secret|passwo
 # Every mention begins where no letter or digit comes before; that one test comes first.
 EMAIL = rf"[{L}\p{{N}}._%+\-]{{1,64}}+@[A-Za-z0-9\-]{{1,63}}(?:\.[A-Za-z0-9\-]{{1,63}}){{0,6}}\.[A-Za-z]{{2,24}}"
 SECRET_HEAD = rf"(?i:{SECRET_WORD})[\"']?\s{{0,3}}[:=]\s{{0,3}}[\"']?"
-SECRET = rf"(?=[TASPtasp]){SECRET_HEAD}[A-Za-z0-9_\-+/]{{8,200}}+"
+# a value has a letter or digit: blanks to fill in aren't secrets
+SECRET = rf"(?=[TASPtasp]){SECRET_HEAD}(?=[_\-+/]*+[A-Za-z0-9])[A-Za-z0-9_\-+/]{{8,200}}+"
 HEX = r"(?=[0-9A-Fa-f]{32})(?=[0-9A-Fa-f]*[0-9])(?=[0-9A-Fa-f]*[A-Fa-f])[0-9A-Fa-f]{32,200}+(?![A-Za-z0-9])"
 IP6 = r"(?<!:)(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])"
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
@@ -162,7 +165,11 @@ def _parts(found: Column, text: Column) -> Column:
 
 
 def candidate(key: str, kind: Column, cls: Column, canon: Column, attempt: Column) -> Column:
-    """The surrogate that a part draws at an attempt, in canonical form."""
+    """The surrogate that a part draws at an attempt, in canonical form.
+
+    Later attempts draw from more values: names and numbers get longer, inside
+    addresses go to 10.0.0.0/8, and addresses to local IPv6 ones at last.
+    """
     blocks = F.sequence(F.lit(0), F.floor(F.length(canon) / 30).cast("int") + 1)
     stream = F.array_join(F.transform(blocks, lambda b: F.sha2(F.concat_ws("\x1f", F.lit(key), kind, canon, attempt.cast("string"), b.cast("string")), 256)), "")
     at = lambda i: F.conv(F.substr(stream, i * 2 + 1, F.lit(2)), 16, 10).cast("int")
@@ -178,23 +185,28 @@ def candidate(key: str, kind: Column, cls: Column, canon: Column, attempt: Colum
             .when(c.rlike(r"\p{L}"), pick("áàâäéèêëíîïóôöúûüñç", i)).otherwise(c)
         )
 
+    spare = F.sha2(F.concat_ws("\x1f", F.lit(key), kind, canon, attempt.cast("string"), F.lit("more")), 256)
+    more = F.substr(spare, F.lit(1), F.floor(attempt / 4).cast("int"))  # hexadecimal
+    digits = F.translate(more, "abcdef", "012345")
+    local6 = F.concat(F.lit("fd"), F.substr(spare, F.lit(1), F.lit(2)), *(F.concat(F.lit(":"), F.substr(spare, F.lit(i), F.lit(4))) for i in range(3, 31, 4)))
     shape = lambda s, hexed=False, skip=0: F.array_join(F.transform(F.split(s, ""), lambda c, i: letter(c, i + skip, hexed)), "")
     local, domain = F.substring_index(canon, "@", 1), F.substring_index(canon, "@", -1)
     top = F.substring_index(domain, ".", -1)
     top = F.when(top.isin("com", "org", "net"), top).otherwise("com")
     host = F.regexp_replace(F.substring_index(domain, ".", 1), "^-|-$", "x")
-    email = F.concat(shape(local), F.lit("@"), F.array_join(F.transform(F.split(host, ""), lambda c, i: letter(c, i + F.length(local), False)), ""), F.lit(".example."), top)
+    email = F.concat(shape(local), more, F.lit("@"), F.array_join(F.transform(F.split(host, ""), lambda c, i: letter(c, i + F.length(local), False)), ""), F.lit(".example."), top)
     # the country code's first digit stays; a subscriber number begins with 2 to 9
     lead = F.when(cls == "+", F.substr(canon, F.lit(1), F.lit(2))).otherwise("")
     rest = F.when(cls == "+", F.substr(canon, F.lit(3))).otherwise(canon)
-    phone = F.concat(lead, (at(F.lit(30)) % 8 + 2).cast("string"), shape(F.substr(rest, F.lit(2))))
-    body = F.concat(F.substr(canon, F.lit(1), F.lit(1)), shape(F.substr(canon, F.lit(2), F.length(canon) - 2)))
+    phone = F.concat(lead, (at(F.lit(30)) % 8 + 2).cast("string"), shape(F.substr(rest, F.lit(2))), digits)
+    body = F.concat(F.substr(canon, F.lit(1), F.lit(1)), shape(F.substr(canon, F.lit(2), F.length(canon) - 2)), digits)
     check = (10 - _luhn(F.concat(body, F.lit("0"))) % 10) % 10
     card = F.concat(body, F.when(cls == "luhn", check.cast("string")).otherwise(pick("0123456789", F.lit(29))))
     octet = lambda i, low, n: (at(F.lit(i)) % n + low).cast("string")
-    kept = F.size(F.split(cls, r"\."))
-    net = F.when(cls == "", F.concat_ws(".", octet(0, 11, 116), octet(1, 0, 256), octet(2, 0, 256))).when(kept == 1, F.concat_ws(".", cls, octet(1, 0, 256), octet(2, 0, 256))).otherwise(F.concat_ws(".", cls, octet(2, 0, 256)))
-    ip = F.concat_ws(".", net, octet(3, 1, 254))
+    inside = F.when((cls != "") & (attempt >= 8), "10").otherwise(cls)
+    kept = F.size(F.split(inside, r"\."))
+    net = F.when(cls == "", F.concat_ws(".", octet(0, 11, 116), octet(1, 0, 256), octet(2, 0, 256))).when(kept == 1, F.concat_ws(".", inside, octet(1, 0, 256), octet(2, 0, 256))).otherwise(F.concat_ws(".", inside, octet(2, 0, 256)))
+    ip = F.when(attempt < 16, F.concat_ws(".", net, octet(3, 1, 254))).otherwise(local6)
 
     def name(consonants: str, vowels: str, ends: dict[str, str], gender: Column) -> Column:
         n = at(F.lit(20)) % 2 + 1 + F.floor(attempt / 2).cast("int")
@@ -212,7 +224,8 @@ def candidate(key: str, kind: Column, cls: Column, canon: Column, attempt: Colum
     )
     return (
         F.when(kind == "email", email).when(kind == "phone", phone).when(kind == "card", card).when(kind == "ip", ip)
-        .when(kind.isin("given", "surname"), names).otherwise(F.when(cls == "hex", shape(canon, True)).otherwise(shape(canon)))
+        .when(kind.isin("given", "surname"), names).when((kind == "ip6") & (attempt >= 8), local6).when(kind == "ssn", F.concat(shape(canon), digits))
+        .otherwise(F.concat(F.when(cls == "hex", shape(canon, True)).otherwise(shape(canon)), F.when(kind == "ip6", "").otherwise(more)))
     )
 
 
@@ -223,7 +236,7 @@ def surrogates(parts: DataFrame, key: str) -> DataFrame:
     """
     state = settle(parts.withColumn("attempt", F.lit(0)).withColumn("sur", candidate(key, F.col("kind"), F.col("cls"), F.col("canon"), F.lit(0))), "surrogates")
     originals = state.select("kind", F.col("canon").alias("sur"), F.lit(True).alias("taken")).distinct()
-    for _ in range(64):
+    while True:  # candidates grow with the attempts, so the rounds end
         again = F.row_number().over(W.partitionBy("kind", "sur").orderBy("attempt", "canon", "cls")) > 1
         checked = state.withColumn("again", again).join(originals, ["kind", "sur"], "left").withColumn("again", F.col("again") | F.col("taken").isNotNull())
         if checked.where("again").isEmpty():
@@ -231,11 +244,10 @@ def surrogates(parts: DataFrame, key: str) -> DataFrame:
         attempt = F.col("attempt") + F.col("again").cast("int")
         drawn = F.when(F.col("again"), candidate(key, F.col("kind"), F.col("cls"), F.col("canon"), attempt)).otherwise(F.col("sur"))
         state = settle(checked.select("kind", "cls", "canon", attempt.alias("attempt"), drawn.alias("sur")), "surrogates")
-    raise RuntimeError("a kind has nearly as many originals as its format has values")
 
 
 def _written(raw: Column, kind: Column, sur: Column) -> Column:
-    """``sur`` in the format of ``raw``."""
+    """``sur`` in the format of ``raw``; digits that ``raw`` has no place for follow it."""
     filled = F.aggregate(
         F.split(raw, ""),
         F.struct(F.lit("").alias("out"), F.lit(1).alias("i")),
@@ -243,7 +255,8 @@ def _written(raw: Column, kind: Column, sur: Column) -> Column:
             F.concat(a["out"], F.when(c.rlike("[0-9]"), F.substr(_digits(sur), a["i"], F.lit(1))).otherwise(c)).alias("out"),
             (a["i"] + c.rlike("[0-9]").cast("int")).alias("i"),
         ),
-    )["out"]
+    )
+    filled = F.transform(F.array(filled), lambda a: F.concat(a["out"], F.substr(_digits(sur), a["i"])))[0]
     cased = F.when((raw == F.upper(raw)) & (raw != F.lower(raw)), F.upper(sur)).otherwise(sur)
     word = F.when((raw == F.upper(raw)) & (F.length(raw) > 2), F.upper(sur)).otherwise(F.initcap(sur))
     return (

@@ -309,6 +309,23 @@ def test_every_kind_alone(spark):
     assert got[len(alone)].text.startswith(got[0].text + " and ")
 
 
+def test_small_formats_get_surrogates(spark):
+    """Formats with fewer values than originals, and blanks that nobody filled in."""
+    forms = ["Password: ________", "token: --------", "secret = ++++++++++", "password: _______x"]
+    got = anonymised(spark, *forms)
+    assert [got[i].n_entities for i in range(4)] == [0, 0, 0, 1] and [got[i].text for i in range(3)] == forms[:3] and got[3].text != forms[3]
+    kinds = [("ip", "192.168", f"192.168.{i}.{j}") for i in range(250) for j in range(1, 255)]
+    kinds += [("email", "", f"{a}@{b}.de") for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz"]
+    kinds += [("phone", "+", f"+{i}") for i in range(100, 1000)] + [("secret", "any", f"_______{c}") for c in "abcdefghijklmnopqrstuvwxyz"] + [("ssn", "", str(i)) for i in range(10)]
+    kinds += [("ip6", "hex", ":".join([a, b, c, d] + ["a"] * 4)) for a in "abcdef" for b in "abcdef" for c in "abcdef" for d in "abcdef"]
+    df = spark.createDataFrame(kinds, "kind string, cls string, canon string").repartition(4)
+    sur = surrogates.surrogates(df, "key").toPandas()
+    assert len(sur) == len(kinds) and sur.sur.notna().all() and not sur.duplicated(["kind", "sur"]).any()
+    assert not set(zip(sur.kind, sur.sur)) & {(k, c) for k, _, c in kinds}
+    raw = spark.createDataFrame([("+1 (2) 3", "phone", "+14567"), ("+1 (2) 3", "phone", "+145")], "raw string, kind string, sur string")
+    assert rows(raw, surrogates._written(F.col("raw"), F.col("kind"), F.col("sur"))) == [("+1 (4) 5",), ("+1 (4) 567",)]
+
+
 # 9: BPE
 
 
