@@ -48,12 +48,12 @@ def _any(words: dict[str, list[str]]) -> str:
 
 CAPITAL = rf"\p{{Lu}}[{L}'’\-]{{1,40}}"
 SECRET_WORD = r"(?:token|api[_-]?key|secret[_-]?key|access[_-]?key|secret|password|passwd)"
-# Every mention begins where no letter or digit comes before; that one test comes first.
+# Every mention begins where no letter or digit comes before; that one test comes first. Only a secret's key word may end a longer one (accessToken).
 EMAIL = rf"[{L}\p{{N}}._%+\-]{{1,64}}+@[A-Za-z0-9\-]{{1,63}}(?:\.[A-Za-z0-9\-]{{1,63}}){{0,6}}\.[A-Za-z]{{2,24}}"
 SECRET_HEAD = rf"(?i:{SECRET_WORD})[\"']?\s{{0,3}}[:=]\s{{0,3}}[\"']?"
 # a value has a letter or digit: blanks to fill in aren't secrets
-SECRET = rf"(?=[TASPtasp]){SECRET_HEAD}(?=[_\-+/]*+[A-Za-z0-9])[A-Za-z0-9_\-+/]{{8,200}}+"
-HEX = r"(?=[0-9A-Fa-f]{32})(?=[0-9A-Fa-f]*[0-9])(?=[0-9A-Fa-f]*[A-Fa-f])[0-9A-Fa-f]{32,200}+(?![A-Za-z0-9])"
+SECRET = rf"(?=[TASPtasp]){SECRET_HEAD}(?=[_\-+/]*+[A-Za-z0-9])[A-Za-z0-9_\-+/]{{8,}}+"
+HEX = r"(?=[0-9A-Fa-f]{32})(?=[0-9A-Fa-f]*[0-9])(?=[0-9A-Fa-f]*[A-Fa-f])[0-9A-Fa-f]{32,}+(?![A-Za-z0-9])"
 IP6 = r"(?<!:)(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])"
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 IP4 = rf"(?=[0-9])(?<!\.)(?:{OCTET}\.){{3}}{OCTET}(?![0-9]|\.[0-9])"
@@ -61,7 +61,7 @@ CARD = r"(?=[0-9])(?<![.+\-])[0-9](?:[ \-]?[0-9]){12,18}(?![0-9])"
 SSN = r"(?=[0-9])(?<!\-)[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])"
 PHONE = r"(?=[0-9+(])(?<!\+)(?:\+[0-9]{1,3}(?:[ .\-]?\(?[0-9]{1,4}\)?){2,7}|(?:\([0-9]{2,4}\)[ .\-]?|[0-9]{3}[ .\-])[0-9]{3,4}[ .\-][0-9]{4})(?![0-9])"
 NAME = rf"(?=\p{{Lu}})(?:(?:{_any(TITLES)})\.?[ \t]{CAPITAL}(?:[ \t]{CAPITAL}){{0,2}}|(?:{_any(GIVEN)})[ \t]{CAPITAL})"
-ANY = rf"(?<![{L}\p{{N}}])(?:" + "|".join((EMAIL, SECRET, HEX, IP6, IP4, CARD, SSN, PHONE, NAME)) + ")"
+ANY = rf"(?<![{L}\p{{N}}])(?:" + "|".join((EMAIL, SECRET, HEX, IP6, IP4, CARD, SSN, PHONE, NAME)) + rf")|{SECRET}"
 #: What a text with any mention shows, in tests that cost little on text without one. Each kind has its sign: seven digits close together (cards,
 #: social security numbers, phones without a plus) or four short groups with dots (IPv4), a plus before a digit, a hexadecimal run, IPv6 groups, a name.
 SIGNS = (r"[0-9](?:(?:[ .()\-]{0,2}[0-9]){6}|\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9])", r"\+[0-9]", r"[0-9A-Fa-f]{32}", r"(?:[0-9A-Fa-f]{1,4}:){7}", NAME)
@@ -172,17 +172,18 @@ def candidate(key: str, kind: Column, cls: Column, canon: Column, attempt: Colum
     """
     blocks = F.sequence(F.lit(0), F.floor(F.length(canon) / 30).cast("int") + 1)
     stream = F.array_join(F.transform(blocks, lambda b: F.sha2(F.concat_ws("\x1f", F.lit(key), kind, canon, attempt.cast("string"), b.cast("string")), 256)), "")
-    at = lambda i: F.conv(F.substr(stream, i * 2 + 1, F.lit(2)), 16, 10).cast("int")
+    byte = lambda hashed, i: F.conv(F.substr(hashed, i * 2 + 1, F.lit(2)), 16, 10).cast("int")
+    at = lambda i: byte(stream, i)
 
-    def pick(alphabet: str, i: Column) -> Column:
+    def pick(alphabet: str, i: Column, at=at) -> Column:
         return F.substr(F.lit(alphabet), at(i) % len(alphabet) + 1, F.lit(1))
 
-    def letter(c: Column, i: Column, hexed: bool) -> Column:
+    def letter(c: Column, i: Column, hexed: bool, at=at) -> Column:
         small, big = ("abcdef", "ABCDEF") if hexed else ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
         return (
-            F.when(c.rlike("[0-9]"), pick("0123456789", i)).when(c.rlike("[a-z]"), pick(small, i)).when(c.rlike("[A-Z]"), pick(big, i))
-            .when(c.rlike(r"\p{IsCyrillic}"), pick("абвгдежзиклмнопрстуфхцчшэюя", i)).when(c.rlike(r"\p{IsGreek}"), pick("αβγδεζηθικλμνξοπρστυφχψω", i))
-            .when(c.rlike(r"\p{L}"), pick("áàâäéèêëíîïóôöúûüñç", i)).otherwise(c)
+            F.when(c.rlike("[0-9]"), pick("0123456789", i, at)).when(c.rlike("[a-z]"), pick(small, i, at)).when(c.rlike("[A-Z]"), pick(big, i, at))
+            .when(c.rlike(r"\p{IsCyrillic}"), pick("абвгдежзиклмнопрстуфхцчшэюя", i, at)).when(c.rlike(r"\p{IsGreek}"), pick("αβγδεζηθικλμνξοπρστυφχψω", i, at))
+            .when(c.rlike(r"\p{L}"), pick("áàâäéèêëíîïóôöúûüñç", i, at)).otherwise(c)
         )
 
     spare = F.sha2(F.concat_ws("\x1f", F.lit(key), kind, canon, attempt.cast("string"), F.lit("more")), 256)
@@ -190,6 +191,21 @@ def candidate(key: str, kind: Column, cls: Column, canon: Column, attempt: Colum
     digits = F.translate(more, "abcdef", "012345")
     local6 = F.concat(F.lit("fd"), F.substr(spare, F.lit(1), F.lit(2)), *(F.concat(F.lit(":"), F.substr(spare, F.lit(i), F.lit(4))) for i in range(3, 31, 4)))
     shape = lambda s, hexed=False, skip=0: F.array_join(F.transform(F.split(s, ""), lambda c, i: letter(c, i + skip, hexed)), "")
+
+    def spelled(hexed: bool) -> Column:
+        """``shape(canon)`` with one hash for 32 characters at a time, so that long values take time in proportion to their length."""
+        seed = F.when(F.length(canon) > 200, F.sha2(canon, 256)).otherwise(canon)
+
+        def piece(c: Column, hashed: Column) -> Column:
+            letters = lambda h: F.array_join(F.transform(F.split(c, ""), lambda x, i: letter(x, i, hexed, lambda j: byte(h, j))), "")
+            return F.transform(F.array(hashed), letters)[0]
+
+        def pieces(s: Column) -> Column:
+            cut = F.regexp_extract_all(canon, F.lit("(?s).{1,32}"), F.lit(0))
+            return F.array_join(F.transform(cut, lambda c, b: piece(c, F.sha2(F.concat_ws("\x1f", F.lit(key), kind, s, attempt.cast("string"), b.cast("string")), 256))), "")
+
+        return F.transform(F.array(seed), pieces)[0]
+
     local, domain = F.substring_index(canon, "@", 1), F.substring_index(canon, "@", -1)
     top = F.substring_index(domain, ".", -1)
     top = F.when(top.isin("com", "org", "net"), top).otherwise("com")
@@ -225,7 +241,7 @@ def candidate(key: str, kind: Column, cls: Column, canon: Column, attempt: Colum
     return (
         F.when(kind == "email", email).when(kind == "phone", phone).when(kind == "card", card).when(kind == "ip", ip)
         .when(kind.isin("given", "surname"), names).when((kind == "ip6") & (attempt >= 8), local6).when(kind == "ssn", F.concat(shape(canon), digits))
-        .otherwise(F.concat(F.when(cls == "hex", shape(canon, True)).otherwise(shape(canon)), F.when(kind == "ip6", "").otherwise(more)))
+        .otherwise(F.concat(F.when(cls == "hex", spelled(True)).otherwise(spelled(False)), F.when(kind == "ip6", "").otherwise(more)))
     )
 
 

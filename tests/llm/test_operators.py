@@ -326,6 +326,22 @@ def test_small_formats_get_surrogates(spark):
     assert rows(raw, surrogates._written(F.col("raw"), F.col("kind"), F.col("sur"))) == [("+1 (4) 5",), ("+1 (4) 567",)]
 
 
+def test_secrets_are_replaced_whole(spark):
+    """Values of any length, and key words that end a longer word."""
+    rng = random.Random(8)
+    value = lambda n, of: "".join(rng.choice(of) for _ in range(n))
+    long = [value(n, "abcdefGHIJ0123456789") for n in (199, 201, 256, 1000, 200_000)]
+    hexed = [value(n, "0123456789abcdef") for n in (201, 256, 1000, 200_000)]
+    keys = ["accessToken=", "authtoken: ", "userPassword=", "x1_api_key = '", "myTOKEN:"]
+    texts = [f"token={v} end" for v in long] + [f"({v}) end" for v in hexed] + [f"{k}{long[0][:20]} end" for k in keys]
+    got = anonymised(spark, *texts)
+    for i, (t, v) in enumerate(zip(texts, [*long, *hexed, *[long[0][:20]] * len(keys)])):
+        at = t.index(v)
+        new = got[i].text[at : at + len(v)]
+        assert got[i].n_entities == 1 and got[i].text[:at] == t[:at] and got[i].text[at + len(v) :] == t[at + len(v) :]
+        assert len(got[i].text) == len(t) and all(new[j : j + 20] != v[j : j + 20] for j in range(0, len(v) - 19, 20))
+
+
 # 9: BPE
 
 
