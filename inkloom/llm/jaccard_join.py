@@ -21,7 +21,8 @@ Steps and what bounds them:
 2. Distinct texts send their other tokens (5 bytes each, in binary runs) to
    token buckets, which count frequencies over all documents and return those
    of tokens of two or more documents. The number of buckets follows the
-   number of words, so a bucket stays at ``bucket_tokens``.
+   number of words, so a bucket stays at ``bucket_tokens``. The documents'
+   heads (key, sizes) are dealt to as many homes by a hash of their keys.
 3. Documents keep the repeated part of their A prefix. Components of the graph
    document - prefix token give clusters; clusters are cut into blocks of
    stated size, and only pairs of blocks that share a prefix token are compared.
@@ -124,12 +125,16 @@ def _light(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(run, "kind int, id long, key string, n long, words long")
 
 
-def pack(tokens: np.ndarray, starts: np.ndarray, keys: list[bytes], sizes: np.ndarray, hot: np.ndarray, extra: np.ndarray | None = None) -> bytes:
+def home_of(keys: np.ndarray, homes: int) -> np.ndarray:
+    return keys.view("<u4").reshape(-1, 4)[:, 0].astype(np.int64) % homes
+
+
+def pack(tokens: np.ndarray, starts: np.ndarray, keys: np.ndarray, sizes: np.ndarray, hot: np.ndarray, extra: np.ndarray | None = None) -> bytes:
     """A run: documents (key, size, hot tokens, tokens here), tokens of WIDTH bytes, one byte more each if ``extra``."""
     head = np.array([len(keys), len(tokens), extra is not None], np.int64).tobytes()
     body = np.ascontiguousarray(tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WIDTH]).tobytes()
     tail = extra.astype(np.uint8).tobytes() if extra is not None else b""
-    return head + b"".join(keys) + sizes.astype(np.int32).tobytes() + hot.astype(np.int32).tobytes() + starts.astype(np.int32).tobytes() + body + tail
+    return head + keys.tobytes() + sizes.astype(np.int32).tobytes() + hot.astype(np.int32).tobytes() + starts.astype(np.int32).tobytes() + body + tail
 
 
 def unpack(run: bytes):
@@ -147,7 +152,12 @@ def unpack(run: bytes):
 
 
 def _runs(docs: DataFrame, k: int, buckets: int, hot) -> DataFrame:
-    """(bucket, run): the tokens of the batch's distinct texts, dealt by their low bits."""
+    """(bucket, run): the tokens of the batch's distinct texts, dealt by their low bits.
+
+    Runs of the documents' heads alone go to a number of their own for each
+    home (as many as buckets), so that no document without a rare token is
+    forgotten and no group hears of all documents.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hottest = np.sort(hot.value)
@@ -160,7 +170,7 @@ def _runs(docs: DataFrame, k: int, buckets: int, hot) -> DataFrame:
                     sets.append((key, shingles(w, k)))
             if not sets:
                 continue
-            sizes = np.array([len(s) for _, s in sets])
+            keys, sizes = np.frombuffer(b"".join(k for k, _ in sets), "V16"), np.array([len(s) for _, s in sets])
             at, tokens = np.repeat(np.arange(len(sets)), sizes), np.concatenate([s for _, s in sets])
             i = np.searchsorted(hottest, tokens)
             is_hot = hottest[np.minimum(i, len(hottest) - 1)] == tokens if len(hottest) else np.zeros(len(tokens), bool)
@@ -173,13 +183,15 @@ def _runs(docs: DataFrame, k: int, buckets: int, hot) -> DataFrame:
             out_b, out_r = [], []
             for b in range(buckets):
                 x, y = edge[b], edge[b + 1]
-                if b == 0 or y > x:
+                if y > x:
                     docs_here, counts = np.unique(at[x:y], return_counts=True)
-                    if b == 0:  # this bucket hears of all documents, so that none without a rare token is forgotten
-                        counts = np.bincount(at[x:y], minlength=len(sets))
-                        docs_here = np.arange(len(sets))
                     out_b.append(b)
-                    out_r.append(pack(tokens[x:y], counts, [sets[d][0] for d in docs_here], sizes[docs_here], n_hot[docs_here]))
+                    out_r.append(pack(tokens[x:y], counts, keys[docs_here], sizes[docs_here], n_hot[docs_here]))
+            home, none = home_of(keys, buckets), np.zeros(0, np.uint64)
+            for h in np.unique(home):
+                mine = np.flatnonzero(home == h)
+                out_b.append(buckets + int(h))
+                out_r.append(pack(none, np.zeros(len(mine)), keys[mine], sizes[mine], n_hot[mine], none))
             yield pa.RecordBatch.from_arrays([pa.array(out_b, pa.int32()), pa.array(out_r, pa.binary())], names=["bucket", "run"])
 
     return docs.select("text").mapInArrow(run, "bucket int, run binary")
@@ -198,7 +210,7 @@ def _joined(runs) -> tuple:
     same[order] = np.cumsum(new) - 1
     first = order[new]
     sizes, hot = np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts])
-    return [keys[i].tobytes() for i in first], sizes[first], hot[first], same[owner], tokens, extra
+    return keys[first], sizes[first], hot[first], same[owner], tokens, extra
 
 
 def _frequencies(runs: DataFrame, homes: int) -> DataFrame:
@@ -206,6 +218,8 @@ def _frequencies(runs: DataFrame, homes: int) -> DataFrame:
 
     def count(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         bucket = key[0].as_py()
+        if bucket >= homes:  # heads
+            return pa.table({"home": pa.array([bucket - homes] * len(table), pa.int32()), "run": table.column("run")})
         keys, sizes, hot, owner, tokens, _ = _joined(table.column("run").to_pylist())
         order = np.lexsort((owner, tokens))
         owner, tokens = owner[order], tokens[order]
@@ -219,16 +233,16 @@ def _frequencies(runs: DataFrame, homes: int) -> DataFrame:
         cls = np.minimum(254, (16 * np.log2(np.maximum(df, 1))).astype(int))
         # a token's name is what the run keeps of it; adding the bucket makes it a corpus-wide one
         name = (tokens * np.uint64(M2)) ^ np.uint64(bucket * 0x9E3779B1)
-        home = np.array([int.from_bytes(k[:4], "little") % homes for k in keys], np.int64)
+        home = home_of(keys, homes)
         order = np.lexsort((owner, home[owner] if len(owner) else owner))
         owner, name, cls = owner[order], name[order], cls[order]
         out_h, out_r = [], []
-        for h in np.unique(home if bucket == 0 else home[owner]):
+        for h in np.unique(home[owner]):
             at = home[owner] == h
-            mine = np.flatnonzero(home == h) if bucket == 0 else np.unique(owner[at])
+            mine = np.unique(owner[at])
             counts = np.bincount(np.searchsorted(mine, owner[at]), minlength=len(mine))
             out_h.append(int(h))
-            out_r.append(pack(name[at], counts, [keys[i] for i in mine], sizes[mine], hot[mine], cls[at]))
+            out_r.append(pack(name[at], counts, keys[mine], sizes[mine], hot[mine], cls[at]))
         return pa.table({"home": pa.array(out_h, pa.int32()), "run": pa.array(out_r, pa.binary())})
 
     return runs.groupBy("bucket").applyInArrow(count, "home int, run binary")
@@ -246,7 +260,7 @@ def _prefixes(back: DataFrame, percent: int) -> DataFrame:
         start = np.r_[0, np.cumsum(many)[:-1]] if len(keys) else many
         on = np.flatnonzero(slots > 0)
         taken = [tokens[start[i] : start[i] + min(slots[i], many[i])].view(np.int64) for i in on]
-        return pa.table({"key": pa.array([keys[i].hex() for i in on], pa.string()), "n": pa.array(sizes[on], pa.int64()), "tokens": pa.array([t.tolist() for t in taken], pa.list_(pa.int64())), "rest": pa.array([max(0, int(slots[i] - many[i])) for i in on], pa.int64())})
+        return pa.table({"key": pa.array([keys[i].tobytes().hex() for i in on], pa.string()), "n": pa.array(sizes[on], pa.int64()), "tokens": pa.array([t.tolist() for t in taken], pa.list_(pa.int64())), "rest": pa.array([max(0, int(slots[i] - many[i])) for i in on], pa.int64())})
 
     return back.groupBy("home").applyInArrow(cut, "key string, n long, tokens array<long>, rest long")
 

@@ -186,6 +186,20 @@ def test_near_texts_with_a_hot_passage(spark):
     assert got == brute.near_texts(list(enumerate(texts)))
 
 
+def test_no_near_text_group_hears_of_all(spark):
+    """Tokens and heads are dealt to groups, none of which grows with the number of documents alone."""
+    n, buckets = 800, 8
+    df = spark.range(n).selectExpr("concat('word', id) as text").coalesce(1)
+    runs = jaccard_join._runs(df, 5, buckets, spark.sparkContext.broadcast(np.zeros(0, np.uint64)))
+    seen = {}
+    for r in runs.collect():
+        seen.setdefault(r.bucket, []).extend(k.tobytes() for k in jaccard_join.unpack(r.run)[0])
+    assert len(set().union(*seen.values())) == n and max(map(len, seen.values())) < 2 * n / buckets
+    back = jaccard_join._frequencies(runs, buckets).collect()
+    homes = [k for r in back for k in map(bytes, jaccard_join.unpack(r.run)[0])]
+    assert len(homes) == len(set(homes)) == n
+
+
 # 6: WARC
 
 
