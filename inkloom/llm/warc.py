@@ -34,7 +34,6 @@ DATE = "1970-01-01T00:00:00Z"
 VERSION = re.compile(rb"WARC/1\.[01]\r?\n")
 MAGIC = b"\x1f\x8b\x08"
 STEP = 1 << 20
-MAX_HEADER = 1 << 16
 
 
 class Damaged(Exception):
@@ -82,7 +81,7 @@ def parse(raw: bytes) -> tuple[Record, int]:
     """The record at the start of ``raw`` and where it ends; Damaged if it fails a check."""
     if not (v := VERSION.match(raw)):
         raise Damaged("no version line")
-    end = raw.find(b"\r\n\r\n", v.end() - 2, MAX_HEADER)
+    end = raw.find(b"\r\n\r\n", v.end() - 2)
     if end < 0:
         raise Damaged("headers don't end")
     headers: dict[str, str] = {}
@@ -144,9 +143,14 @@ class Salvager:
             return got, at - len(z.unused_data)
         if not VERSION.match(head):
             raise Damaged("neither a member nor a version line")
-        m = re.search(rb"(?i)\r\ncontent-length:\s*(\d+)", head)
-        if m and int(m[1]) + MAX_HEADER > len(head):
-            head = self.at(offset, min(int(m[1]) + MAX_HEADER, self.size - offset))
+        end = head.find(CRLF * 2)
+        while end < 0 and offset + len(head) < self.size:
+            seen = len(head)
+            head += self.at(offset + seen, max(STEP, seen))
+            end = head.find(CRLF * 2, seen - 3)
+        m = re.search(rb"(?i)\r\ncontent-length:\s*(\d+)", head[: max(0, end)])
+        if m and (stop := end + 8 + int(m[1])) > len(head):
+            head = self.at(offset, min(stop, self.size - offset))
         got, end = parse(head)
         return got, offset + end
 

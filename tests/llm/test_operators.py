@@ -239,6 +239,21 @@ def test_warc_salvage(spark, tmp_path):
     assert [r.length for r in by(3)] == [12] and by(4) == [] and len(by(5)) == 1 and by(5)[0].gap
 
 
+def test_warc_long_urls(spark, tmp_path):
+    """A record's headers end wherever they end."""
+    import pyarrow as pa
+
+    urls = ["data:" + "x" * 100_000, "data:" + " y" * 50_000, "u"]
+    pages = spark.createDataFrame([(i, u, f"<html>{i}") for i, u in enumerate(urls)], "page_id long, url string, html string")
+    manifest = common.settle(warc.write_archives(warc.plan_records(pages).coalesce(1), f"file://{tmp_path}/warc"), "m")
+    got = {r.record_id: r for r in warc.read_archives(manifest).collect()}
+    assert [got[f"urn:page:{i}"].uri for i in range(3)] == [u.replace(" ", "%20") for u in urls] and all(r.gap is None for r in got.values())
+    one = lambda u, body: warc.build("urn:page:0", "response", u, body, hashlib.sha256(body).hexdigest(), len(body), None, gzip=False)
+    data = b"".join(one(u, body) for u, body in (("v" * 3_000_000, b"a" * 2_000_000), ("u", b"b" * 99), ("w" * 70_000, b"c")))
+    plain = list(warc.Salvager(pa.BufferReader(data), len(data)).rows())
+    assert [len(r.payload) for _, _, r, _ in plain if r] == [2_000_000, 99, 1] and all(gap is None for *_, gap in plain)
+
+
 # 7: mixing
 
 
