@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +39,26 @@ def settle(df: DataFrame, tag: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def slices(batches: Iterator[pa.RecordBatch], text: int, most_bytes: int = 1 << 23, most_rows: int = 1 << 14) -> Iterator[pa.RecordBatch]:
+    """The batches, cut where their texts exceed ``most_bytes`` or their rows ``most_rows``; a longer text is a slice of its own."""
+    for batch in batches:
+        size = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype("int64")
+        part = size.cumsum() // most_bytes
+        cut = [i + 1 for i in range(len(part) - 1) if part[i + 1] != part[i] or (i + 1) % most_rows == 0]
+        for a, b in zip([0, *cut], [*cut, batch.num_rows]):
+            yield batch.slice(a, b - a)
+
+
+def tidy(results: Iterator, *caches: dict) -> Iterator:
+    """The results as they come; then the worker, which Spark uses again, gives back what it held."""
+    try:
+        yield from results
+    finally:
+        for cache in caches:
+            cache.clear()
+        pa.default_memory_pool().release_unused()
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of ``edges``: ``node``, ``component`` (its smallest node).
 

@@ -18,11 +18,11 @@ Steps and what bounds them:
    the tokens that are common in its batch. Tokens whose counts reach a
    hundredth of all documents are hot: at most 100 times the mean set size of
    them, so they can be broadcast.
-2. Distinct texts send their other tokens (5 bytes each, in binary runs) to
-   token buckets, which count frequencies over all documents and return those
-   of tokens of two or more documents. The number of buckets follows the
-   number of words, so a bucket stays at ``bucket_tokens``. The documents'
-   heads (key, sizes) are dealt to as many homes by a hash of their keys.
+2. A slice of the corpus (8 MB of text) sends the other tokens of its distinct
+   texts, in binary runs, to token buckets, which count frequencies over all
+   documents and return those of tokens of two or more documents to the
+   slice's home. The number of buckets follows the number of words, so a bucket
+   stays at ``bucket_tokens``; slices are dealt to as many homes.
 3. Documents keep the repeated part of their A prefix. Components of the graph
    document - prefix token give clusters; clusters are cut into blocks of
    stated size, and only pairs of blocks that share a prefix token are compared.
@@ -37,20 +37,18 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkloom.llm.common import components, settle
+from inkloom.llm.common import components, settle, slices, tidy
 from inkloom.llm.pq_dedup import local_components
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-WIDTH = 5  # bytes of a token in the runs
 NO_ID = -(1 << 63)
 WORDS = 1 << 17  # words whose hashes a worker keeps
-SLICE = 1 << 23  # bytes of text that a worker takes at once
 _words: dict[bytes, int] = {}
 
 
@@ -80,15 +78,6 @@ def shingles(words: list[bytes], k: int) -> np.ndarray:
     return np.unique(s)
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.RecordBatch]:
-    """The batches, cut where their texts exceed SLICE bytes; a longer text is a slice of its own."""
-    for batch in batches:
-        size = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
-        cut = np.flatnonzero(np.diff(np.cumsum(size) // SLICE)) + 1
-        for a, b in zip([0, *cut], [*cut, batch.num_rows]):
-            yield batch.slice(a, b - a)
-
-
 def key_of(words: list[bytes]) -> bytes:
     return xxhash.xxh3_128_digest(b" ".join(words))
 
@@ -122,46 +111,51 @@ def _light(docs: DataFrame, k: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(common), np.int32)), pa.array(common, pa.int64()), none.cast(pa.string()), pa.array(times, pa.int64()), none.cast(pa.int64())], names=names)
 
     names = ["kind", "id", "key", "n", "words"]
-    return docs.mapInArrow(run, "kind int, id long, key string, n long, words long")
+    return docs.mapInArrow(lambda batches: tidy(run(batches), _words), "kind int, id long, key string, n long, words long")
+
+
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays of stated types in one binary value, each behind its length."""
+    return b"".join(len(a).to_bytes(8, "little") + np.ascontiguousarray(a).tobytes() for a in arrays)
+
+
+def unpack(run: bytes, *types: str) -> list[np.ndarray]:
+    at, out = 0, []
+    for t in types:
+        n = int.from_bytes(run[at : at + 8], "little")
+        out.append(np.frombuffer(run, t, n, at + 8))
+        at += 8 + n * np.dtype(t).itemsize
+    return out
 
 
-def home_of(keys: np.ndarray, homes: int) -> np.ndarray:
-    return keys.view("<u4").reshape(-1, 4)[:, 0].astype(np.int64) % homes
+HEADS = ("<i8", "V16", "<i4", "<i4", "<i4")  # slice, keys, sizes, number of hot tokens, those tokens by number
+TOKENS = ("<i8", "<u2", "V5")  # slice, document in the slice, token
+BACK = ("<i8", "<u2", "V5", "u1")  # and its frequency class
 
 
-def pack(tokens: np.ndarray, starts: np.ndarray, keys: np.ndarray, sizes: np.ndarray, hot: np.ndarray, extra: np.ndarray | None = None) -> bytes:
-    """A run: documents (key, size, hot tokens, tokens here), tokens of WIDTH bytes, one byte more each if ``extra``."""
-    head = np.array([len(keys), len(tokens), extra is not None], np.int64).tobytes()
-    body = np.ascontiguousarray(tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WIDTH]).tobytes()
-    tail = extra.astype(np.uint8).tobytes() if extra is not None else b""
-    return head + keys.tobytes() + sizes.astype(np.int32).tobytes() + hot.astype(np.int32).tobytes() + starts.astype(np.int32).tobytes() + body + tail
+def narrow(tokens: np.ndarray) -> np.ndarray:
+    """The low 40 bits as five bytes."""
+    return np.ascontiguousarray(tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).view("V5").ravel()
 
 
-def unpack(run: bytes):
-    """(keys as an S16 array, sizes, hot, counts, tokens, extra)."""
-    nd, nt, more = np.frombuffer(run, np.int64, 3)
-    at = 24
-    keys = np.frombuffer(run, "V16", nd, at)
-    at += 16 * nd
-    sizes, hot, counts = (np.frombuffer(run, np.int32, nd, at + 4 * nd * i) for i in range(3))
-    at += 12 * nd
-    body = np.zeros((nt, 8), np.uint8)
-    body[:, :WIDTH] = np.frombuffer(run, np.uint8, nt * WIDTH, at).reshape(-1, WIDTH)
-    extra = np.frombuffer(run, np.uint8, nt, at + nt * WIDTH) if more else None
-    return keys, sizes, hot, counts, body.view("<u8").ravel(), extra
+def wide(tokens: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(tokens), 8), np.uint8)
+    out[:, :5] = np.frombuffer(tokens.tobytes(), np.uint8).reshape(-1, 5)
+    return out.view("<u8").ravel()
 
 
 def _runs(docs: DataFrame, k: int, buckets: int, hot) -> DataFrame:
-    """(bucket, run): the tokens of the batch's distinct texts, dealt by their low bits.
+    """(bucket, run): the tokens of a slice's distinct texts, dealt by their low bits.
 
-    Runs of the documents' heads alone go to a number of their own for each
-    home (as many as buckets), so that no document without a rare token is
-    forgotten and no group hears of all documents.
+    A token costs seven bytes: itself and its document's number in the slice.
+    The documents' heads (key, size, hot tokens) go once to the slice's home,
+    under the numbers from ``buckets`` on; there are as many homes as buckets,
+    so no group hears of all documents.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hottest = np.sort(hot.value)
-        for batch in slices(batches, 0):
+        hottest, part = np.sort(hot.value), TaskContext.get().partitionId()
+        for ordinal, batch in enumerate(slices(batches, 0)):
             seen, sets = set(), []
             for t in batch.column(0):
                 w = word_list(t.as_py())
@@ -170,99 +164,86 @@ def _runs(docs: DataFrame, k: int, buckets: int, hot) -> DataFrame:
                     sets.append((key, shingles(w, k)))
             if not sets:
                 continue
+            number = np.array([part << 32 | ordinal], np.int64)  # the same when a task runs again
             keys, sizes = np.frombuffer(b"".join(k for k, _ in sets), "V16"), np.array([len(s) for _, s in sets])
             at, tokens = np.repeat(np.arange(len(sets)), sizes), np.concatenate([s for _, s in sets])
             i = np.searchsorted(hottest, tokens)
             is_hot = hottest[np.minimum(i, len(hottest) - 1)] == tokens if len(hottest) else np.zeros(len(tokens), bool)
             n_hot = np.bincount(at[is_hot], minlength=len(sets))
+            heads = pack(number, keys, sizes.astype("<i4"), n_hot.astype("<i4"), i[is_hot].astype("<i4"))
             at, tokens = at[~is_hot], tokens[~is_hot]
             bucket = (tokens % np.uint64(buckets)).astype(np.int64)
-            order = np.lexsort((at, bucket))
-            at, tokens, bucket = at[order], (tokens[order] >> np.uint64(20)), bucket[order]
-            edge = np.searchsorted(bucket, np.arange(buckets + 1))
-            out_b, out_r = [], []
-            for b in range(buckets):
-                x, y = edge[b], edge[b + 1]
-                if y > x:
-                    docs_here, counts = np.unique(at[x:y], return_counts=True)
-                    out_b.append(b)
-                    out_r.append(pack(tokens[x:y], counts, keys[docs_here], sizes[docs_here], n_hot[docs_here]))
-            home, none = home_of(keys, buckets), np.zeros(0, np.uint64)
-            for h in np.unique(home):
-                mine = np.flatnonzero(home == h)
-                out_b.append(buckets + int(h))
-                out_r.append(pack(none, np.zeros(len(mine)), keys[mine], sizes[mine], n_hot[mine], none))
+            order = np.argsort(bucket, kind="stable")  # documents stay in order within a bucket
+            at, tokens, bucket = at[order].astype("<u2"), narrow(tokens[order] >> np.uint64(20)), bucket[order]
+            edge = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.zeros(0, int)
+            out_b, out_r = [buckets + home_of(number[0], buckets)], [heads]
+            for x, y in zip(edge, [*edge[1:], len(bucket)]):
+                out_b.append(int(bucket[x]))
+                out_r.append(pack(number, at[x:y], tokens[x:y]))
             yield pa.RecordBatch.from_arrays([pa.array(out_b, pa.int32()), pa.array(out_r, pa.binary())], names=["bucket", "run"])
 
-    return docs.select("text").mapInArrow(run, "bucket int, run binary")
+    return docs.select("text").mapInArrow(lambda batches: tidy(run(batches), _words), "bucket int, run binary")
 
 
-def _joined(runs) -> tuple:
-    parts = [unpack(r) for r in runs]
-    keys = np.concatenate([p[0] for p in parts])
-    owner = np.repeat(np.arange(len(keys)), np.concatenate([p[3] for p in parts]))
-    tokens = np.concatenate([p[4] for p in parts])
-    extra = np.concatenate([p[5] for p in parts]) if parts[0][5] is not None else None
-    halves = keys.view(np.uint64).reshape(-1, 2)
-    order = np.lexsort((halves[:, 1], halves[:, 0]))
-    new = np.r_[True, (halves[order][1:] != halves[order][:-1]).any(1)] if len(order) else np.zeros(0, bool)
-    same = np.empty(len(keys), np.int64)
-    same[order] = np.cumsum(new) - 1
-    first = order[new]
-    sizes, hot = np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts])
-    return keys[first], sizes[first], hot[first], same[owner], tokens, extra
+def home_of(number: int, homes: int) -> int:
+    return int(mix(np.array([number], np.uint64), M1)[0] % np.uint64(homes))
 
 
 def _frequencies(runs: DataFrame, homes: int) -> DataFrame:
-    """Back to the documents: (home, run) with tokens of two or more documents and their frequency class."""
+    """Back to the slices' homes: tokens of two or more documents, with their frequency class."""
 
     def count(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         bucket = key[0].as_py()
         if bucket >= homes:  # heads
-            return pa.table({"home": pa.array([bucket - homes] * len(table), pa.int32()), "run": table.column("run")})
-        keys, sizes, hot, owner, tokens, _ = _joined(table.column("run").to_pylist())
-        order = np.lexsort((owner, tokens))
-        owner, tokens = owner[order], tokens[order]
-        new = np.ones(len(tokens), bool)
-        new[1:] = (tokens[1:] != tokens[:-1]) | (owner[1:] != owner[:-1])  # copies of a text in several batches count once
-        owner, tokens = owner[new], tokens[new]
-        begin = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]]) if len(tokens) else np.zeros(0, int)
-        df = np.repeat(np.diff(np.r_[begin, len(tokens)]), np.diff(np.r_[begin, len(tokens)]))
-        keep = df >= 2
-        owner, tokens, df = owner[keep], tokens[keep], df[keep]
-        cls = np.minimum(254, (16 * np.log2(np.maximum(df, 1))).astype(int))
+            return pa.table({"home": pa.array([bucket - homes] * len(table), pa.int32()), "head": pa.array([True] * len(table)), "run": table.column("run")})
+        parts = [unpack(r, *TOKENS) for r in table.column("run").to_pylist()]
+        tokens = wide(np.concatenate([p[2] for p in parts]))
+        _, at, n = np.unique(tokens, return_inverse=True, return_counts=True)
+        df = n[at]  # a text that several slices hold counts for each
+        cls = np.minimum(254, (16 * np.log2(df)).astype(int)).astype("u1")
         # a token's name is what the run keeps of it; adding the bucket makes it a corpus-wide one
-        name = (tokens * np.uint64(M2)) ^ np.uint64(bucket * 0x9E3779B1)
-        home = home_of(keys, homes)
-        order = np.lexsort((owner, home[owner] if len(owner) else owner))
-        owner, name, cls = owner[order], name[order], cls[order]
-        out_h, out_r = [], []
-        for h in np.unique(home[owner]):
-            at = home[owner] == h
-            mine = np.unique(owner[at])
-            counts = np.bincount(np.searchsorted(mine, owner[at]), minlength=len(mine))
-            out_h.append(int(h))
-            out_r.append(pack(name[at], counts, keys[mine], sizes[mine], hot[mine], cls[at]))
-        return pa.table({"home": pa.array(out_h, pa.int32()), "run": pa.array(out_r, pa.binary())})
+        name = narrow((tokens * np.uint64(M2)) ^ np.uint64(bucket * 0x9E3779B1))
+        out_h, out_r, end = [], [], 0
+        for number, docs, _ in parts:
+            begin, end = end, end + len(docs)
+            keep = df[begin:end] >= 2
+            if keep.any():
+                out_h.append(home_of(number[0], homes))
+                out_r.append(pack(number, docs[keep], name[begin:end][keep], cls[begin:end][keep]))
+        return pa.table({"home": pa.array(out_h, pa.int32()), "head": pa.array([False] * len(out_h), pa.bool_()), "run": pa.array(out_r, pa.binary())})
 
-    return runs.groupBy("bucket").applyInArrow(count, "home int, run binary")
+    return runs.groupBy("bucket").applyInArrow(count, "home int, head boolean, run binary")
 
 
-def _prefixes(back: DataFrame, percent: int) -> DataFrame:
-    """key, n, tokens: the repeated part of the A prefix; rest: slots left for hot tokens."""
+def _prefixes(back: DataFrame, percent: int, hot) -> DataFrame:
+    """key, n, tokens of the documents whose A prefix holds a token that is not theirs alone: those tokens."""
 
     def cut(table: pa.Table) -> pa.Table:
-        keys, sizes, hot, owner, tokens, cls = _joined(table.column("run").to_pylist())
-        order = np.lexsort((tokens, cls, owner))
-        owner, tokens = owner[order], tokens[order]
-        many = np.bincount(owner, minlength=len(keys))
-        slots = needed(sizes.astype(np.int64), percent) - (sizes - many - hot)
-        start = np.r_[0, np.cumsum(many)[:-1]] if len(keys) else many
-        on = np.flatnonzero(slots > 0)
-        taken = [tokens[start[i] : start[i] + min(slots[i], many[i])].view(np.int64) for i in on]
-        return pa.table({"key": pa.array([keys[i].tobytes().hex() for i in on], pa.string()), "n": pa.array(sizes[on], pa.int64()), "tokens": pa.array([t.tolist() for t in taken], pa.list_(pa.int64())), "rest": pa.array([max(0, int(slots[i] - many[i])) for i in on], pa.int64())})
-
-    return back.groupBy("home").applyInArrow(cut, "key string, n long, tokens array<long>, rest long")
+        hottest = np.sort(hot.value).view(np.int64)
+        is_head = table.column("head").to_numpy()
+        heads = [unpack(r, *HEADS) for r in table.filter(pa.array(is_head)).column("run").to_pylist()]
+        came: dict[int, list] = {}
+        for r in table.filter(pa.array(~is_head)).column("run").to_pylist():
+            p = unpack(r, *BACK)
+            came.setdefault(int(p[0][0]), []).append(p)
+        out_k, out_n, out_t = [], [], []
+        for number, keys, sizes, n_hot, hot_at in heads:
+            runs = came.get(int(number[0]), [])
+            docs, name, cls = (np.concatenate([r[i] for r in runs] or [np.zeros(0, t)]) for i, t in ((1, "<u2"), (2, "V5"), (3, "u1")))
+            name = wide(name).view(np.int64)
+            order = np.lexsort((name, cls, docs))
+            name, many = name[order], np.bincount(docs, minlength=len(keys))
+            slots = needed(sizes.astype(np.int64), percent) - (sizes - many - n_hot)
+            first, first_hot = np.cumsum(many) - many, np.cumsum(n_hot) - n_hot
+            for i in np.flatnonzero(slots > 0):
+                own = name[first[i] : first[i] + min(slots[i], many[i])]
+                rest = hottest[hot_at[first_hot[i] : first_hot[i] + min(slots[i] - len(own), n_hot[i])]]  # hot ones follow each other by hash
+                out_k.append(keys[i].tobytes().hex())
+                out_n.append(int(sizes[i]))
+                out_t.append(np.concatenate([own, rest]))
+        return pa.table({"key": pa.array(out_k, pa.string()), "n": pa.array(out_n, pa.int64()), "tokens": pa.array(out_t, pa.list_(pa.int64()))})
+
+    return back.groupBy("home").applyInArrow(cut, "key string, n long, tokens array<long>")
 
 
 def shared(sets_a: list[np.ndarray], sets_b: list[np.ndarray], count: bool) -> np.ndarray:
@@ -348,24 +329,8 @@ def similar(
     hot_set = common.select("id").toArrow().column(0).to_numpy().astype(np.int64).view(np.uint64)  # at most 100 mean set sizes
     hot = spark.sparkContext.broadcast(hot_set)
     buckets = 1 << max(3, int(np.ceil(np.log2(max(1, total["words"] / bucket_tokens)))))
-    kept = settle(_prefixes(_frequencies(_runs(x, words, buckets, hot), buckets), percent), "prefixes")
-
-    # texts of the documents that are left, one of each key: that with the smallest id
-    first = rows.groupBy("key").agg(F.min(F.coalesce("id", F.lit(NO_ID))).alias("id"))
-    cand = _keyed(x).join(kept.join(first, "key"), ["id", "key"]).dropDuplicates(["key"]).drop("id")
-
-    def with_hot(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in batches:
-            tokens = []
-            for z, own, rest in zip(p["z"], p["tokens"], p["rest"]):
-                if rest > 0:  # hot tokens follow each other by hash
-                    mine = np.intersect1d(shingles(word_list(zlib.decompress(z)), words), hot.value, assume_unique=True)
-                    own = np.concatenate([np.asarray(own, np.int64), mine[:rest].view(np.int64)])
-                tokens.append(list(own))
-            yield p.assign(tokens=pd.Series(tokens, index=p.index, dtype=object))
-
-    cand = settle(cand.mapInPandas(with_hot, cand.schema), "candidates")
-    token = cand.select("key", F.explode(F.array_distinct("tokens")).alias("token"))
+    kept = settle(_prefixes(_frequencies(_runs(x, words, buckets, hot), buckets), percent, hot).dropDuplicates(["key"]), "prefixes")
+    token = kept.select("key", F.explode(F.array_distinct("tokens")).alias("token"))
     group = token.groupBy("token").agg(F.min("key").alias("low"), F.count("*").alias("docs")).where("docs > 1")
     clusters = components(token.join(group, "token").where("low < key").select("low", "key").distinct(), "low", "key")
     size = clusters.groupBy("component").agg(F.count("*").alias("docs"))
@@ -375,7 +340,10 @@ def similar(
     size = size.withColumn("home", F.when(small, F.concat(F.lit("p"), F.pmod(F.xxhash64("component"), packs))).otherwise(F.col("component")))
     size = size.withColumn("cuts", F.when(small, 1).otherwise(F.ceil(F.col("docs") / block_rows)).cast("long"))
     placed = clusters.withColumnRenamed("node", "key").join(size, "component").select("key", "home", F.pmod(F.xxhash64("key"), "cuts").alias("block"))
-    placed = settle(placed.join(cand, "key").select("key", "home", "block", "z", "tokens"), "placed")
+    # texts of the clustered documents, one of each key: that with the smallest id
+    first = rows.groupBy("key").agg(F.min(F.coalesce("id", F.lit(NO_ID))).alias("id"))
+    placed = _keyed(x).join(placed.join(kept.select("key", "tokens"), "key").join(first, "key"), ["id", "key"]).dropDuplicates(["id", "key"])
+    placed = settle(placed.select("key", "home", "block", "z", "tokens"), "placed")
     at = placed.select("home", "block", F.explode("tokens").alias("token")).distinct()
     other = at.select("home", "token", F.col("block").alias("other"))
     pairs = settle(at.join(other, ["home", "token"]).where("block <= other").select("home", "block", "other").distinct(), "pairs")
@@ -390,6 +358,7 @@ def similar(
         names = a["key"].to_numpy() if key[1] == key[2] else np.concatenate([a["key"].to_numpy(), b["key"].to_numpy()])
         j = j if key[1] == key[2] else j + len(a)
         low = names[local_components(len(names), i, j)]
+        _words.clear()
         out = pd.DataFrame({"low": low, "key": names})
         return out[out["low"] != out["key"]]
 
@@ -413,7 +382,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
     names = ["id", "key", "z"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1):
             texts = [(t.as_py() or "").encode("utf-8", "surrogatepass") for t in batch.column(1)]
             keys = [key_of(word_list(t)).hex() for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.string()), pa.array([zlib.compress(t, 1) for t in texts], pa.binary())], names=names)
