@@ -1,52 +1,107 @@
 """Nearest neighbours by multi-index hashing over learned rotated binary codes.
 
 Fit: on a bounded sample, several rotations are learned by iterative
-quantisation (each from its own random start), and a vector's code is the
-signs of all its rotated components. Search: queries and vectors meet in
-blocks of stated size. A block indexes each 8-bit substring of its codes. By
-the pigeonhole principle every code within Hamming radius r of a query agrees
-with it, in at least one of m substrings, up to floor(r / m) flips; so probing
-the substrings' buckets within that many flips retrieves every such code. The
-radius grows, for each query and block, until it holds ``shortlist`` codes (once
-the buckets hold half of the block, its other codes are scanned too), and all codes within it are ranked again by their
-exact inner product in double precision. A block has a fixed size, so recall
-doesn't fall as the table grows.
-
-Every (query, block) keeps its best k, and a window for each query merges
-them. For inner products of vectors of unequal length, codes are of the
-vectors extended by sqrt(M^2 - |x|^2), M the greatest length in the sample;
-longer ones extend by 0.
+quantisation (each from its own random start); a vector's code is the first
+``bits`` signs of its rotated components, cut into m substrings of 16 bits.
+
+Index: blocks of stated size, each built once and written: its codes, and for
+each substring its rows in order of that substring's value.
+
+Search, by the pigeonhole principle: two codes at most r = m f + a bits apart
+agree in one of the substrings 0..a up to f flips, or in one of the others up
+to f - 1. Probing those buckets so retrieves every code within radius r. The
+rows touched are ordered by Hamming distance, and the nearest ``shortlist`` of
+each block are ranked again by their exact inner product in double precision.
+
+The radius is what the data need: it is fitted on the sample, as the least r at
+which probing meets a share ``target`` of the sample's own true neighbours. A
+sample's neighbours lie further apart than the whole table's, so the share met
+there is rather higher. Clustered vectors get a small radius; vectors without
+structure a large one, and then the buckets hold a good part of a block.
+
+Every (query block, block) keeps each query's best k, and a window for each
+query merges them. For inner products of vectors of unequal length, codes are
+of the vectors extended by sqrt(M^2 - |x|^2), M the greatest length in the
+sample; longer ones extend by 0.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import lru_cache
+from itertools import combinations
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
+from inkloom.llm.common import settle
 from inkloom.llm.vectors import sample, usable
 
-BITS = np.array([bin(i).count("1") for i in range(256)], np.uint8)
-NEAR = np.argsort(BITS, kind="stable")  # byte flips by number of bits
-COUNT = np.searchsorted(BITS[NEAR], np.arange(10))  # flips with fewer than i bits
+WIDTH = 16  # bits of a substring: about the logarithm of a block's rows
+
+
+@lru_cache(maxsize=WIDTH + 1)
+def flips(f: int) -> np.ndarray:
+    """Every substring value with exactly ``f`` bits set."""
+    return np.array([sum(1 << i for i in c) for c in combinations(range(WIDTH), f)], np.uint16)
+
+
+def levels(m: int, radius: int) -> np.ndarray:
+    """Flips to probe in each of the m substrings for a Hamming radius (-1: none)."""
+    f, a = divmod(radius, m)
+    return np.where(np.arange(m) <= a, f, f - 1)
+
+
+@dataclass
+class Coder:
+    """Greatest length, mean and rotations (d + 1 by bits), and the radius to probe."""
 
+    top: float
+    mean: np.ndarray
+    rotation: np.ndarray
+    radius: int = 0
 
-def learn(x: np.ndarray, turns: int, rounds: int, seed: int) -> tuple[float, np.ndarray, np.ndarray]:
-    """(greatest length, mean, rotations d+1 by turns * (d+1)) by iterative quantisation."""
-    top = float(np.sqrt((x * x).sum(1).max())) if len(x) else 1.0
-    x = extend(x, top)
-    mean = x.mean(0) if len(x) else np.zeros(x.shape[1])
-    x = x - mean
+    def codes(self, x: np.ndarray, query: bool = False) -> np.ndarray:
+        """Codes as rows of uint16 substrings; queries are scaled to the greatest length."""
+        if query:
+            x = x * (self.top / np.sqrt((x * x).sum(1)))[:, None]
+        bits = (extend(x, self.top) - self.mean) @ self.rotation >= 0
+        return np.packbits(bits, axis=1).view(np.uint16)
+
+
+def learn(x: np.ndarray, *, bits: int, rounds: int, k: int, share: float, target: float, seed: int, asked: int = 200) -> Coder:
+    """Rotations by iterative quantisation, and the radius that meets ``target`` of the sample's neighbours.
+
+    ``share``: the sample's part of all rows. Of the k neighbours in the table
+    about k * share are in the sample, so as many (one at least) count there.
+    """
+    top = float(np.sqrt((x * x).sum(1).max()))
+    y = extend(x, top)
+    mean = y.mean(0)
+    y = y - mean
     rng = np.random.default_rng(seed)
     out = []
-    for _ in range(turns):
-        r = np.linalg.qr(rng.standard_normal((x.shape[1], x.shape[1])))[0]
-        for _ in range(rounds if len(x) else 0):
-            u, _, v = np.linalg.svd(np.where(x @ r >= 0, 1.0, -1.0).T @ x)
+    for _ in range(-(-bits // y.shape[1])):
+        r = np.linalg.qr(rng.standard_normal((y.shape[1], y.shape[1])))[0]
+        for _ in range(rounds):
+            u, _, v = np.linalg.svd(np.where(y @ r >= 0, 1.0, -1.0).T @ y)
             r = (u @ v).T
         out.append(r)
-    return top, mean, np.hstack(out)
+    coder = Coder(top, mean, np.hstack(out)[:, :bits])
+    at = rng.permutation(len(x))[:asked]
+    near = min(max(1, int(np.ceil(k * share))), len(x) - 1)
+    if near < 1:
+        return coder
+    product = x[at] @ x.T
+    product[np.arange(len(at)), at] = -np.inf
+    mine = np.argpartition(-product, near - 1, axis=1)[:, :near]
+    apart = np.bitwise_count(coder.codes(x)[mine] ^ coder.codes(x[at], query=True)[:, None, :]).astype(int)
+    m = apart.shape[2]
+    met = np.sort((m * apart + np.arange(m)).min(2).ravel())  # the least radius whose probes touch each neighbour
+    coder.radius = int(met[min(len(met) - 1, int(np.ceil(target * len(met))) - 1)])
+    return coder
 
 
 def extend(x: np.ndarray, top: float) -> np.ndarray:
@@ -54,66 +109,53 @@ def extend(x: np.ndarray, top: float) -> np.ndarray:
     return np.hstack([x, rest[:, None]])
 
 
-def codes(x: np.ndarray, top: float, mean: np.ndarray, rotation: np.ndarray, query: bool) -> np.ndarray:
-    """Packed codes, a multiple of 8 bytes wide; queries are scaled to the greatest length."""
-    if query:
-        x = x * (top / np.sqrt((x * x).sum(1)))[:, None]
-    bits = (extend(x, top) - mean) @ rotation >= 0
-    width = -(-bits.shape[1] // 64) * 64
-    padded = np.zeros((len(x), width), bool)
-    padded[:, : bits.shape[1]] = bits
-    return np.packbits(padded, axis=1)
-
-
 class Index:
-    """Substring tables over the codes of one block: for each substring, rows in order of its value."""
-
-    def __init__(self, code: np.ndarray, bits: int | None = None):
-        self.code = code
-        self.m = (bits or 8 * code.shape[1]) // 8  # whole substrings; what is left and the padding only count in distances
-        self.words = np.ascontiguousarray(code.view(np.uint64).T)
-        self.order = np.argsort(code.T[: self.m], axis=1, kind="stable").astype(np.int32)
-        counts = np.stack([np.bincount(column, minlength=256) for column in code.T[: self.m]])
-        self.starts = np.hstack([np.zeros((self.m, 1), np.int64), np.cumsum(counts, axis=1)])
-
-    def probe(self, q: np.ndarray, flips: int) -> np.ndarray:
-        """Rows that agree with ``q`` in a substring up to exactly ``flips`` flips (with repeats)."""
-        n, m = len(self.code), self.m
-        bucket = q[:m, None] ^ NEAR[COUNT[flips] : COUNT[flips + 1]]
-        at = np.arange(m)[:, None]
-        start = self.starts[at, bucket]
-        size = (self.starts[at, bucket.astype(np.int64) + 1] - start).ravel()
-        first = (start + at * n).ravel()
-        skip = np.cumsum(size) - size
-        return self.order.ravel()[np.repeat(first - skip, size) + np.arange(size.sum())]
-
-    def apart(self, q: np.ndarray, rows: np.ndarray | slice) -> np.ndarray:
-        """Hamming distances of rows to ``q``."""
-        return sum(np.bitwise_count(w[rows] ^ x).astype(np.uint16) for w, x in zip(self.words, q.view(np.uint64)))
-
-    def within(self, q: np.ndarray, shortlist: int) -> np.ndarray:
-        """Rows of every code within the smallest radius that holds ``shortlist`` codes."""
-        n, m = len(self.code), self.m
-        seen = np.zeros(n, bool)
-        for flips in range(9):
-            seen[self.probe(q, flips)] = True
-            rows = np.flatnonzero(seen)
-            sure = m * (flips + 1) - 1  # all codes within this radius are among the rows
-            if 2 * len(rows) > n or flips == 8:  # further buckets hold most rows again: the block's codes are scanned instead
-                rows, sure = np.arange(n), 8 * self.code.shape[1]
-                apart = self.apart(q, slice(None))
-            elif len(rows) < shortlist:
-                continue
-            else:
-                apart = self.apart(q, rows)
-            near = apart <= sure
-            if near.sum() >= min(shortlist, n):
-                rows, apart = rows[near], apart[near]
-                if len(rows) > shortlist:
-                    radius = np.partition(apart, shortlist - 1)[shortlist - 1]
-                    rows = rows[apart <= radius]
-                return rows
-        raise AssertionError
+    """The substring tables of one block: for each substring, rows in order of its value."""
+
+    def __init__(self, code: np.ndarray, order: np.ndarray | None = None):
+        self.code = np.ascontiguousarray(code)
+        self.words = self.code.view(np.uint64)
+        self.n, self.m = code.shape
+        self.order = np.argsort(code.T, axis=1, kind="stable").astype(np.int32) if order is None else order
+        counts = np.stack([np.bincount(column, minlength=1 << WIDTH) for column in code.T])
+        self.starts = np.hstack([np.zeros((self.m, 1), np.int64), np.cumsum(counts, axis=1)]).astype(np.int32)
+
+    def touched(self, q: np.ndarray, radius: int) -> np.ndarray:
+        """Rows in the buckets that hold every code within ``radius`` of ``q``, in order."""
+        seen = np.zeros(self.n, bool)
+        level = levels(self.m, radius)
+        for f in range(min(WIDTH, int(level.max())) + 1):
+            at = np.flatnonzero(level >= f)[:, None]
+            bucket = (q[at] ^ flips(f)).astype(np.int64)
+            start = self.starts[at, bucket]
+            size = (self.starts[at, bucket + 1] - start).ravel()
+            first = (start + at * self.n).ravel()
+            on = size > 0
+            first, size = first[on], size[on]
+            skip = np.cumsum(size) - size
+            seen[self.order.ravel()[np.repeat(first - skip, size) + np.arange(size.sum())]] = True
+        return np.flatnonzero(seen)
+
+    def nearest_codes(self, q: np.ndarray, radius: int, shortlist: int) -> tuple[np.ndarray, int]:
+        """Of the touched rows those up to the distance that holds ``shortlist``; and how many were touched."""
+        rows = self.touched(q, radius)
+        if len(rows) <= shortlist:
+            return rows, len(rows)
+        apart = np.bitwise_count(self.words[rows] ^ q.view(np.uint64)).sum(1, dtype=np.int64)
+        return rows[apart <= np.partition(apart, shortlist - 1)[shortlist - 1]], len(rows)
+
+
+def build(vectors: DataFrame, coder, blocks: int, seed: int) -> DataFrame:
+    """One row a block: block, n, ids, vectors, codes and substring orders in binary."""
+    dealt = vectors.withColumn("block", F.pmod(F.xxhash64("id", "x", F.lit(seed)), F.lit(blocks)).cast("int"))
+
+    def one(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values("id", kind="stable")  # so that a stable sort by score leaves ties to smaller ids
+        x = np.vstack(p["x"].to_numpy()).astype(float)
+        index = Index(coder.value.codes(x))
+        return pd.DataFrame({"block": [p["block"].iloc[0]], "n": [len(p)], "ids": [p["id"].to_numpy(np.int64).tobytes()], "x": [x.tobytes()], "code": [index.code.tobytes()], "orders": [index.order.tobytes()]})
+
+    return dealt.groupBy("block").applyInPandas(one, "block int, n int, ids binary, x binary, code binary, orders binary")
 
 
 def nearest(
@@ -123,51 +165,58 @@ def nearest(
     every: int = 20,
     id_col: str = "vec_id",
     vec_col: str = "embedding",
-    turns: int = 4,
+    bits: int = 256,
     rounds: int = 12,
     fit_rows: int = 20_000,
-    shortlist: int = 512,
+    target: float = 0.96,
+    shortlist: int = 1_024,
     block_rows: int = 16_384,
-    query_rows: int = 1_024,
+    query_rows: int = 4_096,
     seed: int = 3,
+    with_touched: bool = False,
 ) -> DataFrame:
     """query_id, rank, vec_id, score: for each id divisible by ``every``, its k nearest rows found.
 
     Score: inner product in double precision. Ties go to the smaller id. A
     query's own id is no candidate. Vectors that are null, empty, zero or hold
     null or non-finite components, rows without an id, and vectors of another
-    length than most of the sample take no part; a repeated id counts once
-    (its best score). Empty tables give an empty result.
+    length than most rows take no part; a repeated id counts once (its best
+    score), and a repeated query id asks with its smallest vector. Of equal
+    vectors the k + 1 smallest ids are indexed, as no other can be an answer.
+    Empty tables give an empty result. ``with_touched`` adds the number of rows
+    that the query's probes touched in the block where the answer was found.
     """
-    schema = "query_id long, vec_id long, score double"
+    if bits % 64:
+        raise ValueError("bits must be a multiple of 64")
+    out = "query_id long, rank int, vec_id long, score double" + ", touched long" * with_touched
     x = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("x"))
     x = x.where(F.col("id").isNotNull() & usable(F.col("x")))
     dims = x.groupBy(F.size("x").alias("d")).count().orderBy(F.desc("count"), "d").first()
     if dims is None:
-        return x.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+        return x.sparkSession.createDataFrame([], out)
     x = x.where(F.size("x") == dims["d"])
-    n = x.count()
-    top, mean, rotation = learn(sample(x, fit_rows, seed), turns, rounds, seed)
-    model = x.sparkSession.sparkContext.broadcast((top, mean, rotation))  # (d + 1)^2 numbers a turn
-    nx, nq = -(-n // block_rows), max(1, -(-n // (every * query_rows)))
-    # rows of a block are any rows: a hot vector or group spreads over all blocks
-    dealt = x.withColumn("xb", F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(nx)).cast("int"))
-    queries = x.where(F.col("id") % every == 0).withColumn("qb", F.pmod(F.xxhash64("id", F.lit(seed + 1)), F.lit(nq)).cast("int"))
-    left = queries.withColumn("xb", F.explode(F.sequence(F.lit(0), F.lit(nx - 1))))
-    right = dealt.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
-
-    def block(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query_id": np.array([], np.int64), "vec_id": np.array([], np.int64), "score": np.array([], float)})
+    fit = sample(x, fit_rows, seed)
+    coder = x.sparkSession.sparkContext.broadcast(learn(fit, bits=bits, rounds=rounds, k=k, share=len(fit) / dims["count"], target=target, seed=seed))  # (d + 1) * bits numbers
+    same = F.row_number().over(W.partitionBy("x").orderBy("id"))  # limited to k + 1 before the shuffle
+    distinct = x.withColumn("same", same).where(F.col("same") <= k + 1).drop("same")
+    nx, nq = -(-dims["count"] // block_rows), max(1, -(-dims["count"] // (every * query_rows)))
+    index = settle(build(distinct, coder, nx, seed), "index")
+    queries = x.where(F.col("id") % every == 0).groupBy("id").agg(F.min("x").alias("x"))
+    queries = queries.withColumn("part", F.pmod(F.xxhash64("id", F.lit(seed + 1)), F.lit(nq)).cast("int"))
+    left = queries.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(nx - 1))))
+    right = index.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
+
+    def search(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(v):
-            return empty
-        v = v.sort_values("id", kind="stable")  # so that a stable sort by score leaves ties to smaller ids
-        qx, vx = np.vstack(q["x"].to_numpy()).astype(float), np.vstack(v["x"].to_numpy()).astype(float)
-        qid, vid = q["id"].to_numpy(), v["id"].to_numpy()
+            return pd.DataFrame({"query_id": np.array([], np.int64), "vec_id": np.array([], np.int64), "score": np.array([], float), "touched": np.array([], np.int64)})
+        v = v.iloc[0]
+        vid, vx = np.frombuffer(v["ids"], np.int64), np.frombuffer(v["x"], float).reshape(v["n"], -1)
+        found = Index(np.frombuffer(v["code"], np.uint16).reshape(v["n"], -1), np.frombuffer(v["orders"], np.int32).reshape(-1, v["n"]))
         repeated = len(np.unique(vid)) < len(vid)
-        index = Index(codes(vx, *model.value, query=False), model.value[2].shape[1])
-        ids, scores, size = [np.zeros(0, np.int64)], [np.zeros(0)], []
-        for i, code in enumerate(codes(qx, *model.value, query=True)):
-            rows = np.sort(index.within(code, shortlist + 1))
+        qid, qx = q["id"].to_numpy(), np.vstack(q["x"].to_numpy()).astype(float)
+        ids, scores, size, touched = [np.zeros(0, np.int64)], [np.zeros(0)], [], []
+        for i, code in enumerate(coder.value.codes(qx, query=True)):
+            rows, seen = found.nearest_codes(code, coder.value.radius, shortlist)
             rows = rows[vid[rows] != qid[i]]
             score = vx[rows] @ qx[i]
             best = np.argsort(-score, kind="stable")
@@ -177,8 +226,11 @@ def nearest(
             ids.append(vid[rows[best]])
             scores.append(score[best])
             size.append(len(best))
-        return pd.DataFrame({"query_id": np.repeat(qid, size), "vec_id": np.concatenate(ids), "score": np.concatenate(scores)})
+            touched.append(seen)
+        return pd.DataFrame({"query_id": np.repeat(qid, size), "vec_id": np.concatenate(ids), "score": np.concatenate(scores), "touched": np.repeat(touched, size)})
 
-    found = left.groupBy("qb", "xb").cogroup(right.groupBy("qb", "xb")).applyInPandas(block, schema).dropDuplicates(["query_id", "vec_id"])
+    by = ["part", "block"]
+    found = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(search, "query_id long, vec_id long, score double, touched long")
+    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"), F.max("touched").alias("touched"))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", *(["touched"] * with_touched))
