@@ -9,8 +9,8 @@ paths of each host form a tree; the tree is generalised level by level:
 * digit and hexadecimal runs of a segment become ``<n>`` and ``<h>``;
 * where a node has many children, children with a small share of its URLs are
   one wildcard ``*``;
-* sibling branches with the same templates below, the same kind of evidence
-  and a bad rate that a z-test can't tell from their pooled rate are merged.
+* then, from the deepest level up, sibling branches with the same templates
+  below and a bad rate that a z-test can't tell from their pooled rate are merged.
 
 A template is rejected when ``(bad + alpha * base) / (labelled + alpha)``, its
 purity smoothed towards the base rate over all URLs, reaches ``purity``. URLs
@@ -58,57 +58,58 @@ def shape_of(path: Column) -> Column:
     return F.filter(F.split(masked, "/"), lambda s: s != "")
 
 
-def templates(shapes: DataFrame, *, max_depth: int = 8, fan_out: int = 12, rare_share: float = 0.02) -> DataFrame:
+def templates(shapes: DataFrame, *, fan_out: int = 12, rare_share: float = 0.02) -> DataFrame:
     """Add ``template`` (array of segments) to host, segs, n, lab, bad rows.
 
-    One level of the tree a round: counts of each node and child are grouped
-    sums, joined back. Segments past ``max_depth`` are one wildcard ``**``.
+    One level of the tree a round, to the deepest node with more than one path
+    below it: counts of each node and child are grouped sums, joined back. Where
+    a node has a single path below, all that is left of it is one last segment,
+    so a lone deep path costs no rounds.
     """
-    at = shapes.withColumn("template", F.array().cast("array<string>"))
-    deepest = shapes.agg(F.coalesce(F.max(F.size("segs")), F.lit(0))).first()[0]
-    for d in range(min(max_depth, deepest)):
-        seg = F.get("segs", F.lit(d))
-        at = at.withColumn("seg", seg)
-        child = at.where("seg is not null").groupBy("host", "template", "seg").agg(F.sum("n").alias("n_child"))
-        node = child.groupBy("host", "template").agg(F.sum("n_child").alias("n_node"), F.count("*").alias("fan"))
-        named = (
-            child.join(node, ["host", "template"])
-            .where((F.col("fan") < fan_out) | (F.col("n_child") >= rare_share * F.col("n_node")))
-            .select("host", "template", "seg", F.lit(True).alias("named"))
-        )
-        at = (
-            at.join(named, ["host", "template", "seg"], "left")
-            .withColumn("template", F.when(F.col("seg").isNull(), F.col("template")).otherwise(F.concat("template", F.array(F.when(F.col("named"), F.col("seg")).otherwise(F.lit("*"))))))
-            .drop("seg", "named")
-        )
-        if d % 2:
-            at = settle(at, "templates")
-    deep = F.size("segs") > max_depth
-    return at.withColumn("template", F.when(deep, F.concat("template", F.array(F.lit("**")))).otherwise(F.col("template")))
+    none = F.array().cast("array<string>")
+    left = shapes.withColumn("template", none).withColumn("rest", F.col("segs"))
+    done = left.where(F.size("rest") == 0).drop("rest")
+    left = left.where(F.size("rest") > 0)
+    while not left.isEmpty():
+        left = left.withColumn("seg", F.get("rest", F.lit(0)))
+        child = left.groupBy("host", "template", "seg").agg(F.sum("n").alias("n_child"), F.min("rest").alias("low"), F.max("rest").alias("high"))
+        node = child.groupBy("host", "template").agg(F.sum("n_child").alias("n_node"), F.count("*").alias("fan"), (F.min("low") == F.max("high")).alias("single"))
+        named = (F.col("fan") < fan_out) | (F.col("n_child") >= rare_share * F.col("n_node"))
+        kinds = child.join(node, ["host", "template"]).select("host", "template", "seg", "single", named.alias("named"))
+        step = left.join(kinds, ["host", "template", "seg"])
+        more = F.when(F.col("single"), F.array_join("rest", "/")).when(F.col("named"), F.col("seg")).otherwise("*")
+        rest = F.when(F.col("single"), none).otherwise(F.slice("rest", 2, F.size("rest")))
+        step = settle(step.withColumn("template", F.array_append("template", more)).withColumn("rest", rest).drop("seg", "single", "named"), "templates")
+        done = done.unionByName(step.where(F.size("rest") == 0).drop("rest"))
+        left = step.where(F.size("rest") > 0)
+    return done
 
 
 def merged(leaves: DataFrame, *, z: float = 1.96) -> DataFrame:
-    """Merge similar sibling branches at the first level of each host.
+    """Merge similar sibling branches, at every node, from the deepest level up.
 
-    ``leaves``: host, template, n, lab, bad. Returns host, template, merged
-    (template with the first segment ``*`` where its branch was merged).
+    Siblings are similar if the same templates lie below them and their bad
+    rates don't differ from the pooled one by a z-test; branches without a label
+    have no rate, so they merge among themselves only (as ``*?``).
+    ``leaves``: host, template, lab, bad. Returns host, template, merged.
     """
-    first = F.get("template", F.lit(0))
-    rest = F.slice("template", 2, F.greatest(F.size("template") - 1, F.lit(0)))
-    x = leaves.where(F.size("template") > 0).select("*", first.alias("branch"), rest.alias("rest"))
-    branch = x.groupBy("host", "branch").agg(
-        F.sort_array(F.collect_set("rest")).alias("below"),  # templates of one branch: at most fan_out / rare_share a level
-        F.sum("lab").alias("lab"),
-        F.sum("bad").alias("bad"),
-    ).select("host", "branch", "lab", "bad", F.xxhash64(F.to_json("below")).alias("below"), (F.col("lab") > 0).alias("seen"))
-    pool = branch.groupBy("host", "below", "seen").agg(F.sum("lab").alias("lab_p"), F.sum("bad").alias("bad_p"), F.count("*").alias("kin"))
-    p = (F.col("bad_p") + 0.5) / (F.col("lab_p") + 1.0)
-    alike = (~F.col("seen")) | (F.abs(F.col("bad") / F.col("lab") - p) <= z * F.sqrt(p * (1 - p) / F.col("lab")))
-    join = branch.join(pool, ["host", "below", "seen"]).where((F.col("kin") > 1) & alike).select("host", "branch", "seen")
-    kind = F.when(F.col("seen"), F.lit("*")).otherwise(F.lit("*?"))
-    return x.join(join, ["host", "branch"], "left").select(
-        "host", "template", F.when(F.col("seen").isNull(), F.col("template")).otherwise(F.concat(F.array(kind), F.col("rest"))).alias("merged")
-    )
+    state = leaves.withColumn("merged", F.col("template"))
+    deepest = leaves.agg(F.coalesce(F.max(F.size("template")), F.lit(0))).first()[0]
+    for level in range(deepest - 1, -1, -1):
+        at = state.withColumn("parent", F.slice("merged", 1, level)).withColumn("branch", F.get("merged", F.lit(level))).withColumn("below", F.slice("merged", level + 2, deepest))
+        own = ["host", "parent", "branch"]
+        cell = at.where("branch is not null").groupBy(*own, "below").agg(F.sum("lab").alias("lab"), F.sum("bad").alias("bad"))
+        # two hashes stand for the set of templates below
+        branch = cell.groupBy(*own).agg(*(F.bit_xor(F.xxhash64(F.lit(i), "below")).alias(f"b{i}") for i in (1, 2)), F.count("*").alias("size"), F.sum("lab").alias("lab"), F.sum("bad").alias("bad")).withColumn("seen", F.col("lab") > 0)
+        same = ["host", "parent", "b1", "b2", "size", "seen"]
+        pool = branch.groupBy(*same).agg(F.sum("lab").alias("lab_p"), F.sum("bad").alias("bad_p"), F.count("*").alias("kin")).where("kin > 1")
+        p = (F.col("bad_p") + 0.5) / (F.col("lab_p") + 1.0)
+        alike = (~F.col("seen")) | (F.abs(F.col("bad") / F.col("lab") - p) <= z * F.sqrt(p * (1 - p) / F.col("lab")))
+        join = branch.join(pool, same).where(alike).select(*own, "seen")
+        kind = F.when(F.col("seen"), F.lit("*")).otherwise(F.lit("*?"))
+        new = F.when(F.col("seen").isNull(), F.col("merged")).otherwise(F.concat("parent", F.array(kind), "below"))
+        state = settle(at.join(join, own, "left").select("host", "template", "lab", "bad", new.alias("merged")), "merged")
+    return state.select("host", "template", "merged")
 
 
 def judge_urls(pages: DataFrame, rules: Sequence[Rule], *, url: str = "url", alpha: float = 8.0, purity: float = 0.5, **tree) -> DataFrame:
