@@ -170,29 +170,38 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: i
     return x.withColumn("h", row_key(x, id_col, seed))
 
 
-def taken(docs: DataFrame, *, weights: Sequence[float] = (1, 2, 3), cap: float = 3.0, n_shards: int = 64, seed: int = 20, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """For every row: its id, size, source_size, target and taken (words, repeats counted).
+def shards_for(slim: DataFrame, n_shards: int | None, shard_words: int) -> int:
+    """As many shards as hold ``shard_words`` each, unless stated."""
+    return n_shards or max(1, -(-int(slim.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]) // shard_words))
 
-    Null text has size 0, null sources are one source, null ids are ids like
+
+def taken(docs: DataFrame, *, weights: Sequence[float] = (1, 2, 3), cap: float = 3.0, n_shards: int | None = None, shard_words: int = 1_000_000, seed: int = 20, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """For every row: its id, size, source_size, target, taken (words, repeats counted) and shards.
+
+    ``shards`` is the sorted list of the shards that take the row, once for each
+    time it is taken: what the splitting tree drew. Null text has size 0, null sources are one source, null ids are ids like
     others. Repeated rows share their fate. Other columns aren't read.
     """
     x = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(source_col).alias("source"))
     slim = settle(_keyed(x, "id", "text", "source", seed).select("id", "source", "skey", "size", "h"), "sizes")
-    plan = plan_mix(slim, weights, cap, n_shards, seed)
-    y = _placed(slim, plan).join(plan.sources.select("skey", "source_size", "target"), "skey")
-    return y.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * F.size("takes")).alias("taken"))
+    plan = plan_mix(slim, weights, cap, shards_for(slim, n_shards, shard_words), seed)
+    y = _placed(slim, plan).join(plan.sources.select("skey", "source_size", "target"), "skey").withColumn("shards", F.array_sort(F.transform("takes", lambda t: t["shard"])))
+    return y.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * F.size("shards")).alias("taken"), "shards")
 
 
-def mix(docs: DataFrame, *, weights: Sequence[float] = (1, 2, 3), cap: float = 3.0, n_shards: int = 64, seed: int = 20, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix(docs: DataFrame, *, weights: Sequence[float] = (1, 2, 3), cap: float = 3.0, n_shards: int | None = None, shard_words: int = 1_000_000, seed: int = 20, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mix itself: a row for every time a document is taken, dealt to its shard and shuffled there.
 
-    Columns are those of ``docs``. The number of shards should grow with the
-    corpus; what is taken doesn't depend on it. Edge cases are those of ``taken``.
+    Columns are those of ``docs``; shard i is partition i. The number of shards
+    grows with the words of the corpus unless it is stated; what is taken
+    doesn't depend on it. Edge cases are those of ``taken``.
     """
     own = docs.columns
     row = docs.select(F.struct(*own).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(source_col).alias("source"))
     keyed = _keyed(row, "id", "text", "source", seed)
-    plan = plan_mix(settle(keyed.select("source", "skey", "size", "h"), "sizes"), weights, cap, n_shards, seed)
+    slim = settle(keyed.select("source", "skey", "size", "h"), "sizes")
+    n_shards = shards_for(slim, n_shards, shard_words)
+    plan = plan_mix(slim, weights, cap, n_shards, seed)
     dealt = _placed(keyed.select("row", "skey", "h"), plan).withColumn("take", F.explode("takes"))
     slot = F.xxhash64(F.lit(seed + 4), "h", "take.pass", "take.shard")
-    return dealt.select("row", F.col("take.shard").alias("shard"), slot.alias("slot")).repartition(n_shards, "shard").sortWithinPartitions("shard", "slot").select("row.*")
+    return dealt.select("row", F.col("take.shard").alias("shard"), slot.alias("slot")).repartitionById(n_shards, F.col("shard")).sortWithinPartitions("slot").select("row.*")
