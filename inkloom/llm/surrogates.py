@@ -8,7 +8,8 @@ Native: only DataFrame functions. The steps:
    capitalised word). Text without the signs of a mention is passed on untouched.
 2. A mention gives parts (kind, class, canonical form): e-mail addresses in
    lower case, phones and cards as digits, names word by word. Equal parts
-   corefer, wherever they are and however they are formatted.
+   corefer, wherever they are and however they are formatted; a given name has
+   the gender that most of its mentions in the corpus show.
 3. Every distinct part draws a candidate from SHA-256 of the secret key, its
    kind, canonical form and attempt. Candidates that another part holds, or
    that occur as an original of that kind, are drawn again until none is left;
@@ -296,8 +297,14 @@ def anonymise(docs: DataFrame, key: str, *, text_col: str = "text", count_col: s
     slim = hit.select("k1", "k2", F.transform(_parts(F.col("found"), F.lit("")), lambda p: F.struct(p["kind"].alias("kind"), p["cls"].alias("cls"), p["canon"].alias("canon"))).alias("parts"))
     texts = settle(slim.where(F.size("parts") > 0).groupBy("k1", "k2").agg(F.first("parts").alias("parts")), "mentions")
     flat = texts.select("k1", "k2", F.posexplode("parts").alias("pos", "p")).select("k1", "k2", "pos", "p.*").where("kind <> ''")
-    known = surrogates(flat.select("kind", "cls", "canon").distinct(), key)
-    subs = flat.join(known, ["kind", "cls", "canon"]).groupBy("k1", "k2").agg(F.map_from_entries(F.collect_list(F.struct("pos", "sur"))).alias("subs"))
+    # a given name has one gender throughout the corpus, the one that most of its mentions show
+    flat = flat.withColumn("group", F.when(F.col("kind") == "given", F.substr("cls", F.lit(2))).otherwise(F.col("cls")))
+    shows = lambda g: F.count_if((F.col("kind") == "given") & F.col("cls").startswith(g))
+    votes = flat.groupBy("kind", "group", "canon").agg(shows("m").alias("m"), shows("f").alias("f"))
+    gender = F.when(F.col("m") > F.col("f"), "m").when(F.col("m") < F.col("f"), "f").otherwise("n")
+    votes = votes.select("kind", F.when(F.col("kind") == "given", F.concat(gender, "group")).otherwise(F.col("group")).alias("cls"), "canon")
+    known = surrogates(votes, key).withColumn("group", F.when(F.col("kind") == "given", F.substr("cls", F.lit(2))).otherwise(F.col("cls"))).drop("cls")
+    subs = flat.join(known, ["kind", "group", "canon"]).groupBy("k1", "k2").agg(F.map_from_entries(F.collect_list(F.struct("pos", "sur"))).alias("subs"))
     parts = _parts(F.col("found"), F.col("text"))
     new = F.transform(parts, lambda p, i: F.concat(p["before"], _written(p["raw"], p["kind"], F.coalesce(F.try_element_at(F.col("subs"), i), F.lit("")))))
     tail = F.element_at(F.split(F.col("text"), ANY), -1)
