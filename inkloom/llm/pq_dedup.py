@@ -70,6 +70,29 @@ class Quantiser:
     def tables(self, q: np.ndarray) -> list[np.ndarray]:
         return [q[:, a:b] @ book.T for a, b, book in zip(self.cuts, self.cuts[1:], self.books)]
 
+    def products(self, x: np.ndarray) -> np.ndarray:
+        return x @ self.centres.T
+
+    def angles(self, x: np.ndarray) -> np.ndarray:
+        """Angles of unit vectors to the centres."""
+        return np.arccos(np.clip(self.products(x) / np.maximum(np.sqrt((self.centres**2).sum(1)), 1e-300), -1, 1))
+
+
+class Blank:
+    """A quantiser that rules nothing out: one list, no codes, for vectors of any length."""
+
+    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return np.zeros(len(x), int), np.zeros((len(x), 0), np.uint8), np.zeros_like(x)
+
+    def tables(self, q: np.ndarray) -> list[np.ndarray]:
+        return []
+
+    def angles(self, x: np.ndarray) -> np.ndarray:
+        return np.full((len(x), 1), math.pi / 2)
+
+    def products(self, x: np.ndarray) -> np.ndarray:
+        return np.zeros((len(x), 1))
+
 
 def unit(x: np.ndarray) -> np.ndarray:
     x = x / np.maximum(np.abs(x).max(1, keepdims=True), 1e-300)
@@ -94,17 +117,14 @@ def links(q: pd.DataFrame, v: pd.DataFrame, same: bool, model: Quantiser, cosine
     """Pairs (row of q, row of v) with cosine >= ``cosine``; each once if ``same``."""
     qx, vx = unit(np.vstack(q["x"].to_numpy())), unit(np.vstack(v["x"].to_numpy()))
     lists = v["list"].to_numpy()
-    code = np.vstack([np.frombuffer(c, np.uint8) for c in v["code"]])
+    code = np.frombuffer(b"".join(v["code"]), np.uint8).reshape(len(v), -1)
     least, angle = v["least"].to_numpy(), v["angle"].to_numpy()
     members = {int(k): np.flatnonzero(lists == k) for k in np.unique(lists)}
     reach = math.acos(cosine) + 1e-7
     out = [np.zeros((2, 0), np.int64)]
     for start in range(0, len(q), 512):
         part = qx[start : start + 512]
-        to_centre = part @ model.centres.T
-        norms = np.sqrt((model.centres**2).sum(1))
-        away = np.arccos(np.clip(to_centre / np.maximum(norms, 1e-300), -1, 1))
-        tables = model.tables(part)
+        to_centre, away, tables = model.products(part), model.angles(part), model.tables(part)
         for k, rows in members.items():
             probe = np.flatnonzero(away[:, k] - angle[rows].max() <= reach)
             if not len(probe):
@@ -153,10 +173,15 @@ def near_duplicates(
     keyed = row.withColumn("k1", F.when(takes, F.xxhash64("x", F.lit(1)))).withColumn("k2", F.when(takes, F.xxhash64(F.lit(2), "x")))
     reps = keyed.where("k1 is not null").groupBy("label", "k1", "k2").agg(F.min("id").alias("rid"), F.count("*").alias("mult"), F.first("x").alias("x"))
     reps = settle(reps.withColumn("label", F.concat("label", F.lit("/"), F.size("x"))), "vectors")
+    dims = reps.groupBy(F.size("x").alias("d")).count().orderBy(F.desc("count"), "d").limit(2).collect()  # one, unless lengths differ
     found = None
-    for dim in [r[0] for r in reps.select(F.size("x")).distinct().collect()]:  # one, unless lengths differ
-        part = _links(reps.where(F.size("x") == dim), cosine, lists, parts, rounds, fit_rows, block_rows, seed)
-        found = part if found is None else found.unionByName(part)
+    if dims:
+        most = F.size("x") == dims[0]["d"]
+        n = dims[0]["count"]
+        fit = sample(reps.where(most).select("x", F.col("rid").alias("id")), fit_rows, seed)
+        found = _links(reps.where(most), Quantiser(fit, min(max(lists, math.isqrt(n)), max(lists, fit_rows // 40)), parts, rounds, seed), cosine, block_rows, seed)
+        if len(dims) > 1:  # vectors of rarer lengths meet in blocks without lists
+            found = found.unionByName(_links(reps.where(~most), Blank(), cosine, block_rows, seed))
     found = settle(found, "links") if found is not None else reps.select("label", "k1", "k2", "rid", F.lit(0).cast("long").alias("links"), F.col("rid").alias("low")).limit(0)
     group = components(found.where("low < rid"), "low", "rid").withColumnRenamed("node", "rid")
     sums = found.groupBy("label", "rid", "k1", "k2").agg(F.sum("links").alias("links"))
@@ -171,27 +196,26 @@ def near_duplicates(
     )
 
 
-def _links(reps: DataFrame, cosine: float, lists: int, parts: int, rounds: int, fit_rows: int, block_rows: int, seed: int) -> DataFrame:
+def _links(reps: DataFrame, quantiser: Quantiser | Blank, cosine: float, block_rows: int, seed: int) -> DataFrame:
     """label, k1, k2, rid, links, low: the links of a class in one pair of blocks, and the smallest id reached there."""
-    fit = sample(reps.select("x", F.col("rid").alias("id")), fit_rows, seed)
-    model = reps.sparkSession.sparkContext.broadcast(Quantiser(fit, lists, parts, rounds, seed))  # lists * d + 256 * d numbers
+    model = reps.sparkSession.sparkContext.broadcast(quantiser)  # lists * d + 256 * d numbers
     across = math.sqrt(1 - cosine * cosine)
     own = "label string, k1 long, k2 long, rid long, mult long, x array<double>"
 
+    def coded_rows(p: pd.DataFrame) -> pd.DataFrame:
+        x = unit(np.vstack(p["x"].to_numpy()))
+        at, codes, y = model.value.encode(x)
+        s = np.einsum("ij,ij->i", x, y)
+        t = np.sqrt(np.maximum(0, (y * y).sum(1) - s * s))
+        # the bound falls with the cosine only while s >= -t * c / sqrt(1 - c^2); else nothing is ruled out
+        least = np.where(s * across + t * cosine >= 0, cosine * s - across * t, -10.0)
+        away = model.value.angles(x)
+        return p.assign(list=at.astype(np.int32), code=[r.tobytes() for r in codes], least=least, angle=away[np.arange(len(x)), at], away=list(away.astype(np.float32)))
+
     def code(batches):
         for p in batches:
-            if not len(p):
-                continue
-            x = unit(np.vstack(p["x"].to_numpy()))
-            at, codes, y = model.value.encode(x)
-            s = np.einsum("ij,ij->i", x, y)
-            t = np.sqrt(np.maximum(0, (y * y).sum(1) - s * s))
-            # the bound falls with the cosine only while s >= -t * c / sqrt(1 - c^2); else nothing is ruled out
-            least = np.where(s * across + t * cosine >= 0, cosine * s - across * t, -10.0)
-            c = model.value.centres
-            cos = (x @ c.T) / np.maximum(np.sqrt((c * c).sum(1)), 1e-300)
-            away = np.arccos(np.clip(cos, -1, 1))
-            yield p.assign(list=at.astype(np.int32), code=[r.tobytes() for r in codes], least=least, angle=away[np.arange(len(x)), at], away=list(away.astype(np.float32)))
+            for _, part in p.groupby(p["x"].map(len)):
+                yield coded_rows(part)
 
     coded = settle(reps.select("label", "k1", "k2", "rid", "mult", "x").mapInPandas(code, own + ", list int, code binary, least double, angle double, away array<float>"), "codes")
     # lists of a label, in order, fill blocks; windows over one row for each label and list
@@ -203,19 +227,20 @@ def _links(reps: DataFrame, cosine: float, lists: int, parts: int, rounds: int,
     placed = coded.join(cells.select("label", "list", "from", "span"), ["label", "list"])
     placed = settle(placed.withColumn("block", F.col("from") + F.pmod(F.xxhash64("k1", F.lit(seed)), "span")).drop("from", "span"), "placed")
     reach = math.acos(cosine) + 1e-6  # angles are rounded to floats here
-    probes = (
-        placed.select("label", "k1", "k2", "block", F.posexplode("away").alias("list", "angle"))
-        .join(cells.select("label", "list", "widest", "from", "to"), ["label", "list"])
+    # the nearest that a block comes to each list says which blocks it has to meet; within a pair each vector probes its own lists
+    near = placed.select("label", "block", F.posexplode("away").alias("list", "angle")).groupBy("label", "block", "list").agg(F.min("angle").alias("angle"))
+    pairs = (
+        near.join(cells.select("label", "list", "widest", "from", "to"), ["label", "list"])
         .where(F.col("angle") - F.col("widest") <= reach)
         .withColumn("other", F.explode(F.sequence(F.greatest("from", "block"), F.greatest("to", "block"))))
         .where("other >= block and other <= to")
-        .select("label", "k1", "k2", "block", "other")
+        .select("label", "block", "other")
         .distinct()
     )
-    probes = settle(probes, "probes")
-    left = placed.drop("away").join(probes, ["label", "k1", "k2", "block"])
-    pairs = probes.select("label", F.col("block").alias("a"), F.col("other").alias("block")).distinct()
-    right = placed.drop("away").join(pairs, ["label", "block"]).withColumnRenamed("block", "other").withColumnRenamed("a", "block")
+    pairs = settle(pairs, "pairs")
+    left = placed.drop("away").join(pairs, ["label", "block"])
+    right = placed.drop("away").join(pairs.select("label", F.col("block").alias("a"), F.col("other").alias("block")), ["label", "block"])
+    right = right.withColumnRenamed("block", "other").withColumnRenamed("a", "block").select(*left.columns)
     right = right.toDF(*right.columns)  # fresh column ids: both sides of the cogroup come from the same table
 
     def compare(key, q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
@@ -224,7 +249,6 @@ def _links(reps: DataFrame, cosine: float, lists: int, parts: int, rounds: int,
             return pd.DataFrame({n: [] for n in names})
         same = key[1] == key[2]
         if same:
-            # a block against itself: rows without a probe of it have no link there
             v = q
         a, b = links(q, v, same, model.value, cosine)
         n = len(q)
