@@ -17,8 +17,10 @@ by tasks that hold one Arrow batch at a time.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -29,12 +31,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from inkloom.llm.common import settle
+from inkloom.llm.common import settle, slices, tidy
 
 PASSAGE = 64
 BUCKETS = 256
 STYLE = 12
 GROUP = 4096  # passages scored at once
+LONG = 4_000_000  # characters from which a text is scored in parts
+WORDS = re.compile(r"\S+")
 
 
 class Lexicon:
@@ -53,9 +57,12 @@ class Lexicon:
         self.rows[i] = measures(word)
         return i
 
+    def clear(self) -> None:
+        self.__init__()
+
     def look(self, words: list[str]) -> np.ndarray:
         if len(self.at) > self.MOST:
-            self.__init__()
+            self.clear()
         at, get, add = list(map(self.at.get, words)), self.at.get, self._add
         if None in at:
             for k, i in enumerate(at):
@@ -78,9 +85,9 @@ def measures(word: str) -> tuple:
 _lexicon = Lexicon()
 
 
-def encode(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """(style measures, hashed word shares) of each passage; an empty text is one empty passage."""
-    words = (text or "").split()
+def encode(text: str | list[str] | None) -> tuple[np.ndarray, np.ndarray]:
+    """(style measures, hashed word shares) of each passage of a text (or its words); an empty text is one empty passage."""
+    words = text if isinstance(text, list) else (text or "").split()
     if not words:
         return np.zeros((1, STYLE), np.float32), np.zeros((1, BUCKETS), np.float32)
     m = _lexicon.look(words)
@@ -95,7 +102,7 @@ def encode(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     w, p = m[order, 7], at[order]
     new = np.r_[True, (w[1:] != w[:-1]) | (p[1:] != p[:-1])]
     distinct = np.bincount(p[new], minlength=len(starts))
-    same_next = np.r_[m[1:, 7] == m[:-1, 7], False]
+    same_next = np.r_[(m[1:, 7] == m[:-1, 7]) & (at[1:] == at[:-1]), False]
     echo = np.bincount(at[same_next], minlength=len(starts))
     noise = np.bincount(at[m[:, 5] > 0], minlength=len(starts))
     upper = np.bincount(at[(m[:, 2] > 1) & (m[:, 3] == m[:, 2])], minlength=len(starts))
@@ -138,20 +145,47 @@ class Model:
         z = np.add.reduceat(a[:, None] * h, starts, axis=0)
         return x, h, t, g, a, z, size, _sigmoid(z @ p["c"] + p["b"])
 
-    def scores(self, texts: list[str | None]) -> np.ndarray:
-        """The score of every whole text, a bounded number of passages at a time where texts allow."""
+    def scores(self, texts) -> np.ndarray:
+        """The score of every whole text, a bounded number of passages at a time.
+
+        The passages of a longer text are folded into running sums: attention
+        needs no more than the sums of exp(s) and of exp(s) h, on one scale.
+        """
         out, style, bag, starts, n = [np.zeros(0)], [], [], [], 0
         for i, t in enumerate(texts):
+            t = t.as_py() if isinstance(t, pa.Scalar) else t
+            if t is not None and len(t) > LONG:
+                if n:
+                    out.append(self.forward(np.vstack(style), np.vstack(bag), np.array(starts))[-1])
+                    style, bag, starts, n = [], [], [], 0
+                out.append(self.folded(t))
+                continue
             s, b = encode(t)
             starts.append(n)
             style.append(s)
             bag.append(b)
             n += len(s)
-            if n >= GROUP or i + 1 == len(texts):
+            if n >= GROUP:
                 out.append(self.forward(np.vstack(style), np.vstack(bag), np.array(starts))[-1])
                 style, bag, starts, n = [], [], [], 0
+        if n:
+            out.append(self.forward(np.vstack(style), np.vstack(bag), np.array(starts))[-1])
         return np.concatenate(out)
 
+    def folded(self, text: str) -> np.ndarray:
+        """The score of one long text, GROUP passages at a time."""
+        p = self.weights
+        top, weight, z = -np.inf, 0.0, np.zeros(len(p["c"]))
+        words = WORDS.finditer(text)
+        while part := [m[0] for m in islice(words, GROUP * PASSAGE)]:
+            _, h = self.hidden(*encode(part))
+            s = (np.tanh(h @ p["V"]) * _sigmoid(h @ p["U"])) @ p["w"]
+            new = max(top, float(s.max()))
+            e = np.exp(s - new)
+            shrink = np.exp(top - new)
+            weight, z, top = weight * shrink + e.sum(), z * shrink + e @ h, new
+        return _sigmoid(np.array([z / max(weight, 1e-300) @ p["c"] + p["b"]]))
+
 
 def fit(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, *, width: int = 24, inner: int = 12, rounds: int = 15, rate: float = 0.01, decay: float = 1e-3, seed: int = 2) -> Model:
     """Adam on the log loss of document labels, over shuffled groups of documents."""
@@ -193,30 +227,40 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", fit_rows: int = 3000, fit_passages: int = 60_000, seed: int = 2) -> Model:
+def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", fit_rows: int = 3000, fit_passages: int = 60_000, text_passages: int = 512, seed: int = 2) -> Model:
     """Fit on the labelled, not held-out rows of the smallest keyed hashes.
 
-    Null labels and ids are left out; a document with several labels takes
-    their majority. Without labels the score is the same for every text.
+    The bounds of the sample: ``fit_rows`` rows, of a longer text
+    ``text_passages`` passages evenly over its whole length, and as many rows
+    as keep within ``fit_passages``. Null labels and ids are left out; a
+    document with several labels takes their majority, an id with several texts
+    the smallest. Without labelled rows the score is the same for every text.
     """
+    if fit_passages < text_passages:
+        raise ValueError("fit_passages must hold the passages of one text")
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("y")).where("id is not null and y is not null")
     known = known.where(~held_out(F.col("id"))).groupBy("id").agg((F.avg("y") >= 0.5).cast("int").alias("y"))
     # the smallest hashes of the known ids, so that only those texts are read into the sample
     pick = known.select("id", "y", F.xxhash64(F.lit(seed), "id").alias("h")).orderBy("h", "id").limit(fit_rows)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(pick), "id")
-    rows = settle(rows.dropDuplicates(["id"]), "fit")  # at most fit_rows rows, read from the corpus once
+    # at most fit_rows rows, read from the corpus once
+    rows = settle(rows.groupBy("id", "y", "h").agg(F.min("text").alias("text")), "fit")
     size = F.greatest(F.ceil(F.regexp_count("text", F.lit(r"\S+")) / PASSAGE), F.lit(1))
-    fits = F.sum(F.coalesce(size, F.lit(1))).over(W.orderBy("h", "id")) <= fit_passages
-    rows = rows.withColumn("fits", fits).where("fits")
+    sizes = rows.select("id", "h", F.least(F.coalesce(size, F.lit(1)), F.lit(text_passages)).alias("size"))  # no text goes through the window
+    fits = sizes.withColumn("run", F.sum("size").over(W.orderBy("h", "id"))).where(F.col("run") <= fit_passages).select("id")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
             for i, y, h, text in zip(p["id"], p["y"], p["h"], p["text"]):
                 style, bag = encode(text)
+                if len(style) > text_passages:
+                    some = np.linspace(0, len(style) - 1, text_passages).astype(int)
+                    style, bag = style[some], bag[some]
                 at = np.flatnonzero(bag.ravel())
                 yield pd.DataFrame({"id": [i], "y": [y], "h": [h], "n": [len(style)], "style": [style.tobytes()], "at": [at.astype(np.int32).tobytes()], "bag": [bag.ravel()[at].astype(np.float16).tobytes()]})
 
-    got = rows.select("id", "y", "h", "text").mapInPandas(run, "id long, y int, h long, n int, style binary, at binary, bag binary")
+    got = rows.join(F.broadcast(fits), "id").select("id", "y", "h", "text")
+    got = got.mapInPandas(lambda batches: tidy(run(batches), _lexicon), "id long, y int, h long, n int, style binary, at binary, bag binary")
     bags, y = [], []
     for r in got.toPandas().sort_values(["h", "id"], kind="stable").itertuples():
         bag = np.zeros(r.n * BUCKETS, np.float32)
@@ -237,12 +281,12 @@ def score(docs: DataFrame, model: Model, *, text_col: str = "text", score_col: s
     x = docs.select(*own)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            s = held.value.scores(batch.column(at).to_pylist())
+        for batch in slices(batches, at):
+            s = held.value.scores(batch.column(at))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s.astype(np.float64))], names=[*own, score_col])
 
     schema = StructType([*x.schema.fields, StructField(score_col, DoubleType())])
-    return x.mapInArrow(run, schema)
+    return x.mapInArrow(lambda batches: tidy(run(batches), _lexicon), schema)
 
 
 def judged(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", **fit_with) -> DataFrame:
