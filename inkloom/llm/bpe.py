@@ -22,10 +22,14 @@ from itertools import chain
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StringType, StructType
+
+from inkloom.llm.common import slices, tidy
 
 #: The byte-level split, with white space as Unicode defines it.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"""
-CACHE = 1 << 18
+CACHE = 1 << 16  # pretokens whose ids a worker keeps
 
 
 def byte_alphabet() -> list[str]:
@@ -35,11 +39,28 @@ def byte_alphabet() -> list[str]:
     return [chr(b if b in plain else next(spare)) for b in range(256)]
 
 
+def unsupported(d: dict) -> list[str]:
+    """What a tokenizer file asks for that would change ids and isn't done here."""
+    model, said = d["model"], []
+    if d.get("normalizer"):
+        said.append("normalizer")
+    if model.get("type", "BPE") != "BPE" or model.get("byte_fallback") or model.get("ignore_merges") or model.get("dropout") or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix"):
+        said.append("model")
+    pre = d.get("pre_tokenizer") or {"type": "ByteLevel"}
+    if pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True):
+        said.append("pre_tokenizer")
+    if any(t.get(k) for t in d.get("added_tokens", []) for k in ("lstrip", "rstrip", "single_word")):
+        said.append("added_tokens")
+    return said
+
+
 class ByteBPE:
     """Encoder and decoder for one byte-level vocabulary (a tokenizers JSON file)."""
 
     def __init__(self, spec: str):
         d = json.loads(spec)
+        if said := unsupported(d):
+            raise ValueError(f"this encoder doesn't know the file's {', '.join(said)}")
         vocab: dict[str, int] = d["model"]["vocab"]
         letters = byte_alphabet()
         to_byte = {c: b for b, c in enumerate(letters)}
@@ -108,7 +129,7 @@ class ByteBPE:
         return b"".join(map(self.piece.__getitem__, ids)).decode("utf-8", errors="replace")
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=2)
 def _loaded(spec: str) -> ByteBPE:
     return ByteBPE(spec)
 
@@ -122,22 +143,24 @@ def _map(docs: DataFrame, keep: list[str], text_col: str, path: str, schema: str
     """``row(bpe, text)`` gives the new columns' values; ``keep`` passes through."""
     spec = _broadcast(docs.sparkSession, path)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = _loaded(spec.value)
-        for batch in batches:
+    def run(batches: Iterator[pa.RecordBatch], bpe: ByteBPE) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, len(keep)) if text else batches:
             got = [row(bpe, t.as_py()) for t in batch.column(len(keep))]
             cols = [*batch.columns[: len(keep)], *(pa.array([g[i] for g in got], t) for i, t in enumerate(types))]
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    from pyspark.sql.pandas.types import to_arrow_type
-    from pyspark.sql.types import StructType
-
     new = StructType.fromDDL(schema)
     types = [to_arrow_type(f.dataType) for f in new]
     x = docs.select(*keep, text_col)
     full = StructType([*(x.schema[c] for c in keep), *new])
     names = full.names
-    return x.mapInArrow(run, full)
+    text = isinstance(x.schema[text_col].dataType, StringType)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = _loaded(spec.value)
+        return tidy(run(batches, bpe), bpe.cache)
+
+    return x.mapInArrow(task, full)
 
 
 def encode(docs: DataFrame, path: str, *, text_col: str = "text", keep: list[str] | None = None, check: bool = False) -> DataFrame:
