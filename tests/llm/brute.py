@@ -75,3 +75,86 @@ def substrings(rows, length=200, keep="none"):
         kept = bytes(x for x, y in zip(b, g) if not y)
         out.append((i, len(b), sum(g), sum(y and not (k and g[k - 1]) for k, y in enumerate(g)), hashlib.sha256(kept).hexdigest()))
     return out
+
+
+def url_verdicts(urls, rules, fan_out=12, rare=0.02, z=1.96, alpha=8.0, purity=0.5):
+    """(host, path, rule, verdict, template) of each URL by the template tree, node by node."""
+    import re
+    from collections import defaultdict
+
+    def parts(u):
+        m = re.search(r"://([^/?#]*)([^?#]*)", u or "", re.S)
+        return (m[1].translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")), m[2]) if m else ("", "")
+
+    def rule(host, path):
+        fit = [(len(h + p), -i, h + p, v) for i, (v, h, p) in enumerate(rules) if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        return max(fit)[2:] if fit else (None, None)
+
+    def segments(path):
+        out = []
+        for s in re.sub(r"(?<![0-9A-Za-z])(?=[0-9a-fA-F]*[0-9])[0-9a-fA-F]{16,}(?![0-9A-Za-z])", "<h>", path).split("/"):
+            out.append(re.sub("[0-9]+", "<n>", s))
+        return tuple(s for s in out if s)
+
+    split = [parts(u) for u in urls]
+    tree = defaultdict(lambda: [0, 0, 0])
+    for host, path in split:
+        cell, (_, v) = tree[host, segments(path)], rule(host, path)
+        cell[0] += 1
+        cell[1] += v is not None
+        cell[2] += v == "block"
+    template = {}
+
+    def descend(node, prefix, rows):  # rows: (shape, rest)
+        rows = [(s, r) for s, r in rows if r or template.setdefault((node, s), prefix) is None]
+        if len({r for _, r in rows}) == 1:
+            for s, r in rows:
+                template[node, s] = (*prefix, "/".join(r))
+            return
+        n = defaultdict(int)
+        for s, r in rows:
+            n[r[0]] += tree[node, s][0]
+        kids = defaultdict(list)
+        for s, r in rows:
+            kids[r[0] if len(n) < fan_out or n[r[0]] >= rare * sum(n.values()) else "*"].append((s, r[1:]))
+        for k, v in kids.items():
+            descend(node, (*prefix, k), v)
+
+    for host in {h for h, _ in tree}:
+        descend(host, (), [(s, s) for h, s in tree if h == host])
+    leaf = defaultdict(lambda: [0, 0])
+    for (h, s), (_, lab, bad) in tree.items():
+        leaf[h, template[h, s]][0] += lab
+        leaf[h, template[h, s]][1] += bad
+    now = {k: k[1] for k in leaf}
+    for level in range(max((len(t) for t in now.values()), default=0) - 1, -1, -1):
+        branch = defaultdict(lambda: [set(), 0, 0])
+        for (h, t), m in now.items():
+            if len(m) > level:
+                b = branch[h, m[:level], m[level]]
+                b[0].add(m[level + 1 :])
+                b[1], b[2] = b[1] + leaf[h, t][0], b[2] + leaf[h, t][1]
+        pool = defaultdict(list)
+        for (h, up, name), (below, lab, bad) in branch.items():
+            pool[h, up, frozenset(below), lab > 0].append((name, lab, bad))
+        joined = {}
+        for (h, up, _, seen), kin in pool.items():
+            p = (sum(b for *_, b in kin) + 0.5) / (sum(n for _, n, _ in kin) + 1)
+            for name, lab, bad in kin:
+                if len(kin) > 1 and (not seen or abs(bad / lab - p) <= z * (p * (1 - p) / lab) ** 0.5):
+                    joined[h, up, name] = "*" if seen else "*?"
+        for (h, t), m in now.items():
+            if len(m) > level and (h, m[:level], m[level]) in joined:
+                now[h, t] = (*m[:level], joined[h, m[:level], m[level]], *m[level + 1 :])
+    total = defaultdict(lambda: [0, 0])
+    for (h, t), m in now.items():
+        total[h, m][0] += leaf[h, t][0]
+        total[h, m][1] += leaf[h, t][1]
+    base = sum(b for _, _, b in tree.values()) / max(1, len(urls))
+    out = []
+    for host, path in split:
+        name, v = rule(host, path)
+        m = now[host, template[host, segments(path)]]
+        lab, bad = total[host, m]
+        out.append((host, path, name, v or ("block" if (bad + alpha * base) / (lab + alpha) >= purity else "allow"), "/" + "/".join(m)))
+    return out
