@@ -54,31 +54,33 @@ FRENCH_SOURCE = """je tu il elle nous vous ils elles le la les un une des de du
     quoi ou pourquoi comment avec sans dans sur plus moins tres faire faut voila mais donc alors comme pour"""
 ENGLISH_SOURCE = """i you we they he she it what why how where when who the a an to of and or is are was were be been have has had
     do does did not can will would should could wanna gonna gotta"""
-# End of the fixed values.
-
 TOKEN = r"[A-Za-zÀ-ÖØ-öø-ÿ']+"
 PROFILE_TOKEN = r"[A-Za-z][A-Za-z'’-]*"
 CAPITALISED = r"[A-Z][a-z][A-Za-z'’-]{2,}"
 SYMBOLS = r"[=_{}<>|\\]"
-TYPO = bounded(either(TYPOS))
-RESIDUE_WORD = bounded(either(RESIDUE))
 LINE_BREAK = r"(?:^|[^\p{L}\p{N}_])[A-Za-z]{2,}-\s+[A-Za-z]{2,}(?:$|[^\p{L}\p{N}_])"
 DIGIT_MIX = r"[A-Za-z]+[0-9]+|[0-9]+[A-Za-z]+|[$]"
 RANDOM_CASE = r"[a-z][A-Z]|[A-Z][a-z][A-Z]"
 COLON_OK = r"(?i)(?:^|[^\p{L}\p{N}_])(?:chapter|vol|volume|no|number|page)\s*:"
 WEAK_END = r"[:,]\s*$"
-QUESTION_START = rf"(?i)^\s*(?:{either(QUESTION_WORDS)})(?:$|[^\p{{L}}\p{{N}}_])"
 WEIRD_CASE = r"[A-Z][a-z][A-Z]|[a-z][A-Z]"
 WEIRD_RUN = "ll|rlp|lnn|olgh|lmi|pe?house|nestern|wopld|wolld|colld|fopm|folr|t0"
 TERMINAL = r"[.!?][\"')\]]*\s*$"
 ZONE_WORD = r"[A-Za-z']+"
-ZONE_END = rf"(?i)(?:^|[^\p{{L}}\p{{N}}_])(?:{either(INCOMPLETE_END)})\s*$"
-ZONE_START = rf"(?i)^\s*(?:\.\.\.)?\s*(?:{either(INCOMPLETE_START)})(?:$|[^\p{{L}}\p{{N}}_])"
-ZONE_PHRASE = bounded(SHORT_ZONE)
-ZONE_SFX = bounded(either(SFX_MIX))
-CLAUSE = bounded("before|after|because|that|if|when")
 INNER_BREAK = r"[.!?][\"')\]]?\s+[A-Z\"']"
 FUSED_PHRASE = r"(?i)(?:^|[^\p{L}\p{N}_])all\s+righty!\s+then\?\s+we(?:'re| are)\s+off\.?$"
 MEASURE = r"(?i)^\s*\d[\d,.\soO]*(?:m|km|cm|mm|%)\s*$"
 LONG_CRY = r"(?i)^[a-z]{2,}a{3,}(?:\s*\([^)]{2,}\))?$"
 DIALOGUE_WORD = r"[A-Za-z][A-Za-z']+"
+SHORT_PHASES = ["stab", "hall", "drift", "main hall", "phase 4", "phase 5"]
+# End of the fixed values.
+
+RESIDUE_FORMS = [w for form in RESIDUE.split() for w in ([form[:-2], form.replace("?", "")] if form.endswith("?") else [form])]
+TYPO = bounded(either(TYPOS))
+RESIDUE_WORD = bounded(either(RESIDUE))
+QUESTION_START = rf"(?i)^\s*(?:{either(QUESTION_WORDS)})(?:$|[^\p{{L}}\p{{N}}_])"
+ZONE_END = rf"(?i)(?:^|[^\p{{L}}\p{{N}}_])(?:{either(INCOMPLETE_END)})\s*$"
+ZONE_START = rf"(?i)^\s*(?:\.\.\.)?\s*(?:{either(INCOMPLETE_START)})(?:$|[^\p{{L}}\p{{N}}_])"
+ZONE_PHRASE = bounded(SHORT_ZONE)
+ZONE_SFX = bounded(either(SFX_MIX))
+CLAUSE = bounded("before|after|because|that|if|when")

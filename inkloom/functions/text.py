@@ -2,12 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 QUOTES = "\"'`´‘’“” "
 
 
+def once(rows: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that are evaluated once a row, however often they are used after; a column of such a name is replaced.
+
+    A generator over one struct stands between: the optimizer neither copies
+    an expression into its uses nor pushes a filter on it below.
+    """
+    new = F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items()))))
+    return rows.select(*(c for c in rows.columns if c not in columns), new)
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is evaluated once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def words_of(c: Column) -> Column:
+    """Distinct runs of letters, digits and underscores, and an empty one at an edge."""
+    return F.array_distinct(F.split(c, r"[^\p{L}\p{N}_]+"))
+
+
+def any_of(words: Column, listed: list[str]) -> Column:
+    return F.arrays_overlap(words, F.array(*map(F.lit, listed)))
+
+
 def squeeze(c: Column) -> Column:
     """White space, as Unicode defines it, collapsed and trimmed."""
     return F.btrim(F.regexp_replace(c, r"(?U)\s+", " "))

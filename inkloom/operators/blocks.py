@@ -298,10 +298,11 @@ def with_reasons(blocks: DataFrame, memory: DataFrame | None = None) -> DataFram
     if memory is not None:
         x = x.withColumn("_k", ignore_key(F.col("_text"))).join(memory.select(F.col("key").alias("_k"), F.col("value").alias("_learned")), "_k", "left")
         learned = F.col("_learned")
-    t = F.col("_text")
-    x = x.withColumn("_own", detect.skip_reason(t, learned))
-    flags = {"technical": detect.infographic(t), "dialogue": detect.dialogue(t), "profile": detect.profile(t), "marks": t.rlike("[!?]"), "reasons": F.col("_own") != ""}
-    counts = x.groupBy(*PAGE).agg(F.count("*").cast("int").alias("n"), *(F.count_if(f).alias(k) for k, f in flags.items()))
+    x = detect.with_flags(x, F.col("_text"), learned)
+    page = W.partitionBy(*PAGE)  # one shuffle; a page has the blocks of one image
+    flags = {"technical": "_technical", "dialogue": "_dialogue", "profile": "_profile", "marks": "_marks"}
+    counts = {"n": F.count("*").over(page).cast("int"), "reasons": F.count_if(F.col("_own") != "").over(page), **{k: F.count_if(f).over(page) for k, f in flags.items()}}
+    x = x.select("*", *(v.alias(k) for k, v in counts.items()))
     c, fifth, sixth = F.col, F.expr("n div 5"), F.expr("n div 6")
     verdict = (
         F.when(c("n") < 6, "")
@@ -310,8 +311,8 @@ def with_reasons(blocks: DataFrame, memory: DataFrame | None = None) -> DataFram
         .when((c("reasons") / c("n") >= 0.75) & (c("dialogue") <= F.greatest(F.lit(1), sixth)), "page non exploitable: non-dialogue")
         .otherwise("")
     )
-    pages = counts.select(*PAGE, verdict.alias("page_reason"))
-    return x.join(pages, [*PAGE]).withColumn("reason", F.coalesce(full(F.col("page_reason")), F.col("_own"))).select(*blocks.columns, "page_reason", "reason")
+    x = x.select(*blocks.columns, verdict.alias("page_reason"), "_own")
+    return x.withColumn("reason", F.coalesce(full(F.col("page_reason")), F.col("_own"))).drop("_own")
 
 
 def auto_ignore(blocks: DataFrame, memory: DataFrame | None = None) -> DataFrame:

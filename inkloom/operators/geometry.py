@@ -7,9 +7,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from inkloom.functions.patterns import either
 from inkloom.operators.blocks import PAGE
 
-SFX_LABEL = r"(?i)^(?:sfx\b.*|[a-z]+\s*\(sfx\))$"
+# Sounds that stand alone as labels, and characters that are noise without others.
+LABELS = """whisper sob shock jaka sfx bam bang boom thud clap rustle slam tap tch ugh huh hey yeah jolt gasp slap wobble yawn sposh flash
+    tremble fidget twitch fwooo woosh crash nod scribble"""
+SFX_LABEL = rf"(?i)^(?:{either(LABELS)})[.!?:, -]*$"
+NOISE_ONLY = r"^[0-9\s<>{}\[\]().,;:!?/\\|_+*=~`'\"-]+$"
+LETTER = "[A-Za-zÀ-ÖØ-öø-ÿぁ-んァ-ン一-龯々]"
+# End of the fixed values.
 
 
 def polygon_box(polygon: Column) -> Column:
@@ -98,8 +105,40 @@ def noise(text: Column, confidence: Column, least: float = 0.20) -> Column:
     from inkloom.functions.text import squeeze
 
     t = squeeze(text)
-    letters = F.regexp_count(t, F.lit(r"[\p{L}]"))
-    return (t == "") | F.coalesce(confidence < least, F.lit(False)) | (F.length(t) <= 1) | (letters == 0) | F.coalesce((confidence < 0.55) & (letters <= 2), F.lit(False))
+    letters = F.regexp_count(t, F.lit(LETTER))
+    return (t == "") | F.coalesce(confidence < least, F.lit(False)) | (F.length(t) <= 1) | t.rlike(NOISE_ONLY) | (letters == 0) | F.coalesce((confidence < 0.55) & (letters <= 2), F.lit(False))
+
+
+def sfx_label(text: Column) -> Column:
+    """A sound that stands alone, with marks at its end."""
+    from inkloom.functions.text import squeeze
+
+    return squeeze(text).rlike(SFX_LABEL)
+
+
+def post_process(found: DataFrame, *, least: float = 0.20, filter_noise: bool = True, merge_lines: bool = True, word_rules=(), context_rules=()) -> DataFrame:
+    """Recognised fragments (project_id, page_index, seq, polygon, source_lang, ocr_text, confidence) as blocks.
+
+    Texts are normalised (a hyphen at a line's end stays, where lines are
+    joined), noise goes if ``filter_noise``, and lines are joined into blocks;
+    without joining, blocks follow each other down the page. Ids number the
+    fragments of a page as they came, noise included.
+    """
+    from inkloom.operators.normalise import normalise
+
+    at = F.row_number().over(W.partitionBy(*PAGE).orderBy("seq")) - 1
+    x = normalise(found.withColumn("_at", at), word_rules=word_rules, context_rules=context_rules)
+    if merge_lines:
+        cut = F.col("ocr_text").rlike(r"[A-Za-z]-\s*$") & F.col("normalised").endswith("...")
+        x = x.withColumn("normalised", F.when(cut, F.regexp_replace("normalised", r"\.\.\.$", "-")).otherwise(F.col("normalised")))
+    if filter_noise:
+        x = x.where(~noise(F.col("normalised"), F.col("confidence"), least))
+    x = x.select(*PAGE, F.format_string("p%04d_b%04d", F.col("page_index"), F.col("_at")).alias("block_id"), polygon_box(F.col("polygon")).alias("bbox"), "source_lang", F.col("normalised").alias("ocr_text"), "confidence", "_at")
+    if merge_lines:
+        return group_lines(x.drop("_at"))
+    cx, cy = F.col("bbox")[0] + F.col("bbox")[2], F.col("bbox")[1] + F.col("bbox")[3]
+    order = W.partitionBy(*PAGE).orderBy(cy, F.when(F.col("source_lang") == "ja", -cx).otherwise(cx), "_at")
+    return x.withColumn("reading_order", F.row_number().over(order) - 1).withColumn("n_lines", F.lit(1)).drop("source_lang", "_at")
 
 
 def group_lines(lines: DataFrame) -> DataFrame:

@@ -9,9 +9,12 @@ from pyspark.sql import Window as W
 
 def round_robin(rows: DataFrame, group: str, order: list[Column], limit: int | None) -> DataFrame:
     """Turns over groups (larger ones first, then by name); within a group by ``order``. With a limit the plan is a top-k."""
-    x = rows.withColumn("_rn", F.row_number().over(W.partitionBy(group).orderBy(*order))).withColumn("_size", F.count("*").over(W.partitionBy(group)))
-    x = x.orderBy("_rn", F.desc("_size"), F.lower(group), group)
-    return (x if limit is None else x.limit(limit)).drop("_rn", "_size")
+    x = rows.withColumn("_rn", F.row_number().over(W.partitionBy(group).orderBy(*order)))
+    if limit is not None:
+        x = x.where(F.col("_rn") <= max(0, limit))  # a group's later rows have no turn: it is cut before the shuffle
+    sizes = rows.groupBy(F.col(group).alias("_group")).agg(F.count("*").alias("_size"))
+    x = x.join(sizes, F.col(group).eqNullSafe(F.col("_group"))).orderBy("_rn", F.desc("_size"), F.lower(group), group)
+    return (x if limit is None else x.limit(limit)).drop("_rn", "_size", "_group")
 
 
 def review_pack(rows: DataFrame, *, limit: int | None = 200, include_ok: bool = False, only_high: bool = False, balanced: bool = True) -> DataFrame:
@@ -26,7 +29,8 @@ def review_pack(rows: DataFrame, *, limit: int | None = 200, include_ok: bool =
 
 def stratified_limit(rows: DataFrame, group: str, index: str, limit: int) -> DataFrame:
     """At most ``limit`` rows, a turn for each group in order of first index; the result is in order of index."""
-    x = rows.withColumn("_rn", F.row_number().over(W.partitionBy(group).orderBy(index))).withColumn("_first", F.min(index).over(W.partitionBy(group)))
+    by = W.partitionBy(group).orderBy(index)
+    x = rows.withColumn("_rn", F.row_number().over(by)).where(F.col("_rn") <= max(0, limit)).withColumn("_first", F.first(index).over(by))
     return x.orderBy("_rn", "_first").limit(max(0, limit)).drop("_rn", "_first").orderBy(index)
 
 
