@@ -64,6 +64,30 @@ def decision_label(name: Column) -> Column:
     return F.create_map(*(F.lit(x) for kv in LABELS.items() for x in kv))[name]
 
 
+def queue_filter(name: str) -> Column:
+    """One of the twelve views of the review queue (by band, decision and warnings); an unknown name is all."""
+    d, b = F.col("decision"), F.col("band")
+    open_ = ~d.isin("validate", "ignore", "sfx")
+    single = {"Corrections faites": "correct", "À revoir": "review", "Fusion": "fused", "Zones": "zone", "Validés": "validate", "Ignorés": "ignore", "SFX": "sfx"}
+    if name in single:
+        return d == single[name]
+    return {
+        "À traiter": d.isin("unchecked", "review", "fused", "zone"),
+        "Risques HIGH/MED": b.isin("HIGH", "MED") & open_,
+        "High": (b == "HIGH") & open_,
+        "Alternatives OCR": F.lower("diagnostics").contains("alternative"),
+    }.get(name, F.lit(True))
+
+
+QUEUE_VIEWS = ("À traiter", "Risques HIGH/MED", "High", "Tous", "Corrections faites", "À revoir", "Fusion", "Zones", "Alternatives OCR", "Validés", "Ignorés", "SFX")
+
+
+def zone_fallback_candidate() -> Column:
+    """A zone worth reading again: its note names a zone, or its text has a zone problem."""
+    notes = F.lower(squeezed_ends(F.col("review_notes")))
+    return notes.rlike("zone|bbox|crop|bulle|fusion") | (F.size(detect.zone_categories(source_normalized_first())) > 0)
+
+
 def review_queue(blocks: DataFrame) -> DataFrame:
     """One display row for each block: risk, band, decision, previews of 70 characters."""
     preview = lambda c: F.substring(F.replace(c, F.lit("\n"), F.lit(" ")), 1, 70)
@@ -71,6 +95,7 @@ def review_queue(blocks: DataFrame) -> DataFrame:
     return x.select(
         *PAGE, "block_id", "reading_order", "risk", band(F.col("risk")).alias("band"), "decision", decision_label(F.col("decision")).alias("label"),
         preview(source_normalized_first()).alias("source"), preview(final_translation()).alias("translation"),
+        squeezed_ends(F.replace(F.array_join("quality_warnings", " "), F.lit("\n"), F.lit(" "))).alias("diagnostics"),
     )
 
 
@@ -281,6 +306,44 @@ def apply_review(blocks: DataFrame, review: DataFrame) -> DataFrame:
     return x.withColumn("manual_status", status).select(*blocks.columns, "outcome", "row_changed")
 
 
+# Further decisions that a single block's review knows.
+FUSED_ONE, ZONE_ONE = (*FUSED, "bulle fusionnee", "bulles fusionnees"), (*ZONE, "zone incorrecte")
+# End of the fixed values.
+
+
+def review_each(blocks: DataFrame, reviews: DataFrame) -> DataFrame:
+    """Decisions taken on single blocks: texts count as changes against what the block shows now, and a mark of another decision leaves the note.
+
+    ``reviews``: project_id, page_index, block_id, decision, corrected_ocr,
+    corrected_source, corrected_fr, notes; one row for each block. Blocks
+    without one are unchanged; a decision that nothing fits asks for a review,
+    or is an edit if a text changed.
+    """
+    cell = lambda c: squeezed_ends(F.coalesce(F.col(c), F.lit("")))
+    r = reviews.select(*PAGE, "block_id", decision_key(F.col("decision")).alias("_d"), cell("corrected_ocr").alias("_ocr"), cell("corrected_source").alias("_source"), cell("corrected_fr").alias("_fr"), cell("notes").alias("_notes"))
+    x = blocks.join(r, [*PAGE, "block_id"], "left")
+    d, notes = F.col("_d"), F.col("_notes")
+    bare = F.regexp_replace(notes, r"(?i)^\[(?:sfx|fusion|zone)\]\s*", "")
+    marked = bare
+    for words, mark in ((ZONE_ONE, "[zone]"), (FUSED_ONE, "[fusion]"), (SFX, "[sfx]")):
+        own = F.when(F.lower(notes).startswith(mark), notes).otherwise(F.btrim(F.concat(F.lit(mark + " "), notes)))
+        marked = F.when(d.isin(*words), own).otherwise(marked)
+    x = x.withColumn("_notes", marked)
+    now = {"_ocr": squeezed_ends(F.col("ocr_text")), "_source": squeezed_ends(source_normalized_first()), "_fr": squeezed_ends(final_translation())}
+    differs = {k: (F.col(k) != "") & (F.col(k) != v) for k, v in now.items()}
+    x = x.withColumn("_any", differs["_ocr"] | differs["_source"] | differs["_fr"])
+    new = {
+        "ocr_corrected_text": F.when(differs["_ocr"], F.col("_ocr")),
+        "normalized_source_text": F.when((F.col("_source") != "") & (F.col("_source") != now["_source"]), F.col("_source")),
+        "translation_fr": F.when(differs["_fr"], F.col("_fr")),
+        "raw_translation_fr": F.when(differs["_fr"] & (F.col("raw_translation_fr") == ""), F.col("_fr")),
+        "review_notes": F.when(F.col("_notes") != "", F.col("_notes")),
+        "manual_status": F.when(d.isNull(), None).when(d.isin("validate", "valid", "validated", "ok"), "validated").when(d.isin(*IGNORE), "ignored")
+        .when(d.isin("review", "revoir", "a revoir", "todo", *FUSED_ONE, *ZONE_ONE), "review").when(d.isin("correct", "corrected", "edit", "edited") | F.col("_any"), "edited").otherwise("review"),
+    }
+    return x.select(*(F.coalesce(new[c], F.col(c)).alias(c) if c in new else F.col(c) for c in blocks.columns))
+
+
 def review_counts(applied: DataFrame, review: DataFrame) -> DataFrame:
     """Counters of ``apply_review``; review rows without a block are skipped rows."""
     lost = review.select(F.col("page_index").cast("int").alias("page_index"), "block_id").join(applied.select("page_index", "block_id"), ["page_index", "block_id"], "left_anti")

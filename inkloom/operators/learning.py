@@ -92,6 +92,11 @@ def profile_summary(rows: DataFrame) -> DataFrame:
     )
 
 
+def top_series(rows: DataFrame, k: int = 20) -> DataFrame:
+    """series_label, blocks of the k series with most blocks."""
+    return rows.groupBy("series_label").agg(F.count("*").alias("blocks")).orderBy(F.desc("blocks"), "series_label").limit(k)
+
+
 def quality_report(blocks: DataFrame) -> DataFrame:
     """Long-form report: section, name, value (bands and reasons of actionable blocks, blocks of series)."""
     x = with_quality(blocks)

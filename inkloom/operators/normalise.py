@@ -16,21 +16,41 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from inkloom.functions.detect import zone_categories
+from inkloom.functions.detect import zone_categories, zones
+from inkloom.functions.patterns import bounded, either
+from inkloom.functions.text import any_of, let, once, squeeze
 
 Rules = Sequence[tuple[str, str]]
 
+#: General rules of spacing and marks.
 SPACING: Rules = (
-    (r"’", "'"), (r"_", " "), (r"^\s*~\s*", "..."), (r"(?i)\b([a-z]{2,})-\s+([a-z]{2,})\b", r"\1\2"), (r"\s+([,.;:!?])", r"\1"), (r"([,.;:!?])(?=[^\s,.;:!?\"'\d])", r"\1 "),
-    (r"([!?.,;:])\s+(?=[!?.,;:])", r"\1"), (r"\.\s*\.\s*\.\s*", "... "), (r":\s*(?:\.\s*){2,}", "... "), (r"(?<!\.)\.\.(?!\.)", "."), (r"(?i)\b(Ms|Mrs|Mr|Dr):(?=\s+[A-Z])", r"\1."),
-    (r"(?:,\s*){2,}$", "..."), (r"\s+-\s*$", "..."), (r"(?i)(?<=[a-z])-\?$", "?"), (r"(?i)(?<=[a-z])-$", "..."), (r":\s*$", "."), (r"\s+", " "), (r"^\s+|\s+$", ""), (r"^\.\.\. ", "..."),
+    (r"’", "'"), (r"_+", " "), (r"^\s*~\s*", "..."),
+    (r"(?i)\b([a-z]{2,})-\s+([a-z]{2,})\b", r"\1\2"),  # a hyphen at a line's end
+    (r"\s+([,.;:!?])", r"\1"), (r"([,.;:!?])(?=[^\s,.;:!?\"'\d])", r"\1 "),  # marks follow a word and precede a blank
+    (r"([!?.,;:])\s+(?=[!?.,;:])", r"\1"), (r"\.\s*\.\s*\.\s*", "... "), (r":\s*(?:\.\s*){2,}", "... "), (r"(?<!\.)\.\.(?!\.)", "."),  # runs of dots
+    (r"(?i)\b(Ms|Mrs|Mr|Dr):(?=\s+[A-Z])", r"\1."),
+    (r":\s*['\"]?\s*~$", "..."), (r"[:.]+\s*=$", "..."), (r"(?:,\s*){2,}$", "..."), (r"\s+-\s*$", "..."), (r"(?i)(?<=[a-z])-\?$", "?"), (r"(?i)(?<=[a-z])-$", "..."), (r":\s*,?\s*\.$", "..."), (r":\s*$", "."),  # ends
+    (r"\s+", " "), (r"^\s+|\s+$", ""), (r"^\.\.\. ", "..."),
 )
 COLLOQUIAL: Rules = (
     (r"(?i)\bgonna\b", "going to"), (r"(?i)\bwanna\b", "want to"), (r"(?i)\bgotta\b", "have to"), (r"(?i)\blemme\b", "let me"), (r"(?i)\bgimme\b", "give me"), (r"(?i)\bkinda\b", "kind of"),
     (r"(?i)\boutta\b", "out of"), (r"(?i)\b'?cuz\b", "because"), (r"(?i)\bya\b", "you"), (r"(?i)\by'all\b", "you all"), (r"(?i)\b([a-z]{3,})in'(?=\s|$)", r"\1ing"),
 )
+# Sounds at the edge of dialogue, misread tokens, and words that a good reading has.
+SOUNDS = """whisper sob shock jaka sfx bam bang boom thud clap rustle slam tap jolt gasp slap wobble yawn sposh flash tremble fidget twitch fwooo
+    woosh crash nod scribble""".split()
+BAD_TOKENS = """inhook lnhook lhook toid to1d lookv loooky l00k l0ok repect respecl enolgh folr fopm colld hlnger individlals napehouse nestern tslrlmi
+    houps ramn rarn setupi morningb howdid tholsand entipe etire sevenn""".split()
+RAW_BAD = "houps b0dy tholsand entipe etire sevenn"
+COMMON = """a all am an and are as at be but by can come coming country did director do doing due encounter expected eye for from get go going good
+    grandma have he her here him his i i'd i'll i'm i've ignore in is it just like look looking looky me miwa more my nar naru nee never no not now
+    of okay on one or please picturesque respect risky someone stuff that the there this to told unhook up was what where who with ya you orphanage
+    food shelter steal brave enough tiger four days agency individuals abilities skills earn keep master animal form staff backup sake bomb
+    explosion button press company dorm posthaste lad ideals mafia battle fault cry body hours hour few first place seven star academy student
+    challenge dared thousand hundred hunting recognized player town guess happen revealed late""".split()
+READING_WORD = "[A-Za-zÀ-ÖØ-öø-ÿぁ-んァ-ン一-龯々ー']+"
+# End of the fixed values.
 EDGE_SOUND = r"(?i)^(?:{0})\b[.!?:, -]*|\s+(?:{0})[.!?:, -]*$"
-SOUNDS = "whisper sob shock jaka sfx bam bang boom thud clap rustle slam tap jolt gasp slap wobble yawn flash tremble fidget twitch woosh crash nod scribble".split()
 WORD = re.compile(r"[A-Za-z][A-Za-z'.-]*")
 
 
@@ -93,47 +113,143 @@ def normalise(rows: DataFrame, *, text_col: str = "ocr_text", out: str = "normal
     return x.join(done, "_t").withColumn(out, F.col("_out")).drop("_t", "_out")
 
 
-def suspect(words: Sequence[str] = (), least: float = 0.72) -> Column:
-    """A reading worth a second look: low confidence, listed tokens, digits within words, odd marks, or a bad zone."""
-    t = F.col("ocr_text")
-    tokens = F.regexp_extract_all(F.lower(t), F.lit("[a-z0-9']+"), F.lit(0))
-    listed = F.arrays_overlap(tokens, F.array(*map(F.lit, words))) if words else F.lit(False)
-    return F.coalesce(F.col("confidence") < least, F.lit(False)) | listed | t.rlike(r"[A-Za-z]\d|\d[A-Za-z]|[=_{}<>|\;]") | (F.size(zone_categories(t)) > 0)
+def reading_words(c: Column) -> Column:
+    return F.regexp_extract_all(c, F.lit(READING_WORD), F.lit(0))
 
 
-def reading_score(text: Column, confidence: Column, known: Sequence[str], bad: Sequence[str], bonus: Column | None = None) -> Column:
-    """Quality of a reading: length, words, confidence and known words, less bad words, odd marks and odd case."""
-    words = F.regexp_extract_all(F.lower(text), F.lit("[a-z']+"), F.lit(0))
-    n = lambda listed: F.size(F.filter(words, lambda w: w.isin(list(listed)))) if listed else F.lit(0)
-    odd = F.regexp_count(text, F.lit(r"[a-z][A-Z]"))
-    weird = F.regexp_count(text, F.lit(r"[=_{}<>|\\~^]"))
-    total = (
-        F.least(F.length(text), F.lit(120)) * 0.065 + F.size(words) * 0.58 + F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(confidence, F.lit(0.0)))) * 2
-        + F.when((F.upper(text) == text) & text.rlike("[A-Z]"), 0.18).otherwise(0.0) + F.when(F.size(words) >= 3, 0.55).otherwise(0.0) + F.least(F.lit(2.2), n(known) * 0.22)
-        + (bonus if bonus is not None else F.lit(0.0)) - n(bad) * 3.0 - F.regexp_count(text, F.lit(";")) * 0.7 - F.least(odd, F.lit(1)) * 1.15 - weird * 0.65
-    )
-    return F.when(F.btrim(text) == "", -999.0).when(~text.rlike(r"\p{L}"), -80.0).otherwise(total)
+def lowered(words: Column) -> Column:
+    return F.transform(words, lambda w: F.btrim(F.lower(w), F.lit("'")))
 
 
-def is_safe(current: Column, other: Column) -> Column:
-    """A reading may replace another only if it adds few words and brings no new zone problem."""
-    words = lambda c: F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9']+"), F.lit(0))
-    extra = F.size(F.array_except(words(other), words(current)))
-    worse = F.size(F.array_except(zone_categories(other), zone_categories(current)))
-    return (extra <= F.greatest(F.lit(3), F.floor(F.size(words(current)) * 0.45))) & (F.length(other) <= F.length(current) * 1.75 + 8) & (worse == 0)
+def suspect(bad: Sequence[str] = tuple(BAD_TOKENS), least: float = 0.72) -> Column:
+    """A reading worth a second look, unless its block is validated or ignored: an empty text, warnings, a zone problem, low confidence, misread tokens, or a short text with a semicolon."""
+    t = squeeze(F.col("ocr_text"))
 
+    def tests(t: Column) -> Column:
+        z = zones(t)
+        words = reading_words(t)
+        listed = any_of(F.array_distinct(lowered(words)), list(bad)) if bad else F.lit(False)
+        unsure = F.coalesce(F.col("confidence") < max(0.72, least), F.lit(False))
+        return (t == "") | (F.size("quality_warnings") > 0) | unsure | listed | (t.contains(";") & (F.size(words) <= 4)) | let(z, lambda z: z["incomplete"] | z["fused"])
 
-def improve(blocks: DataFrame, candidates: DataFrame, known: Sequence[str] = (), bad: Sequence[str] = (), gain: float = 0.45) -> DataFrame:
-    """Replace raw texts by the best safe candidate that gains ``gain``; add ``improved``.
+    return ~F.col("manual_status").isin("validated", "ignored") & let(t, tests)
 
-    ``candidates``: block_id, text, confidence, ord. Candidates that differ in
-    case or blanks only are one (the best); the first one wins ties.
+
+def odd_case(text: Column) -> Column:
+    """Words of three letters or more in mixed case make up a good part of the text, or meet two words in capitals."""
+
+    def share(words: Column) -> Column:
+        letters = lambda w: F.regexp_replace(w, r"[^\p{L}]", "")
+        odd = F.filter(words, lambda w: (F.length(letters(w)) >= 3) & (F.upper(letters(w)) != letters(w)) & (F.lower(letters(w)) != letters(w)) & (letters(w) != F.concat(F.substring(F.upper(letters(w)), 1, 1), F.substring(F.lower(letters(w)), 2, 1 << 20))))
+        loud = F.filter(words, lambda w: (F.length(w) >= 3) & (F.upper(w) == w))
+        return (F.size(odd) >= 1) & ((F.size(odd) / F.greatest(F.lit(1), F.size(words)) >= 0.15) | (F.size(loud) >= 2))
+
+    return let(F.regexp_extract_all(text, F.lit("[A-Za-z][A-Za-z'’.-]*"), F.lit(0)), share)
+
+
+def reading_score(text: Column, confidence: Column, clean: Column | None = None, *, known: Sequence[str] = tuple(COMMON), bad: Sequence[str] = tuple(BAD_TOKENS), bonus: Column | float = 0.0) -> Column:
+    """Quality of a reading: letters, words, confidence and known words, less bad words, odd marks and odd case.
+
+    ``clean`` is the normalised text, which the counts are made on; marks and
+    case are judged on the text as it was read.
+    """
+    clean = squeeze(text) if clean is None else clean
+
+    def score(c: Column, words: Column, low: Column) -> Column:
+        n = lambda listed: F.size(F.array_intersect(low, F.array(*map(F.lit, listed)))) if listed else F.lit(0)
+        size = F.size(words)
+        letters = F.regexp_count(c, F.lit(r"[A-Za-zÀ-ÖØ-öø-ÿぁ-んァ-ン一-龯々]"))
+        weird = F.regexp_count(c, F.lit(r"[|_{}\[\]<>]"))
+        total = (
+            F.least(letters, F.lit(120)) * 0.065 + size * 0.58 + F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(confidence, F.lit(0.0)))) * 2
+            + F.when((F.upper(c) == c) & (size >= 2), 0.18).otherwise(0.0) + F.when(size >= 3, 0.55).otherwise(0.0) + F.least(F.lit(2.2), n(known) * 0.22) + bonus
+            - n(bad) * 3.0 - F.regexp_count(text, F.lit(bounded(either(RAW_BAD)))) * 1.4 - F.regexp_count(text, F.lit(";")) * 0.7 - odd_case(text).cast("int") * 1.15 - weird * 0.65
+            - F.when((size == 1) & c.endswith(":"), 1.25).otherwise(0.0)
+        )
+        return F.when(c == "", -999.0).when(letters == 0, -80.0).otherwise(total)
+
+    return let(clean, lambda c: let(reading_words(c), lambda words: let(F.array_distinct(lowered(words)), lambda low: score(c, words, low))))
+
+
+def penalty(current: Column, other: Column) -> Column:
+    """What a reading loses against the current one: many more words, almost twice as many, a sound or another bubble mixed in."""
+
+    def lost(n: Column, m: Column) -> Column:
+        over = m - n - F.greatest(F.lit(3), F.floor(n * 0.45))
+        new = F.array_except(zone_categories(other), zone_categories(current))
+        has = lambda c, p: F.when(F.array_contains(new, c), p).otherwise(0.0)
+        total = F.when(over > 0, F.least(F.lit(8.0), over * 0.85)).otherwise(0.0) + F.when(m / n > 1.75, 2.2).otherwise(0.0) + has("sfx_mixed", 2.8) + has("fused_bubble", 1.8)
+        return F.when(m == 0, 0.0).otherwise(total)
+
+    return let(F.greatest(F.lit(1), F.size(reading_words(current))), lambda n: let(F.size(reading_words(other)), lambda m: lost(n, m)))
+
+
+def is_safe(current: Column, other: Column, corrected: Column | None = None) -> Column:
+    """Whether a normalised reading may replace the current one without a human.
+
+    The words of the current text, three quarters of them at least, follow each
+    other in the new one with nothing before or between, and few words come
+    after; no single letters, bare numbers or brackets are brought in. A reading
+    that is a local correction (``corrected``) may only keep its length.
+    """
+
+    def tests(now: Column, new: Column) -> Column:
+        # matched so far, words before the first match, words between matches
+        start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("before"), F.lit(0).alias("between"))
+
+        def walk(s: Column, w: Column) -> Column:
+            hit = (s["at"] < F.size(now)) & F.coalesce(w == F.get(now, s["at"]), F.lit(False))
+            early = ~hit & (s["at"] == 0)
+            inner = ~hit & (s["at"] > 0) & (s["at"] < F.size(now))
+            return F.struct((s["at"] + hit.cast("int")).alias("at"), (s["before"] + early.cast("int")).alias("before"), (s["between"] + inner.cast("int")).alias("between"))
+
+        found = F.aggregate(new, start, walk)
+        n, m = F.size(now), F.size(new)
+        single = F.exists(F.array_except(new, now), lambda w: (F.length(w) == 1) & ~w.isin("a", "i"))
+        follows = let(found, lambda s: (s["at"] >= F.greatest(F.lit(1), F.floor(n * 0.75))) & (s["before"] == 0) & (s["between"] == 0))
+        free = follows & (m - n <= F.greatest(F.lit(3), F.floor(n * 0.45))) & ~single & ~other.rlike(r"(?:^|\s)(?:[0-9]+|[(){}\[\]<>_|\\]+)(?:\s|$)")
+        local = F.abs(m - n) <= 1
+        return (n > 0) & (m > 0) & (free if corrected is None else F.when(corrected, local).otherwise(free))
+
+    return (current != "") & (other != "") & (current != other) & let(lowered(reading_words(current)), lambda now: let(lowered(reading_words(other)), lambda new: tests(now, new)))
+
+
+def improve(blocks: DataFrame, candidates: DataFrame, *, only_suspect: bool = True, gain: float = 0.45, keep: int = 8, **rules) -> DataFrame:
+    """Replace the raw texts of suspect blocks by their best safe candidate that gains ``gain``; add ``improved``.
+
+    ``candidates``: block_id, engine, text, confidence, ord, and optionally a
+    ``bonus``; the engine ``ocr-corrections`` marks local corrections. The
+    current text competes too. Candidates that differ in case or blanks only are
+    one (the best); penalties follow; the first ``keep`` become the block's
+    alternatives. What was made from a replaced text is cleared.
     """
-    c = candidates.withColumn("_score", reading_score(F.col("text"), F.col("confidence"), known, bad))
-    same = W.partitionBy("block_id", F.lower(F.regexp_replace("text", r"\s+", " "))).orderBy(F.desc("_score"), "ord")
-    c = c.withColumn("_rn", F.row_number().over(same)).where("_rn = 1").select("block_id", F.col("text").alias("_text"), "_score", "ord")
-    now = blocks.select("block_id", F.col("ocr_text").alias("_now"), reading_score(F.col("ocr_text"), F.col("confidence"), known, bad).alias("_s0"))
-    ok = c.join(now, "block_id").where(is_safe(F.col("_now"), F.col("_text")) & (F.col("_text") != F.col("_now")))
-    best = ok.withColumn("_rn", F.row_number().over(W.partitionBy("block_id").orderBy(F.desc("_score"), "ord"))).where((F.col("_rn") == 1) & (F.col("_score") >= F.col("_s0") + gain))
-    x = blocks.join(best.select("block_id", "_text"), "block_id", "left").withColumn("improved", F.col("_text").isNotNull())
-    return x.withColumn("ocr_text", F.coalesce("_text", "ocr_text")).withColumn("manual_status", F.when(F.col("improved") & (F.col("manual_status") == "unchecked"), "edited").otherwise(F.col("manual_status"))).drop("_text")
+    todo = blocks.where(suspect()) if only_suspect else blocks.where(~F.col("manual_status").isin("validated", "ignored"))
+    own = todo.select("block_id", F.lit("current").alias("engine"), F.col("ocr_text").alias("text"), "confidence", F.lit(-1).alias("ord"), F.lit(0.0).alias("bonus"))
+    c = candidates.select("block_id", F.col("engine") if "engine" in candidates.columns else F.lit("").alias("engine"), "text", "confidence", F.col("ord").cast("int").alias("ord"), F.col("bonus").cast("double").alias("bonus") if "bonus" in candidates.columns else F.lit(0.0).alias("bonus"))
+    now = todo.select("block_id", F.col("ocr_text").alias("_now"), F.col("confidence").alias("_conf"))
+    x = normalise(c.join(todo.select("block_id"), "block_id", "left_semi").unionByName(own), text_col="text", out="_clean", **rules)
+    x = once(x, _score=reading_score(F.col("text"), F.col("confidence"), F.col("_clean"), bonus=F.col("bonus")))
+    same = W.partitionBy("block_id", F.lower(squeeze(F.col("text")))).orderBy(F.desc("_score"), "ord")
+    x = x.where(squeeze(F.col("text")) != "").withColumn("_rn", F.row_number().over(same)).where("_rn = 1").drop("_rn")
+    now = normalise(now, text_col="_now", out="_now_clean", **rules)
+    now = once(now, _s0=reading_score(F.col("_now"), F.col("_conf"), F.col("_now_clean")))
+    x = x.join(now, "block_id")
+    x = once(x, _score=F.col("_score") - penalty(F.col("_now"), F.col("text")), _safe=is_safe(F.col("_now_clean"), F.col("_clean"), F.col("engine") == "ocr-corrections"))
+    ranked = x.withColumn("_place", F.row_number().over(W.partitionBy("block_id").orderBy(F.desc("_score"), "ord")))
+    first = F.min(F.when(F.col("_safe"), F.struct("_place", "text", "engine", "confidence", "_score", "_s0", "_now"))).alias("_best")
+    item = F.struct(F.col("_place").alias("place"), F.struct("engine", "text", "confidence", F.col("_score").alias("score"), F.lit("").alias("note")).alias("item"))
+    best = ranked.groupBy("block_id").agg(first, F.transform(F.array_sort(F.collect_list(F.when(F.col("_place") <= keep, item))), lambda s: s["item"]).alias("_alternatives"))
+    y = blocks.join(best, "block_id", "left")
+    b = F.col("_best")
+    hit = F.coalesce((b["text"] != b["_now"]) & (b["_score"] >= b["_s0"] + gain), F.lit(False))
+    y = y.withColumn("improved", hit)
+    note = F.concat(F.lit("OCR fallback: "), b["engine"], F.lit(" a remplacé '"), b["_now"], F.lit("' par '"), b["text"], F.lit("'"))
+    new = {
+        "ocr_text": b["text"], "confidence": b["confidence"], **{n: F.lit("") for n in ("ocr_corrected_text", "normalized_source_text", "raw_translation_fr", "translation_fr")},
+        "manual_status": F.when(F.col("manual_status") == "unchecked", "edited").otherwise(F.col("manual_status")), "quality_warnings": F.array_distinct(F.array_append("quality_warnings", note)),
+    }
+    kind = blocks.schema["ocr_alternatives"].dataType
+    return y.select(*(
+        F.when(F.col("improved"), new[c]).otherwise(F.col(c)).alias(c) if c in new else F.coalesce(F.col("_alternatives").cast(kind), F.col(c)).alias(c) if c == "ocr_alternatives" else F.col(c)
+        for c in blocks.columns
+    ), "improved")

@@ -39,6 +39,11 @@ def hash_order(seed: int, index: str) -> Column:
     return F.expr(f"pmod((cast({index} as bigint) + {seed}) * 1103515245L + 12345L, 2147483647L)")
 
 
+def text_hash(seed: int, *columns: str) -> Column:
+    """A repeatable number of a row's values, the same in any engine: the first 32 bits of an MD5."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), *(F.col(c).cast("string") for c in columns)).cast("binary")), 1, 8), 16, 10).cast("long")
+
+
 def select_rows(rows: DataFrame, index: str, mode: str, limit: int, *, seed: int = 47, group: str | None = None, start: int = 0) -> DataFrame:
     """Modes first, random and stratified over the rows from ``start`` on."""
     if start < 0 or mode not in ("first", "random", "stratified"):
@@ -50,8 +55,8 @@ def select_rows(rows: DataFrame, index: str, mode: str, limit: int, *, seed: int
     return x.orderBy(*order).limit(max(0, limit)).orderBy(index)
 
 
-def choose_pages(pages: DataFrame, count: int, *, mode: str = "mixed", seed: int = 47, skip_first: int = 2, skip_last: int = 1, volume: str = "volume_label", page: str = "page_index") -> DataFrame:
-    """``count`` pages of each volume: random, stratified, or mixed (three quarters stratified, the rest random).
+def choose_pages(pages: DataFrame, count: int, *, mode: str = "mixed", seed: int = 47, skip_first: int = 2, skip_last: int = 1, volume: str = "volume_label", page: str = "page_index", score: str | None = None) -> DataFrame:
+    """``count`` pages of each volume: random, stratified, mixed (three quarters stratified, the rest random) or busy (the highest ``score``; without one, stratified).
 
     First and last pages are skipped unless nothing is left. A stratum gives a
     page near its middle, a keyed step to either side.
@@ -60,8 +65,8 @@ def choose_pages(pages: DataFrame, count: int, *, mode: str = "mixed", seed: int
     x = pages.withColumn("_n", F.count("*").over(w)).withColumn("_at", F.row_number().over(w.orderBy(page)) - 1)
     inside = (F.col("_at") >= skip_first) & (F.col("_at") < F.col("_n") - skip_last)
     x = x.withColumn("_in", inside).withColumn("_kept", F.count_if("_in").over(w)).where("_in or _kept = 0")
-    x = x.withColumn("_n", F.count("*").over(w)).withColumn("_at", F.row_number().over(w.orderBy(page)) - 1).withColumn("_h", F.xxhash64(F.lit(seed), volume, page))
-    strata = {"random": 0, "stratified": count, "mixed": max(1, round(0.75 * count))}[mode]
+    x = x.withColumn("_n", F.count("*").over(w)).withColumn("_at", F.row_number().over(w.orderBy(page)) - 1).withColumn("_h", text_hash(seed, volume, page))
+    strata = {"random": 0, "busy": 0 if score else count, "stratified": count, "mixed": max(1, round(0.75 * count))}[mode]
     if strata:
         k = F.least(F.lit(strata), F.col("_n"))
         x = x.withColumn("_b", F.floor((F.col("_at") + F.lit(0.5)) * k / F.col("_n")))
@@ -72,7 +77,8 @@ def choose_pages(pages: DataFrame, count: int, *, mode: str = "mixed", seed: int
         x = x.withColumn("_pick", F.row_number().over(b.orderBy("_at")) - 1 == mid).drop("_b")
     else:
         x = x.withColumn("_pick", F.lit(False))
-    x = x.withColumn("_rn", F.row_number().over(w.orderBy(F.desc("_pick"), "_h", page)))
+    first = [F.desc(score)] if mode == "busy" and score else [F.desc("_pick")]
+    x = x.withColumn("_rn", F.row_number().over(w.orderBy(*first, "_h", page)))
     return x.where(F.col("_rn") <= count).drop("_n", "_at", "_in", "_kept", "_h", "_pick", "_rn").orderBy(volume, page)
 
 
@@ -103,3 +109,41 @@ def top_by_count(rows: DataFrame, key: list[str], k: int, *, seq: str = "seq", a
     """The k most frequent keys with their counts, ties by first appearance."""
     x = rows.groupBy(*key).agg(F.count("*").alias("count"), F.min(seq).alias("first_seq")).where(F.col("count") >= at_least)
     return x.orderBy(F.desc("count"), "first_seq", *key).limit(k)
+
+
+def duplicate_parents(volumes: DataFrame, path: str = "volume_path") -> DataFrame:
+    """parent (lower case), volumes, paths of folders with two volumes or more."""
+    parent = F.lower(F.regexp_replace(path, "/[^/]*$", ""))
+    x = volumes.groupBy(parent.alias("parent")).agg(F.count("*").alias("volumes"), F.sort_array(F.collect_list(path)).alias("paths"))
+    return x.where("volumes > 1")
+
+
+def pages_of_volumes(volumes: DataFrame, pages: DataFrame, key: str = "volume_path") -> DataFrame:
+    """``volumes`` with the number of their sampled pages, 0 for those without any."""
+    n = pages.groupBy(key).agg(F.count("*").alias("sampled_pages"))
+    return volumes.join(n, key, "left").na.fill(0, ["sampled_pages"])
+
+
+def sample_corpus(entries: DataFrame, *, volumes_per_series: int = 2, pages_per_volume: int = 25, series_mode: str = "mixed", mode: str = "mixed", seed: int = 47, skip_first: int = 2, skip_last: int = 1) -> DataFrame:
+    """Manifest rows of the chosen pages of the chosen volumes.
+
+    ``entries``: archive, entry, ordinal, error, as ``read_archive_entries``
+    gives them; rows with an error are left out (report them from there). The
+    folder of an archive is its series.
+    """
+    from inkloom.functions.text import natural_key, slug
+
+    x = entries.where("error is null").select(F.col("archive").alias("source_path"), F.col("entry").alias("source_image_name"), F.col("ordinal").cast("int").alias("source_page_index"))
+    counts = x.groupBy("source_path").agg(F.count("*").alias("page_count"))
+    v = counts.withColumn("source_parent", F.regexp_replace("source_path", "/[^/]*$", ""))
+    v = v.withColumn("series_label", F.regexp_extract("source_parent", "[^/]*$", 0)).withColumn("volume_label", F.regexp_replace(F.regexp_extract("source_path", "[^/]*$", 0), r"\.[^.]*$", ""))
+    v = v.withColumn("series_path", F.col("source_parent")).withColumn("natural", natural_key(F.col("volume_label")))
+    v = choose_volumes(volume_ordinals(v, series="series_path"), volumes_per_series, mode=series_mode, seed=seed, series="series_path")
+    v = v.withColumn("volume_index", F.row_number().over(W.orderBy("series_index", "series_volume_number"))).drop("natural")  # one row for each chosen volume
+    chosen = choose_pages(x.join(v.select("source_path"), "source_path"), pages_per_volume, mode=mode, seed=seed, skip_first=skip_first, skip_last=skip_last, volume="source_path", page="source_page_index")
+    name = F.format_string("%s__page_%04d%s", slug(F.col("volume_label")), F.col("source_page_index") + 1, F.regexp_extract("source_image_name", r"\.[^.]*$", 0))
+    return chosen.join(v, "source_path").select(
+        "series_index", "series_label", "series_path", "series_volume_number", "series_volume_count", "volume_index", "volume_label", "source_path", "source_parent", "page_count",
+        (F.col("source_page_index") + 1).alias("source_page_number"), "source_page_index", "source_image_name", F.concat_ws("/", F.lit("pages"), slug(F.col("series_label")), slug(F.col("volume_label")), name).alias("output_relpath"),
+        F.lit(mode).alias("sampling_mode"), F.lit(seed).alias("seed"),
+    )

@@ -264,7 +264,7 @@ def oracle_sql() -> dict[str, str]:
         "suspicious_tokens": f"WITH {QUALITY}, t AS (SELECT {token} AS token, {HIGH} AS high FROM qq) SELECT token, count(*) AS count, count(*) FILTER (high) AS high_risk_count FROM t WHERE {weird} GROUP BY token",
         "name_candidates": f"WITH {BLOCKS}, t AS (SELECT unnest(regexp_extract_all(source, {q(names)}, 1)) AS token FROM b) SELECT token, count(*) AS count FROM t WHERE token NOT IN {among(P.NAME_STOP)} AND lower(token) NOT IN {among(P.ENGLISH_COMMON)} GROUP BY token",
         "residue_tokens": f"""WITH {TURNS}, s AS (SELECT coalesce(nullif(fixed, ''), ocr_text) AS source, translation_fr AS translation FROM tb), t AS (SELECT unnest(list_intersect({words4.format('source')}, {words4.format('translation')})) AS token FROM s) SELECT token, count(*) AS count FROM t WHERE token NOT IN {among(P.FRENCH_STOP)} GROUP BY token""",
-        "token_risk_weights": f"WITH {QUALITY}, t AS (SELECT lower(token) AS token, high FROM (SELECT {token} AS token, {HIGH} AS high FROM qq)) SELECT token, count(*) AS count, count(*) FILTER (high) AS high_risk_count FROM t GROUP BY token HAVING count(*) >= 2 AND (count(*) FILTER (high) + 1) / (count(*) + 2) >= 0.55",
+        "token_risk_weights": f"WITH {QUALITY}, t AS (SELECT lower(token) AS token, high FROM (SELECT {token} AS token, {HIGH} AS high FROM qq)) SELECT token, count(*) AS count, count(*) FILTER (high) AS high_risk_count, round((count(*) FILTER (high) + 1) / (count(*) + 2), 4) AS risk_weight FROM t GROUP BY token HAVING count(*) >= 2 AND (count(*) FILTER (high) + 1) / (count(*) + 2) >= 0.55",
         "glossary_candidates": f"WITH {BLOCKS}, t AS (SELECT seq, unnest(regexp_extract_all(source, {q(TERM)})) AS term FROM b WHERE {LEARN}) SELECT term, count(*) AS count FROM t WHERE len(term) >= 3 AND upper(term) <> term GROUP BY term ORDER BY count(*) DESC, min(seq), term LIMIT 100",
         "translation_counts": f"WITH {BLOCKS} SELECT source_lang, source, translation AS translation_fr, count(*) AS count FROM b WHERE {LEARN} AND source <> '' GROUP BY source_lang, source, translation ORDER BY count(*) DESC, lower(source), min(seq) LIMIT 100",
         "correction_counts": f"WITH {BLOCKS}, c AS (SELECT regexp_replace(ocr_text, {TRIM}) AS ocr_raw, regexp_replace(ocr_corrected_text, {TRIM}) AS ocr_corrected, seq FROM b WHERE {LEARN}) SELECT ocr_raw, ocr_corrected, count(*) AS count FROM c WHERE ocr_raw <> '' AND ocr_corrected <> '' AND ocr_raw <> ocr_corrected GROUP BY ocr_raw, ocr_corrected ORDER BY count(*) DESC, lower(ocr_raw), min(seq) LIMIT 100",
@@ -284,8 +284,6 @@ def oracle_sql() -> dict[str, str]:
             SELECT CASE WHEN pos % 3 = 0 THEN upper(source) ELSE source END AS source, CASE WHEN pos % 3 = 0 THEN 'x' ELSE source END AS target, 0 AS first_list, pos FROM w""",
         "iou_best_match": f"WITH {_iou()}",
         "corpus_totals": f"WITH {BLOCKS}, p AS (SELECT project_id, page_index, count(*) AS n, count(*) FILTER (nw > 0) AS w, count(*) FILTER (translation = '' AND manual_status <> 'ignored') AS u FROM b GROUP BY ALL) SELECT count(*) AS pages, count(*) AS processed, 0 AS skipped, CAST(sum(n) AS BIGINT) AS blocks, CAST(sum(w) AS BIGINT) AS blocks_with_warnings, CAST(sum(u) AS BIGINT) AS untranslated FROM p",
-        "fragment_noise": rf"""WITH {SENTENCES}, f AS (SELECT page_index, CAST(split_part(block_id, '_', 3) AS INT) AS raw_order, v, 1.0 - (CAST(split_part(block_id, '_', 3) AS INT) % 100) / 100 AS conf, len(regexp_extract_all(v, '\p{{L}}')) AS letters FROM sv)
-            SELECT page_index, raw_order FROM f WHERE v = '' OR conf < 0.20 OR len(v) <= 1 OR letters = 0 OR (conf < 0.55 AND letters <= 2)""",
         "resumed_pages": f"WITH {BLOCKS} SELECT DISTINCT project_id, page_index FROM b WHERE page_index % 2 <> 0",
     }
 

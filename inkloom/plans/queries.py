@@ -11,7 +11,7 @@ from inkloom.functions.score import band, queue_risk, with_quality
 from inkloom.operators import blocks as B
 from inkloom.operators import evaluate, geometry, learning, memory, selection
 from inkloom.sources import sinks, tables
-from inkloom.sources.views import doc_blocks, scratch, sentence_blocks, table, turn_blocks
+from inkloom.sources.views import BIG, SMALL, doc_blocks, scratch, sentence_blocks, table, turn_blocks
 
 KEY = ("project_id", "page_index", "block_id")
 
@@ -90,6 +90,68 @@ def queue_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.queue_summary(doc_blocks(spark, sf_dir))
 
 
+def queue_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of each view of the review queue."""
+    q = B.review_queue(doc_blocks(spark, sf_dir))
+    shown = F.filter(F.array(*(F.when(B.queue_filter(v), F.lit(v)) for v in B.QUEUE_VIEWS)), lambda v: v.isNotNull())
+    return q.select("block_id", F.explode(shown).alias("view"))
+
+
+def zone_fallbacks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks whose zone should be read again."""
+    return sentence_blocks(spark, sf_dir).where(B.zone_fallback_candidate()).select(*KEY)
+
+
+def memory_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A correction memory written line by line and read back."""
+    path = scratch(spark, "memory")
+    sinks.write_memory(memory.majority(memory.votes_for_corrections(doc_blocks(spark, sf_dir))), path)
+    return tables.read_memory(spark, path, lines=True).select("key", "value")
+
+
+def _volumes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = doc_blocks(spark, sf_dir)
+    series = F.when(F.expr("seq % 3 = 0"), F.translate("series_label", SMALL, BIG)).otherwise(F.col("series_label"))
+    return x.select(F.concat(F.lit("/lib/"), series, F.lit("/v"), (F.col("seq") % 3).cast("string"), F.lit(".cbz")).alias("volume_path"), "page_index")
+
+
+def duplicate_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Folders, in any case, with two volumes or more."""
+    x = selection.duplicate_parents(_volumes(spark, sf_dir).select("volume_path").distinct())
+    return x.select("parent", "volumes", F.array_join("paths", ",").alias("paths"))
+
+
+def pages_of_volumes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages sampled of each volume, also of those without any."""
+    x = _volumes(spark, sf_dir)
+    return selection.pages_of_volumes(x.select("volume_path").distinct(), x.where("page_index % 7 = 0").distinct())
+
+
+def suspect_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from inkloom.operators.normalise import suspect
+
+    return turn_blocks(spark, sf_dir).where(suspect()).select(*KEY)
+
+
+def softened_capitals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Translations of documents, a quarter of them in capitals, softened."""
+    from inkloom.operators.dialogue import soften_capitals
+
+    return doc_blocks(spark, sf_dir).select(*KEY, soften_capitals(F.col("translation_fr")).alias("soft"))
+
+
+def prepared_dialogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """User turns made ready for translation, with overrides from the benchmark."""
+    from inkloom.operators.dialogue import prepare
+
+    return prepare(turn_blocks(spark, sf_dir), overrides=_bench(spark, sf_dir)).select(*KEY, "corrected", "normalized", "override")
+
+
+def sfx_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences that are a sound alone."""
+    return sentence_blocks(spark, sf_dir).where(geometry.sfx_label(F.col("ocr_text"))).select(*KEY)
+
+
 def refreshable_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = doc_blocks(spark, sf_dir)
     return x.where(B.refreshable("en", True)).select(*KEY, B.protected().alias("protected"), B.learnable().alias("learnable"))
@@ -262,7 +324,7 @@ def residue_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def token_risk_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return learning.token_risk(with_quality(doc_blocks(spark, sf_dir))).select("token", "count", "high_risk_count")
+    return learning.token_risk(with_quality(doc_blocks(spark, sf_dir))).select("token", "count", "high_risk_count", "risk_weight")
 
 
 def glossary_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:

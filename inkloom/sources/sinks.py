@@ -62,10 +62,87 @@ def write_pack(rows: DataFrame, path: str) -> None:
 
 
 def write_memory(memory: DataFrame, path: str) -> None:
-    """key and value, sorted by key across files."""
+    """key and value on every line, sorted by key across files, as ``read_memory`` with ``lines`` takes them."""
     memory.select("key", "value").orderBy("key").write.json(path)
 
 
+def write_memory_document(memory: DataFrame, path: str, metadata: dict[str, str] | None = None) -> None:
+    """The exchange format {version, metadata, entries}: one JSON object, so one task gathers the entries. For a large memory take ``write_memory``."""
+    about = F.map_from_arrays(F.array(*map(F.lit, metadata)), F.array(*map(F.lit, metadata.values()))) if metadata else F.expr("cast(map() as map<string,string>)")
+    x = memory.where("key is not null and value is not null").groupBy("key").agg(F.max("value").alias("value"))
+    entries = F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value"))))
+    x.agg(entries.alias("entries")).select(F.lit(1).alias("version"), about.alias("metadata"), "entries").coalesce(1).write.json(path)
+
+
+def write_dataset(blocks: DataFrame, path: str) -> None:
+    """The review dataset of scored blocks: rows as CSV and JSON lines, learned counts, glossary terms and the quality report."""
+    from inkloom.operators import learning
+
+    write_review_rows(blocks, f"{path}/rows")
+    learning.translation_counts(blocks).write.json(f"{path}/learning/translations")
+    learning.correction_counts(blocks).write.json(f"{path}/learning/corrections")
+    learning.glossary_candidates(blocks).select("term").coalesce(1).write.text(f"{path}/glossary")
+    report(learning.quality_report(blocks), f"{path}/quality", "Quality")
+
+
+MANIFEST = (
+    "series_index", "series_label", "series_path", "series_volume_number", "series_volume_count", "volume_index", "volume_label", "source_path", "source_parent", "page_count",
+    "source_page_number", "source_page_index", "source_image_name", "output_relpath", "output_sha256", "sampling_mode", "seed",
+)
+
+
+def write_manifest(pages: DataFrame, path: str) -> None:
+    """Sampled pages as a manifest of 17 columns, in CSV and in JSON lines; columns that are missing are null. A report counts pages by volume."""
+    x = pages.select(*(F.col(c) if c in pages.columns else F.lit(None).cast("string").alias(c) for c in MANIFEST))
+    x.write.csv(f"{path}/csv", header=True, escape='"')
+    x.write.option("ignoreNullFields", False).json(f"{path}/jsonl")
+    volumes = x.groupBy(F.col("series_label").alias("section"), F.col("volume_label").alias("name")).agg(F.count("*").alias("value"))
+    report(volumes, f"{path}/report", "Sample")
+
+
+def report(rows: DataFrame, path: str, title: str) -> None:
+    """section, name, value as Markdown: a heading for each section, its lines by falling value. One row a section line; a report is one file."""
+    lines = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("value").cast("double")).alias("_v"), "name", F.col("value").cast("string").alias("value")))), lambda r: F.concat(F.lit("- "), r["name"], F.lit(": "), r["value"]))
+    body = rows.where("name is not null").groupBy(F.coalesce("section", F.lit("")).alias("section")).agg(lines.alias("lines"))
+    text = F.concat(F.lit("## "), F.col("section"), F.lit("\n\n"), F.array_join("lines", "\n"), F.lit("\n"))
+    x = body.select("section", text.alias("value")).unionByName(rows.sparkSession.range(1).select(F.lit(None).cast("string").alias("section"), F.lit(f"# {title}\n").alias("value")))
+    x.repartition(1).sortWithinPartitions(F.col("section").asc_nulls_first()).select("value").write.text(path)
+
+
+def write_profile(rows: DataFrame, path: str) -> None:
+    """What a corpus taught: summary, tokens, names, repeated sources and weights as JSON lines, seeds of a glossary and of residue words as text, and a report."""
+    from inkloom.operators import learning
+
+    parts = {"suspicious": learning.suspicious_tokens(rows), "residue": learning.residue_tokens(rows), "names": learning.name_candidates(rows), "repeated": learning.repeated_sources(rows), "weights": learning.token_risk(rows), "series": learning.top_series(rows)}
+    learning.profile_summary(rows).write.json(f"{path}/summary")
+    for name, x in parts.items():
+        x.write.json(f"{path}/{name}")
+    parts["names"].orderBy(F.desc("count"), "token").select("token").coalesce(1).write.text(f"{path}/glossary")
+    parts["residue"].orderBy(F.desc("count"), "token").select("token").coalesce(1).write.text(f"{path}/residue_words")
+    top = lambda name, key, value: parts[name].orderBy(F.desc(value), key).limit(40).select(F.lit(name).alias("section"), F.col(key).alias("name"), F.col(value).cast("double").alias("value"))
+    report(top("series", "series_label", "blocks").unionByName(top("suspicious", "token", "count")).unionByName(top("residue", "token", "count")).unionByName(top("weights", "token", "risk_weight")), f"{path}/report", "Profile")
+
+
+def write_diagnosis(items: DataFrame, path: str, k: int = 8) -> None:
+    """All items as JSON lines; counts by category, larger ones first, and at most ``k`` examples of each."""
+    from inkloom.operators.evaluate import diagnose_counts, examples
+
+    items.write.json(f"{path}/items")
+    counts = diagnose_counts(items)
+    counts.orderBy(F.desc("count"), "category").coalesce(1).write.json(f"{path}/counts")
+    examples(items, k).repartition(1).sortWithinPartitions("category", "rn").write.json(f"{path}/examples")
+    report(counts.select(F.lit("categories").alias("section"), F.col("category").alias("name"), F.col("count").alias("value")), f"{path}/report", "Diagnosis")
+
+
+def write_replay(results: DataFrame, path: str) -> None:
+    """All results and totals as JSON lines, and in detail those that aren't a match."""
+    from inkloom.operators.evaluate import replay_totals
+
+    results.write.json(f"{path}/results")
+    replay_totals(results).coalesce(1).write.json(f"{path}/totals")
+    results.where("status <> 'match'").orderBy("project_id", "page_index", "target_id").write.json(f"{path}/mismatches")
+
+
 def escaped(c: Column) -> Column:
     """Text for HTML."""
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
@@ -74,10 +151,23 @@ def escaped(c: Column) -> Column:
 
 
 def html_pages(blocks: DataFrame) -> DataFrame:
-    """project_id, page_index, html: the page's image and its blocks in reading order."""
+    """project_id, page_index, html: the page's image and status, and its blocks in reading order with every text, warnings and notes."""
     fr = F.coalesce(F.nullif(F.btrim(final_translation()), F.lit("")), F.lit("[non traduit]"))
-    item = F.concat(F.lit("<li><p>"), escaped(source_normalized_first()), F.lit("</p><p>"), escaped(fr), F.lit("</p></li>"))
+
+    def shown(label: str, c: Column) -> Column:
+        """A line where there is a text that differs from what is shown as the source."""
+        return F.when((c != "") & (c != source_normalized_first()), F.concat(F.lit(f"<p class='{label}'>"), escaped(c), F.lit("</p>"))).otherwise("")
+
+    meta = F.concat_ws(" · ", F.col("block_id"), F.col("manual_status"), F.format_string("%.2f", F.col("confidence")))
+    meta = F.when(F.col("confidence").isNull(), F.concat_ws(" · ", F.col("block_id"), F.col("manual_status"))).otherwise(meta)
+    warned = F.array_join(F.transform("quality_warnings", lambda w: F.concat(F.lit("<li class='warning'>"), escaped(w), F.lit("</li>"))), "")
+    item = F.concat(
+        F.lit("<li><p class='meta'>"), escaped(meta), F.lit("</p><p>"), escaped(source_normalized_first()), F.lit("</p><p>"), escaped(fr), F.lit("</p>"),
+        shown("raw", F.col("ocr_text")), shown("corrected", F.col("ocr_corrected_text")), shown("notes", F.col("review_notes")),
+        F.when(warned != "", F.concat(F.lit("<ul>"), warned, F.lit("</ul>"))).otherwise(""), F.lit("</li>"),
+    )
     rows = F.sort_array(F.collect_list(F.struct("reading_order", "seq", item.alias("item"))))
     body = F.array_join(F.transform(rows, lambda r: r["item"]), "")
-    g = blocks.groupBy("project_id", "page_index").agg(F.first("image_name").alias("image"), body.alias("body"))
-    return g.select("project_id", "page_index", F.concat(F.lit('<section><img src="'), escaped(F.col("image")), F.lit('"><ol>'), F.col("body"), F.lit("</ol></section>")).alias("html"))
+    g = blocks.groupBy("project_id", "page_index").agg(F.first("image_name").alias("image"), F.coalesce(F.first("page_status"), F.lit("")).alias("status"), body.alias("body"))
+    head = F.concat(F.lit('<section data-status="'), escaped(F.col("status")), F.lit('"><img src="'), escaped(F.col("image")), F.lit('"><ol>'))
+    return g.select("project_id", "page_index", F.concat(head, F.col("body"), F.lit("</ol></section>")).alias("html"))

@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from inkloom.functions.text import full, ignore_key, memory_key, natural_key, path_labels
 from inkloom.schema import PROJECT_SCHEMA, TEXTS, as_blocks
@@ -54,13 +55,25 @@ def _first(df: DataFrame, names: tuple[str, ...]) -> Column:
     return F.coalesce(*known, F.lit(None).cast("string")) if known else F.lit(None).cast("string")
 
 
+def with_position(rows: DataFrame, name: str = "index") -> DataFrame:
+    """Add each row's position from 0 in the order of the scan: its place in its partition after the rows of those before (one row for each partition)."""
+    x = rows.withColumn("_id", F.monotonically_increasing_id())
+    part = F.shiftright("_id", 33)
+    sizes = x.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    x = x.withColumn("_part", part).join(sizes.select("_part", before.alias("_before")), "_part")
+    return x.withColumn(name, F.col("_before") + F.col("_id") - F.shiftleft("_part", 33)).drop("_id", "_part", "_before")
+
+
 def manifest_entries(raw: DataFrame, index: str | None = None) -> DataFrame:
     """index, image_path, page_number, series_label, volume_label of manifest rows with any of the known column names.
 
     Rows without an image path are left out. A page number of 0 or none is the
     row's position from 1 (``index``, if given, is a column with positions from 0).
     """
-    at = F.col(index).cast("long") if index else F.monotonically_increasing_id()
+    if index is None:
+        raw, index = with_position(raw, "_index"), "_index"
+    at = F.col(index).cast("long")
     number = full(F.regexp_replace(_first(raw, NUMBERS), "^0+(?:\\.0*)?$", ""))
     x = raw.select(at.alias("index"), _first(raw, PATHS).alias("image_path"), number.alias("_n"), _first(raw, SERIES).alias("_s"), _first(raw, VOLUMES).alias("_v"))
     series, volume = path_labels(F.col("image_path"))
@@ -79,6 +92,39 @@ def read_manifest_csv(spark: SparkSession, path: str) -> DataFrame:
     return manifest_entries(spark.read.csv(path, header=True, multiLine=True, escape='"'))
 
 
+def find_manifest(spark: SparkSession, root: str) -> str | None:
+    """The manifest of a corpus folder: its own JSON lines, else its own CSV, else the only one below it (analysis and run folders aside).
+
+    Only names are listed, by Spark's file source. Several manifests below a folder raise an error.
+    """
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "manifest.{jsonl,csv}").load(root).select("path")
+    base = root.rstrip("/")
+    inside = F.regexp_extract("path", "^(?:[a-z]+:/*)?(.*)$", 1)
+    rel = F.ltrim(F.replace(inside, F.lit(base.split(":", 1)[-1].lstrip("/")), F.lit("")), F.lit("/"))
+    x = listed.select("path", rel.alias("rel")).where(~F.col("rel").rlike("(?:^|/)(?:analysis|corpus_run)/"))
+    found = [r.path for r in x.orderBy(F.col("rel") != "manifest.jsonl", F.col("rel") != "manifest.csv", "rel").limit(3).collect()]
+    own = [r for r in x.where("rel in ('manifest.jsonl', 'manifest.csv')").orderBy(F.col("rel").desc()).limit(2).collect()]
+    if own:
+        return own[0].path
+    if len(found) > 1:
+        raise ValueError(f"several manifests under {root}: {', '.join(found)}")
+    return found[0] if found else None
+
+
+def read_manifest(spark: SparkSession, path: str, columns: str = "image_path string, page_number string, series_label string, volume_label string") -> DataFrame:
+    """Manifest entries of a manifest file, or of a folder: its manifest, or else the images in it."""
+    if path.endswith(".jsonl"):
+        return read_manifest_jsonl(spark, path, columns)
+    if path.endswith(".csv"):
+        return read_manifest_csv(spark, path)
+    if found := find_manifest(spark, path):
+        return read_manifest(spark, found, columns)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path")
+    x = manifest_from_pages(files).withColumn("page_number", F.col("source_page_index") + 1)
+    order = W.orderBy("series_label", "volume_label", "source_page_index", "image_path")  # one row for each page image of a corpus folder
+    return x.withColumn("index", F.row_number().over(order).cast("long") - 1).select("index", "image_path", "page_number", "series_label", "volume_label")
+
+
 def manifest_from_pages(files: DataFrame, path: str = "path") -> DataFrame:
     """Manifest entries from image paths ``.../pages/<series>/<volume>/...__page_<number>.<ext>``."""
     series, volume = path_labels(F.col(path))
@@ -88,24 +134,61 @@ def manifest_from_pages(files: DataFrame, path: str = "path") -> DataFrame:
 
 
 def read_volume_list(spark: SparkSession, path: str) -> DataFrame:
-    """Paths of a text list: blank lines and comments are skipped, quotes stripped."""
-    line = F.btrim(F.regexp_replace("value", "^﻿", ""))
-    x = spark.read.text(path).select(line.alias("line")).where("line <> '' and not startswith(line, '#')")
-    return x.select(F.btrim("line", F.lit("\"' ")).alias("volume_path"))
-
-
-def discover_series(files: DataFrame, path: str = "path") -> DataFrame:
-    """series_path, volume_path, natural of archives among file paths; a folder is a series, each volume once."""
+    """Paths of a text list: blank lines and comments are skipped, a pair of quotes around a path goes, and a relative path is one beside the list."""
+    line = F.btrim(F.regexp_replace("value", "^\ufeff", ""))
+    x = spark.read.text(path).select(line.alias("line"), F.regexp_replace(F.input_file_name(), "/[^/]*$", "").alias("base")).where("line <> '' and not startswith(line, '#')")
+    bare = F.col("line")
+    for quote in ('"', "'"):
+        bare = F.regexp_replace(bare, f"^{quote}(.*){quote}$", "$1")
+    whole = bare.rlike(r"^(?:/|[A-Za-z][A-Za-z0-9+.\-]*:)")
+    return x.select(F.when(whole, bare).otherwise(F.concat_ws("/", "base", bare)).alias("volume_path"))
+
+
+def discover_series(files: DataFrame, path: str = "path", *, roots: DataFrame | None = None, recursive: bool = False) -> DataFrame:
+    """series_path, volume_path, series_label, natural of archives among file paths; a folder is a series, each volume once.
+
+    ``roots`` (root): only archives that are a root or lie in one count. A
+    root's own archives are its series; archives deeper down count only if it
+    has none of its own and ``recursive`` is set, a series for each folder.
+    """
     x = files.where(F.lower(path).rlike(r"\.(?:cbz|zip)$")).select(F.regexp_replace(path, "/[^/]*$", "").alias("series_path"), F.col(path).alias("volume_path")).dropDuplicates(["volume_path"])
+    if roots is not None:
+        x = x.join(_under(x, roots, recursive).select("volume_path").distinct(), "volume_path", "left_semi")
     name = F.regexp_extract("volume_path", "[^/]*$", 0)
     return x.withColumn("series_label", F.regexp_extract("series_path", "[^/]*$", 0)).withColumn("natural", natural_key(name))
 
 
-#: Columns of a review table by the labels that spreadsheets show.
-REVIEW_LABELS = {
-    "décision": "review_decision", "decision": "review_decision", "ocr corrigé": "corrected_ocr", "source corrigée": "corrected_source", "français corrigé": "corrected_fr",
-    "notes": "review_notes", "page": "page_index", "bloc": "block_id", "série": "series_label",
+def _under(archives: DataFrame, roots: DataFrame, recursive: bool) -> DataFrame:
+    """root, volume_path of the archives that count for a root: every folder above an archive is a key of the join."""
+    r = roots.select(F.regexp_replace("root", "/+$", "").alias("root")).distinct()
+    above = F.transform(F.sequence(F.lit(1), F.size(F.split("volume_path", "/"))), lambda n: F.array_join(F.slice(F.split("volume_path", "/"), 1, n), "/"))
+    x = archives.select("series_path", "volume_path", F.explode(above).alias("root")).join(r, "root")
+    x = x.withColumn("direct", (F.col("series_path") == F.col("root")) | (F.col("volume_path") == F.col("root")))
+    own = x.groupBy("root").agg(F.max("direct").alias("own"))
+    return x.join(own, "root").where(F.col("direct") | (F.lit(recursive) & ~F.col("own")))
+
+
+def rejected_roots(files: DataFrame, roots: DataFrame, path: str = "path", recursive: bool = False) -> DataFrame:
+    """root, reason of roots that give no volume: a file of another kind, a folder without archives (of its own), or a path that isn't there."""
+    x = files.select(F.regexp_replace(path, "/[^/]*$", "").alias("series_path"), F.col(path).alias("volume_path"))
+    used = _under(x.where(F.lower("volume_path").rlike(r"\.(?:cbz|zip)$")), roots, recursive).select("root").distinct()
+    r = roots.select(F.regexp_replace("root", "/+$", "").alias("root")).distinct().join(used, "root", "left_anti")
+    seen = _under(x, roots, True).select("root").distinct().withColumn("there", F.lit(True))
+    is_file = x.select(F.col("volume_path").alias("root")).distinct().withColumn("is_file", F.lit(True))
+    why = F.when(F.col("is_file"), "unsupported file").when(F.col("there"), "no archive in folder").otherwise("not found")
+    return r.join(seen, "root", "left").join(is_file, "root", "left").select("root", why.alias("reason"))
+
+
+# The labels of a review table's columns in spreadsheets.
+HEADERS = {
+    "review_decision": "Décision", "suggested_action": "Action suggérée", "risk_score": "Risque", "risk_reasons": "Raisons risque", "quality_warnings": "Warnings QC", "review_notes": "Notes reviewer",
+    "ocr_text": "OCR brut à lire", "corrected_ocr": "OCR corrigé à remplir", "ocr_corrected_text": "OCR corrigé auto", "source_for_review": "Source à vérifier", "corrected_source": "Source corrigée à remplir",
+    "normalized_source_text": "Source normalisée auto", "translation_fr": "Traduction actuelle", "corrected_fr": "Traduction FR corrigée à remplir", "raw_translation_fr": "Trad brute", "series_label": "Série",
+    "volume_label": "Tome", "page_number": "Page", "image_name": "Image", "block_id": "Block ID", "page_index": "Page index", "bbox": "BBox", "source_lang": "Langue source", "confidence": "Confiance OCR",
+    "ocr_alternatives_count": "Nb alternatives OCR", "ocr_alternatives": "Alternatives OCR",
 }
+# End of the fixed values.
+REVIEW_LABELS = {label.lower(): name for name, label in HEADERS.items()}
 
 
 def read_review_table(spark: SparkSession, path: str, sep: str | None = None) -> DataFrame:
@@ -118,12 +201,31 @@ def read_review_table(spark: SparkSession, path: str, sep: str | None = None) ->
     return x.where(F.coalesce(*(full(F.btrim(F.col(c))) for c in x.columns)).isNotNull()).na.fill("")
 
 
-def read_memory(spark: SparkSession, path: str, translation: bool = False) -> DataFrame:
-    """key, value, seq of a memory document {entries: {key: value}}; keys are made canonical, blanks dropped, the last of equal keys counts."""
-    docs = spark.read.schema("entries map<string,string>").option("multiLine", True).json(path)
-    x = docs.select(F.posexplode("entries").alias("seq", "k", "value"))
-    x = x.select((memory_key if translation else ignore_key)(F.col("k")).alias("key"), F.btrim("value").alias("value"), F.col("seq").cast("long").alias("seq")).where("key <> '' and value <> ''")
-    return x.groupBy("key").agg(F.max_by("value", "seq").alias("value"), F.max("seq").alias("seq"))
+def read_memory(spark: SparkSession, path: str, translation: bool = False, lines: bool = False) -> DataFrame:
+    """key, value, seq of a memory; keys are made canonical, blanks dropped, the last of equal keys counts.
+
+    A document {entries: {key: value}} or {entries: [{source or source_key,
+    translation_fr}]}; with ``lines``, {key, value} on every line.
+    """
+    if lines:
+        x = spark.read.schema("key string, value string").json(path).select(F.lit(0).cast("long").alias("seq"), F.col("key").alias("k"), "value")
+    else:
+        docs = spark.read.schema("entries string").option("multiLine", True).json(path)
+        pairs = F.map_entries(F.from_json("entries", "map<string,string>"))
+        items = F.from_json("entries", "array<struct<source:string,source_key:string,translation_fr:string>>")
+        listed = F.transform(items, lambda e: F.struct(F.coalesce(e["source"], e["source_key"]).alias("key"), e["translation_fr"].alias("value")))
+        found = F.when(F.btrim("entries").startswith("["), listed).otherwise(pairs)
+        x = docs.select(F.posexplode(found).alias("seq", "e")).select(F.col("seq").cast("long").alias("seq"), F.col("e.key").alias("k"), F.col("e.value").alias("value"))
+    x = x.select((memory_key if translation else ignore_key)(F.col("k")).alias("key"), F.btrim("value").alias("value"), "seq").where("key <> '' and value <> ''")
+    return x.groupBy("key").agg(F.max(F.struct("seq", "value")).alias("m")).select("key", F.col("m.value").alias("value"), F.col("m.seq").alias("seq"))
+
+
+def read_rules(spark: SparkSession, path: str) -> list[tuple[str, str]]:
+    """(pattern, replacement) rules of a JSON-lines table (ord, pattern, replacement), in order. Rules are a corpus's own list, of some hundred rows."""
+    rows = spark.read.schema("ord int, pattern string, replacement string").json(path).where("pattern is not null").orderBy("ord").limit(10_000).collect()
+    if len(rows) == 10_000:
+        raise ValueError("a rule table holds fewer than 10,000 rules")
+    return [(r.pattern, r.replacement or "") for r in rows]
 
 
 def failing_pages(spark: SparkSession, path: str, statuses: tuple[str, ...]) -> DataFrame:
@@ -161,8 +263,6 @@ def read_archive_entries(spark: SparkSession, path: str, contents: bool = False)
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{cbz,zip,CBZ,ZIP}").load(path)
     x = files.select("path", "content").mapInPandas(run, schema)
-    from pyspark.sql import Window as W
-
     order = W.partitionBy("archive").orderBy(natural_key(F.col("entry")), "entry")
     return x.withColumn("ordinal", F.row_number().over(order) - 1)
 

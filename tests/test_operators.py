@@ -204,8 +204,15 @@ def test_projects_and_memories_on_disk(spark, tmp_path):
     assert values(b, "project_id", "series_label", "volume_label", "ocr_text", "manual_status", "bbox", "quality_warnings") == [("p", "S", "V", "", "unchecked", [0, 0, 0, 0], ["w"])]
     (tmp_path / "m.json").write_text(json.dumps({"version": 1, "entries": {"Hello ...": "a", "hello": "b", " ": "c"}}))
     assert values(tables.read_memory(spark, str(tmp_path / "m.json"), translation=True), "key", "value") == [("hello", "b")]
-    sinks.write_memory(spark.createDataFrame([("k", "v")], "key string, value string"), str(tmp_path / "out"))
-    assert spark.read.json(str(tmp_path / "out")).collect()[0].key == "k"
+    (tmp_path / "l.json").write_text(json.dumps({"entries": [{"source": "Hi :", "translation_fr": "Salut"}, {"source_key": "Yo", "translation_fr": "Yo"}, {"source": "x"}]}))
+    assert sorted(values(tables.read_memory(spark, str(tmp_path / "l.json"), translation=True), "key", "value")) == [("hi", "Salut"), ("yo", "Yo")]
+    m = spark.createDataFrame([("k", "v"), ("a b", "w é"), (None, "x")], "key string, value string")
+    sinks.write_memory(m, str(tmp_path / "lines"))
+    sinks.write_memory_document(m, str(tmp_path / "doc"), {"origin": "test"})
+    for kept in (tables.read_memory(spark, str(tmp_path / "lines"), lines=True), tables.read_memory(spark, str(tmp_path / "doc"))):
+        assert sorted(values(kept, "key", "value")) == [("a b", "w é"), ("k", "v")]
+    sinks.write_memory_document(m.limit(0), str(tmp_path / "none"))
+    assert tables.read_memory(spark, str(tmp_path / "none")).count() == 0
 
 
 def test_manifests_and_lists(spark, tmp_path):
@@ -213,8 +220,8 @@ def test_manifests_and_lists(spark, tmp_path):
     got = tables.read_manifest_jsonl(spark, str(tmp_path / "m.jsonl"), "output_relpath string, image_path string, series_label string, page_number string")
     assert sorted(values(got, "image_path", "series_label", "volume_label")) == [("pages/S/V/x.png", "S1", "V"), ("y.png", "unknown", "")]
     (tmp_path / "l.txt").write_text('﻿# list\n\n"a b.cbz"\nc.cbz\n')
-    assert values(tables.read_volume_list(spark, str(tmp_path / "l.txt")), "volume_path") == [("a b.cbz",), ("c.cbz",)]
-    (tmp_path / "r.tsv").write_text("page_index\tblock_id\tDécision\tnotes\n3\tb1\tok\ta, b\n\t\t\t\n")
+    assert [r[0].removeprefix("file://") for r in values(tables.read_volume_list(spark, str(tmp_path / "l.txt")), "volume_path")] == [f"{tmp_path}/a b.cbz", f"{tmp_path}/c.cbz"]
+    (tmp_path / "r.tsv").write_text("Page index\tBlock ID\tDécision\tNotes reviewer\n3\tb1\tok\ta, b\n\t\t\t\n")
     assert values(tables.read_review_table(spark, str(tmp_path / "r.tsv")), "page_index", "block_id", "review_decision", "review_notes") == [("3", "b1", "ok", "a, b")]
     assert sorted(r[0] for r in tables.page_list(spark, "p3,7-5,10").collect()) == [3, 5, 6, 7, 10]
 
@@ -264,15 +271,174 @@ def test_checks(spark):
 
 
 def test_normalise(spark):
-    from inkloom.operators.normalise import improve, normalise
+    from inkloom.operators.normalise import normalise
 
-    rows = blocks(spark, {"ocr_text": "Hello ,  world !"}, {"ocr_text": "CIRCUM- STANCES"}, {"ocr_text": "wHaT aRe you doing there BOOM!"}, {"ocr_text": "I am gonna rvn"}, {"ocr_text": "bad key"})
+    rows = blocks(spark, {"ocr_text": "Hello ,  world !"}, {"ocr_text": "CIRCUM- STANCES"}, {"ocr_text": "wHaT aRe you doing there BOOM!"}, {"ocr_text": "I am gonna rvn"}, {"ocr_text": "bad key"}, {"ocr_text": "no , , ,"}, {"ocr_text": "wait =:="}, {"ocr_text": "but-"}, {"ocr_text": "Mr: Fox"})
     m = spark.createDataFrame([("bad key", "Good text")], "key string, value string")
     got = [r[0] for r in normalise(rows, word_rules=[(r"\brvn\b", "run")], colloquial=True, memory=m).orderBy("seq").select("normalised").collect()]
-    assert got == ["Hello, world!", "CIRCUMSTANCES", "what are you doing there", "I am going to run", "Good text"]
-    c = spark.createDataFrame([("b0", "Hello, world!", 0.9, 1), ("b1", "Some other thing that is much longer than that", 0.9, 1)], "block_id string, text string, confidence double, ord int")
-    out = {r.block_id: r for r in improve(rows, c).collect()}
-    assert out["b0"].ocr_text == "Hello, world!" and out["b0"].manual_status == "edited" and not out["b1"].improved
+    assert got == ["Hello, world!", "CIRCUMSTANCES", "what are you doing there", "I am going to run", "Good text", "no...", "wait =...", "but...", "Mr. Fox"]
+
+
+def test_replacement_guard(spark):
+    """A new reading has the words of the old one in order, nothing before or between them, and little after."""
+    from inkloom.operators.normalise import is_safe, penalty, suspect
+
+    pairs = [
+        ("Good morning dear", "Good morning dear friend", True), ("Good morning dear", "x Good morning dear", False), ("Good morning dear", "Good x morning dear", False), ("Good morning dear", "Good morning", True), ("Good morning dear", "Good", False),
+        ("one two three four five", "one two three four", True), ("hello", "hello", False), ("", "hello", False), ("hello there", "hello there b", False), ("hello there", "hello there i", True), ("hello there", "hello there 42", False),
+        ("hello there", "hello there a b c d e f", False), ("Good morning dear", "other words entirely", False),
+    ]
+    df = spark.createDataFrame(pairs, "a string, b string, want boolean")
+    assert [r for r in df.select("a", "b", is_safe(F.col("a"), F.col("b")).alias("got"), "want").collect() if r.got != r.want] == []
+    assert one(spark, lambda v: is_safe(F.lit("toid you"), v, F.lit(True)), "told you") is True  # a local correction
+    costs = [("go home", "go home", 0.0), ("go home", "go home now my dear old friend of mine", 0.85 * 4 + 2.2), ("we go to the house", "BAM we go to the house", 2.8 + 1.8)]
+    assert [round(r[0], 6) for r in spark.createDataFrame(costs, "a string, b string, c double").select(penalty(F.col("a"), F.col("b"))).collect()] == [round(c, 6) for *_, c in costs]
+    b = blocks(spark, {"ocr_text": "Fine words here."}, {"ocr_text": ""}, {"ocr_text": "I toid you."}, {"ocr_text": "a; b"}, {"ocr_text": "Sure.", "confidence": 0.7}, {"ocr_text": "Sure.", "quality_warnings": ["w"]}, {"ocr_text": "toid", "manual_status": "validated"}, {"ocr_text": "I was going to"})
+    assert [r[0] for r in b.orderBy("seq").select(suspect()).collect()] == [False, True, True, True, True, True, False, True]
+
+
+def test_improve(spark):
+    from inkloom.operators.normalise import improve
+
+    rows = blocks(spark, {"ocr_text": "I toid you", "confidence": 0.3, "translation_fr": "x"}, {"ocr_text": "Hello there my", "confidence": 0.3}, {"ocr_text": "Fine.", "manual_status": "ignored"}, {"ocr_text": "Clean enough words.", "confidence": 0.95})
+    c = [("b0", "ocr-corrections", "I told you", 0.3, 0), ("b0", "crop", "zz I told you", 0.99, 1), ("b1", "crop", "Hello there my friend", 0.9, 0), ("b1", "crop", "HELLO there my friend", 0.5, 1), ("b1", "crop", "   ", 0.9, 2), ("b2", "crop", "Fine day.", 0.9, 0), ("b3", "crop", "Clean enough words. Indeed.", 0.99, 0)]
+    got = {r.block_id: r for r in improve(rows, spark.createDataFrame(c, "block_id string, engine string, text string, confidence double, ord int")).collect()}
+    assert got["b0"].ocr_text == "I told you" and got["b0"].manual_status == "edited" and got["b0"].translation_fr == "" and got["b0"].quality_warnings == ["OCR fallback: ocr-corrections a remplacé 'I toid you' par 'I told you'"]
+    assert got["b1"].ocr_text == "Hello there my friend" and [a.text for a in got["b1"].ocr_alternatives] == ["Hello there my friend", "Hello there my"]
+    assert not got["b2"].improved and not got["b3"].improved and got["b3"].ocr_alternatives == []
+    assert improve(rows.limit(0), spark.createDataFrame(c, "block_id string, engine string, text string, confidence double, ord int")).count() == 0
+
+
+def test_sounds_noise_and_lines(spark):
+    """Labels are listed sounds alone; marks and single signs are noise; labels never join dialogue."""
+    assert [one(spark, geometry.sfx_label, t) for t in ("RUSTLE", "bang!", "Bang bang", "sfx: boom", "hey,", "banging")] == [True, True, False, False, True, False]
+    noisy = spark.createDataFrame([("8 <", 0.9), ("<", 0.9), ("ab", 0.5), ("ab", 0.6), ("abc", 0.5), ("abc", 0.1), ("日本", None), ("..!", 0.9)], "t string, c double")
+    assert [r[0] for r in noisy.select(geometry.noise(F.col("t"), F.col("c"))).collect()] == [True, True, True, False, False, True, False, True]
+    box = lambda y, x=100.0, w=150.0: [[x, y], [x + w, y], [x + w, y + 27.0], [x, y + 27.0]]
+    lines = [(0, "BANG!", box(80.0)), (1, "I AM IN TROU-", box(110.0)), (2, "BLE, YOU KNOW.", box(140.0)), (3, "<>", box(170.0)), (4, "FAR AWAY", box(900.0))]
+    raw = spark.createDataFrame([("p", 2, i, b, "en", t, 0.9) for i, t, b in lines], "project_id string, page_index int, seq long, polygon array<array<double>>, source_lang string, ocr_text string, confidence double")
+    got = sorted(values(geometry.post_process(raw), "block_id", "ocr_text", "n_lines"))
+    assert got == [("p0002_b0000", "BANG!", 1), ("p0002_b0001", "I AM IN TROU- BLE, YOU KNOW.", 2), ("p0002_b0004", "FAR AWAY", 1)]
+    assert sorted(values(geometry.post_process(raw, merge_lines=False, filter_noise=False), "block_id", "ocr_text", "reading_order"))[1] == ("p0002_b0001", "I AM IN TROU...", 1)
+
+
+def test_line_groups_by_brute_force(spark):
+    """Each line, in reading order, joins the group that fits it best: the same scores worked out one by one."""
+    import random
+
+    rng = random.Random(5)
+    rows = []
+    for i in range(60):
+        x, y = rng.randint(0, 300), rng.randint(0, 500)
+        rows.append({"page_index": i % 3, "block_id": f"b{i}", "bbox": [x, y, x + rng.randint(20, 160), y + rng.randint(12, 30)], "ocr_text": rng.choice(["BANG!", "some words", "other"]), "source_lang": "ja" if i % 3 == 2 else "en", "confidence": 0.5})
+    got = {(r.page_index, r.block_id): (r.n_lines, r.reading_order, r.bbox) for r in geometry.group_lines(blocks(spark, *rows)).collect()}
+    want = {}
+    for p in range(3):
+        sign = -1 if p == 2 else 1
+        place = lambda r: (r["bbox"][1] + r["bbox"][3], sign * (r["bbox"][0] + r["bbox"][2]))  # noqa: E731,B023
+        groups = []
+        for r in sorted((r for r in rows if r["page_index"] == p), key=place):
+            b, best = r["bbox"], None
+            for g in groups:
+                u = [f(m["bbox"][i] for m in g) for i, f in enumerate((min, min, max, max))]
+                if any(m["ocr_text"] == "BANG!" for m in g) != (r["ocr_text"] == "BANG!"):
+                    continue
+                gap = max(0, b[1] - u[3], u[1] - b[3])
+                if gap > max(34, 1.45 * sum(m["bbox"][3] - m["bbox"][1] for m in [*g, r]) / (len(g) + 1)):
+                    continue
+                wide = (u[2] - u[0], b[2] - b[0])
+                share, off, allow = max(0, min(u[2], b[2]) - max(u[0], b[0])) / min(wide), abs((u[0] + u[2]) / 2 - (b[0] + b[2]) / 2), 0.85 * max(wide)
+                score = 100 * share - 18 * off / max(1, allow) - 0.2 * gap if share >= 0.18 else 24 - 20 * off / max(1, allow) - 0.2 * gap if off <= max(45, allow) else None
+                if score is not None and (best is None or score > best[0]):
+                    best = (score, g)
+            best[1].append(r) if best else groups.append([r])
+        for order, g in enumerate(sorted(groups, key=lambda g: place(g[0]))):
+            want[p, g[0]["block_id"]] = (len(g), order, [f(m["bbox"][i] for m in g) for i, f in enumerate((min, min, max, max))])
+    assert got == want
+
+
+def test_dialogue(spark):
+    from inkloom.operators.dialogue import prepare, prepare_blocks, soften_capitals, with_override
+
+    assert [one(spark, soften_capitals, t) for t in ("I AM HERE , NOW", "NASA", "Hi There", "OK", "「ABCDあ」", " 'WAIT' ")] == ["I am here, now", "nasa", "Hi There", "OK", "「ABCDあ」", "wait"]
+    kept = spark.createDataFrame([("baka", "Baka"), ("ohh!", "kept")], "key string, value string")
+    over = spark.createDataFrame([("no way", "Pas question"), ("baka", "never")], "key string, value string")
+    mem = spark.createDataFrame([("no way", "never"), ("well then", "Eh bien")], "key string, value string")
+    df = spark.createDataFrame([("Baka:",), ("ohh!",), ("Oooh!",), ("awww! ",), ("Hi-yaaa!",), ("Whoaal!",), ("No way...",), ("Well  then .",), ("nothing",), (None,)], "t string")
+    got = [r.override for r in with_override(df, F.col("t"), kept=kept, overrides=over, memory=mem).collect()]
+    want = ["Baka", "kept", "Oh...", "Aww...", "Hi-yaaa!", "Whoa !", "Pas question", "Eh bien", "", ""]
+    assert sorted(got) == sorted(want)
+    x = prepare(blocks(spark, {"ocr_text": "I'M GONNA GO HOME"}, {"ocr_text": "lerned"}), corrections=spark.createDataFrame([("lerned", "Learned text")], "key string, value string"))
+    assert sorted(values(x, "block_id", "corrected", "normalized")) == [("b0", "I'm gonna go home", "I'm going to go home"), ("b1", "Learned text", "Learned text")]
+    b = prepare_blocks(blocks(spark, {"ocr_text": "No way"}, {"ocr_text": "No way", "source_lang": "ja"}), overrides=over)
+    assert sorted(values(b, "block_id", "translation_fr", "normalized_source_text")) == [("b0", "Pas question", "No way"), ("b1", "", "")]
+
+
+def test_single_reviews(spark):
+    """Reviews of single blocks: against what is shown, with the marks of other decisions taken off the note."""
+    b = blocks(spark, {"ocr_text": "x", "translation_fr": "t"}, {"ocr_text": "y", "review_notes": "[zone] old"}, {"ocr_text": "z"}, {"ocr_text": "w"}, {"ocr_text": "v"})
+    r = [("b0", "", "x", "", "T", ""), ("b1", "ok", "", "", "", "[zone] seen"), ("b2", "Bulles fusionnees", "", "", "", "two"), ("b3", "SFX", "", "", "", "[SFX] pan"), ("zz", "ok", "", "", "", "")]
+    reviews = spark.createDataFrame([("p", 0, *row) for row in r], "project_id string, page_index int, block_id string, decision string, corrected_ocr string, corrected_source string, corrected_fr string, notes string")
+    got = {x.block_id: x for x in B.review_each(b, reviews).collect()}
+    assert (got["b0"].manual_status, got["b0"].ocr_corrected_text, got["b0"].translation_fr, got["b0"].raw_translation_fr) == ("edited", "", "T", "T")
+    assert (got["b1"].manual_status, got["b1"].review_notes) == ("validated", "seen")
+    assert (got["b2"].manual_status, got["b2"].review_notes) == ("review", "[fusion] two")
+    assert (got["b3"].manual_status, got["b3"].review_notes) == ("ignored", "[SFX] pan")
+    assert got["b4"].manual_status == "unchecked"
+
+
+def test_reports_on_disk(spark, tmp_path):
+    """Datasets, manifests, profiles, diagnoses and replays: what is written is what the operators give."""
+    b = blocks(spark, {"ocr_text": "Kanade is fopm here", "translation_fr": "Kanade est là", "manual_status": "validated"}, {"ocr_text": "wolld you steal it", "translation_fr": "steal", "quality_warnings": ["w"]}, {"ocr_text": "SLAM", "manual_status": "ignored", "review_notes": "[sfx]"})
+    scored = with_quality(b)
+    text_of = lambda p: "\n".join(r.value for r in spark.read.text(str(tmp_path / p)).collect())
+    sinks.write_dataset(scored, str(tmp_path / "set"))
+    assert spark.read.json(str(tmp_path / "set/rows/jsonl")).count() == spark.read.csv(str(tmp_path / "set/rows/csv"), header=True).count() == 3 and "Kanade" in text_of("set/glossary") and "# Quality" in text_of("set/quality")
+    sinks.write_profile(scored, str(tmp_path / "profile"))
+    assert spark.read.json(str(tmp_path / "profile/summary")).first().rows == 3 and "steal" in text_of("profile/residue_words") and "Kanade" in text_of("profile/glossary")
+    items = evaluate.diagnose(b)
+    sinks.write_diagnosis(items, str(tmp_path / "diagnosis"))
+    assert spark.read.json(str(tmp_path / "diagnosis/items")).count() == items.count() and "- sfx_or_non_dialogue: 1" in text_of("diagnosis/report")
+    results = evaluate.replay(b, b.withColumn("ocr_text", F.when(F.col("seq") == 0, F.lit("other")).otherwise(F.col("ocr_text"))).withColumn("bbox", F.col("bbox")))
+    sinks.write_replay(results, str(tmp_path / "replay"))
+    assert spark.read.json(str(tmp_path / "replay/mismatches")).count() == results.where("status <> 'match'").count() > 0
+    pages = spark.createDataFrame([("S", "V", 3, "pages/S/V/x__page_4.png"), ("S", "V", 7, "pages/S/V/x__page_8.png")], "series_label string, volume_label string, source_page_index int, output_relpath string")
+    (tmp_path / "corpus").mkdir()
+    sinks.write_manifest(pages, str(tmp_path / "m"))
+    assert len(spark.read.csv(str(tmp_path / "m/csv"), header=True).columns) == 17 and "- V: 2" in text_of("m/report")
+    (tmp_path / "corpus/manifest.jsonl").write_text("\n".join(sorted(r.value for r in spark.read.text(str(tmp_path / "m/jsonl")).collect())))
+    (tmp_path / "corpus/analysis").mkdir()
+    (tmp_path / "corpus/analysis/manifest.csv").write_text("image_path\nno.png\n")
+    back = tables.read_manifest(spark, str(tmp_path / "corpus"), "output_relpath string, series_label string, volume_label string, source_page_number string")
+    assert sorted(values(back, "image_path", "index", "page_number")) == [("pages/S/V/x__page_4.png", 0, 1), ("pages/S/V/x__page_8.png", 1, 2)]
+    (tmp_path / "two/a").mkdir(parents=True)
+    (tmp_path / "two/b").mkdir()
+    for n in ("a", "b"):
+        (tmp_path / f"two/{n}/manifest.csv").write_text("image_path\nx.png\n")
+    with pytest.raises(ValueError):
+        tables.read_manifest(spark, str(tmp_path / "two"))
+    (tmp_path / "bare/pages/S/V").mkdir(parents=True)
+    (tmp_path / "bare/pages/S/V/x__page_2.png").write_bytes(b"x")
+    assert values(tables.read_manifest(spark, str(tmp_path / "bare")), "index", "page_number", "series_label") == [(0, 2, "S")]
+
+
+def test_series_of_roots(spark):
+    files = spark.createDataFrame([(p,) for p in ("/a/1.cbz", "/a/2.cbz", "/a/deep/3.cbz", "/b/x/4.zip", "/b/y/5.zip", "/c/note.txt", "/d/6.cbz")], "path string")
+    roots = spark.createDataFrame([("/a/",), ("/b",), ("/c",), ("/c/note.txt",), ("/d/6.cbz",), ("/gone",)], "root string")
+    of = lambda **k: sorted(r.volume_path for r in tables.discover_series(files, roots=roots, **k).collect())
+    assert of() == ["/a/1.cbz", "/a/2.cbz", "/d/6.cbz"] and of(recursive=True) == ["/a/1.cbz", "/a/2.cbz", "/b/x/4.zip", "/b/y/5.zip", "/d/6.cbz"]
+    assert sorted(values(tables.rejected_roots(files, roots), "root", "reason")) == [("/b", "no archive in folder"), ("/c", "no archive in folder"), ("/c/note.txt", "unsupported file"), ("/gone", "not found")]
+    assert "/b" not in {r.root for r in tables.rejected_roots(files, roots, recursive=True).collect()}
+
+
+def test_sampled_corpus(spark):
+    entries = [(f"/lib/{s}/v{v}.cbz", f"p{p}.png", 1, None, None, p) for s in ("A", "B") for v in (1, 2, 3) for p in range(12)] + [("/lib/A/bad.cbz", None, None, None, "broken", 0)]
+    df = spark.createDataFrame(entries, "archive string, entry string, bytes long, content binary, error string, ordinal int")
+    got = selection.sample_corpus(df, volumes_per_series=2, pages_per_volume=4).collect()
+    assert len(got) == 2 * 2 * 4 and all(2 <= r.source_page_index < 11 and r.page_count == 12 for r in got) and sorted({r.volume_index for r in got}) == [1, 2, 3, 4]
+    assert {r.output_relpath for r in got} >= {f"pages/A/v1/v1__page_{r.source_page_number:04d}.png" for r in got if r.source_path == "/lib/A/v1.cbz"}
+    busy = spark.createDataFrame([("v", p, float(p == 5 or p == 7)) for p in range(10)], "volume_label string, page_index int, ink double")
+    assert [r.page_index for r in selection.choose_pages(busy, 2, mode="busy", score="ink").collect()] == [5, 7]
 
 
 def test_process_and_refresh(spark):
