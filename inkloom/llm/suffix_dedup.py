@@ -14,10 +14,12 @@ later copies go and the first stays). The steps:
    next word), takes the lengths of common prefixes of neighbours, and from
    previous and next smaller positions in suffix order the longest previous
    factor of each position; with positions reversed, the longest later one.
-3. Signatures of very many texts (a passage that a third of the corpus shares)
-   would overfill a bucket. Their strings meet as 128-bit hashes instead, one
-   for each string of a batch, dealt by the hash; so no signature, passage or
-   group of copies lands in one task.
+3. Signatures of ``hot_texts`` texts or more (a passage that a third of the
+   corpus shares) would overfill a bucket. Their strings travel as 128-bit
+   hashes instead, one for each string of a batch, dealt by the hash; so no
+   signature, passage or group of copies lands in one task. There the hashes are
+   the suffix order as far as it is needed (equal strings are neighbours), and
+   the same arrays of smaller positions give the factors of ``length`` bytes.
 4. Marked strings return to their text, which loses the bytes they cover.
    Texts travel compressed.
 
@@ -301,7 +303,7 @@ def dedup(
     keep: str = "none",
     id_col: str = "doc_id",
     text_col: str = "text",
-    hot_texts: int = 64,
+    hot_texts: int = 256,
     bucket_bytes: int = 8_000_000,
     with_text: bool = False,
 ) -> DataFrame:
@@ -318,10 +320,9 @@ def dedup(
     light = settle(_light(x, length), "light")
     texts = light.groupBy("k1", "k2").agg(F.count("*").alias("copies"), F.min("sid").alias("rep"), F.first("sigs").alias("sigs"), F.first("again").alias("again"))
     texts = settle(texts, "texts")
-    many = max(1, texts.count())
     sig = texts.select("k1", "k2", F.explode("sigs").alias("v"))
     counts = texts.select(F.explode(F.concat("sigs", "again")).alias("v")).groupBy("v").agg(F.count("*").alias("n")).where("n > 1")
-    hot = F.col("n") >= max(hot_texts, many // 5000)  # so a bucket's signature has at most that many segments
+    hot = F.col("n") >= hot_texts  # a bucket's signature has fewer segments than that, whatever the corpus
     found = sig.join(counts, "v").groupBy("k1", "k2").agg(F.collect_list("v").alias("sigs"), F.collect_list(F.when(hot, F.col("v"))).alias("hot"))
     cand = texts.select("k1", "k2", F.col("rep").alias("sid")).join(found, ["k1", "k2"])
     cand = settle(_keyed(x.where(F.octet_length("text") >= length)).join(cand, ["sid", "k1", "k2"]), "candidates")
@@ -339,11 +340,15 @@ def dedup(
     def hottest(table: pa.Table) -> pa.Table:
         parts = [_unpacked(r) for r in table.column("data").to_pylist()]
         sid, k1, k2, h1, h2, start, n = (np.concatenate(c) for c in zip(*parts))
-        order = np.lexsort((start, k1, sid, h2, h1))
-        sid, k1, k2, h1, h2, start, n = (c[order] for c in (sid, k1, k2, h1, h2, start, n))
-        new = np.r_[True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])]
-        total = np.bincount(np.cumsum(new) - 1, n)
-        on = (total > 1)[np.cumsum(new) - 1] if keep == "none" else ~new
+        position = np.empty(len(sid), np.int64)
+        position[np.lexsort((start, k1, sid))] = np.arange(len(sid))
+        # hashes stand for the first ``length`` bytes in suffix order: neighbours share them all or, where hashes part, count as sharing nothing
+        order = np.lexsort((position, h2, h1))
+        position, k1, k2, h1, h2, start, n = (c[order] for c in (position, k1, k2, h1, h2, start, n))
+        lcp = np.r_[0, np.where((h1[1:] == h1[:-1]) & (h2[1:] == h2[:-1]), length, 0)]
+        on = previous_factors(position, lcp, length) >= length
+        if keep == "none":
+            on |= (previous_factors(-position, lcp, length) >= length) | (n > 1)
         return _marks(k1[on], k2[on], start[on])
 
     def bucket(table: pa.Table) -> pa.Table:
