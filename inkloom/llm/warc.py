@@ -34,6 +34,7 @@ DATE = "1970-01-01T00:00:00Z"
 VERSION = re.compile(rb"WARC/1\.[01]\r?\n")
 MAGIC = b"\x1f\x8b\x08"
 STEP = 1 << 20
+MOST = (1 << 31) - 1
 
 
 class Damaged(Exception):
@@ -112,10 +113,14 @@ def parse(raw: bytes) -> tuple[Record, int]:
 
 
 class Salvager:
-    """Records and gaps of one archive, in order, holding one record at a time."""
+    """Records and gaps of one archive, in order, holding one record at a time.
 
-    def __init__(self, file: pa.NativeFile, size: int):
-        self.file, self.size = file, size
+    A member that inflates to more than ``most`` bytes (a value of a table holds
+    no more) is a gap, noticed as soon as it does.
+    """
+
+    def __init__(self, file: pa.NativeFile, size: int, most: int = MOST):
+        self.file, self.size, self.most = file, size, most
 
     def at(self, offset: int, n: int) -> bytes:
         self.file.seek(offset)
@@ -125,15 +130,18 @@ class Salvager:
         """The record that begins at ``offset`` and the offset after it."""
         head = self.at(offset, 1 << 14)
         if head.startswith(MAGIC):
-            z, parts, at, chunk = zlib.decompressobj(31), [], offset, head
+            z, parts, size, data, at = zlib.decompressobj(31), [], 0, head, offset + len(head)
             try:
                 while not z.eof:
-                    if not chunk:
-                        raise Damaged("member is cut off")
-                    parts.append(z.decompress(chunk))
-                    at += len(chunk)
-                    if not z.eof:
-                        chunk = self.at(at, STEP)
+                    parts.append(z.decompress(data, STEP))
+                    size += len(parts[-1])
+                    if size > self.most:
+                        raise Damaged(f"member inflates to more than {self.most} bytes")
+                    data = z.unconsumed_tail
+                    if not data and not z.eof and len(parts[-1]) < STEP:
+                        if not (data := self.at(at, STEP)):
+                            raise Damaged("member is cut off")
+                        at += len(data)
             except zlib.error as e:
                 raise Damaged(f"gzip: {e}") from None
             raw = b"".join(parts)
