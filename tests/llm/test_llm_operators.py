@@ -342,6 +342,17 @@ def test_warc_long_urls(spark, tmp_path):
     assert [len(r.payload) for _, _, r, _ in plain if r] == [2_000_000, 99, 1] and all(gap is None for *_, gap in plain)
 
 
+def test_warc_bombs_are_gaps(spark, tmp_path):
+    """A member that inflates without end is given up early, and the records after it are read."""
+    import pyarrow as pa
+
+    one = lambda body: warc.build("urn:page:0", "response", "u", body, hashlib.sha256(body).hexdigest(), len(body), None)
+    data = one(b"a" * 100) + one(b"\0" * 30_000_000) + one(b"c" * 100)
+    rows = list(warc.Salvager(pa.BufferReader(data), len(data), most=5_000_000).rows())
+    assert [r and len(r.payload) for _, _, r, _ in rows] == [100, None, 100] and "inflates" in rows[1][3]
+    assert [len(r.payload) for _, _, r, _ in warc.Salvager(pa.BufferReader(data), len(data)).rows()] == [100, 30_000_000, 100]
+
+
 # 7: mixing
 
 
