@@ -39,6 +39,14 @@ def settle(df: DataFrame, tag: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spare(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have (names differ by more than their case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: int, most_bytes: int = 1 << 23, most_rows: int = 1 << 14) -> Iterator[pa.RecordBatch]:
     """The batches, cut where their texts exceed ``most_bytes`` or their rows ``most_rows``; a longer text is a slice of its own."""
     for batch in batches:

@@ -22,7 +22,9 @@ URL_RULES = (
 )
 
 
-PII_KEY = "surrogate key of the contract query"  # production passes a secret
+def pii_key(spark: SparkSession) -> str:
+    """The secret of the surrogates, from the session; the same surrogates come back only with the same secret."""
+    return spark.conf.get("spark.inkloom.surrogates.key", "no secret: set spark.inkloom.surrogates.key")
 
 
 def op1_pq_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,7 +81,7 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from inkloom.llm.surrogates import anonymise
 
-    return anonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+    return anonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), pii_key(spark))
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

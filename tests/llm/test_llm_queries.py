@@ -2,6 +2,7 @@ import sys
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 sys.path[:0] = [str(Path(__file__).parent), str(Path(__file__).parent.parent)]
 
@@ -97,3 +98,36 @@ def test_pipeline(spark, sf):
 
     want = {r.doc_id: hashlib.sha256(r.text.encode()).hexdigest() for r in mixed.collect()}
     assert all(r.decoded_sha256 == want[r.doc_id] and r.n_tokens == len(r.ids) for r in out.collect())
+
+
+def test_stages_keep_odd_rows_whole(spark, tmp_path):
+    """Nulls in any column, empty and long texts, ties, repeated rows, clashing columns; and empty tables."""
+    import corpus_pipeline as p
+
+    good = "The river ran past the old mill and the children played there until the evening came. " * 4
+    rows = [(i, good + f"Number {i} of the story has its own end, number {i}." * 3, "en", f"s{i % 3}", None) for i in range(30)]
+    rows += [(100, None, None, None, None), (101, "", "en", "s1", 0), (102, "word " * 200_000, "en", None, 7), (103, "mail bob@mail.org now", "en", "s0", 21), (None, "no id here", "en", "s0", 10), (None, None, None, None, None)]
+    rows += [rows[3], rows[3], (200, rows[5][1], "de", "s2", 1), (103, "mail bob@mail.org now", "fr", "s0", 21)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.withColumn("score", F.lit("clash")).withColumn("_score", F.lit(1)).withColumn("entities", F.lit(2)).withColumn("size", F.lit("x")).withColumn("kept", F.lit(True)).withColumn("h", F.lit(3)).withColumn("tags", F.create_map(F.lit("a"), F.lit(1)))
+    folder = f"file://{tmp_path}"
+    spark.createDataFrame([(i, i % 2) for i in range(30)] + [(None, 1), (5, None)], "doc_id long, quality int").write.parquet(f"{folder}/labels.parquet")
+    labelled = p.keep_quality(spark, docs, folder)
+    assert labelled.columns == docs.columns and labelled.schema == docs.schema
+    near = p.drop_near_copies(spark, docs, folder)
+    got = sorted((-1 if r.doc_id is None else r.doc_id, r.text or "") for r in near.collect())
+    want = brute.near_texts([(r[0], r[1]) for r in rows if r[0] is not None])
+    firsts = {i for i, (_, c) in want.items() if i == c}
+    assert {i for i, _ in got} - {-1} == firsts and len([i for i, _ in got if i >= 0]) == len(firsts) and near.columns == docs.columns
+    private = p.replace_personal_data(spark, docs, folder)
+    by = {}
+    for r in private.collect():
+        by.setdefault(r.doc_id, []).append(r)
+    assert private.columns == docs.columns and private.count() == docs.count() and len({r.text for r in by[103]}) == 1 and "bob@" not in by[103][0].text
+    assert by[103][0].n_chars == len(by[103][0].text) and by[102][0].n_chars == 7 and by[0][0].n_chars is None and by[100][0].text is None
+    mixed = p.mix_sources(spark, docs, folder)
+    assert mixed.columns == docs.columns and mixed.where("doc_id = 102").count() <= 3
+    tokens = p.tokenise(spark, docs, folder)
+    assert tokens.count() == docs.count() and {r.doc_id: r.n_tokens for r in tokens.collect()}[100] == 0
+    for _, stage in p.STAGES:
+        assert stage(spark, docs.limit(0), folder).count() == 0
