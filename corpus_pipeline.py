@@ -1,48 +1,80 @@
 """Five stages from raw documents to token ids, each one operator of inkloom.llm.
 
 Each stage takes (spark, docs, sf_dir) and works on every row that its
-predecessor kept; all but the last return the columns of documents.
+predecessor kept; all but the last return the columns of documents. Extra
+columns of ``docs`` pass through the first four, whatever their names.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+from pyspark.sql.types import MapType
 
 from inkloom.llm import bpe, jaccard_join, mil_quality, mixing, surrogates
-from inkloom.llm.common import settle, table
+from inkloom.llm.common import settle, spare, table
+from inkloom.llm.queries import pii_key
 
-PII_KEY = "surrogate key of the contract query"  # production passes a secret
 ORACLE_SQL = None  # learned weights and keyed draws: the stages are tested against brute force
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects (score below 0.3) go."""
+    """Documents that the quality classifier rejects (score below 0.3) go.
+
+    Null and empty texts have the score of an empty passage and are judged by
+    it; texts of any length are scored whole; repeated rows are judged alike;
+    an empty table stays empty.
+    """
     model = mil_quality.train(docs, table(spark, sf_dir, "labels"))
-    return mil_quality.score(docs, model, score_col="_score").where("_score >= 0.3").drop("_score")
+    name = spare(docs, "score")
+    return mil_quality.score(docs, model, score_col=name).where(F.col(name) >= 0.3).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents, the one that names it (the smallest doc_id) stays."""
+    """Of each group of linked documents, the one that names it (the smallest doc_id) stays.
+
+    Texts that are null or without words link with nothing and stay; rows of
+    one doc_id stay or go together; of rows that repeat doc_id and text, one
+    stays (that with the least hash of its other columns); a null doc_id stays
+    only where its text has no other copy with an id; an empty table stays empty.
+    """
     groups = jaccard_join.similar(docs.select("doc_id", "text"))
-    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "text"])  # repeated rows; partitioned by doc_id already
+    kept, place = spare(docs, "kept"), spare(docs, "place")
+    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(kept)).distinct()
+    x = docs.join(first, F.col("doc_id").eqNullSafe(F.col(kept)), "left_semi")  # partitioned by doc_id from here on
+    others = [f.name for f in docs.schema if not isinstance(f.dataType, MapType)]
+    order = W.partitionBy("doc_id", "text").orderBy(F.xxhash64(*others))
+    return x.withColumn(place, F.row_number().over(order)).where(F.col(place) == 1).select(*docs.columns)
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data get surrogates; n_chars follows the text."""
-    new = surrogates.anonymise(docs, PII_KEY, count_col="_entities")
-    return new.withColumn("n_chars", F.when(F.col("_entities") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)).drop("_entities")
+    """Personal data get surrogates; n_chars follows the text where it changed.
+
+    Null and empty texts and texts without mentions are unchanged; repeated
+    rows read alike; an empty table stays empty.
+    """
+    name = spare(docs, "entities")
+    new = surrogates.anonymise(docs, pii_key(spark), count_col=name)
+    size = F.when(F.col(name) > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+    return new.select(*(size.alias(c) if c == "n_chars" else c for c in docs.columns))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for every time that the mix takes a document."""
+    """A row for every time that the mix takes a document.
+
+    Null and empty texts have no words; null sources are one source; repeated
+    rows share their fate; an empty table stays empty.
+    """
     return mixing.mix(docs)
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, n_tokens, ids and the SHA-256 of the text that they decode to."""
+    """doc_id, lang, source, n_tokens, ids and the SHA-256 of the text that they decode to.
+
+    Null and empty texts have no ids; other columns are left out; repeated rows
+    stay; an empty table stays empty.
+    """
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_50k.json")
