@@ -48,16 +48,16 @@ def with_override(rows: DataFrame, text: Column, *, kept: DataFrame | None = Non
     ``kept``, ``overrides`` and ``memory`` (key, value) are joined on the
     memory key; one row a key (the greatest value, if a key repeats).
     """
-    x = rows.withColumn("_text", compact(text)).withColumn("_key", memory_key(text))
+    x = rows.withColumn("__text", compact(text)).withColumn("__key", memory_key(text))
     values = []
     for i, t in enumerate((kept, overrides, memory)):
         if t is not None:
-            t = t.where("key <> ''").groupBy(F.col("key").alias("_key")).agg(F.max("value").alias(f"_v{i}"))
-            x = x.join(t, "_key", "left")
-        values.append(F.nullif(F.col(f"_v{i}"), F.lit("")) if t is not None else F.lit(None).cast("string"))
+            t = t.where("key <> ''").groupBy(F.col("key").alias("__key")).agg(F.max("value").alias(f"__v{i}"))
+            x = x.join(t, "__key", "left")
+        values.append(F.nullif(F.col(f"__v{i}"), F.lit("")) if t is not None else F.lit(None).cast("string"))
     shapes = F.lit(None).cast("string")
     for on, pattern, value in reversed(SHAPES):
-        at = F.col(f"_{on}")
+        at = F.col(f"__{on}")
         shapes = F.when(at.rlike(pattern), at if value is None else F.lit(value)).otherwise(shapes)
     return x.withColumn(out, F.coalesce(values[0], shapes, values[1], values[2], F.lit(""))).select(*(c for c in rows.columns if c != out), out)
 

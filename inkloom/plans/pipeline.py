@@ -15,11 +15,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from inkloom.functions.checks import apply_checks, japanese_skip
-from inkloom.functions.text import full, memory_key, source_clean_normalized_first, squeeze
-from inkloom.operators.blocks import PAGE, auto_ignore, blank, protected, refreshable
+from inkloom.functions.text import full, once, source_clean_normalized_first, squeeze
+from inkloom.operators.blocks import PAGE, auto_ignore, blank, protected, refreshable, with_warning
+from inkloom.operators.dialogue import prepare, prepare_blocks, with_override
 from inkloom.operators.geometry import group_lines, noise, polygon_box
-from inkloom.operators.memory import lookup
-from inkloom.operators.normalise import Rules, normalise
 from inkloom.schema import as_blocks
 
 Translator = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
@@ -40,42 +39,59 @@ def blocks_of_fragments(raw: DataFrame, *, least: float = 0.20, merge_lines: boo
     return as_blocks(group_lines(x).join(x.select(*PAGE, "block_id", "source_lang", "seq"), [*PAGE, "block_id"]) if merge_lines else x)
 
 
-def translate(blocks: DataFrame, translator: Translator, memory: DataFrame | None = None) -> DataFrame:
-    """Fill translations of blocks that aren't protected, blank or too weak; the memory (key, value) goes before the model.
+# Fixed value: what a Japanese fragment too weak to translate is told.
+WEAK = "fragment japonais non traduit automatiquement: OCR faible/court"
+# End of the fixed value.
 
-    Texts are normalised for the model; blocks under review become edited.
+
+def translate(blocks: DataFrame, translator: Translator, *, force: bool = False, **tables) -> DataFrame:
+    """Fill translations of blocks that aren't protected, blank or too weak; ready translations go before the model.
+
+    English blocks without a normalised source are prepared first (``tables``
+    are those of ``dialogue.prepare``). Japanese fragments too weak to translate
+    lose their translation and are warned of; blocks under review become edited.
     """
-    wanted = ~protected() & (source_clean_normalized_first() != "") & ~((F.col("source_lang") == "ja") & japanese_skip(F.col("ocr_text"), F.col("confidence")))
-    x = blocks.withColumn("_go", wanted).withColumn("_text", F.when(wanted, source_clean_normalized_first()))
-    x = lookup(x, memory, memory_key(F.col("_text")), "_known") if memory is not None else x.withColumn("_known", F.lit(None).cast("string"))
-    texts = x.where("_go and _known is null").select(F.col("_text").alias("text")).distinct()
+    some = source_clean_normalized_first() != ""
+    if not force:
+        some = some & ~protected()
+    weak = some & (F.col("source_lang") == "ja") & japanese_skip(F.col("ocr_text"), F.col("confidence")) if not force else F.lit(False)
+    english = F.col("source_lang") == "en"
+    x = once(blocks, _go=some & ~weak, _weak=weak)
+    x = x.withColumn("_raw_text", F.when(F.col("_go") & english & blank("normalized_source_text"), source_clean_normalized_first()))
+    x = prepare(x, text_col="_raw_text", **tables)
+    text = F.when(F.col("_raw_text").isNotNull(), F.col("normalized")).otherwise(source_clean_normalized_first())
+    x = x.withColumn("_text", F.when(F.col("_go"), text)).drop("override")
+    ready = {k: v for k, v in tables.items() if k in ("kept", "overrides", "memory")}
+    x = with_override(x, F.when(english, F.col("_text")), **ready)
+    texts = x.where("_go and override = ''").select(F.col("_text").alias("text")).distinct()
     made = texts.mapInPandas(translator, "text string, translation string").withColumnRenamed("text", "_text")
     x = x.join(made, "_text", "left")
-    new = F.coalesce("_known", "translation", F.lit(""))
-    put = lambda c, v: F.when(F.col("_go"), v).otherwise(F.col(c)).alias(c)
+    new = F.coalesce(full(F.col("override")), "translation", F.lit(""))
     status = F.when(F.col("manual_status") == "review", "edited").otherwise(F.col("manual_status"))
-    values = {"normalized_source_text": F.col("_text"), "raw_translation_fr": new, "translation_fr": new, "manual_status": status}
-    return x.select(*(put(c, values[c]) if c in values else F.col(c) for c in blocks.columns))
+    values = {"normalized_source_text": F.col("_text"), "raw_translation_fr": new, "translation_fr": new, "manual_status": status, "ocr_corrected_text": F.when(F.col("_raw_text").isNotNull(), F.col("corrected")).otherwise(F.col("ocr_corrected_text"))}
+    put = lambda c: F.when(F.col("_go"), values[c])
+    gone = lambda c: put(c).when(F.col("_weak"), "") if c.endswith("translation_fr") or c == "translation_fr" else put(c)
+    y = x.withColumn("quality_warnings", F.when(F.col("_weak"), with_warning(F.lit(WEAK))).otherwise(F.col("quality_warnings")))
+    return y.select(*(gone(c).otherwise(F.col(c)).alias(c) if c in values else F.col(c) for c in blocks.columns))
 
 
-def process(raw: DataFrame, translator: Translator, *, word_rules: Rules = (), memory: DataFrame | None = None, ignored: DataFrame | None = None) -> DataFrame:
-    """Fragments to checked blocks: join, normalise, filter, translate, check, and filter again (checks reset warnings)."""
+def process(raw: DataFrame, translator: Translator, *, ignored: DataFrame | None = None, **tables) -> DataFrame:
+    """Fragments to checked blocks: join, prepare, filter, translate, check, and filter again (checks reset warnings)."""
     x = blocks_of_fragments(raw)
     own = x.columns
-    x = normalise(x, word_rules=word_rules, colloquial=True)
-    x = x.withColumn("normalized_source_text", F.when(F.col("source_lang") == "en", F.col("normalised")).otherwise(F.col("normalized_source_text"))).select(*own)
-    x = auto_ignore(x, ignored).select(*own)
-    x = apply_checks(translate(x, translator, memory))
+    ready = {k: v for k, v in tables.items() if k in ("kept", "overrides", "memory")}
+    x = auto_ignore(prepare_blocks(x, **tables), ignored).select(*own)
+    x = apply_checks(translate(x, translator, **ready))
     return auto_ignore(x, ignored).select(*own)
 
 
-def refresh(blocks: DataFrame, lang: str, translator: Translator | None = None, *, include_review: bool = False, word_rules: Rules = ()) -> DataFrame:
-    """Normalise, translate and check again what nobody has decided yet; other blocks stay as they are."""
+def refresh(blocks: DataFrame, lang: str, translator: Translator | None = None, *, include_review: bool = False, **tables) -> DataFrame:
+    """Prepare, translate and check again what nobody has decided yet; other blocks stay as they are."""
     own = blocks.columns
     chosen = refreshable(lang, include_review)
-    x = normalise(blocks.where(chosen), word_rules=word_rules, colloquial=lang == "en")
-    x = x.withColumn("normalized_source_text", F.coalesce(full(F.col("normalised")), F.col("normalized_source_text"))).select(*own)
-    x = apply_checks(translate(x, translator) if translator else x)
+    ready = {k: v for k, v in tables.items() if k in ("kept", "overrides", "memory")}
+    x = prepare_blocks(blocks.where(chosen), **tables)
+    x = apply_checks(translate(x, translator, **ready) if translator else x)
     return x.select(*own).unionByName(blocks.where(~chosen))
 
 

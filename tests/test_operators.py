@@ -452,9 +452,16 @@ def test_process_and_refresh(spark):
     lines = [("p", 3, i, box(i), t, c, "en") for i, (t, c) in enumerate([("WHY AM I", 0.9), ("IN SO MUCH", 0.9), ("TROUBLE?", 0.9), ("8", 0.9), ("<", 0.9), ("RUSTLE", 0.1)])]
     raw = spark.createDataFrame(lines, "project_id string, page_index int, raw_order int, polygon array<array<double>>, text string, confidence double, source_lang string")
     got = process(raw, fake).collect()
-    assert [(r.block_id, r.ocr_text, r.translation_fr, r.bbox) for r in got] == [("p0003_b0000", "WHY AM I IN SO MUCH TROUBLE?", "fr:WHY AM I IN SO MUCH TROUBLE?", [100, 100, 250, 191])]
+    assert [(r.block_id, r.ocr_text, r.translation_fr, r.bbox) for r in got] == [("p0003_b0000", "WHY AM I IN SO MUCH TROUBLE?", "fr:why am I in so much trouble?", [100, 100, 250, 191])]
     b = blocks(spark, {"ocr_text": "Hello , you."}, {"ocr_text": "Kept.", "manual_status": "validated", "translation_fr": "Gardé."}, {"ocr_text": "Hello there.", "manual_status": "review"})
     out = {r.block_id: r for r in refresh(b, "en", fake, include_review=True).collect()}
     assert out["b0"].translation_fr == "fr:Hello, you." and out["b1"].translation_fr == "Gardé." and out["b2"].manual_status == "edited"
     assert corpus_totals(b).first().asDict() == {"pages": 1, "processed": 1, "skipped": 0, "blocks": 3, "blocks_with_warnings": 0, "untranslated": 2}
     assert process(raw.limit(0), fake).count() == 0
+    from inkloom.plans.pipeline import WEAK, translate
+
+    over = spark.createDataFrame([("no way", "Pas question")], "key string, value string")
+    j = blocks(spark, {"ocr_text": "あ", "source_lang": "ja", "translation_fr": "old"}, {"ocr_text": "これは日本語です", "source_lang": "ja", "confidence": 0.9}, {"ocr_text": "NO WAY...", "manual_status": "review"}, {"ocr_text": "Gone.", "manual_status": "ignored"})
+    out = {r.block_id: r for r in translate(j, fake, overrides=over).collect()}
+    assert (out["b0"].translation_fr, out["b0"].quality_warnings) == ("", [WEAK]) and out["b1"].translation_fr == "fr:これは日本語です"
+    assert (out["b2"].translation_fr, out["b2"].manual_status, out["b2"].normalized_source_text) == ("Pas question", "edited", "no way...") and out["b3"].translation_fr == ""
