@@ -13,10 +13,10 @@ its fixed size (about 1 MB), so executors need no copy of the file.
 from __future__ import annotations
 
 import hashlib
-import heapq
 import json
 from collections.abc import Iterator
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 from itertools import chain
 
 import pyarrow as pa
@@ -29,7 +29,7 @@ from inkloom.llm.common import slices, tidy
 
 #: The byte-level split, with white space as Unicode defines it.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"""
-CACHE = 1 << 16  # pretokens whose ids a worker keeps
+CACHE = 1 << 17  # pretokens whose ids a worker keeps, twice
 
 
 def byte_alphabet() -> list[str]:
@@ -72,23 +72,26 @@ class ByteBPE:
         self.special = {t["content"]: t["id"] for t in d.get("added_tokens", [])}
         strings = {i: t for t, i in vocab.items()} | {i: t for t, i in self.special.items()}
         self.piece = {i: bytes(to_byte[c] for c in t) if all(c in to_byte for c in t) else t.encode() for i, t in strings.items()}
+        self.decimal = {i: str(i) for i in strings}
         self.split = regex.compile(SPLIT)
         names = sorted(self.special, key=len, reverse=True)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, names)) + ")") if names else None
-        self.cache: dict[str, tuple[tuple[int, ...], str]] = {}
+        #: Recent pretokens, and those before them that were used again.
+        self.cache: dict[str, tuple[int, ...]] = {}
+        self.old: dict[str, tuple[int, ...]] = {}
 
     def merge(self, data: bytes) -> list[int]:
         """Ids of one pretoken's bytes."""
-        ids = [self.first[b] for b in data]
-        n = len(ids)
+        ids, n, merges = list(map(self.first.__getitem__, data)), len(data), self.merges.get
+        if n == 1:
+            return ids
+        queue = [(m[0], i, a, b, m[1]) for i, (a, b) in enumerate(zip(ids, ids[1:])) if (m := merges((a, b)))]
+        if not queue:
+            return ids
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-        queue = []
-        for i in range(n - 1):
-            if m := self.merges.get((ids[i], ids[i + 1])):
-                queue.append((m[0], i, ids[i], ids[i + 1], m[1]))
-        heapq.heapify(queue)
+        heapify(queue)
         while queue:
-            _, i, a, b, new = heapq.heappop(queue)
+            _, i, a, b, new = heappop(queue)
             j = after[i]
             if ids[i] != a or j >= n or ids[j] != b:
                 continue  # stale
@@ -96,34 +99,31 @@ class ByteBPE:
             after[i] = k = after[j]
             if k < n:
                 before[k] = i
-                if m := self.merges.get((new, ids[k])):
-                    heapq.heappush(queue, (m[0], i, new, ids[k], m[1]))
-            if (h := before[i]) >= 0 and (m := self.merges.get((ids[h], new))):
-                heapq.heappush(queue, (m[0], h, ids[h], new, m[1]))
+                if m := merges((new, ids[k])):
+                    heappush(queue, (m[0], i, new, ids[k], m[1]))
+            if (h := before[i]) >= 0 and (m := merges((ids[h], new))):
+                heappush(queue, (m[0], h, ids[h], new, m[1]))
         return [x for x in ids if x >= 0]
 
-    def _known(self, token: str) -> tuple[tuple[int, ...], str]:
-        ids = tuple(self.merge(token.encode()))
-        out = (ids, ",".join(map(str, ids)))
+    def _known(self, token: str) -> tuple[int, ...]:
+        ids = self.cache.get(token) or self.old.pop(token, None) or tuple(self.merge(token.encode()))
         if len(token) <= 64:
             if len(self.cache) >= CACHE:
-                self.cache.clear()
-            self.cache[token] = out
-        return out
+                self.cache, self.old = {}, self.cache
+            self.cache[token] = ids
+        return ids
 
-    def parts(self, text: str) -> list[tuple[tuple[int, ...], str]]:
-        """(ids, their decimals) of each pretoken and special token in order."""
+    def clear(self) -> None:
+        self.cache, self.old = {}, {}
+
+    def encode(self, text: str | None) -> list[int]:
         out, get, known = [], self.cache.get, self._known
-        for k, piece in enumerate(self.cut.split(text) if self.cut else (text,)):
+        for k, piece in enumerate(self.cut.split(text or "") if self.cut else (text or "",)):
             if k % 2:
-                i = self.special[piece]
-                out.append(((i,), str(i)))
+                out.append((self.special[piece],))
             elif piece:
                 out += [get(t) or known(t) for t in self.split.findall(piece)]
-        return out
-
-    def encode(self, text: str | None) -> list[int]:
-        return list(chain.from_iterable(p[0] for p in self.parts(text or "")))
+        return list(chain.from_iterable(out))
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.piece.__getitem__, ids)).decode("utf-8", errors="replace")
@@ -158,7 +158,7 @@ def _map(docs: DataFrame, keep: list[str], text_col: str, path: str, schema: str
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _loaded(spec.value)
-        return tidy(run(batches, bpe), bpe.cache)
+        return tidy(run(batches, bpe), bpe)
 
     return x.mapInArrow(task, full)
 
@@ -188,10 +188,8 @@ def round_trip(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col:
     """Per row: id, n_tokens, SHA-256 of the comma-joined ids and of the text decoded from them."""
 
     def row(bpe: ByteBPE, text: str | None):
-        parts = bpe.parts(text or "")
-        ids = list(chain.from_iterable(p[0] for p in parts))
-        listed = ",".join([p[1] for p in parts])
-        decoded = bpe.decode(ids)
-        return len(ids), hashlib.sha256(listed.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
+        ids = bpe.encode(text)
+        listed = ",".join(map(bpe.decimal.__getitem__, ids))
+        return len(ids), hashlib.sha256(listed.encode()).hexdigest(), hashlib.sha256(bpe.decode(ids).encode()).hexdigest()
 
     return _map(docs, [id_col], text_col, path, "n_tokens long, ids_sha256 string, decoded_sha256 string", row)

@@ -57,8 +57,8 @@ def slices(batches: Iterator[pa.RecordBatch], text: int, most_bytes: int = 1 <<
             yield batch.slice(a, b - a)
 
 
-def tidy(results: Iterator, *caches: dict) -> Iterator:
-    """The results as they come; then the worker, which Spark uses again, gives back what it held."""
+def tidy(results: Iterator, *caches) -> Iterator:
+    """The results as they come; then the worker, which Spark uses again, gives back what its caches (with ``clear``) held."""
     try:
         yield from results
     finally:
