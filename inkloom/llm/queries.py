@@ -103,8 +103,44 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
+COMPONENTS = """r(n, c) AS (SELECT id, id FROM nodes UNION SELECT e.b, r.c FROM r JOIN e ON r.n = e.a WHERE r.c < e.b),
+            low AS (SELECT n, min(c) AS component_id FROM r GROUP BY n)"""
+
+
 def oracle_sql() -> dict[str, str]:
+    """SQL for operators whose results are exact: plain comparison of all pairs, or of all strings, where the tables are small."""
     return {
+        "op1_pq_near_dedup": f"""
+            WITH RECURSIVE v AS (SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+            nodes AS (SELECT id FROM v),
+            ok AS (SELECT * FROM v WHERE label IS NOT NULL AND x IS NOT NULL AND len(x) > 0 AND len([c for c in x if c IS NULL OR NOT isfinite(c)]) = 0 AND list_dot_product(x, x) > 0),
+            e AS (SELECT p.id AS a, q.id AS b FROM ok p JOIN ok q ON p.label = q.label AND p.id <> q.id AND len(p.x) = len(q.x) WHERE list_cosine_similarity(p.x, q.x) >= 0.93),
+            {COMPONENTS},
+            links AS (SELECT a, count(*) AS n_links FROM e GROUP BY a)
+            SELECT id AS vec_id, coalesce(n_links, 0) AS n_links, component_id, component_id = id AS kept FROM nodes JOIN low ON low.n = id LEFT JOIN links ON links.a = id""",
+        "op4_suffix_dedup": """
+            WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n_bytes FROM documents),
+            s AS (SELECT doc_id, unnest(range(0, n_bytes - 199)) AS i, h FROM d WHERE n_bytes >= 200),
+            k AS (SELECT doc_id, i, md5(substr(h, CAST(2 * i + 1 AS BIGINT), 400)) AS m FROM s),
+            again AS (SELECT doc_id, i FROM k QUALIFY count(*) OVER (PARTITION BY m) > 1),
+            b AS (SELECT doc_id, unnest(range(0, n_bytes)) AS i FROM d),
+            t AS (SELECT b.doc_id, b.i, max(again.i) OVER (PARTITION BY b.doc_id ORDER BY b.i) AS last FROM b LEFT JOIN again ON again.doc_id = b.doc_id AND again.i = b.i),
+            g AS (SELECT *, coalesce(i - last < 200, false) AS gone FROM t),
+            f AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS begins FROM g),
+            w AS (SELECT f.doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (begins) AS n_spans, coalesce(string_agg(substr(d.h, CAST(2 * f.i + 1 AS BIGINT), 2), '' ORDER BY f.i) FILTER (NOT gone), '') AS kept
+              FROM f JOIN d USING (doc_id) WHERE f.doc_id IN (SELECT doc_id FROM again) GROUP BY f.doc_id)
+            SELECT d.doc_id, CAST(n_bytes AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM d LEFT JOIN w USING (doc_id)""",
+        "op5_jaccard_join": f"""
+            WITH RECURSIVE d AS (SELECT doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+            nodes AS (SELECT id FROM d),
+            s AS (SELECT id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE [array_to_string(w[i : i + 4], ' ') for i in range(1, len(w) - 3)] END) AS sh FROM d),
+            n AS (SELECT id, len(sh) AS n_shingles FROM s),
+            x AS (SELECT id, unnest(sh) AS g FROM s),
+            p AS (SELECT a.id AS a, b.id AS b, count(*) AS k FROM x a JOIN x b ON a.g = b.g AND a.id < b.id GROUP BY 1, 2),
+            half AS (SELECT p.a, p.b FROM p JOIN n na ON na.id = p.a JOIN n nb ON nb.id = p.b WHERE 100 * k >= 80 * (na.n_shingles + nb.n_shingles - k)),
+            e AS (SELECT a, b FROM half UNION ALL SELECT b, a FROM half),
+            {COMPONENTS}
+            SELECT id AS doc_id, CAST(n_shingles AS BIGINT) AS n_shingles, component_id FROM n JOIN low ON low.n = id""",
         "op6_warc_salvage": """
             WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
             q AS (SELECT page_id, octet_length(encode(h)) AS payload_bytes, sha256(h) AS payload_digest FROM p),
