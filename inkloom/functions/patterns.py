@@ -84,3 +84,6 @@ ZONE_START = rf"(?i)^\s*(?:\.\.\.)?\s*(?:{either(INCOMPLETE_START)})(?:$|[^\p{{L
 ZONE_PHRASE = bounded(SHORT_ZONE)
 ZONE_SFX = bounded(either(SFX_MIX))
 CLAUSE = bounded("before|after|because|that|if|when")
+# What a search for the longer forms above finds something by.
+ANY_DIGIT_MIX = r"[A-Za-z][0-9]|[0-9][A-Za-z]|[$]"
+ANY_RANDOM_CASE = r"[a-z][A-Z]"

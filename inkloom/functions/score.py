@@ -44,7 +44,7 @@ def with_quality(blocks: DataFrame) -> DataFrame:
         ((conf >= 0.35) & (conf < 0.60), 16, "OCR confidence low"),
         (s == "", 30, "empty source"),
         (t == "", 35, "empty translation"),
-        ((s != "") & (F.lower(squeeze(s)) == F.lower(squeeze(t))) & ~F.col("_safe_s"), 32, "translation identical to source"),
+        ((s != "") & (n == m) & (F.lower(squeeze(s)) == F.lower(squeeze(t))) & ~F.col("_safe_s"), 32, "translation identical to source"),
         (s.rlike(P.SYMBOLS) | t.rlike(P.SYMBOLS), 22, "suspicious symbols"),
         (any_of(F.col("_sw"), P.TYPOS.split()), 22, "known OCR typo pattern"),
         (s.contains("-") & s.rlike(P.LINE_BREAK), 16, "probable OCR line-break hyphen"),
@@ -53,9 +53,9 @@ def with_quality(blocks: DataFrame) -> DataFrame:
         ((english >= 2) & ~F.col("_safe_t"), 24, "obvious English residue in French translation"),
         (any_of(F.transform("_tw", F.lower), P.RESIDUE_FORMS) & ~F.col("_safe_t"), 28, "probable English residue in French translation"),
         ((copied > 0) & ~F.col("_safe_s"), F.when(copied == 1, 22).otherwise(30), "source residue copied into translation"),
-        (s.rlike(P.DIGIT_MIX), 18, "OCR digit/symbol confusion"),
+        (s.rlike(P.ANY_DIGIT_MIX), 18, "OCR digit/symbol confusion"),
         (shout, 18, "uppercase residue in translation"),
-        (s.rlike(P.RANDOM_CASE), 10, "random OCR casing"),
+        (s.rlike(P.ANY_RANDOM_CASE), 10, "random OCR casing"),
         (s.contains(":") & ~s.rlike(P.COLON_OK), 16, "suspect colon punctuation"),
         ((n >= 3) & s.rlike(P.WEAK_END), 16, "probable missing ellipsis or strong punctuation"),
         (~s.contains("?") & s.rlike(P.QUESTION_START), 18, "probable missing question mark"),

@@ -48,6 +48,7 @@ COMMON = """a all am an and are as at be but by can come coming country did dire
     food shelter steal brave enough tiger four days agency individuals abilities skills earn keep master animal form staff backup sake bomb
     explosion button press company dorm posthaste lad ideals mafia battle fault cry body hours hour few first place seven star academy student
     challenge dared thousand hundred hunting recognized player town guess happen revealed late""".split()
+CONTINUES = "but because before about with without from into catches lately importantly"
 READING_WORD = "[A-Za-zÀ-ÖØ-öø-ÿぁ-んァ-ン一-龯々ー']+"
 # End of the fixed values.
 EDGE_SOUND = r"(?i)^(?:{0})\b[.!?:, -]*|\s+(?:{0})[.!?:, -]*$"
@@ -67,6 +68,12 @@ def settled(text: str, rules: list[tuple[re.Pattern, str]]) -> str:
     return text
 
 
+def open_end(text: str) -> str:
+    """An ellipsis after three words or more whose last one wants to go on."""
+    words = WORD.findall(text)
+    return text + "..." if len(words) >= 3 and text[-1:].isalpha() and words[-1].lower() in CONTINUES.split() else text
+
+
 def even_case(text: str) -> str:
     """Lower case for texts with words in random case; capitals throughout are left alone."""
     words = WORD.findall(text)
@@ -104,7 +111,9 @@ def normalise(rows: DataFrame, *, text_col: str = "ocr_text", out: str = "normal
             if len(WORD.findall(t)) >= 5:
                 t = settled(settled(t, edges), spacing)
             t = rewrite(rewrite(t, words), contexts)
-            return even_case(settled(re.sub(r"\b([A-Za-z]{3,})I([.!?]*)$", r"\1!\2", t), spacing))
+            t = re.sub(r"\b([A-Za-z]{3,})I([.!?]*)$", r"\1!\2", t)  # a mark read as a letter, and dots after it
+            t = re.sub(r"!([.!?]+)$", lambda m: "!" + m[1].replace(".", ""), t)
+            return open_end(even_case(settled(t, spacing)))
 
         for p in batches:
             yield pd.DataFrame({"_t": p["_t"], "_out": p["_in"].map(one)})
