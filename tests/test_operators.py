@@ -273,10 +273,10 @@ def test_checks(spark):
 def test_normalise(spark):
     from inkloom.operators.normalise import normalise
 
-    rows = blocks(spark, {"ocr_text": "Hello ,  world !"}, {"ocr_text": "CIRCUM- STANCES"}, {"ocr_text": "wHaT aRe you doing there BOOM!"}, {"ocr_text": "I am gonna rvn"}, {"ocr_text": "bad key"}, {"ocr_text": "no , , ,"}, {"ocr_text": "wait =:="}, {"ocr_text": "but-"}, {"ocr_text": "Mr: Fox"}, {"ocr_text": "I would go but"}, {"ocr_text": "with"}, {"ocr_text": "comeI.."})
+    rows = blocks(spark, {"ocr_text": "Hello ,  world !"}, {"ocr_text": "CIRCUM- STANCES"}, {"ocr_text": "wHaT aRe you doing there BOOM!"}, {"ocr_text": "I am gonna rvn"}, {"ocr_text": "bad key"}, {"ocr_text": "no , , ,"}, {"ocr_text": "wait =:="}, {"ocr_text": "but-"}, {"ocr_text": "Mr: Fox"}, {"ocr_text": "I would go but"}, {"ocr_text": "with"}, {"ocr_text": "COMEI.."})
     m = spark.createDataFrame([("bad key", "Good text")], "key string, value string")
     got = [r[0] for r in normalise(rows, word_rules=[(r"\brvn\b", "run")], colloquial=True, memory=m).orderBy("seq").select("normalised").collect()]
-    assert got == ["Hello, world!", "CIRCUMSTANCES", "what are you doing there", "I am going to run", "Good text", "no...", "wait =...", "but...", "Mr. Fox", "I would go but...", "with", "come!"]
+    assert got == ["Hello, world!", "CIRCUMSTANCES", "what are you doing there", "I am going to run", "Good text", "no...", "wait =...", "but...", "Mr. Fox", "I would go but...", "with", "COME!"]
 
 
 def test_replacement_guard(spark):
