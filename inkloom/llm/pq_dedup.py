@@ -179,7 +179,7 @@ def near_duplicates(
         most = F.size("x") == dims[0]["d"]
         n = dims[0]["count"]
         fit = sample(reps.where(most).select("x", F.col("rid").alias("id")), fit_rows, seed)
-        found = _links(reps.where(most), Quantiser(fit, min(max(lists, math.isqrt(n)), max(lists, fit_rows // 40)), parts, rounds, seed), cosine, block_rows, seed)
+        found = _links(reps.where(most), Quantiser(fit, min(max(lists, math.isqrt(n) // 4), max(lists, fit_rows // 40)), parts, rounds, seed), cosine, block_rows, seed)
         if len(dims) > 1:  # vectors of rarer lengths meet in blocks without lists
             found = found.unionByName(_links(reps.where(~most), Blank(), cosine, block_rows, seed))
     found = settle(found, "links") if found is not None else reps.select("label", "k1", "k2", "rid", F.lit(0).cast("long").alias("links"), F.col("rid").alias("low")).limit(0)
