@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +40,13 @@ def settle(df: DataFrame, tag: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession) -> None:
+    """Delete this application's tables in the shared folder; to be called when results that read them are written."""
+    store, path = fs.FileSystem.from_uri(shared_dir(spark))
+    if store.get_file_info(path).type == fs.FileType.Directory:
+        store.delete_dir(path)
+
+
 def spare(df: DataFrame, name: str) -> str:
     """A column name that ``df`` doesn't have (names differ by more than their case)."""
     taken = {c.lower() for c in df.columns}

@@ -59,6 +59,14 @@ def test_components(spark):
     assert got == {n: want[n] for e in edges for n in e if e[0] != e[1]}
 
 
+def test_discard(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "shared_dir", lambda _: f"file://{tmp_path}/apart")
+    common.discard(spark)
+    assert common.settle(spark.range(3)).count() == 3 and list((tmp_path / "apart").iterdir())
+    common.discard(spark)
+    assert not (tmp_path / "apart").exists()
+
+
 # 2: quality classifier
 
 
