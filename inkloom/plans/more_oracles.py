@@ -207,6 +207,18 @@ c4 AS (SELECT block_id, CASE WHEN whole AND len(slang) > 0 AND len(own) > 0 THEN
 SELECT block_id, CAST(generate_subscripts(ws, 1) - 1 AS INT) AS pos, unnest(ws) AS warning FROM c4"""
 
 
+# Misread tokens of readings.
+BAD = "inhook lnhook lhook toid to1d lookv loooky l00k l0ok repect respecl enolgh folr fopm colld hlnger individlals napehouse nestern tslrlmi houps ramn rarn setupi morningb howdid tholsand entipe etire sevenn".split()
+# End of the fixed values.
+
+
+def suspect_readings(turns: str) -> str:
+    rules = [c for c, _ in checks()]
+    words = "regexp_extract_all(s, '[A-Za-zÀ-ÖØ-öø-ÿぁ-んァ-ン一-龯々ー'']+')"
+    return rf"""WITH {turns}, c0 AS (SELECT {K}, trim(regexp_replace(ocr_text, '\s+', ' ', 'g')) AS s FROM tb WHERE page_index % 4 NOT IN (0, 2)), c1 AS (SELECT *, {tokens('s')} AS sw FROM c0)
+SELECT {K} FROM c1 WHERE s = '' OR len([w for w in {words} if trim(lower(w), '''') IN {among(BAD)}]) > 0 OR (contains(s, ';') AND len({words}) <= 4) OR ({rules[2]}) OR ({rules[4]})"""
+
+
 def oracle_sql() -> dict[str, str]:
     zones, _ = _zones()
     return {
@@ -223,4 +235,5 @@ def oracle_sql() -> dict[str, str]:
         "html_pages": HTML,
         "fragment_noise": NOISE,
         "qc_warnings": qc_warnings(TURNS),
+        "suspect_readings": suspect_readings(TURNS),
     }
