@@ -61,10 +61,10 @@ def shape_of(path: Column) -> Column:
 def templates(shapes: DataFrame, *, fan_out: int = 12, rare_share: float = 0.02) -> DataFrame:
     """Add ``template`` (array of segments) to host, segs, n, lab, bad rows.
 
-    One level of the tree a round, to the deepest node with more than one path
-    below it: counts of each node and child are grouped sums, joined back. Where
-    a node has a single path below, all that is left of it is one last segment,
-    so a lone deep path costs no rounds.
+    One branching level of the tree a round: counts of each node and child are
+    grouped sums, joined back. Segments that all paths of a node share are one
+    element, and so is all that is left where a node has a single path below;
+    so long paths without branches cost no rounds.
     """
     none = F.array().cast("array<string>")
     left = shapes.withColumn("template", none).withColumn("rest", F.col("segs"))
@@ -73,13 +73,16 @@ def templates(shapes: DataFrame, *, fan_out: int = 12, rare_share: float = 0.02)
     while not left.isEmpty():
         left = left.withColumn("seg", F.get("rest", F.lit(0)))
         child = left.groupBy("host", "template", "seg").agg(F.sum("n").alias("n_child"), F.min("rest").alias("low"), F.max("rest").alias("high"))
-        node = child.groupBy("host", "template").agg(F.sum("n_child").alias("n_node"), F.count("*").alias("fan"), (F.min("low") == F.max("high")).alias("single"))
+        node = child.groupBy("host", "template").agg(F.sum("n_child").alias("n_node"), F.count("*").alias("fan"), F.min("low").alias("low"), F.max("high").alias("high"))
+        # what the least and the greatest path share, all paths of the node share
+        apart = F.array_position(F.zip_with("low", "high", lambda a, b: F.coalesce(a == b, F.lit(False))), False)
+        node = node.withColumn("single", F.col("low") == F.col("high")).withColumn("shared", F.when(apart == 0, F.least(F.size("low"), F.size("high"))).otherwise(apart - 1).cast("int")).drop("low", "high")
         named = (F.col("fan") < fan_out) | (F.col("n_child") >= rare_share * F.col("n_node"))
-        kinds = child.join(node, ["host", "template"]).select("host", "template", "seg", "single", named.alias("named"))
+        kinds = child.join(node, ["host", "template"]).select("host", "template", "seg", "single", "shared", named.alias("named"))
         step = left.join(kinds, ["host", "template", "seg"])
-        more = F.when(F.col("single"), F.array_join("rest", "/")).when(F.col("named"), F.col("seg")).otherwise("*")
-        rest = F.when(F.col("single"), none).otherwise(F.slice("rest", 2, F.size("rest")))
-        step = settle(step.withColumn("template", F.array_append("template", more)).withColumn("rest", rest).drop("seg", "single", "named"), "templates")
+        own = F.when(F.col("single"), F.array_join("rest", "/")).when(F.col("named"), F.array_join(F.slice("rest", 1, F.greatest("shared", F.lit(1))), "/")).otherwise("*")
+        rest = F.when(F.col("single"), none).otherwise(F.slice("rest", F.greatest(F.when(F.col("named"), F.col("shared")), F.lit(1)) + 1, F.size("rest")))
+        step = settle(step.withColumn("template", F.array_append("template", own)).withColumn("rest", rest).drop("seg", "single", "shared", "named"), "templates")
         done = done.unionByName(step.where(F.size("rest") == 0).drop("rest"))
         left = step.where(F.size("rest") > 0)
     return done

@@ -586,7 +586,7 @@ def test_urls_against_a_tree_in_memory(spark):
         elif rng.random() < 0.4:
             path = [rng.choice(["es", "fr", "de"]), *path]
         urls.append(f"http://{host}/{'/'.join(path)}{rng.choice(['', '/', '?q=/es/', '#b'])}")
-    urls += urls[20:30] * 5
+    urls += urls[20:30] * 5 + ["http://long.org/" + "p/" * 300 + end for end in ("", "x", "y/z", "y/w", "y")]
     df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("template", F.lit(1)).withColumn("rest", F.lit("clash"))
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict, r.template) for r in url_templates.judge_urls(df, rules).collect()}
     want = brute.url_verdicts(urls, rules)
