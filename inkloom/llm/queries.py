@@ -99,6 +99,33 @@ def op10_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict", "template")
 
 
+def op11_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from inkloom.llm.piece_bpe import round_trip
+
+    return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from inkloom.llm.merkle import hex_of, manifest, proof_digest
+
+    docs = table(spark, sf_dir, "documents")
+    hit = F.coalesce(F.crc32(docs["doc_id"].cast("string").cast("binary")) % 7 == 0, F.lit(False))
+    n_chars = docs["n_chars"].cast("decimal(20,0)")
+    claimed = [docs["doc_id"], docs["source"], docs["lang"], F.when(hit, n_chars + 1).otherwise(n_chars), docs["text"]]
+    x = manifest(docs, claimed=claimed)
+    digests = [hex_of(F.col(c)).alias(c) for c in ("leaf", "subroot", "root")]
+    return x.select("doc_id", *digests, proof_digest(F.col("path")).alias("proof_sha256"), hex_of(F.col("claimed_root")).alias("folded_root"), "verified")
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from inkloom.llm.whitening import integers, whiten
+
+    x = integers(table(spark, sf_dir, "embeddings"), scale=1024, shift=100_000)
+    return whiten(x, components=8).withColumn("deviation", F.col("deviation").cast("long"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
 

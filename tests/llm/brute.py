@@ -158,3 +158,44 @@ def url_verdicts(urls, rules, fan_out=12, rare=0.02, z=1.96, alpha=8.0, purity=0
         lab, bad = total[host, m]
         out.append((host, path, name, v or ("block" if (bad + alpha * base) / (lab + alpha) >= purity else "allow"), "/" + "/".join(m)))
     return out
+
+
+# Merkle manifest: trees of lists
+
+
+def H(*parts):
+    return hashlib.sha256("".join(parts).encode()).hexdigest()
+
+
+def _tree(nodes, fanout):
+    """The last node, and each first node's (left, right) siblings level by level."""
+    paths, own = [[] for _ in nodes], list(range(len(nodes)))
+    while len(nodes) > 1:
+        for i, o in enumerate(own):
+            first = o - o % fanout
+            run = nodes[first : first + fanout]
+            paths[i].append(("".join(run[: o - first]), "".join(run[o - first + 1 :])))
+            own[i] = o // fanout
+        nodes = [H(*nodes[j : j + fanout]) for j in range(0, len(nodes), fanout)]
+    return nodes[0], paths
+
+
+def manifest(rows, fanout, tampered):
+    """(doc_id, leaf, subroot, root, proof, folded root, verified) of rows (doc_id, source, lang, n_chars, text)."""
+    leaf = lambda r: H(*("-" if v is None else f"{len(str(v).encode())}:{v}" for v in r))
+    groups = {}
+    for r in rows:
+        groups.setdefault(r[2], []).append((r[0], leaf(r), leaf(tampered(r))))
+    keys = sorted(groups, key=lambda g: (g is not None, (g or "").encode()))
+    trees = {}
+    for g in keys:
+        groups[g].sort(key=lambda t: (t[0] is not None, t[0] or 0, t[1]))
+        trees[g] = _tree([t[1] for t in groups[g]], fanout)
+    root, tops = _tree([trees[g][0] for g in keys], fanout) if keys else (None, [])
+    out = []
+    for g, top in zip(keys, tops):
+        for (i, mine, x), path in zip(groups[g], trees[g][1]):
+            for left, right in path + top:
+                x = H(left, x, right)
+            out.append((i, mine, trees[g][0], root, H(*(a + b for a, b in path + top)), x, x == root))
+    return out
