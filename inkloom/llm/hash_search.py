@@ -13,11 +13,15 @@ to f - 1. Probing those buckets so retrieves every code within radius r. The
 rows touched are ordered by Hamming distance, and the nearest ``shortlist`` of
 each block are ranked again by their exact inner product in double precision.
 
-The radius is what the data need: it is fitted on the sample, as the least r at
-which probing meets a share ``target`` of the sample's own true neighbours. A
-sample's neighbours lie further apart than the whole table's, so the share met
-there is rather higher. Clustered vectors get a small radius; vectors without
-structure a large one, and then the buckets hold a good part of a block.
+The radius is what each query needs. On the sample, pairs at all angles tell at
+which least radius probing meets them, and so the radius ``reach`` that meets a
+share ``target`` of the vectors at an angle. A first pass probes with a small
+radius (it meets half of the sample's own neighbours), wider where fewer than
+4 k rows are touched. The k-th best found, over all blocks, bounds the angle of
+the true k-th; queries whose bound asks for a greater radius search again with
+that. So a vector within a cluster ends after a few buckets, one that stands
+alone probes a good part of each block, and none has fewer than k rows unless
+the table has.
 
 Every (query block, block) keeps each query's best k, and a window for each
 query merges them. For inner products of vectors of unequal length, codes are
@@ -27,7 +31,7 @@ sample; longer ones extend by 0.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import lru_cache
 from itertools import combinations
 
@@ -56,12 +60,22 @@ def levels(m: int, radius: int) -> np.ndarray:
 
 @dataclass
 class Coder:
-    """Greatest length, mean and rotations (d + 1 by bits), and the radius to probe."""
+    """Greatest length, mean and rotations (d + 1 by bits), the first radius, and radii by angle (bins up to ``angles``)."""
 
     top: float
     mean: np.ndarray
     rotation: np.ndarray
     radius: int = 0
+    angles: np.ndarray = field(default_factory=lambda: np.zeros(1))
+    radii: np.ndarray = field(default_factory=lambda: np.zeros(1, int))
+
+    def reach(self, length: np.ndarray, score: np.ndarray) -> np.ndarray:
+        """The radius for queries of these lengths, whose k-th best inner products are ``score`` (NaN: fewer than k are known)."""
+        angle = np.arccos(np.clip(score / (length * self.top), -1.0, 1.0))
+        at = np.searchsorted(self.angles, angle)
+        wider = self.radii[-1] + self.rotation.shape[1] // WIDTH  # beyond all angles of the sample
+        most = self.rotation.shape[1]
+        return np.where(np.isnan(score), most, np.minimum(np.append(self.radii, wider)[at], most))
 
     def codes(self, x: np.ndarray, query: bool = False) -> np.ndarray:
         """Codes as rows of uint16 substrings; queries are scaled to the greatest length."""
@@ -71,8 +85,8 @@ class Coder:
         return np.packbits(bits, axis=1).view(np.uint16)
 
 
-def learn(x: np.ndarray, *, bits: int, rounds: int, k: int, share: float, target: float, seed: int, asked: int = 200) -> Coder:
-    """Rotations by iterative quantisation, and the radius that meets ``target`` of the sample's neighbours.
+def learn(x: np.ndarray, *, bits: int, rounds: int, k: int, share: float, target: float, seed: int, asked: int = 400, bins: int = 24) -> Coder:
+    """Rotations by iterative quantisation, and the radii that meet ``target`` of the vectors at an angle.
 
     ``share``: the sample's part of all rows. Of the k neighbours in the table
     about k * share are in the sample, so as many (one at least) count there.
@@ -96,11 +110,20 @@ def learn(x: np.ndarray, *, bits: int, rounds: int, k: int, share: float, target
         return coder
     product = x[at] @ x.T
     product[np.arange(len(at)), at] = -np.inf
-    mine = np.argpartition(-product, near - 1, axis=1)[:, :near]
-    apart = np.bitwise_count(coder.codes(x)[mine] ^ coder.codes(x[at], query=True)[:, None, :]).astype(int)
+    order = np.argsort(-product, axis=1)[:, : len(x) - 1]
+    ranks = np.unique(np.r_[np.arange(near), np.geomspace(1, len(x) - 1, 24).astype(int) - 1])
+    other = order[:, ranks]
+    apart = np.bitwise_count(coder.codes(x)[other] ^ coder.codes(x[at], query=True)[:, None, :]).astype(int)
     m = apart.shape[2]
-    met = np.sort((m * apart + np.arange(m)).min(2).ravel())  # the least radius whose probes touch each neighbour
-    coder.radius = int(met[min(len(met) - 1, int(np.ceil(target * len(met))) - 1)])
+    met = (m * apart + np.arange(m)).min(2)  # the least radius whose probes touch each vector
+    quantile = lambda v, q: int(np.quantile(v, q, method="higher"))
+    coder.radius = quantile(met[:, ranks < near], 0.5)
+    length = np.sqrt((x[at] ** 2).sum(1))[:, None]
+    angle = np.arccos(np.clip(np.take_along_axis(product, other, 1) / (length * top), -1.0, 1.0)).ravel()
+    by = np.argsort(angle, kind="stable")
+    parts = np.array_split(by, min(bins, len(by)))
+    coder.angles = np.array([angle[p[-1]] for p in parts])
+    coder.radii = np.maximum.accumulate([quantile(met.ravel()[p], target) for p in parts])
     return coder
 
 
@@ -136,9 +159,15 @@ class Index:
             seen[self.order.ravel()[np.repeat(first - skip, size) + np.arange(size.sum())]] = True
         return np.flatnonzero(seen)
 
-    def nearest_codes(self, q: np.ndarray, radius: int, shortlist: int) -> tuple[np.ndarray, int]:
-        """Of the touched rows those up to the distance that holds ``shortlist``; and how many were touched."""
+    def nearest_codes(self, q: np.ndarray, radius: int, least: int, shortlist: int) -> tuple[np.ndarray, int]:
+        """Of the touched rows those up to the distance that holds ``shortlist``; and how many were touched.
+
+        While fewer than ``least`` rows are touched, every substring has another bit flipped.
+        """
         rows = self.touched(q, radius)
+        while len(rows) < min(least, self.n) and radius < WIDTH * self.m:
+            radius += self.m
+            rows = self.touched(q, radius)
         if len(rows) <= shortlist:
             return rows, len(rows)
         apart = np.bitwise_count(self.words[rows] ^ q.view(np.uint64)).sum(1, dtype=np.int64)
@@ -168,7 +197,7 @@ def nearest(
     bits: int = 256,
     rounds: int = 12,
     fit_rows: int = 20_000,
-    target: float = 0.96,
+    target: float = 0.95,
     shortlist: int = 1_024,
     block_rows: int = 16_384,
     query_rows: int = 4_096,
@@ -203,8 +232,8 @@ def nearest(
     index = settle(build(distinct, coder, nx, seed), "index")
     queries = x.where(F.col("id") % every == 0).groupBy("id").agg(F.min("x").alias("x"))
     queries = queries.withColumn("part", F.pmod(F.xxhash64("id", F.lit(seed + 1)), F.lit(nq)).cast("int"))
-    left = queries.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(nx - 1))))
     right = index.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
+    least = -(-4 * k // nx)  # rows that a query touches in a block
 
     def search(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(v):
@@ -213,10 +242,10 @@ def nearest(
         vid, vx = np.frombuffer(v["ids"], np.int64), np.frombuffer(v["x"], float).reshape(v["n"], -1)
         found = Index(np.frombuffer(v["code"], np.uint16).reshape(v["n"], -1), np.frombuffer(v["orders"], np.int32).reshape(-1, v["n"]))
         repeated = len(np.unique(vid)) < len(vid)
-        qid, qx = q["id"].to_numpy(), np.vstack(q["x"].to_numpy()).astype(float)
+        qid, qx, radius = q["id"].to_numpy(), np.vstack(q["x"].to_numpy()).astype(float), q["radius"].to_numpy()
         ids, scores, size, touched = [np.zeros(0, np.int64)], [np.zeros(0)], [], []
         for i, code in enumerate(coder.value.codes(qx, query=True)):
-            rows, seen = found.nearest_codes(code, coder.value.radius, shortlist)
+            rows, seen = found.nearest_codes(code, int(radius[i]), least, shortlist)
             rows = rows[vid[rows] != qid[i]]
             score = vx[rows] @ qx[i]
             best = np.argsort(-score, kind="stable")
@@ -229,8 +258,24 @@ def nearest(
             touched.append(seen)
         return pd.DataFrame({"query_id": np.repeat(qid, size), "vec_id": np.concatenate(ids), "score": np.concatenate(scores), "touched": np.repeat(touched, size)})
 
-    by = ["part", "block"]
-    found = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(search, "query_id long, vec_id long, score double, touched long")
-    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"), F.max("touched").alias("touched"))
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", *(["touched"] * with_touched))
+    def best(asking: DataFrame, *before: DataFrame) -> DataFrame:
+        by = ["part", "block"]
+        left = asking.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(nx - 1))))
+        found = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(search, "query_id long, vec_id long, score double, touched long")
+        for b in before:
+            found = found.unionByName(b)
+        found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"), F.max("touched").alias("touched"))
+        rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        return found.withColumn("rank", rank).where(F.col("rank") <= k)
+
+    @F.pandas_udf("int")
+    def reach(length: pd.Series, score: pd.Series) -> pd.Series:
+        return pd.Series(coder.value.reach(length.to_numpy(float), score.to_numpy(float)))
+
+    first = settle(best(queries.withColumn("radius", F.lit(coder.value.radius))), "first")
+    bound = first.where(F.col("rank") == k).select(F.col("query_id").alias("id"), "score")
+    length = F.sqrt(F.aggregate("x", F.lit(0.0), lambda s, v: s + v * v))
+    again = queries.join(bound, "id", "left").select("id", "x", "part", reach(length, "score").alias("radius"))
+    again = settle(again.where(F.col("radius") > coder.value.radius), "again")
+    found = best(again, first.drop("rank"))
+    return found.select("query_id", "rank", "vec_id", "score", *(["touched"] * with_touched))

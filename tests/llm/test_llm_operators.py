@@ -212,6 +212,29 @@ def test_search_with_production_parameters(spark):
         assert found.groupby("query_id")["touched"].max().mean() <= most * n
 
 
+@pytest.mark.parametrize("lone", [0.01, 0.05])
+def test_search_of_lone_vectors_among_clusters(spark, lone):
+    """Every query has its 20 rows, and recall holds for lone and for clustered vectors apart, over several blocks."""
+    rng = np.random.default_rng(11)
+    n, d = 16_000, 64
+    centres = rng.normal(size=(400, d))
+    alone = rng.random(n) < lone
+    alone[: 40 * 20 : 20] = True  # queries among them
+    x = np.where(alone[:, None], rng.normal(size=(n, d)), centres[rng.integers(0, 400, n)] + 0.3 * rng.normal(size=(n, d)))
+    asked = np.arange(0, n, 20)
+    product = x[asked] @ x.T
+    product[np.arange(len(asked)), asked] = -np.inf
+    want = dict(zip(asked.tolist(), np.argsort(-product, axis=1)[:, :20].tolist()))
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    got = {}
+    for r in hash_search.nearest(df, block_rows=4_096).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert got.keys() == want.keys() and all(len(v) == 20 for v in got.values())
+    for some in (True, False):
+        part = {q: w for q, w in want.items() if alone[q] == some}
+        assert len(part) >= 40 and recall(got, part) >= 0.9
+
+
 # 4: substring dedup
 
 
