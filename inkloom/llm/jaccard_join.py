@@ -41,6 +41,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from inkloom.llm.common import components, settle, slices, tidy
 from inkloom.llm.pq_dedup import local_components
@@ -311,8 +312,9 @@ def similar(
     text_col: str = "text",
     bucket_tokens: int = 4_000_000,
     block_rows: int = 512,
+    with_class: bool = False,
 ) -> DataFrame:
-    """Per row: id, n_shingles, component_id.
+    """Per row: id, n_shingles, component_id; ``with_class`` adds ``key`` (of the row's words) and ``class`` (the least key of its component, null without words).
 
     Documents link when ``100 * intersection >= percent * union`` of their
     shingle sets. Null texts and texts without words have no shingles and link
@@ -366,13 +368,25 @@ def similar(
     found = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(edges, "low string, key string")
     linked = components(found, "low", "key").withColumnRenamed("node", "key")
     named = rows.select("id", "n", "key").join(linked, "key", "left").withColumn("class", F.when(F.col("n") > 0, F.coalesce("component", "key")))
-    named = settle(named.select("id", "n", "class"), "named")
+    named = settle(named.select("id", "n", "class", *(["key"] * with_class)), "named")
     least = named.where("class is not null").groupBy("class").agg(F.min("id").alias("least"))
     return named.join(least, "class", "left").select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component_id")
+        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"), *(["key", "class"] * with_class)
     )
 
 
+def with_keys(texts: DataFrame, key_col: str = "key", text_col: str = "text") -> DataFrame:
+    """``texts`` (of any columns) with the key of their words, as ``similar`` gives it."""
+    at, names = texts.columns.index(text_col), [*texts.columns, key_col]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, at):
+            keys = [key_of(word_list(t.as_py())).hex() for t in batch.column(at)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.string())], names=names)
+
+    return texts.mapInArrow(lambda batches: tidy(run(batches), _words), StructType([*texts.schema, StructField(key_col, StringType())]))
+
+
 def _sum(df: DataFrame, col: str) -> int:
     return df.agg(F.coalesce(F.sum(col), F.lit(0))).first()[0]
 

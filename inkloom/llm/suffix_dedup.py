@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkloom.llm.common import settle
+from inkloom.llm.common import settle, slices
 
 GRAM = 48
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -90,7 +90,7 @@ def _light(docs: DataFrame, length: int) -> DataFrame:
     names = ["sid", "k1", "k2", "n_bytes", "sha", "sigs", "again"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1):
             out = {n: [] for n in names}
             for sid, text in zip(batch.column(0).to_pylist(), _bytes(batch.column(1))):
                 sig, h = signatures(np.frombuffer(text, np.uint8), length)
@@ -106,15 +106,16 @@ def _light(docs: DataFrame, length: int) -> DataFrame:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """sid, the text compressed, and its key."""
+    """sid, the text compressed, and its key; a row that a slice repeats is one row."""
     names = ["sid", "z", "k1", "k2"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1):
             texts = _bytes(batch.column(1))
-            keys = [key_of(t) for t in texts]
-            z = pa.array([zlib.compress(t, 1) for t in texts], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), z, *(pa.array([k[i] for k in keys], pa.int64()) for i in (0, 1))], names=names)
+            rows = {(sid, *key_of(t)): t for sid, t in zip(batch.column(0).to_pylist(), texts)}
+            z = pa.array([zlib.compress(t, 1) for t in rows.values()], pa.binary())
+            sid, k1, k2 = (pa.array([r[i] for r in rows], pa.int64()) for i in range(3))
+            yield pa.RecordBatch.from_arrays([sid, z, k1, k2], names=names)
 
     return docs.mapInArrow(run, "sid long, z binary, k1 long, k2 long")
 
@@ -135,7 +136,7 @@ def _segments(cand: DataFrame, length: int, buckets: int) -> DataFrame:
     schema = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("sid", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("v", pa.int64()), ("start", pa.int32()), ("data", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 3, 1 << 22):
             sids, k1s, k2s = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2))
             rows: list[tuple] = []
             hot_h1, hot_h2, hot_at, hot_text = [], [], [], []
@@ -312,7 +313,7 @@ def dedup(
     Null texts are empty; texts shorter than ``length`` lose nothing; repeated
     rows are copies of each other. With ``keep="first"`` the corpus is ordered
     by id (null first); rows that share the smallest id of a text all count as
-    the first. Other columns aren't read; an empty table gives an empty result.
+    the first, and keep what only they and later texts hold. Other columns aren't read; an empty table gives an empty result.
     """
     if length < GRAM + 16 or keep not in ("none", "first"):
         raise ValueError("length must be 64 or more, keep 'none' or 'first'")
@@ -325,7 +326,9 @@ def dedup(
     hot = F.col("n") >= hot_texts  # a bucket's signature has fewer segments than that, whatever the corpus
     found = sig.join(counts, "v").groupBy("k1", "k2").agg(F.collect_list("v").alias("sigs"), F.collect_list(F.when(hot, F.col("v"))).alias("hot"))
     cand = texts.select("k1", "k2", F.col("rep").alias("sid")).join(found, ["k1", "k2"])
-    cand = settle(_keyed(x.where(F.octet_length("text") >= length)).join(cand, ["sid", "k1", "k2"]), "candidates")
+    # rows that repeat a text's first id are one: none of them is an earlier copy of another
+    cand = _keyed(x.where(F.octet_length("text") >= length)).join(cand, ["sid", "k1", "k2"]).dropDuplicates(["sid", "k1", "k2"])
+    cand = settle(cand, "candidates")
     runs = cand.agg(F.coalesce(F.sum(F.size("sigs")), F.lit(0))).first()[0]
     segments = _segments(cand, length, max(32, runs * (length + 100) // bucket_bytes))
 

@@ -251,6 +251,20 @@ def test_substrings(spark, keep, hot):
     assert suffix_dedup.dedup(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("hot", [256, 2])
+def test_repeated_rows_keep_the_first_copy(spark, hot):
+    """A row that occurs twice is no earlier copy of itself: what it shares with later texts stays in it."""
+    rng = random.Random(8)
+    shared = prose(rng, 80)
+    texts = {1: prose(rng, 30) + " " + shared, 2: prose(rng, 10) + " " + shared + " " + prose(rng, 20), 5: prose(rng, 60)}
+    want = {r[0]: r for r in brute.substrings(sorted(texts.items()), keep="first")}
+    for repeats in ([1], [1, 1, 1, 2], [2, 5, 5]):
+        ids = sorted([*texts, *repeats])
+        df = docs(spark, *(texts[i] for i in ids), ids=ids).repartition(3)
+        got = rows(suffix_dedup.dedup(df, keep="first", hot_texts=hot), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+        assert got == [want[i] for i in ids] and want[1][2] == 0 < want[2][2]
+
+
 def test_longest_previous_factors():
     rng = random.Random(1)
     data = np.frombuffer("".join(rng.choice("ab") for _ in range(400)).encode() + b"abab" * 30 + b"\0" * 40, np.uint8)

@@ -119,6 +119,7 @@ def test_stages_keep_odd_rows_whole(spark, tmp_path):
     want = brute.near_texts([(r[0], r[1]) for r in rows if r[0] is not None])
     firsts = {i for i, (_, c) in want.items() if i == c}
     assert {i for i, _ in got} - {-1} == firsts and len([i for i, _ in got if i >= 0]) == len(firsts) and near.columns == docs.columns
+    assert [t for i, t in got if i == -1] == ["", "no id here"]
     private = p.replace_personal_data(spark, docs, folder)
     by = {}
     for r in private.collect():
@@ -131,3 +132,21 @@ def test_stages_keep_odd_rows_whole(spark, tmp_path):
     assert tokens.count() == docs.count() and {r.doc_id: r.n_tokens for r in tokens.collect()}[100] == 0
     for _, stage in p.STAGES:
         assert stage(spark, docs.limit(0), folder).count() == 0
+
+
+def test_rows_without_an_id_or_with_several_texts(spark):
+    import corpus_pipeline as p
+
+    t, u, v = ("word%d " % i * 3 + " ".join(f"{c}{i}" for c in "abcdefghij") for i in range(3))
+
+    def kept(*rows):
+        docs = spark.createDataFrame([(i, x, "en", "s", n) for n, (i, x) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long").withColumn("key", F.lit("clash")).withColumn("bare", F.lit(1))
+        out = p.drop_near_copies(spark, docs, "")
+        assert out.columns == docs.columns
+        return sorted(((r.doc_id, r.text) for r in out.collect()), key=repr)
+
+    order = lambda *rows: sorted(rows, key=repr)
+    assert kept((5, t), (None, t), (None, ""), (None, None)) == order((5, t), (None, ""), (None, None))
+    assert [(i, x.lower()) for i, x in kept((None, t), (None, t.upper()), (None, u), (3, v), (None, v))] == order((3, v), (None, t), (None, u))
+    assert kept((7, t), (5, t), (7, u), (9, u), (7, u)) == order((5, t), (7, u))
+    assert kept((7, t), (7, t + " "), (8, ""), (8, None)) in (order((7, t), (8, ""), (8, None)), order((7, t + " "), (8, ""), (8, None)))
