@@ -34,18 +34,33 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents, the one that names it (the smallest doc_id) stays.
 
-    Texts that are null or without words link with nothing and stay; rows of
-    one doc_id stay or go together; of rows that repeat doc_id and text, one
-    stays (that with the least hash of its other columns); a null doc_id stays
-    only where its text has no other copy with an id; an empty table stays empty.
+    Texts that are null or without words link with nothing and stay. Of rows
+    that repeat doc_id and words, one stays (that with the least hash of its
+    other columns); rows of one doc_id with other words are judged apart, each
+    by the group of its text. A row without doc_id stays only where no row of
+    its group has one, and of several such rows that with the least key of its
+    words stays. An empty table stays empty.
     """
-    groups = jaccard_join.similar(docs.select("doc_id", "text"))
-    kept, place = spare(docs, "kept"), spare(docs, "place")
-    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(kept)).distinct()
-    x = docs.join(first, F.col("doc_id").eqNullSafe(F.col(kept)), "left_semi")  # partitioned by doc_id from here on
+    groups = jaccard_join.similar(docs.select("doc_id", "text"), with_class=True)
+    bare, key, place, id_, key_ = (spare(docs, c) for c in ("bare", "key", "place", "id_", "key_"))
+    names = F.col("class").isNull() | F.when(F.col("doc_id").isNull(), F.col("component_id").isNull() & (F.col("key") == F.col("class"))).otherwise(F.col("doc_id") == F.col("component_id"))
+    judged = groups.select("doc_id", F.col("key").alias(key), names.alias("stays"), F.col("class").isNull().alias(bare))
+    by_id = judged.where("doc_id is not null").groupBy("doc_id").agg(F.min(key).alias("low"), F.max(key).alias("high"), F.max("stays").alias("stays"), F.max(bare).alias(bare))
     others = [f.name for f in docs.schema if not isinstance(f.dataType, MapType)]
-    order = W.partitionBy("doc_id", "text").orderBy(F.xxhash64(*others))
-    return x.withColumn(place, F.row_number().over(order)).where(F.col(place) == 1).select(*docs.columns)
+
+    def one_each(x: DataFrame, *same) -> DataFrame:
+        order = W.partitionBy("doc_id", *same, F.when(F.col(bare), F.col("text"))).orderBy(F.xxhash64(*others))
+        return x.withColumn(place, F.row_number().over(order)).where(F.col(place) == 1).select(*docs.columns)
+
+    # an id whose rows share their words is judged by the id alone
+    out = one_each(docs.join(by_id.where("low = high and stays").select("doc_id", bare), "doc_id"))
+    several = by_id.where("low <> high").select("doc_id")
+    if judged.where("doc_id is null").isEmpty() and several.isEmpty():
+        return out
+    odd = docs.where("doc_id is null").unionByName(docs.join(several, "doc_id", "left_semi"))
+    kept = judged.where("stays").select(F.col("doc_id").alias(id_), F.col(key).alias(key_), bare).distinct()
+    kept = jaccard_join.with_keys(odd, key).join(kept, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(key) == F.col(key_)))
+    return out.unionByName(one_each(kept.drop(id_, key_), key))
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
