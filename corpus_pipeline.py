@@ -42,7 +42,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     words stays. An empty table stays empty.
     """
     groups = jaccard_join.similar(docs.select("doc_id", "text"), with_class=True)
-    bare, key, place, id_, key_ = (spare(docs, c) for c in ("bare", "key", "place", "id_", "key_"))
+    bare, key, place, id_, key_ = (spare(docs, c) for c in ("bare", "key", "place", "kept_id", "same_key"))
     names = F.col("class").isNull() | F.when(F.col("doc_id").isNull(), F.col("component_id").isNull() & (F.col("key") == F.col("class"))).otherwise(F.col("doc_id") == F.col("component_id"))
     judged = groups.select("doc_id", F.col("key").alias(key), names.alias("stays"), F.col("class").isNull().alias(bare))
     by_id = judged.where("doc_id is not null").groupBy("doc_id").agg(F.min(key).alias("low"), F.max(key).alias("high"), F.max("stays").alias("stays"), F.max(bare).alias(bare))
