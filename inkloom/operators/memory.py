@@ -150,29 +150,3 @@ def parse_glossary(lines: DataFrame, col: str = "terms") -> DataFrame:
     x = lines.select(F.posexplode(F.split(col, r"[,;\n]")).alias("pos", "rule")).withColumn("rule", F.btrim("rule")).where("rule <> ''")
     pair = F.split("rule", r"\s*=>\s*|\s*=\s*", 2)
     return x.select(F.btrim(pair[0]).alias("source"), F.coalesce(full(F.btrim(F.get(pair, F.lit(1)))), F.btrim(pair[0])).alias("target"), "pos").where("source <> ''")
-
-
-def protect_terms(rows: DataFrame, terms: DataFrame, text: str = "text") -> DataFrame:
-    """Add ``protected`` (terms replaced by placeholders, longest first) and ``restored`` (their targets put in).
-
-    The term list is small by its nature: it is broadcast as one pattern list to
-    Arrow batches. A term of letters and digits only is matched as whole words.
-    """
-    import re
-
-    listed = [(r.source, r.target) for r in terms.select("source", "target").limit(10_001).collect()]
-    if len(listed) > 10_000:
-        raise ValueError("a glossary has at most 10,000 terms")
-    listed.sort(key=lambda t: -len(t[0]))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at = {s.lower(): i for i, (s, _) in reversed(list(enumerate(listed)))}
-        word = lambda s: rf"\b{re.escape(s)}\b" if s.isalnum() else re.escape(s)
-        any_term = re.compile("|".join(word(s) for s, _ in listed) or r"(?!)", re.IGNORECASE)
-        mark = re.compile(r"MKTERM(\d{3,})TOKEN", re.IGNORECASE)
-        for p in batches:
-            hidden = p[text].fillna("").map(lambda t: any_term.sub(lambda m: f"MKTERM{at[m[0].lower()]:03d}TOKEN", t))
-            shown = hidden.map(lambda t: mark.sub(lambda m: listed[int(m[1])][1], t))
-            yield p.assign(protected=hidden, restored=shown)
-
-    return rows.mapInPandas(run, rows.selectExpr("*", "'' as protected", "'' as restored").schema)

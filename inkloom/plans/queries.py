@@ -409,15 +409,21 @@ def glossary_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return memory.glossary(words.select("source", F.col("source").alias("target"), "pos"), own).select("source", "target", "first_list", "pos")
 
 
-def protected_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Terms hidden in conversations and put back."""
-    terms = tables_terms(spark)
-    x = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
-    return memory.protect_terms(x, terms).select("conv_id", "turn", "protected", "restored")
+def benchmark_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two words that follow each other in a benchmark text are a term, and so is every word of nine letters or more."""
+    x = table(spark, sf_dir, "benchmark").select(F.split(F.btrim("text"), r"\s+").alias("w"))
+    two = F.transform(F.sequence(F.lit(2), F.size("w")), lambda i: F.concat_ws(" ", F.get("w", i - 2), F.get("w", i - 1)))
+    pairs = x.where("size(w) > 1").select(F.explode(two).alias("source"))
+    words = x.select(F.explode("w").alias("source")).where(F.length("source") >= 9)
+    return pairs.unionByName(words).select(F.lower("source").alias("source")).where("source <> ''").distinct().withColumn("target", F.concat(F.lit("<"), "source", F.lit(">"))).withColumn("pos", F.col("source"))
 
 
-def tables_terms(spark: SparkSession) -> DataFrame:
-    return memory.parse_glossary(spark.createDataFrame([("the=>le; that = ce, and\nthe and=>le et",)], "terms string"))
+def protected_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The terms of the benchmark hidden in conversations and put back."""
+    from inkloom.operators.terms import protect_terms
+
+    x = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    return protect_terms(x, benchmark_terms(spark, sf_dir)).select("conv_id", "turn", "protected", "restored", F.size("used").alias("n_terms"))
 
 
 def _found(blocks: DataFrame) -> DataFrame:
@@ -518,6 +524,6 @@ def resumed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     own = {k: v for k, v in globals().items() if callable(v) and getattr(v, "__module__", "") == __name__ and not k.startswith("_")}
-    for k in ("queries", "tables_terms"):
+    for k in ("queries", "benchmark_terms"):
         own.pop(k)
     return own
