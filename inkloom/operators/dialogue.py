@@ -1,8 +1,9 @@
 """From recognised dialogue to text ready for translation: softened capitals, corrected and plain wording, ready translations.
 
-Rule and override tables are data of a corpus, read with ``sources.tables``:
-(pattern, replacement) rules in order, and (key, value) tables. Which table
-decides first is fixed: words that stay as they are, drawn-out interjections,
+Rules of misreadings and wording are in ``inkloom.rules``; a corpus's own rules,
+(pattern, replacement) in order, run behind them. Override tables (key, value)
+are data of a corpus, read with ``sources.tables``. Which table decides first is
+fixed: words that stay as they are, drawn-out interjections,
 overrides, and the translation memory.
 """
 
@@ -11,9 +12,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from inkloom.functions import reading
+from inkloom.functions.cascade import Rules
 from inkloom.functions.checks import JAPANESE
 from inkloom.functions.text import QUOTES, let, memory_key, squeeze, squeezed_ends
-from inkloom.operators.normalise import COLLOQUIAL, Rules, normalise
+from inkloom.operators.normalise import own, rewrite
 
 # Interjections that are translated by their shape, tried in this order, on the text or on its key.
 SHAPES = [
@@ -63,27 +66,33 @@ def with_override(rows: DataFrame, text: Column, *, kept: DataFrame | None = Non
 
 
 def prepare(
-    rows: DataFrame, *, text_col: str = "ocr_text", word_rules: Rules = (), context_rules: Rules = (), colloquial_rules: Rules = COLLOQUIAL, plain: bool = True,
+    rows: DataFrame, *, text_col: str = "ocr_text", word_rules: Rules = (), context_rules: Rules = (), colloquial_rules: Rules = (), plain: bool = True,
     corrections: DataFrame | None = None, kept: DataFrame | None = None, overrides: DataFrame | None = None, memory: DataFrame | None = None,
 ) -> DataFrame:
     """Add corrected, normalized and override.
 
     Learned ``corrections`` replace whole texts first; then capitals are
-    softened, spacing and words corrected, and, if ``plain``, colloquial forms
-    made plain. The override is looked up by the normalised text.
+    softened, misreadings corrected, and, if ``plain``, colloquial forms made
+    plain. The override is looked up by the normalised text.
     """
     from inkloom.functions.text import ignore_key
 
     x = rows.withColumn("_raw", F.coalesce(F.col(text_col), F.lit("")))
     if corrections is not None:
         learned = corrections.where("key <> ''").groupBy(F.col("key").alias("_k")).agg(F.max("value").alias("_learned"))
-        x = x.withColumn("_k", ignore_key(F.col("_raw"))).join(learned, "_k", "left").withColumn("_raw", F.coalesce("_learned", "_raw")).drop("_k", "_learned")
+        x = x.withColumn("_k", ignore_key(F.col("_raw"))).join(learned, "_k", "left").withColumn("_raw", F.coalesce(F.nullif(F.col("_learned"), F.lit("")), F.col("_raw"))).drop("_k", "_learned")
     x = x.withColumn("_raw", soften_capitals(F.col("_raw")))
-    x = normalise(x, text_col="_raw", out="corrected", word_rules=word_rules, context_rules=context_rules)
-    if plain:
-        x = normalise(x, text_col="corrected", out="normalized", context_rules=colloquial_rules)
-    else:
-        x = x.withColumn("normalized", F.col("corrected"))
+
+    def correct():
+        words, contexts = own(word_rules), own(context_rules)
+        return lambda t: reading.corrected(t, words, contexts)
+
+    def make_plain():
+        more = own(colloquial_rules)
+        return lambda t: reading.plain(t, more)
+
+    x = rewrite(x, "_raw", "corrected", correct)
+    x = rewrite(x, "corrected", "normalized", make_plain) if plain else x.withColumn("normalized", F.col("corrected"))
     return with_override(x, F.col("normalized"), kept=kept, overrides=overrides, memory=memory).drop("_raw")
 
 

@@ -1,44 +1,27 @@
 """Ordered rewriting of recognised text, and the choice among several readings of a block.
 
-The rule tables are data: (pattern, replacement) pairs applied one after the
-other, in order. Word and context rules are parameters, as each corpus has its
-own; the spacing rules below are general. Rules run in one Arrow function over
-distinct texts, as hundreds of nested column expressions can't be planned.
+What a text becomes is said in ``functions.reading``; here distinct texts run
+through it once, in Arrow batches, as hundreds of nested column expressions
+can't be planned. Rules of a corpus's own are (pattern, replacement) pairs,
+which run behind those of the package.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from inkloom.functions import reading
+from inkloom.functions.cascade import Rules, cascade
 from inkloom.functions.detect import zone_categories, zones
-from inkloom.functions.patterns import bounded, either
+from inkloom.functions.patterns import either
 from inkloom.functions.text import any_of, let, once, squeeze
 
-Rules = Sequence[tuple[str, str]]
-
-#: General rules of spacing and marks.
-SPACING: Rules = (
-    (r"’", "'"), (r"_+", " "), (r"^\s*~\s*", "..."),
-    (r"(?i)\b([a-z]{2,})-\s+([a-z]{2,})\b", r"\1\2"),  # a hyphen at a line's end
-    (r"\s+([,.;:!?])", r"\1"), (r"([,.;:!?])(?=[^\s,.;:!?\"'\d])", r"\1 "),  # marks follow a word and precede a blank
-    (r"([!?.,;:])\s+(?=[!?.,;:])", r"\1"), (r"\.\s*\.\s*\.\s*", "... "), (r":\s*(?:\.\s*){2,}", "... "), (r"(?<!\.)\.\.(?!\.)", "."),  # runs of dots
-    (r"(?i)\b(Ms|Mrs|Mr|Dr):(?=\s+[A-Z])", r"\1."),
-    (r":\s*['\"]?\s*~$", "..."), (r"[:.]+\s*=$", "..."), (r"(?:,\s*){2,}$", "..."), (r"\s+-\s*$", "..."), (r"(?i)(?<=[a-z])-\?$", "?"), (r"(?i)(?<=[a-z])-$", "..."), (r":\s*,?\s*\.$", "..."), (r":\s*$", "."),  # ends
-    (r"\s+", " "), (r"^\s+|\s+$", ""), (r"^\.\.\. ", "..."),
-)
-COLLOQUIAL: Rules = (
-    (r"(?i)\bgonna\b", "going to"), (r"(?i)\bwanna\b", "want to"), (r"(?i)\bgotta\b", "have to"), (r"(?i)\blemme\b", "let me"), (r"(?i)\bgimme\b", "give me"), (r"(?i)\bkinda\b", "kind of"),
-    (r"(?i)\boutta\b", "out of"), (r"(?i)\b'?cuz\b", "because"), (r"(?i)\bya\b", "you"), (r"(?i)\by'all\b", "you all"), (r"(?i)\b([a-z]{3,})in'(?=\s|$)", r"\1ing"),
-)
-# Sounds at the edge of dialogue, misread tokens, and words that a good reading has.
-SOUNDS = """whisper sob shock jaka sfx bam bang boom thud clap rustle slam tap jolt gasp slap wobble yawn sposh flash tremble fidget twitch fwooo
-    woosh crash nod scribble""".split()
+# Misread tokens, and words that a good reading has.
 BAD_TOKENS = """inhook lnhook lhook toid to1d lookv loooky l00k l0ok repect respecl enolgh folr fopm colld hlnger individlals napehouse nestern tslrlmi
     houps ramn rarn setupi morningb howdid tholsand entipe etire sevenn""".split()
 RAW_BAD = "houps b0dy tholsand entipe etire sevenn"
@@ -48,73 +31,28 @@ COMMON = """a all am an and are as at be but by can come coming country did dire
     food shelter steal brave enough tiger four days agency individuals abilities skills earn keep master animal form staff backup sake bomb
     explosion button press company dorm posthaste lad ideals mafia battle fault cry body hours hour few first place seven star academy student
     challenge dared thousand hundred hunting recognized player town guess happen revealed late""".split()
-CONTINUES = "but because before about with without from into catches lately importantly"
 READING_WORD = "[A-Za-zÀ-ÖØ-öø-ÿぁ-んァ-ン一-龯々ー']+"
 # End of the fixed values.
-EDGE_SOUND = r"(?i)^(?:{0})\b[.!?:, -]*|\s+(?:{0})[.!?:, -]*$"
-WORD = re.compile(r"[A-Za-z][A-Za-z'.-]*")
 
 
-def rewrite(text: str, rules: list[tuple[re.Pattern, str]]) -> str:
-    for pattern, to in rules:
-        text = pattern.sub(to, text)
-    return text
+def rewrite(rows: DataFrame, text_col: str, out: str, make: Callable[[], Callable[[str], str]], learned: DataFrame | None = None) -> DataFrame:
+    """Add ``out``: what the function that ``make`` gives (once a task) makes of the text; each distinct text once.
 
-
-def settled(text: str, rules: list[tuple[re.Pattern, str]]) -> str:
-    """The rules again and again until nothing changes."""
-    while (new := rewrite(text, rules)) != text:
-        text = new
-    return text
-
-
-def open_end(text: str) -> str:
-    """An ellipsis after three words or more whose last one wants to go on."""
-    words = WORD.findall(text)
-    return text + "..." if len(words) >= 3 and text[-1:].isalpha() and words[-1].lower() in CONTINUES.split() else text
-
-
-def even_case(text: str) -> str:
-    """Lower case for texts with words in random case; capitals throughout are left alone."""
-    words = WORD.findall(text)
-    odd = [w for w in words if sum(map(str.isalpha, w)) >= 3 and w.upper() != w and w.lower() != w and w != w.capitalize()]
-    loud = [w for w in words if len(w) >= 3 and w.upper() == w]
-    if not odd or not (len(odd) >= 0.15 * len(words) or len(loud) >= 2):
-        return text
-    low = re.sub(r"\bi(?=$|\s|')", "I", text.lower())
-    first = next((c for c in text if c.isalpha()), "")
-    return low[:1].upper() + low[1:] if first.isupper() else low
-
-
-def normalise(rows: DataFrame, *, text_col: str = "ocr_text", out: str = "normalised", word_rules: Rules = (), context_rules: Rules = (), colloquial: bool = False, memory: DataFrame | None = None) -> DataFrame:
-    """Add ``out``: the text after learned corrections, spacing, casing, edge sounds, word and context rules.
-
-    ``memory`` (key, value) replaces whole texts first. Distinct texts are
-    rewritten once. Null and empty texts give an empty one.
+    ``learned`` (key, value) replaces whole texts first; of a key's values the
+    greatest counts. Null texts read as empty.
     """
     from inkloom.functions.text import ignore_key
 
     x = rows.withColumn("_t", F.coalesce(F.col(text_col), F.lit("")))
     texts = x.select("_t").distinct()
-    if memory is not None:
-        texts = texts.withColumn("_k", ignore_key(F.col("_t"))).join(memory.select(F.col("key").alias("_k"), F.col("value").alias("_m")), "_k", "left").select("_t", F.coalesce("_m", "_t").alias("_in"))
+    if learned is not None:
+        m = learned.where("key <> ''").groupBy(F.col("key").alias("_k")).agg(F.max("value").alias("_m"))
+        texts = texts.withColumn("_k", ignore_key(F.col("_t"))).join(m, "_k", "left").select("_t", F.coalesce(F.nullif(F.col("_m"), F.lit("")), F.col("_t")).alias("_in"))
     else:
         texts = texts.withColumn("_in", F.col("_t"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ready = lambda rules: [(re.compile(p), r) for p, r in rules]
-        spacing, words, contexts = ready(SPACING), ready(word_rules), ready([*context_rules, *(COLLOQUIAL if colloquial else ())])
-        edges = ready([(EDGE_SOUND.format("|".join(SOUNDS)), "")])
-
-        def one(t: str) -> str:
-            t = even_case(settled(" ".join(t.split()), spacing))
-            if len(WORD.findall(t)) >= 5:
-                t = settled(settled(t, edges), spacing)
-            t = rewrite(rewrite(t, words), contexts)
-            t = re.sub(r"\b([A-Za-z]{3,})I([.!?]*)$", r"\1!\2", t)  # a mark read as a letter, and dots after it
-            t = re.sub(r"!([.!?]+)$", lambda m: "!" + m[1].replace(".", ""), t)
-            return open_end(even_case(settled(t, spacing)))
-
+        one = make()
         for p in batches:
             yield pd.DataFrame({"_t": p["_t"], "_out": p["_in"].map(one)})
 
@@ -122,6 +60,44 @@ def normalise(rows: DataFrame, *, text_col: str = "ocr_text", out: str = "normal
     return x.join(done, "_t").withColumn(out, F.col("_out")).drop("_t", "_out")
 
 
+def own(rules: Rules):
+    """A cascade of a corpus's own rules, or none."""
+    return cascade(tuple(map(tuple, rules))) if rules else None
+
+
+def apply_rules(rows: DataFrame, rules: DataFrame, *, text_col: str = "ocr_text", out: str = "rewritten", part: int = 20_000) -> DataFrame:
+    """Add ``out``: the text after all ``rules`` (ord, pattern, replacement) in order, however many.
+
+    ``part`` rules at a time come to the driver and run over the texts; the next
+    part runs over what they gave. Equal ``ord`` are taken by pattern. Null and
+    empty texts are empty before the first rule.
+    """
+    from inkloom.sources.tables import with_position
+
+    listed = with_position(rules.orderBy("ord", "pattern", "replacement").select("pattern", "replacement"), "_at")
+    x, at = rows.withColumn("_text", F.coalesce(F.col(text_col), F.lit(""))), 0
+    while some := listed.where((F.col("_at") >= at) & (F.col("_at") < at + part)).orderBy("_at").collect():
+        now = tuple((r.pattern, r.replacement) for r in some)
+        x = rewrite(x, "_text", "_text", lambda now=now: cascade(now))
+        at += part
+    return x.withColumn(out, F.col("_text")).drop("_text")
+
+
+def normalise(rows: DataFrame, *, text_col: str = "ocr_text", out: str = "normalised", word_rules: Rules = (), context_rules: Rules = (), colloquial: bool = False, memory: DataFrame | None = None) -> DataFrame:
+    """Add ``out``: the text after learned corrections, spacing, casing, edge sounds, misread words and phrases; with ``colloquial``, in plain wording.
+
+    ``memory`` (key, value) replaces whole texts first. Distinct texts are
+    rewritten once. Null and empty texts give an empty one.
+    """
+
+    def make() -> Callable[[str], str]:
+        words, contexts = own(word_rules), own(context_rules)
+        one = lambda t: reading.readable(t, words, contexts)
+        return (lambda t: reading.plain(one(t))) if colloquial else one
+
+    return rewrite(rows, text_col, out, make, memory)
+
+
 def reading_words(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit(READING_WORD), F.lit(0))
 
@@ -172,7 +148,7 @@ def reading_score(text: Column, confidence: Column, clean: Column | None = None,
         total = (
             F.least(letters, F.lit(120)) * 0.065 + size * 0.58 + F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(confidence, F.lit(0.0)))) * 2
             + F.when((F.upper(c) == c) & (size >= 2), 0.18).otherwise(0.0) + F.when(size >= 3, 0.55).otherwise(0.0) + F.least(F.lit(2.2), n(known) * 0.22) + bonus
-            - n(bad) * 3.0 - F.regexp_count(text, F.lit(bounded(either(RAW_BAD)))) * 1.4 - F.regexp_count(text, F.lit(";")) * 0.7 - odd_case(text).cast("int") * 1.15 - weird * 0.65
+            - n(bad) * 3.0 - F.regexp_count(text, F.lit(rf"(?i)(?<![\p{{L}}\p{{N}}_])(?:{either(RAW_BAD)})(?![\p{{L}}\p{{N}}_])")) * 1.4 - F.regexp_count(text, F.lit(";")) * 0.7 - odd_case(text).cast("int") * 1.15 - weird * 0.65
             - F.when((size == 1) & c.endswith(":"), 1.25).otherwise(0.0)
         )
         return F.when(c == "", -999.0).when(letters == 0, -80.0).otherwise(total)

@@ -26,20 +26,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
+from inkloom.functions.cascade import fold
+
 MOST_CHARS = 1 << 24  # characters of all terms up to which the list is broadcast
 WORD = frozenset("abcdefghijklmnopqrstuvwxyz0123456789")
-#: Characters that a search without case takes for others, one for one.
-SAME = str.maketrans("İıſς", "iisσ")
 MARK = r"(?i)MKTERM(\d{3,})TOKEN"
 
 Term = tuple[str, str, int]  # source, target, number
 
 
-def fold(text: str) -> str:
-    """The text without case, of the same length."""
-    return text.translate(SAME).lower().translate(SAME)
-
-
 def bounded(source: str) -> bool:
     """Letters, digits and blanks only: such a term matches whole words."""
     return all(c.isascii() and c.isalnum() for c in source if not c.isspace())

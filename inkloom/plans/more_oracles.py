@@ -195,12 +195,13 @@ def checks() -> list[tuple[str, str]]:
 
 def qc_warnings(turns: str) -> str:
     squeeze = lambda c: rf"trim(regexp_replace({c}, '\s+', ' ', 'g'))"
+    latin = lambda t: f"[trim(lower(w), '''') for w in regexp_extract_all({t}, '[A-Za-zÀ-ÖØ-öø-ÿ'']+')]"
     long = lambda t: f"[trim(lower(w), '''') for w in regexp_extract_all({t}, '[A-Za-z'']+') if len(w) >= 4]"
     rules = ",\n".join(f"CASE WHEN {c} THEN {m} END" for c, m in checks())
     return f"""WITH {turns},
 c0 AS (SELECT block_id, {squeeze('ocr_text')} AS raw, {squeeze("coalesce(fixed, '')")} AS fixed, {squeeze('translation_fr')} AS fr FROM tb),
 c1 AS (SELECT *, coalesce(nullif(fixed, ''), raw) AS s FROM c0),
-c2 AS (SELECT *, {tokens('s')} AS sw, {tokens('raw')} AS rw, {some(tokens('fr'), RESIDUE)} AS residue, {some(f"list_concat({tokens('raw')}, {tokens('fixed')})", SLANG)} AS slang,
+c2 AS (SELECT *, {tokens('s')} AS sw, {tokens('raw')} AS rw, {some(tokens('fr'), RESIDUE)} AS residue, {some(f"list_concat({latin('raw')}, {latin('fixed')})", SLANG)} AS slang,
   list_sort([w for w in list_distinct(list_intersect({long('raw')}, {long('fr')})) if w <> '' AND w NOT IN {among(COPIES)}]) AS copied FROM c1),
 c3 AS (SELECT block_id, slang, CASE WHEN raw = '' THEN ['OCR vide'] WHEN fr = '' THEN ['traduction vide'] ELSE [w for w in [{rules}] if w IS NOT NULL] END AS own, raw <> '' AND fr <> '' AS whole FROM c2),
 c4 AS (SELECT block_id, CASE WHEN whole AND len(slang) > 0 AND len(own) > 0 THEN list_append(own, 'anglais familier impliqué: ' || array_to_string(slang[1:4], ', ')) ELSE own END AS ws FROM c3)

@@ -220,12 +220,15 @@ def read_memory(spark: SparkSession, path: str, translation: bool = False, lines
     return x.groupBy("key").agg(F.max(F.struct("seq", "value")).alias("m")).select("key", F.col("m.value").alias("value"), F.col("m.seq").alias("seq"))
 
 
+def rule_table(spark: SparkSession, path: str) -> DataFrame:
+    """ord, pattern, replacement of a JSON-lines table of rules; rows without a pattern are left out."""
+    x = spark.read.schema("ord long, pattern string, replacement string").json(path)
+    return x.where("pattern is not null").select("ord", "pattern", F.coalesce("replacement", F.lit("")).alias("replacement"))
+
+
 def read_rules(spark: SparkSession, path: str) -> list[tuple[str, str]]:
-    """(pattern, replacement) rules of a JSON-lines table (ord, pattern, replacement), in order. Rules are a corpus's own list, of some hundred rows."""
-    rows = spark.read.schema("ord int, pattern string, replacement string").json(path).where("pattern is not null").orderBy("ord").limit(10_000).collect()
-    if len(rows) == 10_000:
-        raise ValueError("a rule table holds fewer than 10,000 rules")
-    return [(r.pattern, r.replacement or "") for r in rows]
+    """(pattern, replacement) rules of a table, in order, as a list on the driver; ``normalise.apply_rules`` takes tables of any length."""
+    return [(r.pattern, r.replacement) for r in rule_table(spark, path).orderBy("ord", "pattern").toLocalIterator()]
 
 
 def failing_pages(spark: SparkSession, path: str, statuses: tuple[str, ...]) -> DataFrame:

@@ -370,7 +370,7 @@ def test_dialogue(spark):
     want = ["Baka", "kept", "Oh...", "Aww...", "Hi-yaaa!", "Whoa !", "Pas question", "Eh bien", "", ""]
     assert sorted(got) == sorted(want)
     x = prepare(blocks(spark, {"ocr_text": "I'M GONNA GO HOME"}, {"ocr_text": "lerned"}), corrections=spark.createDataFrame([("lerned", "Learned text")], "key string, value string"))
-    assert sorted(values(x, "block_id", "corrected", "normalized")) == [("b0", "I'm gonna go home", "I'm going to go home"), ("b1", "Learned text", "Learned text")]
+    assert sorted(values(x, "block_id", "corrected", "normalized")) == [("b0", "I'm gonna go home", "I am going to go home"), ("b1", "Learned text", "Learned text")]
     b = prepare_blocks(blocks(spark, {"ocr_text": "No way"}, {"ocr_text": "No way", "source_lang": "ja"}), overrides=over)
     assert sorted(values(b, "block_id", "translation_fr", "normalized_source_text")) == [("b0", "Pas question", "No way"), ("b1", "", "")]
 
