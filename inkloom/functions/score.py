@@ -25,13 +25,18 @@ def safe_untranslated(c: Column) -> Column:
     return F.regexp_replace(F.lower(c), "[^a-z]+", "").isin(P.SAFE_UNTRANSLATED)
 
 
+def with_texts(blocks: DataFrame) -> DataFrame:
+    """Add source and translation alone, for reports that need no score: what is evaluated once a row can't be pruned by column."""
+    return once(blocks, source=source_normalized_first(), translation=squeezed_ends(F.col("translation_fr")))
+
+
 def with_quality(blocks: DataFrame) -> DataFrame:
     """Add source, translation, risk_score, suggested_action, risk_reasons, source_tokens, translation_tokens.
 
     Texts are cut into tokens once and the rules are evaluated once; a filter
     on the score is applied to what they gave.
     """
-    x = once(blocks, source=source_normalized_first(), translation=squeezed_ends(F.col("translation_fr")))
+    x = with_texts(blocks)
     s, t, conf = F.col("source"), F.col("translation"), F.col("confidence")
     x = once(x, _st=tokens(s, P.TOKEN), _tt=tokens(t, P.TOKEN), _sw=words_of(F.lower(s)), _tw=words_of(t), _safe_s=safe_untranslated(s), _safe_t=safe_untranslated(t), _warned=F.size("quality_warnings"))
     x = once(x, source_tokens=F.size("_st"), translation_tokens=F.size("_tt"), _copied=F.size(copied_residue(F.col("_st"), F.col("_tt"))))

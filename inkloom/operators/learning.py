@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from inkloom.functions import patterns as P
-from inkloom.functions.score import with_quality
+from inkloom.functions.score import with_quality, with_texts
 from inkloom.functions.text import squeezed_ends, tokens
 from inkloom.operators.blocks import learnable
 
 
 def translation_counts(blocks: DataFrame, k: int = 100) -> DataFrame:
-    x = with_quality(blocks).where(learnable() & (F.col("source") != "")).groupBy("source_lang", "source", F.col("translation").alias("translation_fr"))
+    x = with_texts(blocks).where(learnable() & (F.col("source") != "")).groupBy("source_lang", "source", F.col("translation").alias("translation_fr"))
     return x.agg(F.count("*").alias("count"), F.min("seq").alias("first_seq")).orderBy(F.desc("count"), F.lower("source"), "first_seq").limit(k)
 
 
@@ -25,7 +25,7 @@ def correction_counts(blocks: DataFrame, k: int = 100) -> DataFrame:
 
 def glossary_candidates(blocks: DataFrame, k: int = 100) -> DataFrame:
     """Capitalised words of learnable sources that aren't all capitals."""
-    x = with_quality(blocks).where(learnable()).select("seq", F.explode(tokens(F.col("source"), r"[A-Z][A-Za-z'’-]+")).alias("term"))
+    x = with_texts(blocks).where(learnable()).select("seq", F.explode(tokens(F.col("source"), r"[A-Z][A-Za-z'’-]+")).alias("term"))
     x = x.where((F.length("term") >= 3) & (F.upper("term") != F.col("term")))
     return x.groupBy("term").agg(F.count("*").alias("count"), F.min("seq").alias("first_seq")).orderBy(F.desc("count"), "first_seq", "term").limit(k)
 

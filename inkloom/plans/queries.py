@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from inkloom.functions import detect, text
-from inkloom.functions.score import band, queue_risk, with_quality
+from inkloom.functions.score import band, queue_risk, with_quality, with_texts
 from inkloom.operators import blocks as B
 from inkloom.operators import evaluate, geometry, learning, memory, selection
 from inkloom.sources import sinks, tables
@@ -307,7 +307,7 @@ def best_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def repeated_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = learning.repeated_sources(with_quality(doc_blocks(spark, sf_dir)))
+    x = learning.repeated_sources(with_texts(doc_blocks(spark, sf_dir)))
     return x.select("source", "count", F.array_join("translations", "|").alias("translations"))
 
 
@@ -316,11 +316,11 @@ def suspicious_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def name_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return learning.name_candidates(with_quality(doc_blocks(spark, sf_dir)))
+    return learning.name_candidates(with_texts(doc_blocks(spark, sf_dir)))
 
 
 def residue_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return learning.residue_tokens(with_quality(turn_blocks(spark, sf_dir)))
+    return learning.residue_tokens(with_texts(turn_blocks(spark, sf_dir)))
 
 
 def token_risk_weights(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,9 +25,19 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{(base or 'file:///tmp/checkpoints').rstrip('/')}/inkloom-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """The rows dealt by ``keys`` over all cores where their files are fewer than these.
+
+    A file with one row group is one task, whatever the cores; tables of many
+    files are left as they are.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores, *keys) if len(rows.inputFiles()) < cores else rows
+
+
 def doc_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as blocks: ten a page, sources as series, labels as review status, parts of the text as translation."""
-    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    d = spread(table(spark, sf_dir, "documents"), "doc_id").join(table(spark, sf_dir, "labels"), "doc_id", "left")
     n, t = F.col("doc_id"), F.col("text")
     status = F.when(F.col("toxic") == 1, "ignored").when(F.col("quality") == 1, "validated").when(F.col("quality") == 0, "review").otherwise("unchecked")
     first = lambda stop: F.regexp_extract(t, f"^[^{stop}]*", 0)  # noqa: E731  the first sentence or word
@@ -47,7 +57,7 @@ def doc_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sentence_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences of all documents as blocks, a document a page; some are made technical, signage or sounds by their number."""
-    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    d = spread(table(spark, sf_dir, "documents"), "doc_id").join(table(spark, sf_dir, "labels"), "doc_id", "left")
     x = d.select("*", F.posexplode(F.regexp_extract_all("text", F.lit(r"[^.!?\n]+[.!?]*"), F.lit(0))).alias("i", "part"))
     n, i, t = F.col("doc_id"), F.col("i"), F.btrim("part")
     made = F.when(n % 3 == 0, F.concat(F.lit("phase 4 "), t)).when(i % 9 == 0, F.lit("SLAM!")).when(i % 13 == 0, F.concat(F.lit("card fee "), t)).when(i % 7 == 0, F.concat(F.lit("only "), t)).otherwise(t)
