@@ -134,6 +134,47 @@ COMPONENTS = """r(n, c) AS (SELECT id, id FROM nodes UNION SELECT e.b, r.c FROM
             low AS (SELECT n, min(c) AS component_id FROM r GROUP BY n)"""
 
 
+def manifest_sql() -> str:
+    """Both trees level by level, then every leaf's way up: through its language's tree and the one above."""
+    coded = lambda c: f"coalesce(octet_length(encode({c})) || ':' || {c}, '-')"
+    leaf = lambda n: f"sha256({' || '.join(map(coded, ('id', 'source', 'lang', n, 'text')))})"
+    parent = lambda t: f"sha256(CASE WHEN {t}.i % 2 = 1 THEN coalesce(s.h, '') || {t}.x ELSE {t}.x || coalesce(s.h, '') END)"
+    return f"""
+        WITH RECURSIVE d AS (SELECT doc_id, source, lang, n_chars, text, row_number() OVER () AS r FROM documents),
+            v AS (SELECT *, CAST(doc_id AS VARCHAR) AS id, CAST(n_chars AS VARCHAR) AS n FROM d),
+            crc AS (SELECT r, coalesce(xor(list_reduce([CAST(4294967295 AS BIGINT)] || list_transform(string_split(id, ''), lambda c: CAST(ascii(c) AS BIGINT)),
+                lambda a, b: list_reduce([xor(a, b)] || list_transform(range(8), lambda i: CAST(i AS BIGINT)), lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x // 2, CAST(3988292384 AS BIGINT)) ELSE x // 2 END)), CAST(4294967295 AS BIGINT)) % 7 = 0, false) AS hit FROM v),
+            e AS (SELECT v.*, CASE WHEN hit THEN CAST(n_chars + 1 AS VARCHAR) ELSE n END AS n2 FROM v JOIN crc USING (r)),
+            leaves AS (SELECT r, doc_id, lang, {leaf('n')} AS leaf, {leaf('n2')} AS claim FROM e),
+            placed AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM leaves),
+            nodes AS (
+                SELECT lang, 0 AS level, i, leaf AS h, count(*) OVER (PARTITION BY lang) AS size FROM placed
+                UNION ALL
+                SELECT lang, level + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)), (size + 1) // 2 FROM nodes WHERE size > 1 GROUP BY lang, level, size, i // 2),
+            subroots AS (SELECT lang, h AS subroot, row_number() OVER (ORDER BY encode(lang) NULLS FIRST) - 1 AS j FROM nodes WHERE size = 1),
+            tops AS (
+                SELECT 0 AS level, j AS i, subroot AS h, count(*) OVER () AS size FROM subroots
+                UNION ALL
+                SELECT level + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)), (size + 1) // 2 FROM tops WHERE size > 1 GROUP BY level, size, i // 2),
+            steps AS (
+                SELECT lang, level, i, size, h FROM nodes WHERE size > 1),
+            walk AS (
+                SELECT r, lang, 0 AS level, i, claim AS x, '' AS proof FROM placed
+                UNION ALL
+                SELECT w.r, w.lang, w.level + 1, w.i // 2, {parent('w')}, w.proof || coalesce(s.h, '')
+                FROM walk w JOIN (SELECT DISTINCT lang, level FROM steps) t ON t.lang IS NOT DISTINCT FROM w.lang AND t.level = w.level
+                LEFT JOIN steps s ON s.lang IS NOT DISTINCT FROM w.lang AND s.level = w.level AND s.i = xor(w.i, 1)),
+            ends AS (SELECT w.r, w.lang, w.x, w.proof FROM walk w WHERE NOT EXISTS (SELECT 1 FROM steps t WHERE t.lang IS NOT DISTINCT FROM w.lang AND t.level = w.level)),
+            climb AS (
+                SELECT r, 0 AS level, j AS i, x, proof FROM ends JOIN subroots s ON s.lang IS NOT DISTINCT FROM ends.lang
+                UNION ALL
+                SELECT c.r, c.level + 1, c.i // 2, {parent('c')}, c.proof || coalesce(s.h, '')
+                FROM climb c JOIN (SELECT DISTINCT level FROM tops WHERE size > 1) t ON t.level = c.level LEFT JOIN tops s ON s.level = c.level AND s.i = xor(c.i, 1)),
+            done AS (SELECT r, x, proof FROM climb WHERE level = (SELECT max(level) FROM tops))
+        SELECT p.doc_id, p.leaf, s.subroot, root.h AS root, sha256(done.proof) AS proof_sha256, done.x AS folded_root, done.x = root.h AS verified
+        FROM placed p JOIN done USING (r) JOIN subroots s ON s.lang IS NOT DISTINCT FROM p.lang, (SELECT h FROM tops WHERE size = 1) root"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL for operators whose results are exact: plain comparison of all pairs, or of all strings, where the tables are small."""
     return {
@@ -176,4 +217,5 @@ def oracle_sql() -> dict[str, str]:
                 CASE WHEN first IS NOT NULL AND page_id IS DISTINCT FROM first THEN 'revisit' ELSE 'response' END AS record_type,
                 CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to
             FROM r""",
+        "op12_merkle_manifest": manifest_sql(),
     }
