@@ -2,19 +2,15 @@
 
 from __future__ import annotations
 
-import io
-import zipfile
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from inkloom.functions.text import full, ignore_key, memory_key, natural_key, path_labels
 from inkloom.schema import PROJECT_SCHEMA, TEXTS, as_blocks
+from inkloom.sources import archives
+from inkloom.sources.archives import IMAGES
 
-IMAGES = (".jpg", ".jpeg", ".png", ".webp", ".bmp", ".gif", ".tif", ".tiff")
 ARCHIVES = (".cbz", ".zip")
 
 
@@ -247,27 +243,11 @@ def page_list(spark: SparkSession, text: str) -> DataFrame:
 def read_archive_entries(spark: SparkSession, path: str, contents: bool = False) -> DataFrame:
     """archive, entry, ordinal (natural order), bytes and, if asked for, content of the images of ZIP archives.
 
-    A task holds one archive at a time. An unreadable archive is one row with its ``error``.
+    An unreadable archive is one row with its ``error``, an unreadable entry has one; no archive is read whole (``sources.archives``).
     """
-    schema = "archive string, entry string, bytes long, content binary, error string"
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in batches:
-            for name, data in zip(p["path"], p["content"]):
-                rows = []
-                try:
-                    with zipfile.ZipFile(io.BytesIO(data)) as z:
-                        for i in z.infolist():
-                            if not i.is_dir() and i.filename.lower().endswith(IMAGES):
-                                rows.append((name, i.filename, i.file_size, z.read(i) if contents else None, None))
-                except (zipfile.BadZipFile, OSError, RuntimeError, NotImplementedError) as e:
-                    rows = [(name, None, None, None, str(e))]
-                yield pd.DataFrame(rows, columns=["archive", "entry", "bytes", "content", "error"]).astype({"bytes": "Int64"})
-
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{cbz,zip,CBZ,ZIP}").load(path)
-    x = files.select("path", "content").mapInPandas(run, schema)
-    order = W.partitionBy("archive").orderBy(natural_key(F.col("entry")), "entry")
-    return x.withColumn("ordinal", F.row_number().over(order) - 1)
+    x = archives.list_entries(spark, path)
+    x = archives.read_entries(x) if contents else x.withColumn("content", F.lit(None).cast("binary"))
+    return x.select("archive", "entry", "bytes", "content", "error", "ordinal")
 
 
 def same_pages(cached: DataFrame, names: DataFrame) -> DataFrame:
