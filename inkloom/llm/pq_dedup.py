@@ -209,15 +209,14 @@ def _links(reps: DataFrame, quantiser: Quantiser | Blank, cosine: float, block_r
         t = np.sqrt(np.maximum(0, (y * y).sum(1) - s * s))
         # the bound falls with the cosine only while s >= -t * c / sqrt(1 - c^2); else nothing is ruled out
         least = np.where(s * across + t * cosine >= 0, cosine * s - across * t, -10.0)
-        away = model.value.angles(x)
-        return p.assign(list=at.astype(np.int32), code=[r.tobytes() for r in codes], least=least, angle=away[np.arange(len(x)), at], away=list(away.astype(np.float32)))
+        return p.assign(list=at.astype(np.int32), code=[r.tobytes() for r in codes], least=least, angle=model.value.angles(x)[np.arange(len(x)), at])
 
     def code(batches):
         for p in batches:
             for _, part in p.groupby(p["x"].map(len)):
                 yield coded_rows(part)
 
-    coded = settle(reps.select("label", "k1", "k2", "rid", "mult", "x").mapInPandas(code, own + ", list int, code binary, least double, angle double, away array<float>"), "codes")
+    coded = settle(reps.select("label", "k1", "k2", "rid", "mult", "x").mapInPandas(code, own + ", list int, code binary, least double, angle double"), "codes")
     # lists of a label, in order, fill blocks; windows over one row for each label and list
     cells = coded.groupBy("label", "list").agg(F.count("*").alias("n"), F.max("angle").alias("widest"))
     order = W.partitionBy("label").orderBy("list").rowsBetween(W.unboundedPreceding, -1)
@@ -228,7 +227,14 @@ def _links(reps: DataFrame, quantiser: Quantiser | Blank, cosine: float, block_r
     placed = settle(placed.withColumn("block", F.col("from") + F.pmod(F.xxhash64("k1", F.lit(seed)), "span")).drop("from", "span"), "placed")
     reach = math.acos(cosine) + 1e-6  # angles are rounded to floats here
     # the nearest that a block comes to each list says which blocks it has to meet; within a pair each vector probes its own lists
-    near = placed.select("label", "block", F.posexplode("away").alias("list", "angle")).groupBy("label", "block", "list").agg(F.min("angle").alias("angle"))
+    def nearest(key, p: pd.DataFrame) -> pd.DataFrame:
+        low = np.full(model.value.angles(unit(np.vstack(p["x"].iloc[:1].to_numpy()))).shape[1], np.inf)
+        for _, part in p.groupby(p["x"].map(len)):
+            for i in range(0, len(part), 512):
+                low = np.minimum(low, model.value.angles(unit(np.vstack(part["x"].iloc[i : i + 512].to_numpy()))).min(0))
+        return pd.DataFrame({"label": key[0], "block": key[1], "list": np.arange(len(low), dtype=np.int32), "angle": low.astype(np.float32)})
+
+    near = placed.select("label", "block", "x").groupBy("label", "block").applyInPandas(nearest, "label string, block long, list int, angle float")
     pairs = (
         near.join(cells.select("label", "list", "widest", "from", "to"), ["label", "list"])
         .where(F.col("angle") - F.col("widest") <= reach)
@@ -238,8 +244,8 @@ def _links(reps: DataFrame, quantiser: Quantiser | Blank, cosine: float, block_r
         .distinct()
     )
     pairs = settle(pairs, "pairs")
-    left = placed.drop("away").join(pairs, ["label", "block"])
-    right = placed.drop("away").join(pairs.select("label", F.col("block").alias("a"), F.col("other").alias("block")), ["label", "block"])
+    left = placed.join(pairs, ["label", "block"])
+    right = placed.join(pairs.select("label", F.col("block").alias("a"), F.col("other").alias("block")), ["label", "block"])
     right = right.withColumnRenamed("block", "other").withColumnRenamed("a", "block").select(*left.columns)
     right = right.toDF(*right.columns)  # fresh column ids: both sides of the cogroup come from the same table
 
