@@ -220,6 +220,23 @@ def suspect_readings(turns: str) -> str:
 SELECT {K} FROM c1 WHERE s = '' OR len([w for w in {words} if trim(lower(w), '''') IN {among(BAD)}]) > 0 OR (contains(s, ';') AND len({words}) <= 4) OR ({rules[2]}) OR ({rules[4]})"""
 
 
+HYPHENS = r"""
+WITH c AS (SELECT CASE WHEN doc_id % 7 = 0 THEN regexp_replace(text, '([A-Za-z]{4})([A-Za-z]{4,})', '\1- \2', 'g') ELSE text END AS t0 FROM documents),
+    x AS (SELECT lower(coalesce(t0, '')) AS t, row_number() OVER () AS r FROM c),
+    runs AS (SELECT r, unnest(regexp_extract_all(t, '[a-z]{2,}(?:-\s+[a-z]{2,})+')) AS run FROM x),
+    halves AS (SELECT regexp_split_to_array(run, '-\s+') AS h FROM runs),
+    cut AS (SELECT unnest([{'l': h[i], 'r': h[i + 1]} for i in range(1, len(h))]) AS p FROM halves),
+    pairs AS (SELECT p.l AS l, p.r AS r, count(*) AS n FROM cut GROUP BY 1, 2),
+    w AS (SELECT r, unnest(regexp_extract_all(regexp_replace(t, '[a-z]{2,}(?:-\s+[a-z]{2,})+', ' ', 'g'), '[a-z]+(?:-[a-z]+)*')) AS w FROM x),
+    f AS (SELECT r, w AS form FROM w UNION SELECT r, unnest(string_split(w, '-')) FROM w),
+    d AS (SELECT form, count(*) AS docs FROM f GROUP BY 1),
+    j AS (SELECT pairs.*, coalesce(a.docs, 0) AS joined_docs, coalesce(b.docs, 0) AS compound_docs, least(coalesce(p.docs, 0), coalesce(q.docs, 0)) AS parts_docs
+        FROM pairs LEFT JOIN d a ON a.form = l || r LEFT JOIN d b ON b.form = l || '-' || r LEFT JOIN d p ON p.form = l LEFT JOIN d q ON q.form = r)
+SELECT l AS "left", r AS "right", n, joined_docs, compound_docs, parts_docs,
+    CASE WHEN r IN ('what', 'who', 'where', 'why', 'huh') THEN 'apart' WHEN compound_docs > joined_docs THEN 'compound' WHEN joined_docs = 0 AND compound_docs = 0 AND parts_docs > 0 THEN 'apart' ELSE 'join' END AS decision
+FROM j"""
+
+
 def oracle_sql() -> dict[str, str]:
     zones, _ = _zones()
     return {
@@ -237,4 +254,5 @@ def oracle_sql() -> dict[str, str]:
         "fragment_noise": NOISE,
         "qc_warnings": qc_warnings(TURNS),
         "suspect_readings": suspect_readings(TURNS),
+        "hyphen_lexicon": HYPHENS,
     }

@@ -426,6 +426,26 @@ def protected_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return protect_terms(x, benchmark_terms(spark, sf_dir)).select("conv_id", "turn", "protected", "restored", F.size("used").alias("n_terms"))
 
 
+def cut_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents; in some, words of eight ASCII letters or more are cut after four, as at a line's end."""
+    x = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return x.withColumn("ocr_text", F.when(F.col("doc_id") % 7 == 0, F.regexp_replace("text", r"([A-Za-z]{4})([A-Za-z]{4,})", "$1- $2")).otherwise(F.col("text")))
+
+
+def hyphen_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether halves of words that documents cut belong together, by the other documents."""
+    from inkloom.operators.hyphens import hyphen_lexicon
+
+    return hyphen_lexicon(cut_documents(spark, sf_dir))
+
+
+def mended_hyphens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from inkloom.operators.hyphens import hyphen_lexicon, mend_hyphens
+
+    x = cut_documents(spark, sf_dir)
+    return mend_hyphens(x, hyphen_lexicon(x)).select("doc_id", F.sha2("mended", 256).alias("mended_sha256"), (F.col("mended") == F.col("text")).alias("restored"))
+
+
 def _found(blocks: DataFrame) -> DataFrame:
     """A second run: boxes moved by an amount that depends on the row, every eighth one lost, some texts changed."""
     d = F.expr("cast(seq % 5 * 9 as int)")
@@ -524,6 +544,6 @@ def resumed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     own = {k: v for k, v in globals().items() if callable(v) and getattr(v, "__module__", "") == __name__ and not k.startswith("_")}
-    for k in ("queries", "benchmark_terms"):
+    for k in ("queries", "benchmark_terms", "cut_documents"):
         own.pop(k)
     return own
