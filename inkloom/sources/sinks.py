@@ -46,9 +46,13 @@ def review_rows(blocks: DataFrame) -> DataFrame:
     return blocks.select(*(s(made.get(c, F.col(c))).alias(c) for c in REVIEW_COLUMNS))
 
 
+BOM = "\ufeff"
+
+
 def write_review_rows(blocks: DataFrame, path: str) -> None:
+    """Review rows as CSV, which begins with a byte order mark for spreadsheets, and as JSON lines."""
     rows = review_rows(blocks)
-    rows.write.csv(f"{path}/csv", header=True, escape='"', emptyValue="")
+    rows.toDF(BOM + rows.columns[0], *rows.columns[1:]).write.csv(f"{path}/csv", header=True, escape='"', emptyValue="")
     rows.write.json(f"{path}/jsonl")
 
 
@@ -61,6 +65,31 @@ def write_pack(rows: DataFrame, path: str) -> None:
     pack_rows(rows).write.csv(path, header=True, sep="\t", quoteAll=True, escape='"', emptyValue="")
 
 
+GUIDE = """# How to review
+
+Fill the first five columns; rows without a decision stay as they are.
+
+| review_decision | what happens |
+|---|---|
+| validate | the translation is right as it stands |
+| correct | corrected_ocr, corrected_source and corrected_fr replace the block's texts where they are filled |
+| review | the block is looked at again later |
+| fused | two bubbles, or a bubble and a sound, were read as one: the block goes back to review |
+| zone | the box is wrong or cuts the bubble: the block goes back to review |
+| ignore | the block is left out |
+| sfx | the block is a sound or a sign and is left out |
+
+review_notes are kept with the block. Don't change page_index and block_id: they say which block a row is about.
+"""
+
+
+def write_review_pack(rows: DataFrame, path: str) -> None:
+    """A pack as a tab-separated table and as JSON lines, and the guide to its decisions; rows keep their order."""
+    write_pack(rows, f"{path}/table")
+    pack_rows(rows).write.json(f"{path}/jsonl")
+    rows.sparkSession.createDataFrame([(GUIDE,)], "value string").coalesce(1).write.text(f"{path}/guide")
+
+
 def write_memory(memory: DataFrame, path: str) -> None:
     """key and value on every line, sorted by key across files, as ``read_memory`` with ``lines`` takes them."""
     memory.select("key", "value").orderBy("key").write.json(path)
@@ -81,6 +110,7 @@ def write_dataset(blocks: DataFrame, path: str) -> None:
     write_review_rows(blocks, f"{path}/rows")
     learning.translation_counts(blocks).write.json(f"{path}/learning/translations")
     learning.correction_counts(blocks).write.json(f"{path}/learning/corrections")
+    learning.learning_summary(blocks).write.json(f"{path}/learning/summary")
     learning.glossary_candidates(blocks).select("term").coalesce(1).write.text(f"{path}/glossary")
     report(learning.quality_report(blocks), f"{path}/quality", "Quality")
 
@@ -106,19 +136,19 @@ def report(rows: DataFrame, path: str, title: str) -> None:
     body = rows.where("name is not null").groupBy(F.coalesce("section", F.lit("")).alias("section")).agg(lines.alias("lines"))
     text = F.concat(F.lit("## "), F.col("section"), F.lit("\n\n"), F.array_join("lines", "\n"), F.lit("\n"))
     x = body.select("section", text.alias("value")).unionByName(rows.sparkSession.range(1).select(F.lit(None).cast("string").alias("section"), F.lit(f"# {title}\n").alias("value")))
-    x.repartition(1).sortWithinPartitions(F.col("section").asc_nulls_first()).select("value").write.text(path)
+    x.orderBy(F.col("section").asc_nulls_first()).select("value").write.text(path)  # files in order; a small report is one
 
 
-def write_profile(rows: DataFrame, path: str) -> None:
-    """What a corpus taught: summary, tokens, names, repeated sources and weights as JSON lines, seeds of a glossary and of residue words as text, and a report."""
+def write_profile(rows: DataFrame, path: str, most: int = 120) -> None:
+    """What a corpus taught: summary, tokens, names, repeated sources and weights as JSON lines, the ``most`` frequent names and residue words as text, and a report."""
     from inkloom.operators import learning
 
     parts = {"suspicious": learning.suspicious_tokens(rows), "residue": learning.residue_tokens(rows), "names": learning.name_candidates(rows), "repeated": learning.repeated_sources(rows), "weights": learning.token_risk(rows), "series": learning.top_series(rows)}
     learning.profile_summary(rows).write.json(f"{path}/summary")
     for name, x in parts.items():
         x.write.json(f"{path}/{name}")
-    parts["names"].orderBy(F.desc("count"), "token").select("token").coalesce(1).write.text(f"{path}/glossary")
-    parts["residue"].orderBy(F.desc("count"), "token").select("token").coalesce(1).write.text(f"{path}/residue_words")
+    parts["names"].orderBy(F.desc("count"), "token").limit(most).select("token").coalesce(1).write.text(f"{path}/glossary")
+    parts["residue"].orderBy(F.desc("count"), "token").limit(most).select("token").coalesce(1).write.text(f"{path}/residue_words")
     top = lambda name, key, value: parts[name].orderBy(F.desc(value), key).limit(40).select(F.lit(name).alias("section"), F.col(key).alias("name"), F.col(value).cast("double").alias("value"))
     report(top("series", "series_label", "blocks").unionByName(top("suspicious", "token", "count")).unionByName(top("residue", "token", "count")).unionByName(top("weights", "token", "risk_weight")), f"{path}/report", "Profile")
 
@@ -135,11 +165,15 @@ def write_diagnosis(items: DataFrame, path: str, k: int = 8) -> None:
 
 
 def write_replay(results: DataFrame, path: str) -> None:
-    """All results and totals as JSON lines, and in detail those that aren't a match."""
+    """All results and totals as JSON lines, a report of totals and statuses, and in detail the results that aren't a match."""
     from inkloom.operators.evaluate import replay_totals
 
     results.write.json(f"{path}/results")
-    replay_totals(results).coalesce(1).write.json(f"{path}/totals")
+    totals = replay_totals(results)
+    totals.coalesce(1).write.json(f"{path}/totals")
+    flat = totals.select(F.explode(F.array(*(F.struct(F.lit("1 totals").alias("section"), F.lit(c).alias("name"), F.col(c).cast("long").alias("value")) for c in totals.columns))).alias("r")).select("r.*")
+    kinds = results.groupBy(F.lit("2 statuses").alias("section"), F.col("status").alias("name")).agg(F.count("*").alias("value"))
+    report(flat.unionByName(kinds), f"{path}/report", "Replay")
     results.where("status <> 'match'").orderBy("project_id", "page_index", "target_id").write.json(f"{path}/mismatches")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -187,13 +188,28 @@ HEADERS = {
 REVIEW_LABELS = {label.lower(): name for name, label in HEADERS.items()}
 
 
+def find_review(spark: SparkSession, path: str) -> str:
+    """The review table that ``path`` is, or the one below that folder: a CSV or TSV file, or a folder of parts; none or several raise an error."""
+    if "://" not in path and not path.startswith("file:"):
+        path = f"file://{path}"
+    store, base = fs.FileSystem.from_uri(path)
+    if store.get_file_info(base).type == fs.FileType.File:
+        return path
+    files = [f.path for f in store.get_file_info(fs.FileSelector(base, recursive=True)) if f.type == fs.FileType.File and f.path.lower().endswith((".csv", ".tsv"))]
+    found = sorted({f.rsplit("/", 1)[0] if f.rsplit("/", 1)[1].startswith("part-") else f for f in files})
+    if len(found) != 1:
+        raise ValueError(f"{len(found)} review tables below {path}: {', '.join(found[:5])}")
+    return path if found[0] == base.rstrip("/") else f"{path.rstrip('/')}{found[0][len(base.rstrip('/')):]}"
+
+
 def read_review_table(spark: SparkSession, path: str, sep: str | None = None) -> DataFrame:
     """A review table (CSV or TSV, all text); labels become column names, rows without any value are left out."""
     if sep is None:
         head = spark.read.text(path).limit(1).collect()
         sep = "\t" if head and head[0][0].count("\t") >= max(1, head[0][0].count(",")) else ","
     x = spark.read.csv(path, header=True, sep=sep, multiLine=True, escape='"')
-    x = x.toDF(*(REVIEW_LABELS.get(c.strip().lower(), c.strip()) for c in x.columns))
+    names = [c.strip().lstrip("\ufeff") for c in x.columns]
+    x = x.toDF(*(REVIEW_LABELS.get(c.lower(), c) for c in names))
     return x.where(F.coalesce(*(full(F.btrim(F.col(c))) for c in x.columns)).isNotNull()).na.fill("")
 
 
