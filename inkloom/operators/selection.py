@@ -58,8 +58,9 @@ def select_rows(rows: DataFrame, index: str, mode: str, limit: int, *, seed: int
 def choose_pages(pages: DataFrame, count: int, *, mode: str = "mixed", seed: int = 47, skip_first: int = 2, skip_last: int = 1, volume: str = "volume_label", page: str = "page_index", score: str | None = None) -> DataFrame:
     """``count`` pages of each volume: random, stratified, mixed (three quarters stratified, the rest random) or busy (the highest ``score``; without one, stratified).
 
-    First and last pages are skipped unless nothing is left. A stratum gives a
-    page near its middle, a keyed step to either side.
+    First and last pages are skipped unless nothing is left. Strata are equal
+    parts with rounded ends; each gives the page in its middle or, by a keyed
+    step, one to either side.
     """
     w = W.partitionBy(volume)
     x = pages.withColumn("_n", F.count("*").over(w)).withColumn("_at", F.row_number().over(w.orderBy(page)) - 1)
@@ -69,7 +70,9 @@ def choose_pages(pages: DataFrame, count: int, *, mode: str = "mixed", seed: int
     strata = {"random": 0, "busy": 0 if score else count, "stratified": count, "mixed": max(1, round(0.75 * count))}[mode]
     if strata:
         k = F.least(F.lit(strata), F.col("_n"))
-        x = x.withColumn("_b", F.floor((F.col("_at") + F.lit(0.5)) * k / F.col("_n")))
+        # strata end at multiples of n / k, rounded half to even: exact in whole numbers
+        twice, at = (2 * F.col("_at") + 1) * k, F.col("_at")
+        x = x.withColumn("_b", (twice - twice % (2 * F.col("_n"))) / (2 * F.col("_n")) - ((twice % (2 * F.col("_n")) == 0) & (at % 2 == 1)).cast("int"))
         b = W.partitionBy(volume, "_b")
         jitter = F.pmod(F.min("_h").over(b), F.lit(3)) - 1
         size = F.count("*").over(b)

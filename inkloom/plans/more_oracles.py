@@ -62,7 +62,7 @@ SAMPLED = f"""WITH {BLOCKS}, p0 AS (SELECT DISTINCT series_label AS v, page_inde
 p1 AS (SELECT *, count(*) OVER (PARTITION BY v) AS n, row_number() OVER (PARTITION BY v ORDER BY p) - 1 AS pos FROM p0),
 p2 AS (SELECT *, count(*) FILTER (pos >= 2 AND pos < n - 1) OVER (PARTITION BY v) AS kept FROM p1),
 p3 AS (SELECT v, p, CAST('0x' || substr(md5('47|' || v || '|' || p), 1, 8) AS BIGINT) AS h, count(*) OVER (PARTITION BY v) AS n, row_number() OVER (PARTITION BY v ORDER BY p) - 1 AS pos FROM p2 WHERE (pos >= 2 AND pos < n - 1) OR kept = 0),
-p4 AS (SELECT *, CAST(floor((pos + 0.5) * least(8, n) / n) AS BIGINT) AS bucket FROM p3),
+p4 AS (SELECT *, (2 * pos + 1) * least(8, n) // (2 * n) - CASE WHEN (2 * pos + 1) * least(8, n) % (2 * n) = 0 AND pos % 2 = 1 THEN 1 ELSE 0 END AS bucket FROM p3),
 p5 AS (SELECT *, count(*) OVER (PARTITION BY v, bucket) AS size, min(h) OVER (PARTITION BY v, bucket) % 3 - 1 AS jitter, row_number() OVER (PARTITION BY v, bucket ORDER BY pos) - 1 AS place FROM p4),
 p6 AS (SELECT *, place = greatest(0, least(size - 1, size // 2 + jitter)) AS pick FROM p5)
 SELECT v AS volume_label, p AS page_index FROM p6 QUALIFY row_number() OVER (PARTITION BY v ORDER BY pick DESC, h, p) <= 10"""

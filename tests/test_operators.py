@@ -466,3 +466,21 @@ def test_process_and_refresh(spark):
     out = {r.block_id: r for r in translate(j, fake, overrides=over).collect()}
     assert (out["b0"].translation_fr, out["b0"].quality_warnings) == ("", [WEAK]) and out["b1"].translation_fr == "fr:これは日本語です"
     assert (out["b2"].translation_fr, out["b2"].manual_status, out["b2"].normalized_source_text) == ("Pas question", "edited", "no way...") and out["b3"].translation_fr == ""
+
+
+def test_strata_have_rounded_ends(spark):
+    """Each stratum between rounded multiples gives one page, in its middle or beside it; every size and count."""
+    sizes = [(f"v{n}", n) for n in range(1, 41)]
+    pages = spark.createDataFrame([(v, i) for v, n in sizes for i in range(n)], "volume_label string, page_index int")
+    for count in (1, 2, 4, 6, 7):
+        got = {}
+        for r in selection.choose_pages(pages, count, mode="stratified", skip_first=0, skip_last=0).collect():
+            got.setdefault(r.volume_label, []).append(r.page_index)
+        for v, n in sizes:
+            if n <= count:
+                assert got[v] == list(range(n))
+                continue
+            ends = [round(b * n / count) for b in range(count + 1)]
+            assert len(got[v]) == count
+            for p, a, z in zip(sorted(got[v]), ends, ends[1:]):
+                assert a <= p < z and abs(p - (a + (z - a) // 2)) <= 1
