@@ -31,6 +31,7 @@ COMMON = """a all am an and are as at be but by can come coming country did dire
     food shelter steal brave enough tiger four days agency individuals abilities skills earn keep master animal form staff backup sake bomb
     explosion button press company dorm posthaste lad ideals mafia battle fault cry body hours hour few first place seven star academy student
     challenge dared thousand hundred hunting recognized player town guess happen revealed late""".split()
+ZONE_READINGS = "OCR zone fallback: alternatives crop elargi disponibles"
 READING_WORD = "[A-Za-zÀ-ÖØ-öø-ÿぁ-んァ-ン一-龯々ー']+"
 # End of the fixed values.
 
@@ -199,16 +200,12 @@ def is_safe(current: Column, other: Column, corrected: Column | None = None) ->
     return (current != "") & (other != "") & (current != other) & let(lowered(reading_words(current)), lambda now: let(lowered(reading_words(other)), lambda new: tests(now, new)))
 
 
-def improve(blocks: DataFrame, candidates: DataFrame, *, only_suspect: bool = True, gain: float = 0.45, keep: int = 8, **rules) -> DataFrame:
-    """Replace the raw texts of suspect blocks by their best safe candidate that gains ``gain``; add ``improved``.
+def ranked_readings(todo: DataFrame, candidates: DataFrame, **rules) -> DataFrame:
+    """Readings of the blocks ``todo`` with their ``_place`` by score less penalties: the candidates and the current text.
 
-    ``candidates``: block_id, engine, text, confidence, ord, and optionally a
-    ``bonus``; the engine ``ocr-corrections`` marks local corrections. The
-    current text competes too. Candidates that differ in case or blanks only are
-    one (the best); penalties follow; the first ``keep`` become the block's
-    alternatives. What was made from a replaced text is cleared.
+    Candidates that differ in case or blanks only are one (the best). Further
+    columns: engine, text, confidence, _score, _safe, and of the current text _now, _s0.
     """
-    todo = blocks.where(suspect()) if only_suspect else blocks.where(~F.col("manual_status").isin("validated", "ignored"))
     own = todo.select("block_id", F.lit("current").alias("engine"), F.col("ocr_text").alias("text"), "confidence", F.lit(-1).alias("ord"), F.lit(0.0).alias("bonus"))
     c = candidates.select("block_id", F.col("engine") if "engine" in candidates.columns else F.lit("").alias("engine"), "text", "confidence", F.col("ord").cast("int").alias("ord"), F.col("bonus").cast("double").alias("bonus") if "bonus" in candidates.columns else F.lit(0.0).alias("bonus"))
     now = todo.select("block_id", F.col("ocr_text").alias("_now"), F.col("confidence").alias("_conf"))
@@ -220,10 +217,53 @@ def improve(blocks: DataFrame, candidates: DataFrame, *, only_suspect: bool = Tr
     now = once(now, _s0=reading_score(F.col("_now"), F.col("_conf"), F.col("_now_clean")))
     x = x.join(now, "block_id")
     x = once(x, _score=F.col("_score") - penalty(F.col("_now"), F.col("text")), _safe=is_safe(F.col("_now_clean"), F.col("_clean"), F.col("engine") == "ocr-corrections"))
-    ranked = x.withColumn("_place", F.row_number().over(W.partitionBy("block_id").orderBy(F.desc("_score"), "ord")))
-    first = F.min(F.when(F.col("_safe"), F.struct("_place", "text", "engine", "confidence", "_score", "_s0", "_now"))).alias("_best")
+    return x.withColumn("_place", F.row_number().over(W.partitionBy("block_id").orderBy(F.desc("_score"), "ord")))
+
+
+def _alternatives(keep: int) -> Column:
+    """The first ``keep`` readings of a block, in order."""
     item = F.struct(F.col("_place").alias("place"), F.struct("engine", "text", "confidence", F.col("_score").alias("score"), F.lit("").alias("note")).alias("item"))
-    best = ranked.groupBy("block_id").agg(first, F.transform(F.array_sort(F.collect_list(F.when(F.col("_place") <= keep, item))), lambda s: s["item"]).alias("_alternatives"))
+    return F.transform(F.array_sort(F.collect_list(F.when(F.col("_place") <= keep, item))), lambda s: s["item"]).alias("_alternatives")
+
+
+def zone_alternatives(blocks: DataFrame, candidates: DataFrame, lang: str, *, apply_best: bool = False, keep: int = 8, **rules) -> DataFrame:
+    """Further readings for blocks under review whose zone is in doubt; add ``updated``.
+
+    Such a block gets its ``keep`` best readings as alternatives (none: an empty
+    list) and a warning; with ``apply_best`` it is improved instead, as ``improve``
+    does. Blocks of other languages, other states or with sound zones stay.
+    """
+    from inkloom.operators.blocks import with_warning, zone_fallback_candidate
+
+    chosen = (F.col("source_lang") == lang) & (F.col("manual_status") == "review") & zone_fallback_candidate()
+    x = once(blocks, _zone=F.coalesce(chosen, F.lit(False)))
+    todo, rest = x.where("_zone").drop("_zone"), x.where("not _zone").drop("_zone").withColumn("updated", F.lit(False))
+    if apply_best:
+        done = improve(todo, candidates, only_suspect=False, keep=keep, **rules)
+        done = done.withColumn("updated", F.col("improved") | (F.size("ocr_alternatives") > 0)).drop("improved")
+    else:
+        kind = blocks.schema["ocr_alternatives"].dataType
+        best = ranked_readings(todo, candidates, **rules).groupBy("block_id").agg(_alternatives(keep))
+        found = F.coalesce(F.col("_alternatives").cast(kind), F.array().cast(kind))
+        done = todo.join(best, "block_id", "left").select(*(
+            found.alias(c) if c == "ocr_alternatives" else with_warning(F.lit(ZONE_READINGS)).alias(c) if c == "quality_warnings" else F.col(c) for c in blocks.columns
+        ), F.lit(True).alias("updated"))
+    return done.unionByName(rest)
+
+
+def improve(blocks: DataFrame, candidates: DataFrame, *, only_suspect: bool = True, gain: float = 0.45, keep: int = 8, **rules) -> DataFrame:
+    """Replace the raw texts of suspect blocks by their best safe candidate that gains ``gain``; add ``improved``.
+
+    ``candidates``: block_id, engine, text, confidence, ord, and optionally a
+    ``bonus``; the engine ``ocr-corrections`` marks local corrections. The
+    current text competes too. Candidates that differ in case or blanks only are
+    one (the best); penalties follow; the first ``keep`` become the block's
+    alternatives. What was made from a replaced text is cleared.
+    """
+    todo = blocks.where(suspect()) if only_suspect else blocks.where(~F.col("manual_status").isin("validated", "ignored"))
+    ranked = ranked_readings(todo, candidates, **rules)
+    first = F.min(F.when(F.col("_safe"), F.struct("_place", "text", "engine", "confidence", "_score", "_s0", "_now"))).alias("_best")
+    best = ranked.groupBy("block_id").agg(first, _alternatives(keep))
     y = blocks.join(best, "block_id", "left")
     b = F.col("_best")
     hit = F.coalesce((b["text"] != b["_now"]) & (b["_score"] >= b["_s0"] + gain), F.lit(False))

@@ -19,6 +19,7 @@ from inkloom.functions.text import full, once, source_clean_normalized_first, sq
 from inkloom.operators.blocks import PAGE, auto_ignore, blank, protected, refreshable, with_warning
 from inkloom.operators.dialogue import prepare, prepare_blocks, with_override
 from inkloom.operators.geometry import group_lines, noise, polygon_box
+from inkloom.operators.normalise import zone_alternatives
 from inkloom.schema import as_blocks
 
 Translator = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
@@ -85,14 +86,19 @@ def process(raw: DataFrame, translator: Translator, *, ignored: DataFrame | None
     return auto_ignore(x, ignored).select(*own)
 
 
-def refresh(blocks: DataFrame, lang: str, translator: Translator | None = None, *, include_review: bool = False, **tables) -> DataFrame:
-    """Prepare, translate and check again what nobody has decided yet; other blocks stay as they are."""
+def refresh(blocks: DataFrame, lang: str, translator: Translator | None = None, *, include_review: bool = False, zone_readings: DataFrame | None = None, apply_readings: bool = False, **tables) -> DataFrame:
+    """Prepare, translate and check again what nobody has decided yet; other blocks stay as they are.
+
+    ``zone_readings`` (candidates as ``normalise.improve`` takes them) are then
+    offered to blocks under review whose zone is in doubt, or applied.
+    """
     own = blocks.columns
     chosen = refreshable(lang, include_review)
     ready = {k: v for k, v in tables.items() if k in ("kept", "overrides", "memory")}
     x = prepare_blocks(blocks.where(chosen), **tables)
     x = apply_checks(translate(x, translator, **ready) if translator else x)
-    return x.select(*own).unionByName(blocks.where(~chosen))
+    x = x.select(*own).unionByName(blocks.where(~chosen))
+    return x if zone_readings is None else zone_alternatives(x, zone_readings, lang, apply_best=apply_readings).select(*own)
 
 
 def corpus_totals(blocks: DataFrame) -> DataFrame:

@@ -484,3 +484,29 @@ def test_strata_have_rounded_ends(spark):
             assert len(got[v]) == count
             for p, a, z in zip(sorted(got[v]), ends, ends[1:]):
                 assert a <= p < z and abs(p - (a + (z - a) // 2)) <= 1
+
+
+def test_zone_alternatives(spark):
+    """Blocks under review with a doubtful zone get readings and a warning, or the best safe one; others stay."""
+    from inkloom.operators.normalise import zone_alternatives
+    from inkloom.plans.pipeline import refresh
+
+    b = blocks(
+        spark,
+        {"ocr_text": "I toid you to go home", "manual_status": "review", "review_notes": "[zone] cut", "source_lang": "en"},
+        {"ocr_text": "Fine words stay here.", "manual_status": "review", "source_lang": "en"},
+        {"ocr_text": "I toid you to go home", "manual_status": "validated", "review_notes": "[zone] cut", "source_lang": "en"},
+        {"ocr_text": "I toid you to go home", "manual_status": "review", "review_notes": "bbox", "source_lang": "ja"},
+        {"ocr_text": "No reading is here", "manual_status": "review", "review_notes": "crop", "source_lang": "en"},
+    )
+    found = [(f"b{i}", "ocr-corrections", t, 0.95, n) for i in range(4) for n, t in enumerate(["I told you to go home", "i TOLD you  to go home", "x y z"])]
+    c = spark.createDataFrame(found, "block_id string, engine string, text string, confidence double, ord int")
+    got = {r.block_id: r for r in zone_alternatives(b, c, "en").collect()}
+    assert [got[f"b{i}"].updated for i in range(5)] == [True, False, False, False, True] and len(got) == 5
+    assert got["b0"].ocr_text == "I toid you to go home" and got["b0"].quality_warnings == ["OCR zone fallback: alternatives crop elargi disponibles"]
+    assert got["b0"].ocr_alternatives[0].text == "I told you to go home" and len(got["b0"].ocr_alternatives) == 3 and [a.text for a in got["b4"].ocr_alternatives] == ["No reading is here"]
+    assert got["b1"].quality_warnings == [] == got["b3"].ocr_alternatives
+    best = {r.block_id: r for r in zone_alternatives(b, c, "en", apply_best=True).collect()}
+    assert best["b0"].ocr_text == "I told you to go home" and best["b0"].manual_status == "review" and best["b2"].ocr_text == "I toid you to go home"
+    again = {r.block_id: r for r in refresh(b, "en", zone_readings=c).collect()}
+    assert len(again["b0"].ocr_alternatives) == 3 and len(again["b2"].ocr_alternatives) == 0
