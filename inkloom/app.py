@@ -88,7 +88,7 @@ def process(spark: SparkSession, a: argparse.Namespace) -> dict:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(a.input)
     if a.glob:
         files = files.where(F.col("path").rlike(a.glob))
-    names = tables.with_position(files.select("path", "length").orderBy("path"), "page_index")  # contents aren't read here
+    names = tables.ranked(files.select("path", "length"), ["path"], "page_index")  # contents aren't read here
     pages = names.select(F.lit(a.name).alias("project_id"), F.col("page_index").cast("int").alias("page_index"), F.lit(a.lang).alias("source_lang"), "path", "length")
     large = F.when(F.col("length") > a.max_bytes, F.concat(F.lit("page of "), "length", F.lit(" bytes"))) if a.max_bytes else None
 

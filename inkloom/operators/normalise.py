@@ -73,9 +73,9 @@ def apply_rules(rows: DataFrame, rules: DataFrame, *, text_col: str = "ocr_text"
     part runs over what they gave. Equal ``ord`` are taken by pattern. Null and
     empty texts are empty before the first rule.
     """
-    from inkloom.sources.tables import with_position
+    from inkloom.sources.tables import ranked
 
-    listed = with_position(rules.orderBy("ord", "pattern", "replacement").select("pattern", "replacement"), "_at")
+    listed = ranked(rules.select("ord", "pattern", "replacement"), ["ord", "pattern", "replacement"], "_at")
     x, at = rows.withColumn("_text", F.coalesce(F.col(text_col), F.lit(""))), 0
     while some := listed.where((F.col("_at") >= at) & (F.col("_at") < at + part)).orderBy("_at").collect():
         now = tuple((r.pattern, r.replacement) for r in some)

@@ -98,7 +98,9 @@ def choose_volumes(volumes: DataFrame, count: int, *, mode: str = "mixed", seed:
 def volume_ordinals(volumes: DataFrame, *, series: str = "series_label", key: str = "natural") -> DataFrame:
     """Number of the volume in its series, number of volumes there, and the series' own number (all from 1)."""
     w = W.partitionBy(series)
-    names = volumes.select(F.lower(series).alias("_low")).distinct().withColumn("series_index", F.row_number().over(W.orderBy("_low")))  # one row for each series
+    from inkloom.sources.tables import ranked
+
+    names = ranked(volumes.select(F.lower(series).alias("_low")).distinct(), ["_low"], "series_index").withColumn("series_index", (F.col("series_index") + 1).cast("int"))
     x = volumes.withColumn("series_volume_number", F.row_number().over(w.orderBy(key))).withColumn("series_volume_count", F.count("*").over(w)).withColumn("_low", F.lower(series))
     return x.join(names, "_low").drop("_low")
 
@@ -135,6 +137,7 @@ def sample_corpus(entries: DataFrame, *, volumes_per_series: int = 2, pages_per_
     folder of an archive is its series.
     """
     from inkloom.functions.text import natural_key, slug
+    from inkloom.sources.tables import ranked
 
     x = entries.where("error is null").select(F.col("archive").alias("source_path"), F.col("entry").alias("source_image_name"), F.col("ordinal").cast("int").alias("source_page_index"))
     counts = x.groupBy("source_path").agg(F.count("*").alias("page_count"))
@@ -142,7 +145,7 @@ def sample_corpus(entries: DataFrame, *, volumes_per_series: int = 2, pages_per_
     v = v.withColumn("series_label", F.regexp_extract("source_parent", "[^/]*$", 0)).withColumn("volume_label", F.regexp_replace(F.regexp_extract("source_path", "[^/]*$", 0), r"\.[^.]*$", ""))
     v = v.withColumn("series_path", F.col("source_parent")).withColumn("natural", natural_key(F.col("volume_label")))
     v = choose_volumes(volume_ordinals(v, series="series_path"), volumes_per_series, mode=series_mode, seed=seed, series="series_path")
-    v = v.withColumn("volume_index", F.row_number().over(W.orderBy("series_index", "series_volume_number"))).drop("natural")  # one row for each chosen volume
+    v = ranked(v.drop("natural"), ["series_index", "series_volume_number"], "volume_index").withColumn("volume_index", (F.col("volume_index") + 1).cast("int"))
     chosen = choose_pages(x.join(v.select("source_path"), "source_path"), pages_per_volume, mode=mode, seed=seed, skip_first=skip_first, skip_last=skip_last, volume="source_path", page="source_page_index")
     name = F.format_string("%s__page_%04d%s", slug(F.col("volume_label")), F.col("source_page_index") + 1, F.regexp_extract("source_image_name", r"\.[^.]*$", 0))
     return chosen.join(v, "source_path").select(

@@ -143,14 +143,14 @@ def numbered_terms(terms: DataFrame) -> DataFrame:
     Order: first_list and pos, if the table has them, else the order of its rows.
     Terms without a source are left out, a null target is the source.
     """
-    from inkloom.sources.tables import with_position
+    from inkloom.sources.tables import ranked
 
     listed = [c for c in ("first_list", "pos") if c in terms.columns]
     x = terms.select(F.btrim("source").alias("source"), F.coalesce(F.btrim("target"), F.btrim("source")).alias("target"), *listed)
     x = x.where(F.coalesce(F.col("source"), F.lit("")) != "").withColumn("_row", F.monotonically_increasing_id())
     at = F.struct(*listed, "_row")
     x = x.groupBy(_casefold("source").alias("_key")).agg(F.min(at).alias("_at"), F.max_by(F.struct("source", "target"), at).alias("t"))
-    return with_position(x.orderBy("_at").select("t.source", "t.target"), "number")
+    return ranked(x.select("_at", "t.source", "t.target"), ["_at"], "number").drop("_at")
 
 
 def protect_terms(rows: DataFrame, terms: DataFrame, text: str = "text", *, most_chars: int = MOST_CHARS) -> DataFrame:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from inkloom.functions import detect, text
 from inkloom.functions.score import band, queue_risk, with_quality, with_texts
@@ -272,7 +271,9 @@ def natural_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages ranked by the natural order of their URLs."""
     p = table(spark, sf_dir, "pages").where("url is not null").withColumn("key", text.natural_key(F.col("url")))
     host = F.regexp_extract("url", "://([^/?#]*)", 1)
-    return p.withColumn("host", host).withColumn("rank", F.row_number().over(W.partitionBy("host").orderBy("key", "url", "page_id"))).select("page_id", "host", "rank")
+    x = tables.ranked(p.select("page_id", "url", "key", host.alias("host")), ["host", "key", "url", "page_id"])  # a host of any size is many parts
+    first = x.groupBy("host").agg(F.min("index").alias("first"))
+    return x.join(first, "host").select("page_id", "host", (F.col("index") - F.col("first") + 1).cast("int").alias("rank"))
 
 
 def stratified_limit(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -62,6 +62,25 @@ def with_position(rows: DataFrame, name: str = "index") -> DataFrame:
     return x.withColumn(name, F.col("_before") + F.col("_id") - F.shiftleft("_part", 33)).drop("_id", "_part", "_before")
 
 
+def ranked(rows: DataFrame, order: list, name: str = "index") -> DataFrame:
+    """Add each row's position from 0 in the order of ``order`` (columns), however many rows there are; ties in any order.
+
+    The sorted rows are written to the shared folder with their part and their
+    place in it, and a part's first position is what the parts before it hold:
+    no task sees more than a part, and no second evaluation can deal rows anew.
+    """
+    from inkloom.sources.views import scratch
+
+    path = scratch(rows.sparkSession, "ranked")
+    place = F.col("_id").bitwiseAND((1 << 33) - 1)
+    x = rows.orderBy(*order).withColumn("_id", F.monotonically_increasing_id()).withColumn("_part", F.spark_partition_id()).withColumn("_place", place).drop("_id")
+    x.write.parquet(path)
+    x = rows.sparkSession.read.schema(x.schema).parquet(path)
+    sizes = x.groupBy("_part").agg(F.count("*").alias("_n"))  # one row a part
+    before = sizes.select("_part", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    return x.join(before, "_part").withColumn(name, F.col("_before") + F.col("_place")).drop("_part", "_place", "_before")
+
+
 def manifest_entries(raw: DataFrame, index: str | None = None) -> DataFrame:
     """index, image_path, page_number, series_label, volume_label of manifest rows with any of the known column names.
 
@@ -118,8 +137,7 @@ def read_manifest(spark: SparkSession, path: str, columns: str = "image_path str
         return read_manifest(spark, found, columns)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path")
     x = manifest_from_pages(files).withColumn("page_number", F.col("source_page_index") + 1)
-    order = W.orderBy("series_label", "volume_label", "source_page_index", "image_path")  # one row for each page image of a corpus folder
-    return x.withColumn("index", F.row_number().over(order).cast("long") - 1).select("index", "image_path", "page_number", "series_label", "volume_label")
+    return ranked(x, ["series_label", "volume_label", "source_page_index", "image_path"]).select("index", "image_path", "page_number", "series_label", "volume_label")
 
 
 def manifest_from_pages(files: DataFrame, path: str = "path") -> DataFrame:
