@@ -72,6 +72,7 @@ FUSED_PHRASE = r"(?i)(?:^|[^\p{L}\p{N}_])all\s+righty!\s+then\?\s+we(?:'re| are)
 MEASURE = r"(?i)^\s*\d[\d,.\soO]*(?:m|km|cm|mm|%)\s*$"
 LONG_CRY = r"(?i)^[a-z]{2,}a{3,}(?:\s*\([^)]{2,}\))?$"
 DIALOGUE_WORD = r"[A-Za-z][A-Za-z']+"
+CLAUSE_WORDS = "before|after|because|that|if|when"
 SHORT_PHASES = ["stab", "hall", "drift", "main hall", "phase 4", "phase 5"]
 # End of the fixed values.
 
@@ -83,7 +84,7 @@ ZONE_END = rf"(?i)(?:^|[^\p{{L}}\p{{N}}_])(?:{either(INCOMPLETE_END)})\s*$"
 ZONE_START = rf"(?i)^\s*(?:\.\.\.)?\s*(?:{either(INCOMPLETE_START)})(?:$|[^\p{{L}}\p{{N}}_])"
 ZONE_PHRASE = bounded(SHORT_ZONE)
 ZONE_SFX = bounded(either(SFX_MIX))
-CLAUSE = bounded("before|after|because|that|if|when")
+CLAUSE = bounded(CLAUSE_WORDS)
 # What a search for the longer forms above finds something by.
 ANY_DIGIT_MIX = r"[A-Za-z][0-9]|[0-9][A-Za-z]|[$]"
 ANY_RANDOM_CASE = r"[a-z][A-Z]"

@@ -82,10 +82,15 @@ def queue_filter(name: str) -> Column:
 QUEUE_VIEWS = ("À traiter", "Risques HIGH/MED", "High", "Tous", "Corrections faites", "À revoir", "Fusion", "Zones", "Alternatives OCR", "Validés", "Ignorés", "SFX")
 
 
+# Fixed value: what a note about a zone says.
+ZONE_NOTES = "zone|bbox|crop|bulle|fusion"
+# End of the fixed value.
+
+
 def zone_fallback_candidate() -> Column:
     """A zone worth reading again: its note names a zone, or its text has a zone problem."""
     notes = F.lower(squeezed_ends(F.col("review_notes")))
-    return notes.rlike("zone|bbox|crop|bulle|fusion") | (F.size(detect.zone_categories(source_normalized_first())) > 0)
+    return notes.rlike(ZONE_NOTES) | (F.size(detect.zone_categories(source_normalized_first())) > 0)
 
 
 def review_queue(blocks: DataFrame) -> DataFrame:

@@ -34,10 +34,12 @@ def drops_marks(before: Column, after: Column) -> Column:
     return sum(((before.contains(m) & ~after.contains(m)).cast("int") for m in ("?", "!", "...")), F.lit(0)) > 0
 
 
+# Spoken forms and what they stand for.
 CONTRACTIONS = (
     (r"\bgonna\b", "going to"), (r"\bwanna\b", "want to"), (r"\bwould['’]?ve\b", "would have"), (r"\bcould['’]?ve\b", "could have"),
     (r"\bshould['’]?ve\b", "should have"), (r"\bi['’]?m\b", "I am"), (r"\bi['’]?d\b", "I would"), (r"\bi['’]?ll\b", "I will"), (r"\bi['’]?ve\b", "I have"),
 )
+# End of the fixed values.
 
 
 def expanded(c: Column) -> Column:
