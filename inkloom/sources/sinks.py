@@ -19,7 +19,7 @@ EDITABLE = ("review_decision", "corrected_ocr", "corrected_source", "corrected_f
 def nested_projects(blocks: DataFrame) -> DataFrame:
     """One row for each project: pages of blocks, in order. A project is a document, so it is gathered as one."""
     b = F.struct(F.col("seq").alias("_seq"), F.struct(F.col("block_id").alias("id"), "bbox", "source_lang", *TEXTS, "confidence", "reading_order", "manual_status", "quality_warnings", "ocr_alternatives").alias("b"))
-    pages = blocks.groupBy("project_id", "page_index").agg(F.first("image_name").alias("image_name"), F.first("page_status").alias("status"), F.transform(F.sort_array(F.collect_list(b)), lambda s: s["b"]).alias("blocks"))
+    pages = blocks.groupBy("project_id", "page_index").agg(F.min_by("image_name", "seq").alias("image_name"), F.min_by("page_status", "seq").alias("status"), F.transform(F.sort_array(F.collect_list(b)), lambda s: s["b"]).alias("blocks"))
     page = F.sort_array(F.collect_list(F.struct("page_index", "image_name", "status", "blocks")))
     return pages.groupBy("project_id").agg(page.alias("pages")).select("project_id", F.lit("").alias("cbz_path"), F.lit(1).alias("version"), F.lit("").alias("glossary_terms"), "pages")
 
@@ -202,6 +202,6 @@ def html_pages(blocks: DataFrame) -> DataFrame:
     )
     rows = F.sort_array(F.collect_list(F.struct("reading_order", "seq", item.alias("item"))))
     body = F.array_join(F.transform(rows, lambda r: r["item"]), "")
-    g = blocks.groupBy("project_id", "page_index").agg(F.first("image_name").alias("image"), F.coalesce(F.first("page_status"), F.lit("")).alias("status"), body.alias("body"))
+    g = blocks.groupBy("project_id", "page_index").agg(F.min_by("image_name", "seq").alias("image"), F.coalesce(F.min_by("page_status", "seq"), F.lit("")).alias("status"), body.alias("body"))
     head = F.concat(F.lit('<section data-status="'), escaped(F.col("status")), F.lit('"><img src="'), escaped(F.col("image")), F.lit('"><ol>'))
     return g.select("project_id", "page_index", F.concat(head, F.col("body"), F.lit("</ol></section>")).alias("html"))
