@@ -72,6 +72,16 @@ def test_op10(spark, sf):
     assert got == [(i, *v) for (i, _), v in zip(data, brute.url_verdicts([u for _, u in data], queries.URL_RULES))]
 
 
+def test_op10_judges_by_the_rules_of_its_contract(spark, tmp_path):
+    want = {
+        "http://A.com/en/1": ("com/en/", "block"), "https://example.com/en/7/x": ("example.com/en/7", "allow"), "http://notexample.com/en/7": ("com/en/", "block"), "http://example.com/en/8": ("com/en/", "block"),
+        "http://a.net/de/8": ("net/de/", "allow"), "http://www.Example.net/de/8?q": ("example.net/de/8", "block"), "http://example.net/de/9": ("net/de/", "allow"), "http://net/de/": ("net/de/", "allow"), "http://b.org/es/#x": ("org/es/", "block"),
+    }
+    spark.createDataFrame(list(enumerate(want)), "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: (r.rule, r.verdict) for r in ten(10)(spark, str(tmp_path)).collect()}
+    assert [got[i] for i in range(len(want))] == list(want.values())
+
+
 def test_pipeline(spark, sf):
     """Every stage against what a plain version keeps of its own input."""
     import corpus_pipeline as p
