@@ -114,3 +114,19 @@ def test_rules_in_parts(spark, tmp_path):
     got = {r.id: r.rewritten for r in normalise.apply_rules(df, table, text_col="t", part=250).collect()}
     assert got == {i: fold(ordered, t or "") for i, t in enumerate(texts)}
     assert {r.id: r.rewritten for r in normalise.apply_rules(df, table.limit(0), text_col="t").collect()} == {i: t or "" for i, t in enumerate(texts)}
+
+
+def test_a_text_is_folded_once_for_all_cascades():
+    """Cascades that leave a text alone don't fold it again; folding is what it was, letter by letter."""
+    import sys
+
+    from inkloom.functions import cascade as C
+    from inkloom.functions import reading as R
+
+    same = str.maketrans("İıſς", "iisσ")
+    for c in map(chr, range(sys.maxunicode + 1)):
+        assert C.fold(c) == c.translate(same).lower().translate(same) and (c.isalpha() is False or C.fold(f"A{c} ") == f"A{c} ".translate(same).lower().translate(same))
+    C.fold.cache_clear()
+    text = "The quiet garden lies behind the old wall and nobody walks there."
+    assert R.plain(R.readable(text)) == text
+    assert C.fold.cache_info().misses <= 3
