@@ -164,7 +164,7 @@ def group_lines(lines: DataFrame) -> DataFrame:
                 return None
             a, b = g["box"], r["box"]
             gap = max(0, b[1] - a[3], a[1] - b[3])
-            if gap > max(34, 1.45 * (sum(tall(m["box"]) for m in g["rows"]) + tall(b)) / (len(g["rows"]) + 1)):
+            if gap > max(34, 1.45 * (g["tall"] + tall(b)) / (len(g["rows"]) + 1)):
                 return None
             off = abs(a[0] + a[2] - b[0] - b[2]) / 2
             allow = 0.85 * max(wide(a), wide(b))
@@ -179,9 +179,10 @@ def group_lines(lines: DataFrame) -> DataFrame:
             if fits:
                 g = groups[-max(fits)[1]]
                 g["rows"].append(r)
+                g["tall"] += tall(r["box"])  # added up as lines come: a sum anew for every line makes long pages quadratic
                 g["box"] = [min(g["box"][0], r["box"][0]), min(g["box"][1], r["box"][1]), max(g["box"][2], r["box"][2]), max(g["box"][3], r["box"][3])]
             else:
-                groups.append({"rows": [r], "box": r["box"], "sfx": r["sfx"]})
+                groups.append({"rows": [r], "box": r["box"], "sfx": r["sfx"], "tall": tall(r["box"])})
         out = []
         for order, g in enumerate(sorted(groups, key=lambda g: place(g["rows"][0]))):
             texts = [r["text"] for r in sorted(g["rows"], key=place) if r["text"]]

@@ -1,7 +1,7 @@
 """Ordered rewriting of recognised text, and the choice among several readings of a block.
 
-What a text becomes is said in ``functions.reading``; here distinct texts run
-through it once, in Arrow batches, as hundreds of nested column expressions
+What a text becomes is said in ``functions.reading``; here texts run through
+it in Arrow batches, as hundreds of nested column expressions
 can't be planned. Rules of a corpus's own are (pattern, replacement) pairs,
 which run behind those of the package.
 """
@@ -9,6 +9,7 @@ which run behind those of the package.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -37,28 +38,26 @@ READING_WORD = "[A-Za-zÀ-ÖØ-öø-ÿぁ-んァ-ン一-龯々ー']+"
 
 
 def rewrite(rows: DataFrame, text_col: str, out: str, make: Callable[[], Callable[[str], str]], learned: DataFrame | None = None) -> DataFrame:
-    """Add ``out``: what the function that ``make`` gives (once a task) makes of the text; each distinct text once.
+    """Add ``out``: what the function that ``make`` gives (once a task) makes of the text; a task makes a recent text once.
 
     ``learned`` (key, value) replaces whole texts first; of a key's values the
-    greatest counts. Null texts read as empty.
+    greatest counts. Null texts read as empty. Only the texts go to Python, in
+    the rows' own tasks: the rows are neither found a second time nor shuffled.
     """
     from inkloom.functions.text import ignore_key
 
     x = rows.withColumn("_t", F.coalesce(F.col(text_col), F.lit("")))
-    texts = x.select("_t").distinct()
     if learned is not None:
         m = learned.where("key <> ''").groupBy(F.col("key").alias("_k")).agg(F.max("value").alias("_m"))
-        texts = texts.withColumn("_k", ignore_key(F.col("_t"))).join(m, "_k", "left").select("_t", F.coalesce(F.nullif(F.col("_m"), F.lit("")), F.col("_t")).alias("_in"))
-    else:
-        texts = texts.withColumn("_in", F.col("_t"))
+        x = x.withColumn("_k", ignore_key(F.col("_t"))).join(m, "_k", "left").withColumn("_t", F.coalesce(F.nullif(F.col("_m"), F.lit("")), F.col("_t"))).drop("_k", "_m")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        one = make()
-        for p in batches:
-            yield pd.DataFrame({"_t": p["_t"], "_out": p["_in"].map(one)})
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        one = lru_cache(maxsize=4_096)(make())
+        for texts in batches:
+            yield texts.map(one)
 
-    done = texts.mapInPandas(run, "_t string, _out string")
-    return x.join(done, "_t").withColumn(out, F.col("_out")).drop("_t", "_out")
+    # told to be without fixed results, so that no plan makes a text twice
+    return x.withColumn(out, F.pandas_udf(run, "string", F.PandasUDFType.SCALAR_ITER).asNondeterministic()(F.col("_t"))).drop("_t")
 
 
 def own(rules: Rules):
@@ -87,8 +86,7 @@ def apply_rules(rows: DataFrame, rules: DataFrame, *, text_col: str = "ocr_text"
 def normalise(rows: DataFrame, *, text_col: str = "ocr_text", out: str = "normalised", word_rules: Rules = (), context_rules: Rules = (), colloquial: bool = False, memory: DataFrame | None = None) -> DataFrame:
     """Add ``out``: the text after learned corrections, spacing, casing, edge sounds, misread words and phrases; with ``colloquial``, in plain wording.
 
-    ``memory`` (key, value) replaces whole texts first. Distinct texts are
-    rewritten once. Null and empty texts give an empty one.
+    ``memory`` (key, value) replaces whole texts first. Null and empty texts give an empty one.
     """
 
     def make() -> Callable[[str], str]:
