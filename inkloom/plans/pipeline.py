@@ -21,6 +21,7 @@ from inkloom.operators.dialogue import prepare, prepare_blocks, with_override
 from inkloom.operators.geometry import group_lines, noise, polygon_box
 from inkloom.operators.normalise import zone_alternatives
 from inkloom.schema import as_blocks
+from inkloom.sources.views import settled
 
 Translator = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
 
@@ -45,7 +46,22 @@ WEAK = "fragment japonais non traduit automatiquement: OCR faible/court"
 # End of the fixed value.
 
 
-def translate(blocks: DataFrame, translator: Translator, *, force: bool = False, **tables) -> DataFrame:
+def with_translations(rows: DataFrame, translator: Translator, often: int = 50_000) -> DataFrame:
+    """Add ``translation``: what the translator makes of ``_text``, each distinct text once.
+
+    Rows of a text that occurs more than ``often`` times are dealt over several
+    parts, each of which gets the translation.
+    """
+    counts = rows.groupBy("_text").agg(F.count("*").alias("_n"))
+    parts = F.broadcast(counts.where(F.col("_n") > often).select("_text", F.ceil(F.col("_n") / often).cast("int").alias("_parts")))
+    made = counts.select(F.col("_text").alias("text")).mapInPandas(translator, "text string, translation string").withColumnRenamed("text", "_text")
+    own = F.coalesce(F.col("_parts"), F.lit(1))
+    made = made.join(parts, "_text", "left").select("_text", "translation", F.explode(F.sequence(F.lit(0), own - 1)).alias("_part"))
+    dealt = rows.join(parts, "_text", "left").withColumn("_part", F.pmod(F.xxhash64(*PAGE, "block_id"), own).cast("int")).drop("_parts")
+    return dealt.join(made, ["_text", "_part"], "left").drop("_part")
+
+
+def translate(blocks: DataFrame, translator: Translator, *, force: bool = False, often: int = 50_000, **tables) -> DataFrame:
     """Fill translations of blocks that aren't protected, blank or too weak; ready translations go before the model.
 
     English blocks without a normalised source are prepared first (``tables``
@@ -64,9 +80,8 @@ def translate(blocks: DataFrame, translator: Translator, *, force: bool = False,
     x = x.withColumn("_text", F.when(F.col("_go"), text)).drop("override")
     ready = {k: v for k, v in tables.items() if k in ("kept", "overrides", "memory")}
     x = with_override(x, F.when(english, F.col("_text")), **ready)
-    texts = x.where("_go and override = ''").select(F.col("_text").alias("text")).distinct()
-    made = texts.mapInPandas(translator, "text string, translation string").withColumnRenamed("text", "_text")
-    x = x.join(made, "_text", "left")
+    x = settled(x.withColumn("_ask", F.coalesce(F.col("_go") & (F.col("override") == ""), F.lit(False))), "translate")
+    x = with_translations(x.where("_ask"), translator, often).unionByName(x.where("not _ask").withColumn("translation", F.lit(None).cast("string")))
     new = F.coalesce(full(F.col("override")), "translation", F.lit(""))
     status = F.when(F.col("manual_status") == "review", "edited").otherwise(F.col("manual_status"))
     values = {"normalized_source_text": F.col("_text"), "raw_translation_fr": new, "translation_fr": new, "manual_status": status, "ocr_corrected_text": F.when(F.col("_raw_text").isNotNull(), F.col("corrected")).otherwise(F.col("ocr_corrected_text"))}

@@ -25,6 +25,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{(base or 'file:///tmp/checkpoints').rstrip('/')}/inkloom-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
+def settled(rows: DataFrame, name: str) -> DataFrame:
+    """The rows written to the shared folder and read back, so that plans which use them twice don't make them twice."""
+    path = scratch(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.parquet(path)
+
+
 def spread(rows: DataFrame, *keys: str) -> DataFrame:
     """The rows dealt by ``keys`` over all cores where their files are fewer than these.
 
