@@ -100,9 +100,11 @@ def top_series(rows: DataFrame, k: int = 20) -> DataFrame:
 def quality_report(blocks: DataFrame) -> DataFrame:
     """Long-form report: section, name, value (bands and reasons of actionable blocks, blocks of series)."""
     x = with_quality(blocks)
-    act = x.where("suggested_action not in ('ignored', 'validated')")
-    top = lambda d, k: d.orderBy(F.desc("value"), "name").limit(k)
-    bands = act.groupBy(F.col("suggested_action").alias("name")).agg(F.count("*").alias("value")).select(F.lit("band").alias("section"), "name", "value")
-    why = top(act.select(F.explode("risk_reasons").alias("name")).groupBy("name").agg(F.count("*").alias("value")), 20).select(F.lit("reason").alias("section"), "name", "value")
-    series = top(x.groupBy(F.col("series_label").alias("name")).agg(F.count("*").alias("value")), 30).select(F.lit("series").alias("section"), "name", "value")
-    return bands.unionByName(why).unionByName(series)
+    entry = lambda section, name: F.struct(F.lit(section).alias("section"), name.alias("name"))
+    act = F.coalesce(~F.col("suggested_action").isin("ignored", "validated"), F.lit(False))
+    series = F.array(entry("series", F.col("series_label")))
+    acted = F.concat(series, F.array(entry("band", F.col("suggested_action"))), F.transform("risk_reasons", lambda r: entry("reason", r)))
+    # every row is scored once: what it counts for goes into one grouping
+    n = x.select(F.inline(F.when(act, acted).otherwise(series))).groupBy("section", "name").agg(F.count("*").alias("value"))
+    n = n.withColumn("_rn", F.row_number().over(W.partitionBy("section").orderBy(F.desc("value"), "name"))).where("_rn <= 30")
+    return n.where("_rn <= 20 or section <> 'reason'").select("section", "name", "value")
