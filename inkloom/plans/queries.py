@@ -10,7 +10,7 @@ from inkloom.functions.score import band, queue_risk, with_quality, with_texts
 from inkloom.operators import blocks as B
 from inkloom.operators import evaluate, geometry, learning, memory, selection
 from inkloom.sources import sinks, tables
-from inkloom.sources.views import BIG, SMALL, doc_blocks, scratch, sentence_blocks, table, turn_blocks
+from inkloom.sources.views import BIG, SMALL, doc_blocks, scratch, sentence_blocks, settled, table, turn_blocks
 
 KEY = ("project_id", "page_index", "block_id")
 
@@ -57,8 +57,8 @@ def light_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def review_pack_balanced(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: 200 blocks to review, a turn for each series."""
-    x = with_quality(doc_blocks(spark, sf_dir))
-    return selection.review_pack(x, limit=200).select(*KEY, "series_label", "risk_score", "suggested_action")
+    x = with_quality(doc_blocks(spark, sf_dir)).select(*KEY, "series_label", "risk_score", "suggested_action")
+    return selection.review_pack(settled(x, "scored"), limit=200)  # the turns read the scores twice
 
 
 def risk_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -257,8 +257,8 @@ def improved_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def zone_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = sentence_blocks(spark, sf_dir)
-    return x.select(*KEY, F.array_join(detect.zone_categories(F.col("ocr_text")), ",").alias("categories"), detect.incomplete(F.col("ocr_text")).alias("incomplete"))
+    x = text.once(sentence_blocks(spark, sf_dir), _zones=detect.zones(F.col("ocr_text")))
+    return x.select(*KEY, F.array_join(detect.categories_of(F.col("_zones")), ",").alias("categories"), F.col("_zones.incomplete").alias("incomplete"))
 
 
 def canonical_keys(spark: SparkSession, sf_dir: str) -> DataFrame:

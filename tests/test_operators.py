@@ -510,3 +510,33 @@ def test_zone_alternatives(spark):
     assert best["b0"].ocr_text == "I told you to go home" and best["b0"].manual_status == "review" and best["b2"].ocr_text == "I toid you to go home"
     again = {r.block_id: r for r in refresh(b, "en", zone_readings=c).collect()}
     assert len(again["b0"].ocr_alternatives) == 3 and len(again["b2"].ocr_alternatives) == 0
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_rewriting_reads_its_rows_once(spark):
+    from inkloom.operators.normalise import normalise
+
+    df = spark.createDataFrame([(1, "w0rd  here"), (2, None)], "block_id long, ocr_text string")
+    x = normalise(df)
+    assert "Join" not in plan_of(x) and {r.block_id for r in x.collect()} == {1, 2}
+
+
+def test_frequent_texts_are_dealt_to_the_translation(spark):
+    from inkloom.plans.pipeline import with_translations
+
+    df = spark.range(400).selectExpr("'p' as project_id", "1 as page_index", "cast(id as string) as block_id", "if(id < 300, 'often', concat('t', id)) as _text")
+    up = lambda batches: (p.assign(translation=p["text"].str.upper()) for p in batches)
+    x = with_translations(df, up, 50)
+    assert "_part" in plan_of(x)
+    got = x.collect()
+    assert len(got) == 400 and all(r.translation == r._text.upper() for r in got)
+
+
+def test_reports_score_each_row_once(spark, sf):
+    from inkloom.plans import queries
+
+    rules = lambda name: plan_of(queries.queries()[name](spark, sf)).count("empty translation")
+    assert rules("quality_report") == 1 and rules("review_pack_balanced") == 0  # scored and written before
