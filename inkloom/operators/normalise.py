@@ -21,6 +21,7 @@ from inkloom.functions.cascade import Rules, cascade
 from inkloom.functions.detect import zone_categories, zones
 from inkloom.functions.patterns import either
 from inkloom.functions.text import any_of, let, once, squeeze
+from inkloom.sources.views import settled
 
 # Misread tokens, and words that a good reading has.
 BAD_TOKENS = """inhook lnhook lhook toid to1d lookv loooky l00k l0ok repect respecl enolgh folr fopm colld hlnger individlals napehouse nestern tslrlmi
@@ -204,15 +205,15 @@ def ranked_readings(todo: DataFrame, candidates: DataFrame, **rules) -> DataFram
     Candidates that differ in case or blanks only are one (the best). Further
     columns: engine, text, confidence, _score, _safe, and of the current text _now, _s0.
     """
-    own = todo.select("block_id", F.lit("current").alias("engine"), F.col("ocr_text").alias("text"), "confidence", F.lit(-1).alias("ord"), F.lit(0.0).alias("bonus"))
+    # the current texts are normalised and scored once and written: every use below reads what was found
+    now = normalise(todo.select("block_id", F.col("ocr_text").alias("_now"), F.col("confidence").alias("_conf")), text_col="_now", out="_now_clean", **rules)
+    now = settled(once(now, _s0=reading_score(F.col("_now"), F.col("_conf"), F.col("_now_clean"))), "readings")
+    own = now.select("block_id", F.lit("current").alias("engine"), F.col("_now").alias("text"), F.col("_conf").alias("confidence"), F.lit(-1).alias("ord"), F.col("_now_clean").alias("_clean"), F.col("_s0").alias("_score"))
     c = candidates.select("block_id", F.col("engine") if "engine" in candidates.columns else F.lit("").alias("engine"), "text", "confidence", F.col("ord").cast("int").alias("ord"), F.col("bonus").cast("double").alias("bonus") if "bonus" in candidates.columns else F.lit(0.0).alias("bonus"))
-    now = todo.select("block_id", F.col("ocr_text").alias("_now"), F.col("confidence").alias("_conf"))
-    x = normalise(c.join(todo.select("block_id"), "block_id", "left_semi").unionByName(own), text_col="text", out="_clean", **rules)
-    x = once(x, _score=reading_score(F.col("text"), F.col("confidence"), F.col("_clean"), bonus=F.col("bonus")))
+    c = normalise(c.join(now.select("block_id"), "block_id", "left_semi"), text_col="text", out="_clean", **rules)
+    x = once(c, _score=reading_score(F.col("text"), F.col("confidence"), F.col("_clean"), bonus=F.col("bonus"))).drop("bonus").unionByName(own)
     same = W.partitionBy("block_id", F.lower(squeeze(F.col("text")))).orderBy(F.desc("_score"), "ord")
     x = x.where(squeeze(F.col("text")) != "").withColumn("_rn", F.row_number().over(same)).where("_rn = 1").drop("_rn")
-    now = normalise(now, text_col="_now", out="_now_clean", **rules)
-    now = once(now, _s0=reading_score(F.col("_now"), F.col("_conf"), F.col("_now_clean")))
     x = x.join(now, "block_id")
     x = once(x, _score=F.col("_score") - penalty(F.col("_now"), F.col("text")), _safe=is_safe(F.col("_now_clean"), F.col("_clean"), F.col("engine") == "ocr-corrections"))
     return x.withColumn("_place", F.row_number().over(W.partitionBy("block_id").orderBy(F.desc("_score"), "ord")))
@@ -241,7 +242,7 @@ def zone_alternatives(blocks: DataFrame, candidates: DataFrame, lang: str, *, ap
         done = done.withColumn("updated", F.col("improved") | (F.size("ocr_alternatives") > 0)).drop("improved")
     else:
         kind = blocks.schema["ocr_alternatives"].dataType
-        best = ranked_readings(todo, candidates, **rules).groupBy("block_id").agg(_alternatives(keep))
+        best = settled(ranked_readings(todo, candidates, **rules).groupBy("block_id").agg(_alternatives(keep)), "best")
         found = F.coalesce(F.col("_alternatives").cast(kind), F.array().cast(kind))
         done = todo.join(best, "block_id", "left").select(*(
             found.alias(c) if c == "ocr_alternatives" else with_warning(F.lit(ZONE_READINGS)).alias(c) if c == "quality_warnings" else F.col(c) for c in blocks.columns
@@ -261,7 +262,7 @@ def improve(blocks: DataFrame, candidates: DataFrame, *, only_suspect: bool = Tr
     todo = blocks.where(suspect()) if only_suspect else blocks.where(~F.col("manual_status").isin("validated", "ignored"))
     ranked = ranked_readings(todo, candidates, **rules)
     first = F.min(F.when(F.col("_safe"), F.struct("_place", "text", "engine", "confidence", "_score", "_s0", "_now"))).alias("_best")
-    best = ranked.groupBy("block_id").agg(first, _alternatives(keep))
+    best = settled(ranked.groupBy("block_id").agg(first, _alternatives(keep)), "best")  # few, as a rule: then the blocks aren't shuffled
     y = blocks.join(best, "block_id", "left")
     b = F.col("_best")
     hit = F.coalesce((b["text"] != b["_now"]) & (b["_score"] >= b["_s0"] + gain), F.lit(False))

@@ -310,6 +310,26 @@ def test_improve(spark):
     assert improve(rows.limit(0), spark.createDataFrame(c, "block_id string, engine string, text string, confidence double, ord int")).count() == 0
 
 
+def test_improve_makes_blocks_and_readings_once(spark):
+    """Blocks are made once to find the suspect ones and once for the result; candidates of suspect blocks are read once."""
+    from inkloom.operators.normalise import improve
+
+    made, read = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+
+    def counted(df, n):
+        def run(batches):
+            for p in batches:
+                n.add(len(p))
+                yield p
+
+        return df.mapInPandas(run, df.schema)
+
+    rows = blocks(spark, *({"ocr_text": "I toid you" if i % 3 else "Clean enough words.", "confidence": 0.95} for i in range(30))).select("block_id", "ocr_text", "confidence", "manual_status", "quality_warnings", "ocr_alternatives", "translation_fr")
+    c = spark.createDataFrame([(f"b{i}", "ocr-corrections", "I told you", 0.95, 0) for i in range(30)], "block_id string, engine string, text string, confidence double, ord int")
+    got = improve(counted(rows, made), counted(c, read)).collect()
+    assert sum(r.improved for r in got) == 20 and made.value == 60 and read.value == 30
+
+
 def test_sounds_noise_and_lines(spark):
     """Labels are listed sounds alone; marks and single signs are noise; labels never join dialogue."""
     assert [one(spark, geometry.sfx_label, t) for t in ("RUSTLE", "bang!", "Bang bang", "sfx: boom", "hey,", "banging")] == [True, True, False, False, True, False]
