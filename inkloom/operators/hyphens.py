@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkloom.functions.reading import CUT_OFF
+from inkloom.functions.text import once
 
 LETTER = r"[A-Za-z]"
 #: Cuts are looked for at every word, also at the second half of a cut before it.
@@ -24,9 +25,14 @@ CUTS = rf"(?<![A-Za-z]){LETTER}{{2,}}(?=-\s+({LETTER}{{2,}})(?![A-Za-z]))"
 
 def cuts_of(text: Column) -> Column:
     """The lower-cased (left, right) of every cut in a text."""
-    left = F.regexp_extract_all(F.lower(text), F.lit(CUTS), F.lit(0))
-    right = F.regexp_extract_all(F.lower(text), F.lit(CUTS), F.lit(1))
-    return F.arrays_zip(left.alias("left"), right.alias("right"))
+
+    def cuts(t: Column) -> Column:
+        left = F.regexp_extract_all(t, F.lit(CUTS), F.lit(0))
+        right = F.regexp_extract_all(t, F.lit(CUTS), F.lit(1))
+        return F.arrays_zip(left.alias("left"), right.alias("right"))
+
+    # most texts hold no cut: a short search tells
+    return F.when(F.lower(text).rlike(r"[a-z]-\s+[a-z]"), cuts(F.lower(text)))
 
 
 def hyphen_lexicon(rows: DataFrame, text_col: str = "ocr_text") -> DataFrame:
@@ -40,20 +46,18 @@ def hyphen_lexicon(rows: DataFrame, text_col: str = "ocr_text") -> DataFrame:
     joined word nor the compound does; else join. Null texts hold no cut.
     """
     t = F.lower(F.coalesce(F.col(text_col), F.lit("")))
-    x = rows.select(t.alias("t"), cuts_of(t).alias("cuts"))
-    pairs = x.select(F.explode("cuts").alias("c")).groupBy(F.col("c.left").alias("left"), F.col("c.right").alias("right")).agg(F.count("*").alias("n"))
+    pairs = rows.select(F.explode(cuts_of(t)).alias("c")).groupBy(F.col("c.left").alias("left"), F.col("c.right").alias("right")).agg(F.count("*").alias("n"))
     # cuts are taken out before words are counted, so that their halves aren't words
-    rest = F.regexp_replace("t", rf"(?<![A-Za-z]){LETTER}{{2,}}(?:-\s+{LETTER}{{2,}})+(?![A-Za-z])", " ")
-    words = F.array_distinct(F.flatten(F.transform(F.regexp_extract_all(rest, F.lit(rf"{LETTER}+(?:-{LETTER}+)*"), F.lit(0)), lambda w: F.when(w.contains("-"), F.concat(F.array(w), F.split(w, "-"))).otherwise(F.array(w)))))
-    forms = pairs.select(F.explode(F.array(F.concat("left", "right"), F.concat_ws("-", "left", "right"), "left", "right")).alias("form")).distinct()
-    docs = x.select(F.explode(words).alias("form")).join(forms, "form", "left_semi").groupBy("form").agg(F.count("*").alias("docs"))
-
-    def with_docs(p: DataFrame, form: Column, name: str) -> DataFrame:
-        return p.withColumn("form", form).join(docs.withColumnRenamed("docs", name), "form", "left").drop("form").na.fill(0, [name])
-
-    p = with_docs(pairs, F.concat("left", "right"), "joined_docs")
-    p = with_docs(p, F.concat_ws("-", "left", "right"), "compound_docs")
-    p = with_docs(with_docs(p, F.col("left"), "_l"), F.col("right"), "_r").withColumn("parts_docs", F.least("_l", "_r"))
+    rest = F.when(t.rlike(r"[a-z]-\s+[a-z]"), F.regexp_replace(t, rf"(?<![A-Za-z]){LETTER}{{2,}}(?:-\s+{LETTER}{{2,}})+(?![A-Za-z])", " ")).otherwise(t)
+    found = F.array_distinct(F.regexp_extract_all(rest, F.lit(rf"{LETTER}+(?:-{LETTER}+)*"), F.lit(0)))
+    compounds = F.filter("w", lambda w: w.contains("-"))
+    words = F.when(F.size(compounds) > 0, F.array_distinct(F.concat("w", F.flatten(F.transform(compounds, lambda w: F.split(w, "-")))))).otherwise(F.col("w"))
+    # counted before they are joined: what travels is a word once a task, not once a text
+    docs = once(rows, w=found).select(F.explode(words).alias("form")).groupBy("form").agg(F.count("*").alias("docs"))
+    form = lambda kind, c: F.struct(F.lit(kind).alias("kind"), c.alias("form"))
+    forms = pairs.select("left", "right", "n", F.inline(F.array(form("joined", F.concat("left", "right")), form("compound", F.concat_ws("-", "left", "right")), form("left", F.col("left")), form("right", F.col("right")))))
+    n_docs = lambda kind: F.max(F.when(F.col("kind") == kind, F.coalesce("docs", F.lit(0))))
+    p = forms.join(docs, "form", "left").groupBy("left", "right").agg(F.first("n").alias("n"), n_docs("joined").alias("joined_docs"), n_docs("compound").alias("compound_docs"), F.least(n_docs("left"), n_docs("right")).alias("parts_docs"))
     joined, compound = F.col("joined_docs"), F.col("compound_docs")
     decision = (
         F.when(F.col("right").isin(CUT_OFF), "apart").when(compound > joined, "compound").when((joined == 0) & (compound == 0) & (F.col("parts_docs") > 0), "apart").otherwise("join")

@@ -39,6 +39,26 @@ def test_lexicon(spark):
     assert H.hyphen_lexicon(df.limit(0)).count() == 0
 
 
+def counted(df, n):
+    """The rows, each counted when it is made."""
+
+    def run(batches):
+        for p in batches:
+            n.add(len(p))
+            yield p
+
+    return df.mapInPandas(run, df.schema)
+
+
+def test_lexicon_makes_texts_twice(spark):
+    """Once for the cuts, once for the words, which meet the cuts as counts in one join."""
+    n = spark.sparkContext.accumulator(0)
+    df = spark.createDataFrame(list(enumerate(TEXTS)), "id long, ocr_text string")
+    x = H.hyphen_lexicon(counted(df, n))
+    assert x._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+    assert len(x.collect()) == len(plain_lexicon(TEXTS)) and n.value == 2 * len(TEXTS)
+
+
 def test_mended(spark):
     df = spark.createDataFrame(list(enumerate(TEXTS)), "id long, ocr_text string")
     got = {r.id: r.mended for r in H.mend_hyphens(df, H.hyphen_lexicon(df)).collect()}
