@@ -9,7 +9,6 @@ occurs, the compound, and both parts as words of their own.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -79,20 +78,21 @@ def mend(text: str, decisions: dict[tuple[str, str], str]) -> str:
 
 
 def mend_hyphens(rows: DataFrame, lexicon: DataFrame, text_col: str = "ocr_text", out: str = "mended") -> DataFrame:
-    """Add ``out``: the text with its cuts joined, hyphened or left as the ``lexicon`` decides; each distinct text once.
+    """Add ``out``: the text with its cuts joined, hyphened or left as the ``lexicon`` decides.
 
-    The lexicon stays a table: a text meets the decisions on its own cuts alone.
-    Null texts are empty.
+    The lexicon stays a table: a text meets the decisions on its own cuts alone,
+    by its digest, so that texts travel once. Only texts with such decisions go
+    to Python. Null texts are empty.
     """
-    x = rows.withColumn("_t", F.coalesce(F.col(text_col), F.lit("")))
-    texts = x.select("_t").distinct().withColumn("_id", F.sha2("_t", 256))
-    cuts = texts.select("_id", F.explode(F.array_distinct(cuts_of(F.col("_t")))).alias("c")).select("_id", "c.left", "c.right")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    own = once(rows.select(text.alias("_t")), _cuts=F.array_distinct(cuts_of(F.col("_t")))).where("size(_cuts) > 0")
+    cuts = once(own, _id=F.sha2("_t", 256)).select("_id", F.explode("_cuts").alias("c")).select("_id", "c.left", "c.right").distinct()
     found = cuts.join(lexicon.select("left", "right", "decision"), ["left", "right"]).groupBy("_id").agg(F.collect_list(F.struct("left", "right", "decision")).alias("_d"))  # the cuts of one text
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in batches:
-            made = [mend(t, {(r["left"], r["right"]): r["decision"] for r in d} if d is not None else {}) for t, d in zip(p["_t"], p["_d"])]
-            yield pd.DataFrame({"_t": p["_t"], "_out": made})
+    def run(texts: pd.Series, decisions: pd.Series) -> pd.Series:
+        return pd.Series([None if d is None else mend(t, {(r["left"], r["right"]): r["decision"] for r in d}) for t, d in zip(texts, decisions)], dtype=object)
 
-    done = texts.join(found, "_id", "left").select("_t", "_d").mapInPandas(run, "_t string, _out string")
-    return x.join(done, "_t").withColumn(out, F.col("_out")).drop("_t", "_out")
+    mended = F.pandas_udf(run, "string", F.PandasUDFType.SCALAR)
+    x = rows.withColumn("_id", F.sha2(text, 256)).join(found, "_id", "left")
+    x = x.withColumn("_m", mended(F.when(F.col("_d").isNotNull(), text), F.col("_d")))
+    return x.withColumn(out, F.coalesce("_m", text)).drop("_id", "_d", "_m")

@@ -67,6 +67,18 @@ def test_mended(spark):
     assert H.mend_hyphens(df, H.hyphen_lexicon(df).limit(0)).where("mended <> coalesce(ocr_text, '')").count() == 0
 
 
+def test_mended_texts_travel_once(spark):
+    """Texts are never grouped or joined as a whole, repeated ones neither; Python gets those with decisions only."""
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS * 3)], "id long, ocr_text string")
+    n = spark.sparkContext.accumulator(0)
+    lexicon = spark.createDataFrame([("re", "sult", "join"), ("so", "so", "apart")], "left string, right string, decision string")
+    x = H.mend_hyphens(counted(df, n), lexicon)
+    assert x._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 2
+    got = {r.id: r.mended for r in x.collect()}
+    assert len(got) == 3 * len(TEXTS) and n.value == 2 * len(got)
+    assert all(got[i] == H.mend(t or "", {("re", "sult"): "join"}) for i, t in enumerate(TEXTS * 3))
+
+
 def test_mended_query(spark, sf):
     x = {r.doc_id: r.ocr_text for r in queries.cut_documents(spark, sf).collect()}
     decisions = {k: v[-1] for k, v in plain_lexicon(x.values()).items()}
