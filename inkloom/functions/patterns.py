@@ -41,6 +41,10 @@ SIGNAGE = "atm card fee phone transfer store convenience".split()
 CREDIT = r"mangafox|i?mangareader(?:net)?|hosted\s+at|we\s+take\s+no\s+credit|credit\s+goes|appropriate\s+parties|creation\s+editing|scanlation|raws?|translator|reader|viewer|upload(?:ed|er)"
 TECHNICAL = r"phase\s*\d|monument|hive|maximum\s+depth|monument\s+height|stab\s+radius|notable\s+hives?|main\s+hall|drift|hall|depth|radius|diameter|height|meters?|kilometers?|km|oom"
 PROFILE = r"characters?|majority\s+faction|opposing\s+faction|west\s+oasis\s+government|cyborg\s+soldiers?|master\s+and\s+pupil|in\s+control\s+of|aspiring|government|faction|profile|relationship\s+chart"
+# One of which every match of the three above holds, in small letters.
+CREDIT_STEMS = "mangafox mangareader hosted credit appropriate creation scanlation raw translator reader viewer upload".split()
+TECHNICAL_STEMS = "phase monument hive depth radius hall drift diameter height meter km oom".split()
+PROFILE_STEMS = "character faction west cyborg master control aspiring government profile relationship".split()
 DIALOGUE = "I you we he she they what why how when where can could would should will are is"
 INCOMPLETE_END = """and but or if that this the a an to of for from with without before after because about into onto on in at as
     than then while when where who what why how gotta gonna wanna lemme should could would can cannot can't will still just is

@@ -330,6 +330,36 @@ def test_improve_makes_blocks_and_readings_once(spark):
     assert sum(r.improved for r in got) == 20 and made.value == 60 and read.value == 30
 
 
+def test_tokens_are_judged_after_they_are_counted(spark):
+    rows = spark.createDataFrame([("wolld the wolld", 60, "x"), ("Wolld aBc", 10, "x"), (None, 10, "x")], "source string, risk_score int, suggested_action string")
+    x = learning.suspicious_tokens(rows)
+    assert sorted(values(x, "token", "count", "high_risk_count")) == [("Wolld", 1, 0), ("aBc", 1, 0), ("wolld", 2, 2)]
+    plan = x._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("nestern") < plan.index("Aggregate [token")
+
+
+def test_short_searches_find_what_counts_find(spark):
+    """Flags by short searches are those by whole counts."""
+    from inkloom.functions import patterns as P
+
+    texts = ["", "a", "ab c", "é1ñ", "é\nñ ü", "x'y", "a b c d e ff", "aa bb cc dd ee", "aa bb cc dd", "a'b 'cc d'd e'' f'f", "aa-bb_cc1dd\nee", "Abc Def Ghi Jklm no pq rs tu", "Abc Def GHi Jkl no pq rs tu vw", "Abcd AbcdAbcd Xyz Uvw aa bb cc dd ee",
+             "ATM fee", "atmfee", "card card", "Transfer CARD", "we take no  credit", "raw", "raws", "straw", "UPLOADED", "phase  4", "oom", "12 km", "hiver", "notable hives", "In Control Of", "profile", "faction", "AAABBB", "ABCDEF", "İ raw", "raw\u212a"]
+    df = spark.createDataFrame([(t,) for t in texts], "v string")
+    v = F.col("v")
+    n = lambda p: F.regexp_count(v, F.lit(p))
+    word = P.DIALOGUE_WORD
+    titled = F.filter(text.tokens(v, word), lambda w: w.rlike("^[A-Z][a-z]{2,}$"))
+    pairs = [
+        (v.rlike(detect.FIVE_WORDS), n(word) >= 5), (~v.rlike(detect.THREE_LETTERS), n(r"\p{L}") <= 2), (detect.credit(v), v.rlike(P.bounded(P.CREDIT))),
+        (detect.signage(v), F.size(F.array_intersect(text.words_of(F.lower(v)), F.array(*map(F.lit, P.SIGNAGE)))) >= 2),
+        (detect.infographic(v), v.rlike(P.MEASURE) | v.rlike(P.bounded(P.TECHNICAL)) | F.lower(v).isin(P.SHORT_PHASES)),
+        (detect.profile(v), v.rlike(P.bounded(P.PROFILE)) | (~v.rlike("[!?]") & (n(word) >= 8) & (F.size(titled) >= 4))),
+    ]
+    x = df.select("v", *(F.struct(a.alias("got"), b.alias("want")).alias(f"t{i}") for i, (a, b) in enumerate(pairs)))
+    assert [(r.v, i) for r in x.collect() for i in range(len(pairs)) if r[i + 1].got != r[i + 1].want] == []
+
+
+
 def test_sounds_noise_and_lines(spark):
     """Labels are listed sounds alone; marks and single signs are noise; labels never join dialogue."""
     assert [one(spark, geometry.sfx_label, t) for t in ("RUSTLE", "bang!", "Bang bang", "sfx: boom", "hey,", "banging")] == [True, True, False, False, True, False]
