@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 
 from inkloom.functions import patterns as P
 from inkloom.functions.score import with_quality, with_texts
-from inkloom.functions.text import squeezed_ends, tokens
+from inkloom.functions.text import once, squeezed_ends, tokens
 from inkloom.operators.blocks import learnable
 
 
@@ -52,8 +52,10 @@ def suspicious_tokens(rows: DataFrame) -> DataFrame:
     """token, count, high_risk_count of tokens that look misread."""
     from inkloom.functions.detect import weird_token
 
-    x = rows.select(F.explode(tokens(F.col("source"), P.PROFILE_TOKEN)).alias("token"), _high().alias("high")).where(weird_token(F.col("token")))
-    return x.groupBy("token").agg(F.count("*").alias("count"), F.count_if("high").alias("high_risk_count"))
+    x = rows.select(F.explode(tokens(F.col("source"), P.PROFILE_TOKEN)).alias("token"), _high().alias("high"))
+    x = x.groupBy("token").agg(F.count("*").alias("count"), F.count_if("high").alias("high_risk_count"))
+    # a token is judged once, after it was counted; what is evaluated once isn't pushed below the counts
+    return once(x, _weird=weird_token(F.col("token"))).where("_weird").drop("_weird")
 
 
 def residue_tokens(rows: DataFrame) -> DataFrame:
