@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from inkloom.functions.cascade import needs
+
 
 def bounded(words: str) -> str:
     """One of the words or phrases, not inside a longer word, in any case."""
     return rf"(?i)(?:^|[^\p{{L}}\p{{N}}_])(?:{words})(?:$|[^\p{{L}}\p{{N}}_])"
 
 
+def stems(words: str) -> list[str]:
+    """Strings in small letters of which every text holds one that has one of the words or phrases; none, if that isn't known."""
+    return sorted(needs(f"(?:{words})"))
+
+
 def either(words: str) -> str:
     return "|".join(words.split())
 

@@ -35,8 +35,8 @@ def any_of(words: Column, listed: list[str]) -> Column:
 
 
 def squeeze(c: Column) -> Column:
-    """White space, as Unicode defines it, collapsed and trimmed."""
-    return F.btrim(F.regexp_replace(c, r"(?U)\s+", " "))
+    """White space, as Unicode defines it, collapsed and trimmed: runs that are one blank already are left alone."""
+    return F.btrim(F.regexp_replace(c, r"(?U)[\s&&[^ ]]\s*+| \s++", " "))
 
 
 def full(c: Column) -> Column:
@@ -87,7 +87,7 @@ def replay_key(c: Column) -> Column:
 
 
 def identity_key(c: Column) -> Column:
-    return F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
+    return F.regexp_replace(F.lower(c), "[^a-z0-9]+", "")
 
 
 def punctuation(c: Column) -> Column:

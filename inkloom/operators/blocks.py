@@ -15,7 +15,7 @@ LABELS = {"validate": "validé", "correct": "corrigé", "review": "à revoir", "
 
 
 def blank(name: str) -> Column:
-    return squeezed_ends(F.col(name)) == ""
+    return ~F.col(name).rlike(r"(?U)\S")
 
 
 def block_filter(name: str) -> Column:
@@ -357,8 +357,8 @@ def review_counts(applied: DataFrame, review: DataFrame) -> DataFrame:
     return x.crossJoin(F.broadcast(lost.agg(F.count("*").alias("_lost")))).select("changed", "validated", "corrected", "ignored", "review", (F.col("_skipped") + F.col("_lost")).alias("skipped"))
 
 
-def with_reasons(blocks: DataFrame, memory: DataFrame | None = None) -> DataFrame:
-    """Add ``page_reason`` (by counts over the page's blocks) and ``reason`` (the page's, else the block's)."""
+def with_reasons(blocks: DataFrame, memory: DataFrame | None = None, *, keep_flags: bool = False) -> DataFrame:
+    """Add ``page_reason`` (by counts over the page's blocks) and ``reason`` (the page's, else the block's); the flags of earlier runs go, unless they are kept."""
     from inkloom.functions.text import ignore_key
 
     x = blocks.withColumn("_text", source_corrected_first())
@@ -367,6 +367,7 @@ def with_reasons(blocks: DataFrame, memory: DataFrame | None = None) -> DataFram
         x = x.withColumn("_k", ignore_key(F.col("_text"))).join(memory.select(F.col("key").alias("_k"), F.col("value").alias("_learned")), "_k", "left")
         learned = F.col("_learned")
     x = detect.with_flags(x, F.col("_text"), learned)
+    kept = [c for c in detect.FLAGS if keep_flags]
     page = W.partitionBy(*PAGE)  # one shuffle; a page has the blocks of one image
     flags = {"technical": "_technical", "dialogue": "_dialogue", "profile": "_profile", "marks": "_marks"}
     counts = {"n": F.count("*").over(page).cast("int"), "reasons": F.count_if(F.col("_own") != "").over(page), **{k: F.count_if(f).over(page) for k, f in flags.items()}}
@@ -379,13 +380,17 @@ def with_reasons(blocks: DataFrame, memory: DataFrame | None = None) -> DataFram
         .when((c("reasons") / c("n") >= 0.75) & (c("dialogue") <= F.greatest(F.lit(1), sixth)), "page non exploitable: non-dialogue")
         .otherwise("")
     )
-    x = x.select(*blocks.columns, verdict.alias("page_reason"), "_own")
-    return x.withColumn("reason", F.coalesce(full(F.col("page_reason")), F.col("_own"))).drop("_own")
+    x = x.withColumn("page_reason", verdict).withColumn("reason", F.coalesce(full(F.col("page_reason")), F.col("_own")))
+    return x.select(*(c for c in blocks.columns if c not in detect.FLAGS), "page_reason", "reason", *kept)
 
 
-def auto_ignore(blocks: DataFrame, memory: DataFrame | None = None) -> DataFrame:
-    """Ignore what needs no review (English blocks); ``auto_changed`` tells which statuses changed."""
-    x = with_reasons(blocks, memory)
+def auto_ignore(blocks: DataFrame, memory: DataFrame | None = None, *, keep_flags: bool = False) -> DataFrame:
+    """Ignore what needs no review (English blocks); ``auto_changed`` tells which statuses changed.
+
+    With ``keep_flags`` what was found in the texts stays beside them, and a
+    further run with the same memory searches changed texts only.
+    """
+    x = with_reasons(blocks, memory, keep_flags=keep_flags)
     hit = (F.col("source_lang") == "en") & (F.col("reason") != "")
     x = x.withColumn("quality_warnings", F.when(hit, with_warning(F.concat(F.lit("auto-ignore: non-dialogue probable: "), F.col("reason")))).otherwise(F.col("quality_warnings")))
     x = x.withColumn("review_notes", F.when(hit & blank("review_notes"), F.concat(F.lit("[auto-ignore] "), F.col("reason"))).otherwise(F.col("review_notes")))

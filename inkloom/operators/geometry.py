@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from itertools import accumulate, groupby
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -10,11 +15,10 @@ from pyspark.sql import Window as W
 from inkloom.functions.patterns import either
 from inkloom.operators.blocks import PAGE
 
-# Sounds that stand alone as labels, and characters that are noise without others.
+# Sounds that stand alone as labels, and letters.
 LABELS = """whisper sob shock jaka sfx bam bang boom thud clap rustle slam tap tch ugh huh hey yeah jolt gasp slap wobble yawn sposh flash
     tremble fidget twitch fwooo woosh crash nod scribble"""
 SFX_LABEL = rf"(?i)^(?:{either(LABELS)})[.!?:, -]*$"
-NOISE_ONLY = r"^[0-9\s<>{}\[\]().,;:!?/\\|_+*=~`'\"-]+$"
 LETTER = "[A-Za-zÀ-ÖØ-öø-ÿぁ-んァ-ン一-龯々]"
 # End of the fixed values.
 
@@ -101,12 +105,15 @@ def supplement(kept: DataFrame, rescued: DataFrame) -> DataFrame:
 
 
 def noise(text: Column, confidence: Column, least: float = 0.20) -> Column:
-    """A fragment that is no text: empty, unsure, one character, or without letters."""
-    from inkloom.functions.text import squeeze
+    """A fragment that is no text: empty, unsure, one character, or without letters.
 
-    t = squeeze(text)
-    letters = F.regexp_count(t, F.lit(LETTER))
-    return (t == "") | F.coalesce(confidence < least, F.lit(False)) | (F.length(t) <= 1) | t.rlike(NOISE_ONLY) | (letters == 0) | F.coalesce((confidence < 0.55) & (letters <= 2), F.lit(False))
+    Searches that stop at the first, the second or the third letter decide, so
+    texts are neither rewritten nor counted through; a text of one character is
+    one letter between blanks, as others have no letters.
+    """
+    other = f"[^{LETTER[1:]}*+"
+    one, three = rf"(?U)\A\s*+{LETTER}\s*+\z", other.join([LETTER] * 3)
+    return F.coalesce(confidence < least, F.lit(False)) | ~text.rlike(LETTER) | text.rlike(one) | F.coalesce((confidence < 0.55) & ~text.rlike(three), F.lit(False))
 
 
 def sfx_label(text: Column) -> Column:
@@ -141,55 +148,105 @@ def post_process(found: DataFrame, *, least: float = 0.20, filter_noise: bool =
     return x.withColumn("reading_order", F.row_number().over(order) - 1).withColumn("n_lines", F.lit(1)).drop("source_lang", "_at")
 
 
-def group_lines(lines: DataFrame) -> DataFrame:
+def group_lines(lines: DataFrame, *, keep: tuple[str, ...] = (), dealt: bool = False) -> DataFrame:
     """Lines of a page joined into blocks: each line, in reading order, goes to the group that it fits best.
 
     ``lines``: project_id, page_index, block_id, bbox, source_lang, ocr_text,
-    confidence. Sound labels never join other text. A page is one group, as
-    every choice depends on the groups so far; Arrow carries a page at a time.
+    confidence; lines of one place are taken by ``seq``, if there is one. A block
+    has the columns ``keep`` of its first line. Sound labels never join other
+    text. Every choice depends on the groups of the page so far, so pages stream
+    through Arrow one after the other; ``dealt``: each page lies in one partition already.
     """
+    rows = lines if dealt else lines.repartition(*PAGE)
+    order = [*PAGE, "seq"] if "seq" in lines.columns else [*PAGE]
+    taken = list(dict.fromkeys([*PAGE, "block_id", "bbox", "source_lang", "ocr_text", "confidence", *keep]))
+    kinds = "".join(f", {c} {lines.schema[c].dataType.simpleString()}" for c in keep)
+    schema = "project_id string, page_index int, block_id string, bbox array<int>, ocr_text string, confidence double, reading_order int, n_lines int" + kinds
+    names = ["project_id", "page_index", "block_id", "bbox", "ocr_text", "confidence", "reading_order", "n_lines", *keep]
+    fixed = [pa.string(), pa.int32(), pa.string(), pa.list_(pa.int32()), pa.string(), pa.float64(), pa.int32(), pa.int32()]
 
-    def page(p: pd.DataFrame) -> pd.DataFrame:
-        import re
-
-        label = re.compile(SFX_LABEL)
-        ja = p["source_lang"].iloc[0] == "ja"
-        rows = [dict(box=list(b), text=" ".join(t.split()), sfx=bool(label.match(" ".join(t.split()))), conf=c, id=i) for b, t, c, i in zip(p["bbox"], p["ocr_text"], p["confidence"], p["block_id"])]
-        place = lambda r: (r["box"][1] + r["box"][3], (-1 if ja else 1) * (r["box"][0] + r["box"][2]))
-        tall = lambda b: max(1, b[3] - b[1])
-        wide = lambda b: max(1, b[2] - b[0])
-
-        def fit(g: dict, r: dict) -> float | None:
-            if g["sfx"] != r["sfx"]:
-                return None
-            a, b = g["box"], r["box"]
-            gap = max(0, b[1] - a[3], a[1] - b[3])
-            if gap > max(34, 1.45 * (g["tall"] + tall(b)) / (len(g["rows"]) + 1)):
-                return None
-            off = abs(a[0] + a[2] - b[0] - b[2]) / 2
-            allow = 0.85 * max(wide(a), wide(b))
-            share = max(0, min(a[2], b[2]) - max(a[0], b[0])) / min(wide(a), wide(b))
-            if share >= 0.18:
-                return 100 * share - 18 * off / max(1.0, allow) - 0.2 * gap
-            return 24 - 20 * off / max(1.0, allow) - 0.2 * gap if off <= max(45, allow) else None
-
-        groups: list[dict] = []
-        for r in sorted(rows, key=place):
-            fits = [(s, -k) for k, g in enumerate(groups) if (s := fit(g, r)) is not None]
-            if fits:
-                g = groups[-max(fits)[1]]
-                g["rows"].append(r)
-                g["tall"] += tall(r["box"])  # added up as lines come: a sum anew for every line makes long pages quadratic
-                g["box"] = [min(g["box"][0], r["box"][0]), min(g["box"][1], r["box"][1]), max(g["box"][2], r["box"][2]), max(g["box"][3], r["box"][3])]
-            else:
-                groups.append({"rows": [r], "box": r["box"], "sfx": r["sfx"], "tall": tall(r["box"])})
-        out = []
-        for order, g in enumerate(sorted(groups, key=lambda g: place(g["rows"][0]))):
-            texts = [r["text"] for r in sorted(g["rows"], key=place) if r["text"]]
-            close = ja and not re.search(r"[A-Za-zÀ-ÖØ-öø-ÿ]", "".join(texts))
-            known = [r["conf"] for r in g["rows"] if r["conf"] is not None and r["conf"] == r["conf"]]
-            out.append((p["project_id"].iloc[0], p["page_index"].iloc[0], g["rows"][0]["id"], g["box"], ("" if close else " ").join(texts), sum(known) / len(known) if known else None, order, len(g["rows"])))
-        return pd.DataFrame(out, columns=["project_id", "page_index", "block_id", "bbox", "ocr_text", "confidence", "reading_order", "n_lines"])
-
-    schema = "project_id string, page_index int, block_id string, bbox array<int>, ocr_text string, confidence double, reading_order int, n_lines int"
-    return lines.groupBy(*PAGE).applyInPandas(page, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types, blocks = None, []
+        at = {c: i for i, c in enumerate(taken)}
+
+        def lines_of() -> Iterator[tuple]:
+            nonlocal types
+            for batch in batches:
+                types = types or [*fixed, *(batch.schema.field(c).type for c in keep)]
+                yield from zip(*(batch.column(c).to_pylist() for c in taken))
+
+        def made() -> pa.RecordBatch:
+            columns = zip(*blocks)
+            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, types)], names)
+
+        for key, page in groupby(lines_of(), key=lambda r: r[:2]):
+            page = list(page)
+            found = [dict(box=r[at["bbox"]], text=r[at["ocr_text"]], conf=r[at["confidence"]], id=r[at["block_id"]], keep=[r[at[c]] for c in keep]) for r in page]
+            blocks += ((*key, *b) for b in page_groups(found, page[0][at["source_lang"]] == "ja"))
+            if len(blocks) >= 5_000:
+                yield made()
+                blocks = []
+        if blocks:
+            yield made()
+
+    return rows.select(*taken, *(c for c in order if c not in taken)).sortWithinPartitions(*order).mapInArrow(run, schema)
+
+
+IS_LABEL, LATIN = re.compile(SFX_LABEL), re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]")
+
+
+def page_groups(rows: list[dict], ja: bool) -> Iterator[tuple]:
+    """Of one page's lines (box, text, conf, id, keep): id, box, text, confidence, order, number of lines and what is kept of each group.
+
+    Lines come down the page, so a group that lies too far above one for any of
+    the heights to come is out of reach of all later lines, and isn't tried again.
+    """
+    place = lambda r: (r["box"][1] + r["box"][3], (-1 if ja else 1) * (r["box"][0] + r["box"][2]))
+    tall = lambda b: max(1, b[3] - b[1])
+    wide = lambda b: max(1, b[2] - b[0])
+    for r in rows:
+        r["text"] = " ".join(r["text"].split())
+        r["sfx"] = bool(IS_LABEL.match(r["text"]))
+    rows = sorted(rows, key=place)
+    # the greatest height from each line on
+    most = list(accumulate((tall(r["box"]) for r in reversed(rows)), max))[::-1]
+
+    def fit(g: dict, r: dict) -> float | None:
+        if g["sfx"] != r["sfx"]:
+            return None
+        a, b = g["box"], r["box"]
+        gap = max(0, b[1] - a[3], a[1] - b[3])
+        if gap > max(34, 1.45 * (g["tall"] + tall(b)) / (len(g["rows"]) + 1)):
+            return None
+        off = abs(a[0] + a[2] - b[0] - b[2]) / 2
+        allow = 0.85 * max(wide(a), wide(b))
+        share = max(0, min(a[2], b[2]) - max(a[0], b[0])) / min(wide(a), wide(b))
+        if share >= 0.18:
+            return 100 * share - 18 * off / max(1.0, allow) - 0.2 * gap
+        return 24 - 20 * off / max(1.0, allow) - 0.2 * gap if off <= max(45, allow) else None
+
+    def reached(g: dict, r: dict, high: int) -> bool:
+        """Whether r or a later line, of a height up to ``high``, can be near enough: its top is half of that above its middle at most, and no mean of heights exceeds both."""
+        middle = (r["box"][1] + r["box"][3]) / 2
+        return middle - high / 2 - g["box"][3] <= max(34, 1.45 * max(high, g["tall"] / len(g["rows"]))) + 1
+
+    groups: list[dict] = []
+    near: list[dict] = []
+    for r, high in zip(rows, most):
+        near = [g for g in near if reached(g, r, high)]
+        fits = [(s, -k) for k, g in enumerate(near) if (s := fit(g, r)) is not None]
+        if fits:
+            g = near[-max(fits)[1]]
+            g["rows"].append(r)
+            g["tall"] += tall(r["box"])  # added up as lines come: a sum anew for every line makes long pages quadratic
+            g["box"] = [min(g["box"][0], r["box"][0]), min(g["box"][1], r["box"][1]), max(g["box"][2], r["box"][2]), max(g["box"][3], r["box"][3])]
+        else:
+            groups.append({"rows": [r], "box": r["box"], "sfx": r["sfx"], "tall": tall(r["box"])})
+            near.append(groups[-1])
+    # groups begin in the order of their first lines
+    for order, g in enumerate(groups):
+        texts = [r["text"] for r in g["rows"] if r["text"]]
+        close = ja and not any(map(LATIN.search, texts))
+        known = [r["conf"] for r in g["rows"] if r["conf"] is not None and r["conf"] == r["conf"]]
+        first = g["rows"][0]
+        yield (first["id"], g["box"], ("" if close else " ").join(texts), sum(known) / len(known) if known else None, order, len(g["rows"]), *first["keep"])

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from inkloom.functions.checks import apply_checks, japanese_skip
+from inkloom.functions.detect import FLAGS
 from inkloom.functions.text import full, once, source_clean_normalized_first, squeeze
 from inkloom.operators.blocks import PAGE, auto_ignore, blank, protected, refreshable, with_warning
 from inkloom.operators.dialogue import prepare, prepare_blocks, with_override
@@ -30,15 +31,17 @@ def blocks_of_fragments(raw: DataFrame, *, least: float = 0.20, merge_lines: boo
     """Blocks of recognised fragments: project_id, page_index, raw_order, polygon, text, confidence, source_lang.
 
     Noise goes, boxes are made from polygons, ids are ``p<page>_b<order>``;
-    lines are joined, or keep their order. Empty pages have no blocks.
+    lines are joined (on pages that have a project and a number), or keep their
+    order. Empty pages have no blocks.
     """
     x = raw.where(~noise(F.col("text"), F.col("confidence"), least)) if drop_noise else raw
+    # dealt by page once, for the numbers and for the lines
+    x = x.select(*PAGE, "raw_order", polygon_box(F.col("polygon")).alias("bbox"), "source_lang", squeeze(F.col("text")).alias("ocr_text"), "confidence").repartition(*PAGE)
     at = F.row_number().over(W.partitionBy(*PAGE).orderBy("raw_order")) - 1
-    x = x.withColumn("_at", at).select(
-        *PAGE, F.format_string("p%04d_b%04d", "page_index", "_at").alias("block_id"), polygon_box(F.col("polygon")).alias("bbox"), "source_lang", squeeze(F.col("text")).alias("ocr_text"), "confidence",
-        F.col("_at").alias("reading_order"), F.col("_at").cast("long").alias("seq"),
-    )
-    return as_blocks(group_lines(x).join(x.select(*PAGE, "block_id", "source_lang", "seq"), [*PAGE, "block_id"]) if merge_lines else x)
+    x = x.withColumn("reading_order", at).withColumn("block_id", F.format_string("p%04d_b%04d", "page_index", "reading_order")).withColumn("seq", F.col("reading_order").cast("long"))
+    if not merge_lines:
+        return as_blocks(x)
+    return as_blocks(group_lines(x.where("project_id is not null and page_index is not null"), keep=("source_lang", "seq"), dealt=True))
 
 
 # Fixed value: what a Japanese fragment too weak to translate is told.
@@ -96,7 +99,7 @@ def process(raw: DataFrame, translator: Translator, *, ignored: DataFrame | None
     x = blocks_of_fragments(raw)
     own = x.columns
     ready = {k: v for k, v in tables.items() if k in ("kept", "overrides", "memory")}
-    x = auto_ignore(prepare_blocks(x, **tables), ignored).select(*own)
+    x = auto_ignore(prepare_blocks(x, **tables), ignored, keep_flags=True).select(*own, *FLAGS)  # the second pass finds the same texts
     x = apply_checks(translate(x, translator, **ready))
     return auto_ignore(x, ignored).select(*own)
 

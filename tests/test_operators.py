@@ -590,3 +590,113 @@ def test_reports_score_each_row_once(spark, sf):
 
     rules = lambda name: plan_of(queries.queries()[name](spark, sf)).count("empty translation")
     assert rules("quality_report") == 1 and rules("review_pack_balanced") == 0  # scored and written before
+
+
+def test_fragments_become_blocks_in_one_pass(spark):
+    """Fragments are made once, their blocks keep number and language of the first line, and pages without a key have none."""
+    from inkloom.plans.pipeline import blocks_of_fragments
+
+    made = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for p in batches:
+            made.add(len(p))
+            yield p
+
+    box = lambda y: [[10.0, y], [210.0, y], [210.0, y + 24], [10.0, y + 24]]
+    lines = [("p", k, i, box(30.0 * i), "SLAM!" if i == 3 else "1" if i == 5 else f"some  words {i}", 0.9 if i else None, "ja" if k == 2 else "en") for k in (1, 2, None) for i in range(8)]
+    raw = spark.createDataFrame(lines, "project_id string, page_index int, raw_order int, polygon array<array<double>>, text string, confidence double, source_lang string")
+    got = blocks_of_fragments(raw.mapInPandas(run, raw.schema)).orderBy("page_index", "reading_order").collect()
+    assert made.value == 24
+    texts = ["some words 0 some words 1 some words 2", "SLAM!", "some words 4", "some words 6 some words 7"]
+    assert [(r.page_index, r.source_lang, r.seq, r.block_id, r.ocr_text, r.confidence) for r in got if r.page_index == 1] == [(1, "en", s, f"p0001_b{s:04d}", t, pytest.approx(0.9)) for s, t in zip((0, 3, 4, 5), texts)]
+    assert {(r.page_index, r.source_lang) for r in got} == {(1, "en"), (2, "ja")}
+
+
+def test_groups_out_of_reach_are_left():
+    """A long page of labels apart is grouped in time linear in its lines; heights that differ much change nothing."""
+    import random
+
+    reads = 0
+
+    class Box(list):
+        def __getitem__(self, i):
+            nonlocal reads
+            reads += 1
+            return list.__getitem__(self, i)
+
+    row = lambda b, t, i: {"box": b, "text": t, "conf": None, "id": i, "keep": []}
+    assert sum(1 for _ in geometry.page_groups([row(Box([0, 90 * i, 100, 90 * i + 24]), "SLAM!", i) for i in range(2_000)], False)) == 2_000
+    assert reads < 200 * 2_000
+
+    rng = random.Random(11)
+    for _ in range(20):
+        rows = []
+        for i in range(120):
+            x, y, h = rng.randint(0, 300), rng.randint(0, 4_000), rng.choice((rng.randint(1, 40), rng.randint(1, 40), rng.randint(100, 1_500)))
+            rows.append(row([x, y, x + rng.randint(1, 300), y + h], rng.choice(["BANG!", "words"]), i))
+        tall = lambda b: max(1, b[3] - b[1])
+        groups = []
+        for r in sorted(rows, key=lambda r: (r["box"][1] + r["box"][3], r["box"][0] + r["box"][2])):
+            b, fits = r["box"], []
+            for k, g in enumerate(groups):
+                a = [f(m["box"][i] for m in g) for i, f in enumerate((min, min, max, max))]
+                gap = max(0, b[1] - a[3], a[1] - b[3])
+                if g[0]["text"] == r["text"] and gap <= max(34, 1.45 * sum(tall(m["box"]) for m in [*g, r]) / (len(g) + 1)):
+                    widths = a[2] - a[0], b[2] - b[0]
+                    share, off, allow = max(0, min(a[2], b[2]) - max(a[0], b[0])) / min(widths), abs(a[0] + a[2] - b[0] - b[2]) / 2, 0.85 * max(widths)
+                    score = 100 * share - 18 * off / max(1.0, allow) - 0.2 * gap if share >= 0.18 else 24 - 20 * off / max(1.0, allow) - 0.2 * gap if off <= max(45, allow) else None
+                    fits += [(score, -k)] if score is not None else []
+            groups[-max(fits)[1]].append(r) if fits else groups.append([r])
+        assert [(g[0], g[5]) for g in geometry.page_groups([dict(r) for r in rows], False)] == [(g[0]["id"], len(g)) for g in groups]
+
+
+def test_searches_that_stop_early_find_the_same(spark):
+    """Guarded searches, blanks and counts against what they stand for."""
+    from inkloom.functions import checks
+    from inkloom.functions import patterns as P
+    from inkloom.operators.dialogue import CAPITALS, OTHERS, soften_capitals
+
+    lists = [*(p for p, _ in checks.CONFUSIONS), checks.SHORT_ZONE, checks.SOUNDS, checks.IDIOMS, checks.BAD_FRENCH, "gramma|grandma", P.either(P.RESIDUE), P.either(P.SFX_MIX), P.SHORT_ZONE, P.CLAUSE_WORDS]
+    words = "TOLD to!d tolda c!imbin' narli enolgh im I'm ive didnta ou'd t0 4nder could ve would  ve menx...tioned men... tioned exx...istence al...read what 9i kin0a unnecesaqy bmusthvb gallenl asleeep inifront computer and this is what god whooosh sfx handy No Way slam skills skill after If told ya looky".split(" ")
+    odd = ["", " ", "a", " b ", " é\n", "7", "ab", "a 1 b", "a\tb　c", "日", "日本", "x\r\n", "\x1f", "...", "É È Ê ça", "AB C÷×D", "ÀÉ×îßÿ", "  THE  END\n", "WHO  IS THIS", "日本ABCDE", "we're off", "a\x00B", "Kim", "ſfx", "a-b", "12 ab"]
+    texts = [*words, *(f"x{w}" for w in words), *(f"({w})!" for w in words), *(f"é{w}" for w in words), *(" ".join(words[i : i + 4]) for i in range(len(words))), *odd, None]
+    df = spark.createDataFrame([(i, t, c) for i, (t, c) in enumerate((t, c) for t in texts for c in ((0.1, 0.5, 0.9, None) if t in odd or t is None else (0.9,)))], "i int, v string, c double")
+    v, c, old = F.col("v"), F.col("c"), F.btrim(F.regexp_replace("v", r"(?U)\s+", " "))
+    letters = F.regexp_count(old, F.lit(geometry.LETTER))
+    marks = r"^[0-9\s<>{}\[\]().,;:!?/\\|_+*=~`'\"-]+$"
+    noise = (old == "") | F.coalesce(c < 0.2, F.lit(False)) | (F.length(old) <= 1) | old.rlike(marks) | (letters == 0) | F.coalesce((c < 0.55) & (letters <= 2), F.lit(False))
+    number = lambda p: F.regexp_count(v, F.lit(p))
+    pairs = [
+        *((detect.held(v, F.lower(v), p), v.rlike(P.bounded(p))) for p in lists), (text.squeeze(v), old), (geometry.noise(v, c), noise), (B.blank("v"), text.squeezed_ends(v) == ""),
+        (text.identity_key(v), F.regexp_replace(F.lower(v), "[^a-z0-9]", "")), (F.coalesce(v.rlike(checks.THREE_WORDS), F.lit(False)), F.size(text.tokens(v, P.ZONE_WORD)) >= 3), (v.rlike(P.ANY_DIGIT_MIX), v.rlike(P.DIGIT_MIX)),
+        (F.length(v) - F.length(F.translate(v, CAPITALS, "")), number("[A-ZÀ-ÖØ-Þ]")), (F.length(v) - F.length(F.translate(v, CAPITALS + OTHERS, "")), number("[A-Za-zÀ-ÖØ-öø-ÿ]")),
+    ]
+    x = df.select("v", "c", *(F.struct(a.alias("got"), b.alias("want")).alias(f"t{i}") for i, (a, b) in enumerate(pairs)))
+    assert [(r.v, r.c, i) for r in x.collect() for i in range(len(pairs)) if r[i + 2].got != r[i + 2].want] == []
+    assert [one(spark, soften_capitals, t) for t in ("WHO IS I", "Who IS", "AÉÀ÷", "AÉÀÔ", "日ABCDE")] == ["who is I", "Who IS", "AÉÀ÷", "aéàô", "日ABCDE"]
+
+
+def test_ready_shapes_are_found_in_any_form(spark):
+    from inkloom.operators.dialogue import with_override
+
+    texts = {"“Hi   YAA!”": "Hi YAA!", "hi-yaa": "hi-yaa", "whooaal": "whooaal", " 'Whoaa !'": "Whoaa!", "AWWW !!": "Aww...", "　“OOH...": "Oh...", "oh": "Oh...", "of": "", "hi there": "", "aw": "", "": "", None: "", "say ooh": ""}
+    got = with_override(spark.createDataFrame([(t,) for t in texts], "t string"), F.col("t")).collect()
+    want = {k: "Whoa !" if v.lower().startswith("who") else v if not k or "hi" not in k.lower() else v for k, v in texts.items()}
+    assert {r.t: r.override for r in got} == want
+
+
+def test_flags_are_kept_for_texts_that_stay(spark):
+    """A second run searches changed texts only, and comes to what it comes to without kept flags."""
+    rows = [{"ocr_text": t, "page_index": i // 8, "reading_order": i, "manual_status": "review"} for i, t in enumerate(["BANG!", "phase 4", "Hello there, you are late.", "raws", "ATM card fee", "hall", "depth", "I know what we can do here", "", "km"] * 4)]
+    memory = spark.createDataFrame([("hello there, you are late.", "learned"), ("km", "learned")], "key string, value string")
+    base = blocks(spark, *rows)
+    for m in (None, memory):
+        first = B.auto_ignore(base, m, keep_flags=True)
+        later = lambda x: x.withColumn("ocr_text", F.when(F.col("seq") % 3 == 0, F.lit("monument")).otherwise(F.col("ocr_text")))
+        plain = B.auto_ignore(later(B.auto_ignore(base, m).select(*base.columns)), m)
+        kept = B.auto_ignore(later(first.select(*base.columns, *detect.FLAGS)), m)
+        assert kept.columns == plain.columns and sorted(map(repr, kept.collect())) == sorted(map(repr, plain.collect()))
+    # rows whose text is what was judged take their flags from there
+    told = first.select(*base.columns, *detect.FLAGS).withColumn("_own", F.lit("kept"))
+    assert {r.reason for r in B.with_reasons(told, memory).collect() if not r.page_reason} <= {"kept"}

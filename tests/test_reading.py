@@ -130,3 +130,18 @@ def test_a_text_is_folded_once_for_all_cascades():
     text = "The quiet garden lies behind the old wall and nobody walks there."
     assert R.plain(R.readable(text)) == text
     assert C.fold.cache_info().misses <= 3
+
+
+def test_needs_of_optional_marks_and_few_letters():
+    """Letters of which there are few, and words that may be left out, are written out."""
+    same = lambda p, *want: C.needs(p) == set(want)
+    assert same(r"(?i)\bi['’]?m\b", "im", "i'm", "i’m") and same(r"to[i1l!]d", "toid", "to1d", "told", "to!d") and same("im|ive|ill|id", "im", "ive", "ill", "id") and same(r"(?:do|ca)n't", "don't", "can't")
+    assert same(r"[,.]\s+") and same(r"\s+([,.;:!?])") and same(r"[a-z]x?") and same("abc[a-z]def", "abc") and same("K[İx]", "k")  # marks alone and ranges say nothing
+
+
+def test_edges_are_searched_where_a_sound_may_be():
+    """Sounds go at both edges as the plain search finds them, in any case and form."""
+    for t in ("bam! run", "run, BAM!", "ſob now", "now ſob..", "go KNOCK", "jaKa jaka", "band now", "embam", "tap", "x tap\n", "run bam bam ?!", "", "now scribb", "fıdget now", "yawn-- x -yawn --"):
+        assert R.quiet(t) == R.still(lambda t: R.EDGE.sub("", t).strip(), t), t
+    for t in ("a  b", " a\n b\t", "\n'a'\n", "x 　 y !", "wait ,  x"):
+        assert R.compact(t) == re.sub(r"\s+([,.;:!?])", r"\1", re.sub(r"\s+", " ", t.strip().strip(R.QUOTES)))
