@@ -3,10 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: White space besides the blank, and some signs that are none.
+OTHER_BLANKS = r"[\t\n\x0B\f\r\x85\xA0\u1680-\u3000]"
+#: Latin letters: capitals and others. Java looks up listed letters in a table, and compares with each range.
+ACCENTED = ["".join(map(chr, r)) for r in ([*range(192, 215), *range(216, 223)], [223, *range(224, 247), *range(248, 256)])]
+CAPITALS, OTHERS = ascii_uppercase + ACCENTED[0], ascii_lowercase + ACCENTED[1]
 QUOTES = "\"'`´‘’“” "
 
 
@@ -35,8 +41,8 @@ def any_of(words: Column, listed: list[str]) -> Column:
 
 
 def squeeze(c: Column) -> Column:
-    """White space, as Unicode defines it, collapsed and trimmed: runs that are one blank already are left alone."""
-    return F.btrim(F.regexp_replace(c, r"(?U)[\s&&[^ ]]\s*+| \s++", " "))
+    """White space, as Unicode defines it, collapsed and trimmed; texts without other white space than single blanks aren't searched."""
+    return F.btrim(let(c, lambda t: F.when(~t.contains("  ") & ~t.rlike(OTHER_BLANKS), t).otherwise(F.regexp_replace(t, r"(?U)\s+", " "))))
 
 
 def full(c: Column) -> Column:
@@ -65,7 +71,14 @@ def final_translation() -> Column:
 
 
 def squeezed_ends(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    """White space at the ends taken off; texts that begin and end with something else aren't searched."""
+    edges = F.concat(F.substring(c, 1, 1), F.substring(c, -1, 1))
+    return F.when(~edges.rlike(r"(?U)\s"), c).otherwise(F.regexp_replace(c, r"(?U)^\s+|\s+$", ""))
+
+
+def words_up_to(c: Column, most: int) -> Column:
+    """The number of words of ASCII letters and apostrophes, or ``most``, if there are more; no further ones are made."""
+    return F.size(tokens(F.regexp_extract(c, spelled(rf"(?:[^A-Za-z']*+[A-Za-z']++){{1,{most}}}"), 0), "[A-Za-z']+"))
 
 
 def ignore_key(c: Column) -> Column:
@@ -120,7 +133,12 @@ def natural_key(c: Column) -> Column:
 
 
 def tokens(c: Column, pattern: str) -> Column:
-    return F.coalesce(F.regexp_extract_all(c, F.lit(pattern), F.lit(0)), F.array().cast("array<string>"))
+    return F.coalesce(F.regexp_extract_all(c, F.lit(spelled(pattern)), F.lit(0)), F.array().cast("array<string>"))
+
+
+def spelled(pattern: str) -> str:
+    """The pattern with its Latin letters listed, in place of ranges."""
+    return pattern.replace("A-Za-z", ascii_uppercase + ascii_lowercase).replace("À-ÖØ-öø-ÿ", "".join(ACCENTED))
 
 
 def decision_key(c: Column) -> Column:

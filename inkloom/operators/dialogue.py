@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from inkloom.functions import reading
 from inkloom.functions.cascade import Rules
 from inkloom.functions.checks import JAPANESE
-from inkloom.functions.text import QUOTES, let, memory_key, squeeze, squeezed_ends
+from inkloom.functions.text import CAPITALS, OTHERS, QUOTES, let, memory_key, squeeze, squeezed_ends
 from inkloom.operators.normalise import own, rewrite
 
 # Interjections that are translated by their shape, tried in this order, on the text or on its key.
@@ -26,9 +26,6 @@ SHAPES = [
     ("key", r"^o+h!?$", "Oh..."),
 ]
 # End of the fixed values.
-#: Latin letters.
-CAPITALS = "".join(c for c in map(chr, [*range(65, 91), *range(192, 223)]) if c != "×")
-OTHERS = "".join(c for c in map(chr, [*range(97, 123), *range(223, 256)]) if c != "÷")
 #: How every text of these shapes begins, blanks and quotes left out.
 SHAPED = rf"(?iU)^[\s{QUOTES}]*+(?:hi[-\s]*+y|who|aww|o++h)"
 
@@ -42,7 +39,7 @@ def soften_capitals(c: Column) -> Column:
     """Lower case, but for the word I, where three quarters of four Latin letters or more are capitals and none is Japanese."""
 
     def soft(t: Column) -> Column:
-        count = lambda some: F.length(t) - F.length(F.translate(t, some, ""))  # noqa: E731  several times faster than matches
+        count = lambda some: F.length(t) - F.length(F.regexp_replace(t, f"[{some}]+", ""))  # noqa: E731  no list of matches
         letters, loud = count(CAPITALS + OTHERS), count(CAPITALS)
         low = F.regexp_replace(F.lower(t), r"(?<![\p{L}\p{N}_])i(?![\p{L}\p{N}_])", "I")
         return F.when((loud >= 3) & (letters >= 4) & (loud / letters >= 0.75) & ~t.rlike(JAPANESE), low).otherwise(t)
@@ -110,7 +107,7 @@ def prepare(
 def prepare_blocks(blocks: DataFrame, **tables) -> DataFrame:
     """English blocks with a text get corrected and normalised sources, and a translation where one is ready."""
     x = prepare(blocks, **tables)
-    on = (F.col("source_lang") == "en") & (squeezed_ends(F.col("ocr_text")) != "")
+    on = (F.col("source_lang") == "en") & F.col("ocr_text").rlike(r"(?U)\S")
     ready = on & (F.col("override") != "")
     new = {
         "ocr_corrected_text": F.when(on, F.col("corrected")), "normalized_source_text": F.when(on, F.col("normalized")),
